@@ -122,3 +122,169 @@ def q_densify(spark, sf):
 def q_date_window(spark, sf):
     tx = tx_view(spark, sf)
     return bucket_aggregate(tx, fit_buckets(tx, TX_CONFIG.interval), window=(_IN_START, _TRAIN_T))
+
+# ---------------------------------------------------------------- windows / split
+_TX_CHAIN = O.chain("tx", TX_CONFIG)
+
+
+def _split_windows_spark(prep: Prepared) -> DataFrame:
+    inp = prep.input_rows().withColumn("window_kind", F.lit("input"))
+    tgt = prep.target_rows().withColumn("window_kind", F.lit("target"))
+    return inp.unionByName(tgt).groupBy("split", "window_kind").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.countDistinct("user_id").alias("n_users"),
+        O_fxsum("amount").alias("amount"))
+
+
+def O_fxsum(col):
+    from ..functions.fixedpoint import fx, unfx
+    return unfx(F.coalesce(F.sum(fx(F.col(col))), F.lit(0).cast("bigint")))
+
+
+@register("split_windows", _TX_CHAIN + f"""
+SELECT split, window_kind, count(*) AS n_cells, count(DISTINCT user_id) AS n_users, {O.fxsum('amount')} AS amount
+FROM (SELECT *, 'input' AS window_kind FROM inrows UNION ALL SELECT *, 'target' AS window_kind FROM trows)
+GROUP BY split, window_kind""")
+def q_split_windows(spark, sf):
+    return _split_windows_spark(_prep(spark, sf, fit=False))
+
+
+@register("rows_by_split", _TX_CHAIN + "SELECT m.split, c.user_id, c.k, c.brand, c.amount, c.date "
+          "FROM cells c JOIN members m ON c.user_id = m.user_id")
+def q_rows_by_split(spark, sf):
+    tx = tx_view(spark, sf)
+    spec = fit_buckets(tx, TX_CONFIG.interval)
+    roles = user_split(distinct_users(tx), TX_CONFIG.splits)
+    cells = bucket_aggregate(tx, spec)
+    return cells.join(split_membership(roles), "user_id").select(
+        "split", "user_id", "k", "brand", "amount", "date")
+
+
+@register("distinct_users", _TX_CHAIN + "SELECT user_id FROM users")
+def q_distinct_users(spark, sf):
+    return distinct_users(tx_view(spark, sf))
+
+
+@register("user_split", _TX_CHAIN + "SELECT user_id, role, rank FROM roles")
+def q_user_split(spark, sf):
+    return user_split(distinct_users(tx_view(spark, sf)), TX_CONFIG.splits)
+
+
+@register("overlap_users", _TX_CHAIN + "SELECT user_id FROM roles WHERE role = 'train_overlap'")
+def q_overlap_users(spark, sf):
+    roles = user_split(distinct_users(tx_view(spark, sf)), TX_CONFIG.splits)
+    return roles.where(F.col("role") == "train_overlap").select("user_id")
+
+
+@register("split_membership", _TX_CHAIN + "SELECT user_id, split FROM members")
+def q_split_membership(spark, sf):
+    return split_membership(user_split(distinct_users(tx_view(spark, sf)), TX_CONFIG.splits))
+
+
+# ---------------------------------------------------------------- brand vocabulary
+@register("brand_counts", _TX_CHAIN + "SELECT brand, count(*) AS cnt FROM fitrows GROUP BY brand")
+def q_brand_counts(spark, sf):
+    prep = _prep(spark, sf, fit=False)
+    return prep.fit_rows().groupBy("brand").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("top_n_brands", _TX_CHAIN + "SELECT brand, cnt FROM kept")
+def q_top_n_brands(spark, sf):
+    prep = _prep(spark, sf, fit=False)
+    return BrandVocab(top_n=TX_CONFIG.brand.top_n).kept_brands(prep.fit_rows(), "brand").select("brand", "cnt")
+
+
+@register("freq_threshold_brands", O.chain("tx", TX_CONFIG, top_n=None, freq_threshold=FREQ_THRESHOLD)
+          + "SELECT brand, cnt FROM kept")
+def q_freq_threshold_brands(spark, sf):
+    prep = _prep(spark, sf, fit=False)
+    return BrandVocab(freq_threshold=FREQ_THRESHOLD).kept_brands(prep.fit_rows(), "brand").select("brand", "cnt")
+
+
+@register("vocab", _TX_CHAIN + "SELECT id, value FROM vocab")
+def q_vocab(spark, sf):
+    return _prep(spark, sf).encoders["brand"].vocab
+
+
+_WCELLS_ID = ("SELECT w.user_id, w.k, w.brand, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id "
+              "FROM wcells w LEFT JOIN vocab v ON v.value = w.brand")
+
+
+@register("brand_to_id", _TX_CHAIN + _WCELLS_ID)
+def q_brand_to_id(spark, sf):
+    prep = _prep(spark, sf)
+    return prep.encoders["brand"].transform(prep.buckets, "brand", "brand_id").select(
+        "user_id", "k", "brand", "brand_id")
+
+
+@register("id_to_brand", _TX_CHAIN + f"""
+SELECT x.user_id, x.k, x.brand_id, v.value AS brand_back FROM ({_WCELLS_ID}) x JOIN vocab v ON v.id = x.brand_id""")
+def q_id_to_brand(spark, sf):
+    prep = _prep(spark, sf)
+    b = prep.encoders["brand"]
+    ids = b.transform(prep.buckets, "brand", "brand_id").select("user_id", "k", "brand_id")
+    return b.inverse(ids, "brand_id", "brand_back")
+
+
+# ---------------------------------------------------------------- scalers / time
+@register("minmax_fit", _TX_CHAIN + 'SELECT lo, hi, scale, "offset" FROM mm')
+def q_minmax_fit(spark, sf):
+    prep = _prep(spark, sf)
+    a = prep.encoders["amount"]
+    scale, offset = a.params
+    return spark.range(1).select(F.lit(a.lo).alias("lo"), F.lit(a.hi).alias("hi"),
+                                 F.lit(scale).alias("scale"), F.lit(offset).alias("offset"))
+
+
+@register("minmax_scale", _TX_CHAIN +
+          "SELECT user_id, k, brand, amount, amount * mm.scale + mm.offset AS amount_scaled FROM wcells, mm")
+def q_minmax_scale(spark, sf):
+    prep = _prep(spark, sf)
+    return prep.encoders["amount"].transform(prep.buckets, "amount", "amount_scaled").select(
+        "user_id", "k", "brand", "amount", "amount_scaled")
+
+
+@register("minmax_inverse", _TX_CHAIN + """
+SELECT user_id, k, brand, (amount * mm.scale + mm.offset - mm.offset) / mm.scale AS amount_back FROM wcells, mm""")
+def q_minmax_inverse(spark, sf):
+    prep = _prep(spark, sf)
+    a = prep.encoders["amount"]
+    s = a.transform(prep.buckets, "amount", "x")
+    return a.inverse(s, "x", "amount_back").select("user_id", "k", "brand", "amount_back")
+
+
+@register("minmax_by_brand", _TX_CHAIN + f"""
+, g0 AS (SELECT brand, CAST(min(amount) AS DOUBLE) AS lo, CAST(max(amount) AS DOUBLE) AS hi FROM fitrows GROUP BY brand),
+g AS (SELECT brand, {O.d(1.0)} / (CASE WHEN hi - lo <> 0 THEN hi - lo ELSE {O.d(1.0)} END) AS scale, lo FROM g0)
+SELECT w.user_id, w.k, w.brand, w.amount * g.scale + ({O.d(0.0)} - g.lo * g.scale) AS amount_scaled
+FROM wcells w LEFT JOIN g ON g.brand = w.brand""".replace("WITH", "WITH", 1))
+def q_minmax_by_brand(spark, sf):
+    prep = _prep(spark, sf, fit=False)
+    enc = MinMaxEncoder(group_by="brand").fit(prep.fit_rows(), "amount")
+    return enc.transform(prep.buckets, "amount", "amount_scaled").select(
+        "user_id", "k", "brand", "amount_scaled")
+
+
+@register("time_delta", _TX_CHAIN +
+          f"SELECT user_id, k, brand, date, {O.delta('date')} AS day_delta FROM wcells, ee")
+def q_time_delta(spark, sf):
+    prep = _prep(spark, sf)
+    return prep.encoders["date"].transform(prep.buckets, "date", "day_delta").select(
+        "user_id", "k", "brand", "date", "day_delta")
+
+
+@register("time_delta_inverse", _TX_CHAIN +
+          f"SELECT user_id, k, brand, ee.e + to_days(CAST({O.delta('date')} AS INTEGER)) AS date_back FROM wcells, ee")
+def q_time_delta_inverse(spark, sf):
+    prep = _prep(spark, sf)
+    t = prep.encoders["date"]
+    d = t.transform(prep.buckets, "date", "day_delta")
+    return t.inverse(d, "day_delta", "date_back").select("user_id", "k", "brand", "date_back")
+
+
+@register("noop_encoder", _TX_CHAIN + "SELECT user_id, k, brand, amount, date FROM wcells")
+def q_noop_encoder(spark, sf):
+    prep = _prep(spark, sf, fit=False)
+    out = prep.buckets
+    for name, col in (("brand", "brand"), ("amount", "amount"), ("time", "date")):
+        out = NoOpEncoder(name).fit(out, col).transform(out, col)
+    return out.select("user_id", "k", "brand", "amount", "date")
