@@ -164,3 +164,14 @@ def dense_vectors(cells: DataFrame, members: DataFrame, vocab_size: int, value_c
                       lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
     return (members.join(m, ["split", "user_id"], "left")
                    .select("split", "user_id", vec.alias(value_col)))
+
+
+def recover_target(cells: DataFrame, amount_enc) -> DataFrame:
+    """Invert scaled target cells.  ``amount_inverse`` inverts the cell sum as
+    one value (what the reference does; wrong unless the offset is 0);
+    ``amount_exact`` uses the cell's row count: ``(s - n * offset) / scale``."""
+    scale, offset = amount_enc.params
+    sc, off = F.lit(float(scale)), F.lit(float(offset))
+    return cells.select(
+        "*", ((F.col("amount") - off) / sc).alias("amount_inverse"),
+        ((F.col("amount") - F.col("n_rows").cast("double") * off) / sc).alias("amount_exact"))

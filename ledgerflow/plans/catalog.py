@@ -288,3 +288,134 @@ def q_noop_encoder(spark, sf):
     for name, col in (("brand", "brand"), ("amount", "amount"), ("time", "date")):
         out = NoOpEncoder(name).fit(out, col).transform(out, col)
     return out.select("user_id", "k", "brand", "amount", "date")
+
+
+# ---------------------------------------------------------------- sequences / targets
+_SEQ_COLS = ["split", "user_id", "pos", "brand", "amount", "date"]
+_SEQ_SQL = O.sequences_sql("tx", TX_CONFIG)
+_TGT_SQL = O.targets_sql("tx", TX_CONFIG)
+
+
+@register("input_sequences", _SEQ_SQL + "SELECT split, user_id, pos, brand, amount, date FROM seq")
+def q_input_sequences(spark, sf):
+    return _prep(spark, sf).sequences().select(*_SEQ_COLS)
+
+
+@register("empty_user_sequences", _SEQ_SQL + """
+SELECT s.split, s.user_id, s.pos, s.brand, s.amount, s.date FROM seq s
+JOIN (SELECT split, user_id FROM seq GROUP BY split, user_id HAVING count(*) = 2) e
+  ON s.split = e.split AND s.user_id = e.user_id""")
+def q_empty_user_sequences(spark, sf):
+    seq = _prep(spark, sf).sequences()
+    empty = seq.groupBy("split", "user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return seq.join(empty.select("split", "user_id"), ["split", "user_id"]).select(*_SEQ_COLS)
+
+
+@register("multi_hot_brand", _TGT_SQL + "SELECT split, user_id, brand_id, brand_flag FROM tcells")
+def q_multi_hot_brand(spark, sf):
+    return _prep(spark, sf).targets().select("split", "user_id", "brand_id", "brand_flag")
+
+
+@register("multi_hot_amount", _TGT_SQL + "SELECT split, user_id, brand_id, amount FROM tcells")
+def q_multi_hot_amount(spark, sf):
+    return _prep(spark, sf).targets().select("split", "user_id", "brand_id", "amount")
+
+
+@register("multi_hot_separate", _TGT_SQL + "SELECT split, user_id, brand_id, brand_flag, amount FROM tcells")
+def q_multi_hot_separate(spark, sf):
+    return _prep(spark, sf).targets().select("split", "user_id", "brand_id", "brand_flag", "amount")
+
+
+@register("raw_vs_scaled_target", _TGT_SQL + "SELECT split, user_id, brand_id, amount, amount_raw FROM tcells")
+def q_raw_vs_scaled_target(spark, sf):
+    return _prep(spark, sf).targets().select("split", "user_id", "brand_id", "amount", "amount_raw")
+
+
+@register("target_recover", _TGT_SQL + """
+SELECT split, user_id, brand_id, (amount - mm."offset") / mm.scale AS amount_inverse,
+       (amount - CAST(n_rows AS DOUBLE) * mm."offset") / mm.scale AS amount_exact FROM tcells, mm""")
+def q_target_recover(spark, sf):
+    from ..operators.sequences import recover_target
+    prep = _prep(spark, sf)
+    return recover_target(prep.targets(), prep.encoders["amount"]).select(
+        "split", "user_id", "brand_id", "amount_inverse", "amount_exact")
+
+
+@register("dense_target", _TGT_SQL + """
+SELECT m.split, m.user_id, CAST(i.i AS INTEGER) AS brand_id, coalesce(t.amount, 0.0::DOUBLE) AS amount
+FROM members m CROSS JOIN (SELECT range AS i FROM range((SELECT v FROM vsize))) i
+LEFT JOIN tcells t ON t.split = m.split AND t.user_id = m.user_id AND t.brand_id = i.i""")
+def q_dense_target(spark, sf):
+    from ..operators.sequences import dense_vectors
+    prep = _prep(spark, sf)
+    dense = dense_vectors(prep.targets(), prep.members, prep.encoders["brand"].size, "amount")
+    return dense.select("split", "user_id", F.posexplode("amount").alias("brand_id", "amount")).select(
+        "split", "user_id", F.col("brand_id").cast("int").alias("brand_id"), "amount")
+
+
+# ---------------------------------------------------------------- baseline / evaluation
+def _baseline(prep: Prepared, denominator="all"):
+    from ..operators.predict import average_spend
+    n_all = split_case({s: prep.spec.count_in_window(prep.cfg.cutoffs.in_start,
+                                                     prep.cfg.cutoffs.target_start(s))
+                        for s in ("train", "val", "test")})
+    return average_spend(prep.input_rows(), prep.encoders["brand"], n_all, denominator)
+
+
+@register("baseline_avg_all", O.baseline_sql("tx", TX_CONFIG, "all") +
+          "SELECT split, user_id, brand_id, predicted FROM pred")
+def q_baseline_avg_all(spark, sf):
+    return _baseline(_prep(spark, sf), "all")
+
+
+@register("baseline_avg_active", O.baseline_sql("tx", TX_CONFIG, "active") +
+          "SELECT split, user_id, brand_id, predicted FROM pred")
+def q_baseline_avg_active(spark, sf):
+    return _baseline(_prep(spark, sf), "active")
+
+
+def _aligned(prep):
+    from ..operators.evaluate import align
+    return align(_baseline(prep, "all"), prep.targets())
+
+
+def _users_per_split(prep):
+    return prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users"))
+
+
+_EVAL_SQL = O.baseline_sql("tx", TX_CONFIG, "all") + """
+SELECT n.split, n.n_users, n.n_users * vsize.v AS n_cells, coalesce(a.n_positive, 0) AS n_positive,
+       CAST(coalesce(a.fp, 0) AS DOUBLE) / CAST(n.n_users * vsize.v - coalesce(a.n_positive, 0) AS DOUBLE) AS false_positive_rate,
+       CAST(coalesce(a.fn, 0) AS DOUBLE) / CAST(coalesce(a.n_positive, 0) AS DOUBLE) AS false_negative_rate,
+       CAST(a.ae AS DOUBLE) / 10000.0::DOUBLE / CAST(a.n_positive AS DOUBLE) AS positive_mae,
+       round(a.pe * 100.0::DOUBLE, 9) AS percentage_error
+FROM nusers n CROSS JOIN vsize LEFT JOIN (
+  SELECT split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
+         count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
+         count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
+         sum(CASE WHEN abs(t) > 0 THEN abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT)) END) AS ae,
+         avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
+  FROM aligned GROUP BY split) a ON a.split = n.split"""
+
+
+@register("eval_metrics", _EVAL_SQL)
+def q_eval_metrics(spark, sf):
+    from ..operators.evaluate import cell_metrics
+    prep = _prep(spark, sf)
+    return cell_metrics(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)
+
+
+@register("eval_losses", O.baseline_sql("tx", TX_CONFIG, "all") + """
+SELECT n.split, n.n_users,
+       CAST(coalesce(a.l1, 0) AS DOUBLE) / 10000.0::DOUBLE / CAST(n.n_users * vsize.v AS DOUBLE) AS l1,
+       CAST(coalesce(a.l2, 0) AS DOUBLE) / 100000000.0::DOUBLE / CAST(n.n_users * vsize.v AS DOUBLE) AS l2,
+       0.0::DOUBLE AS no_op
+FROM nusers n CROSS JOIN vsize LEFT JOIN (
+  SELECT split, sum(abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT))) AS l1,
+         sum(CAST(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT) AS HUGEINT)
+             * CAST(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT) AS HUGEINT)) AS l2
+  FROM aligned GROUP BY split) a ON a.split = n.split""")
+def q_eval_losses(spark, sf):
+    from ..operators.evaluate import cell_losses
+    prep = _prep(spark, sf)
+    return cell_losses(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)
