@@ -419,3 +419,95 @@ def q_eval_losses(spark, sf):
     from ..operators.evaluate import cell_losses
     prep = _prep(spark, sf)
     return cell_losses(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)
+
+
+# ---------------------------------------------------------------- batching
+_BATCH = TX_CONFIG.batch_size
+_SHARDS = TX_CONFIG.batch_shards
+
+
+def _batch_sql_ctes():
+    seed = TX_CONFIG.splits.seed
+    return f""",
+bh AS (SELECT split, user_id,
+              CAST(CAST(('0x' || substr(md5('{seed}' || ':' || CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % {_SHARDS} AS INTEGER) AS shard,
+              CASE WHEN split = 'train' THEN md5('{seed}' || ':train:' || CAST(user_id AS VARCHAR)) END AS bkey
+       FROM members),
+batches AS (SELECT split, user_id, shard,
+                   CAST((row_number() OVER (PARTITION BY split, shard ORDER BY bkey, user_id) - 1) // {_BATCH} AS INTEGER) AS batch,
+                   CAST((row_number() OVER (PARTITION BY split, shard ORDER BY bkey, user_id) - 1) % {_BATCH} AS INTEGER) AS slot
+            FROM bh),
+lens2 AS (SELECT s.split, s.user_id, b.shard, b.batch, max(s.pos) + 1 AS len FROM seq s
+          JOIN batches b ON s.split = b.split AND s.user_id = b.user_id GROUP BY ALL),
+bmax AS (SELECT *, max(len) OVER (PARTITION BY split, shard, batch) AS mx FROM lens2),
+padded AS (SELECT s.split, b.shard, b.batch, s.user_id, s.pos, s.brand, s.amount, s.date, false AS mask
+           FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id
+           UNION ALL
+           SELECT s.split, b.shard, b.batch, s.user_id, CAST(g.p AS INTEGER) AS pos, s.brand, s.amount, s.date, true AS mask
+           FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id AND s.pos = b.len - 1
+           CROSS JOIN LATERAL (SELECT range AS p FROM range(b.len, b.mx)) g)
+"""
+
+
+def _batches(prep):
+    from ..operators.batching import assign_batches
+    return assign_batches(prep.members, _BATCH, _SHARDS, prep.cfg.splits.seed)
+
+
+def _padded(prep):
+    from ..operators.batching import pad_and_mask
+    return pad_and_mask(prep.sequences(), _batches(prep), ["brand", "amount", "date"])
+
+
+@register("batches", _SEQ_SQL + _batch_sql_ctes() + "SELECT split, user_id, shard, batch, slot FROM batches")
+def q_batches(spark, sf):
+    return _batches(_prep(spark, sf, fit=False))
+
+
+@register("pad_mask", _SEQ_SQL + _batch_sql_ctes() +
+          "SELECT split, shard, batch, user_id, pos, brand, amount, date, mask FROM padded")
+def q_pad_mask(spark, sf):
+    return _padded(_prep(spark, sf))
+
+
+@register("sequences_to_rows", _SEQ_SQL + _batch_sql_ctes() +
+          "SELECT split, user_id, pos, brand, amount, date FROM padded WHERE NOT mask")
+def q_sequences_to_rows(spark, sf):
+    from ..operators.batching import unbatch
+    return unbatch(_padded(_prep(spark, sf)), ["brand", "amount", "date"])
+
+
+@register("recover_features", _SEQ_SQL + _batch_sql_ctes() + """
+SELECT p.split, p.user_id, p.pos, v.value AS brand, (p.amount - mm."offset") / mm.scale AS amount,
+       ee.e + to_days(CAST(p.date AS INTEGER)) AS date
+FROM padded p JOIN vocab v ON v.id = p.brand, mm, ee WHERE NOT p.mask""")
+def q_recover_features(spark, sf):
+    from ..operators.batching import unbatch
+    prep = _prep(spark, sf)
+    rows = unbatch(_padded(prep), ["brand", "amount", "date"])
+    return recover_rows(rows, prep.encoders).select(*_SEQ_COLS)
+
+
+def recover_rows(rows: DataFrame, encoders: dict) -> DataFrame:
+    """Inverse-transform every encoded feature of sequence rows (framing
+    tokens included, as the reference does)."""
+    out = rows
+    for f in ("brand", "amount", "date"):
+        if f in encoders and f in rows.columns:
+            out = encoders[f].inverse(out, f)
+    return out
+
+
+@register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all").replace(
+    "\nnusers AS", "\nnusers AS", 1) + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
+, pu AS (SELECT split, user_id, sum(abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT))) AS l1
+         FROM aligned GROUP BY split, user_id),
+pb AS (SELECT b.split, b.shard, b.batch, coalesce(sum(pu.l1), 0) AS l1, count(*) AS n
+       FROM batches b LEFT JOIN pu ON pu.split = b.split AND pu.user_id = b.user_id GROUP BY ALL)
+SELECT split, count(*) AS n_batches,
+       round(avg(CAST(l1 AS DOUBLE) / 10000.0::DOUBLE / CAST(n * (SELECT v FROM vsize) AS DOUBLE)), 9) AS mean_batch_l1
+FROM pb GROUP BY split""")
+def q_batch_mean_loss(spark, sf):
+    from ..operators.evaluate import batch_mean_loss
+    prep = _prep(spark, sf)
+    return batch_mean_loss(_aligned(prep), _batches(prep), prep.encoders["brand"].size)
