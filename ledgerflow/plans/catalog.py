@@ -511,3 +511,102 @@ def q_batch_mean_loss(spark, sf):
     from ..operators.evaluate import batch_mean_loss
     prep = _prep(spark, sf)
     return batch_mean_loss(_aligned(prep), _batches(prep), prep.encoders["brand"].size)
+
+
+# ---------------------------------------------------------------- store / sinks
+@register("content_fingerprint")
+def q_content_fingerprint(spark, sf):
+    from ..sources.store import content_fingerprint
+    return content_fingerprint(tx_view(spark, sf))
+
+
+@register("cache_roundtrip", _TGT_SQL + "SELECT split, user_id, brand_id, brand_flag, amount, amount_raw, n_rows FROM tcells")
+def q_cache_roundtrip(spark, sf):
+    """Prepared targets through the processed-data cache: the first call
+    builds and stores, later calls with the same config and rows hit."""
+    from ..sources.store import ProcessedCache
+    tx = tx_view(spark, sf)
+    cache = ProcessedCache(spark)
+
+    def build():
+        prep = prepare(tx, TX_CONFIG)
+        return {"targets": prep.targets(), "roles": prep.roles,
+                "vocab": prep.encoders["brand"].vocab}
+
+    tables, _hit, _key = cache.load_or_build(TX_CONFIG.to_json(), tx, build)
+    return tables["targets"].select("split", "user_id", "brand_id", "brand_flag", "amount",
+                                    "amount_raw", "n_rows")
+
+
+@register("predictions", O.baseline_sql("tx", TX_CONFIG, "all") +
+          "SELECT split, user_id, brand_id, p AS predicted, t AS actual FROM aligned")
+def q_predictions(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.store import write_predictions
+    prep = _prep(spark, sf)
+    out = _aligned(prep).select("split", "user_id", "brand_id", F.col("p").alias("predicted"),
+                                F.col("t").alias("actual"))
+    return write_predictions(out, scratch_path(spark, "ledgerflow-predictions", uuid.uuid4().hex)).select(
+        "split", "user_id", "brand_id", "predicted", "actual")
+
+
+# ---------------------------------------------------------------- numeric encodings
+# Supplied periodic-feature weights of the time_features query.
+T2V_W, T2V_B, T2V_W0, T2V_B0 = (0.5, 0.25), (0.2, 0.1), 0.5, 0.1
+N_BINS = 48
+
+
+@register("time_features", _TX_CHAIN + f"""
+, dd AS (SELECT user_id, k, brand, CAST({O.delta('date')} AS DOUBLE) AS tau FROM wcells, ee)
+SELECT user_id, k, brand, 0 AS idx, round(sin(tau * {O.d(T2V_W[0])} + {O.d(T2V_B[0])}), 9) AS value FROM dd
+UNION ALL SELECT user_id, k, brand, 1, round(sin(tau * {O.d(T2V_W[1])} + {O.d(T2V_B[1])}), 9) FROM dd
+UNION ALL SELECT user_id, k, brand, 2, round(tau * {O.d(T2V_W0)} + {O.d(T2V_B0)}, 9) FROM dd""")
+def q_time_features(spark, sf):
+    from ..functions.scaling import time_features
+    prep = _prep(spark, sf)
+    d = prep.encoders["date"].transform(prep.buckets, "date", "tau")
+    tf = time_features(F.col("tau"), T2V_W, T2V_B, T2V_W0, T2V_B0, "sin")
+    return d.select("user_id", "k", "brand", F.posexplode(tf).alias("idx", "value")).select(
+        "user_id", "k", "brand", F.col("idx").cast("int").alias("idx"), F.round("value", 9).alias("value"))
+
+
+def _quantile_sql_ctes():
+    return f"""
+, qn AS (SELECT count(amount) AS n, least({N_BINS}, greatest(2, count(amount) - 1)) AS b FROM fitrows),
+qv AS (SELECT CAST(amount AS DOUBLE) AS x, row_number() OVER (ORDER BY amount) - 1 AS rk FROM fitrows WHERE amount IS NOT NULL),
+qp AS (SELECT i, CAST(i AS DOUBLE) / CAST(b AS DOUBLE) AS q, (n - 1) * (CAST(i AS DOUBLE) / CAST(b AS DOUBLE)) AS h, n
+       FROM qn, range(0, (SELECT b FROM qn) + 1) t(i)),
+qp2 AS (SELECT i, h, CAST(floor(h) AS BIGINT) AS lo, least(CAST(floor(h) AS BIGINT) + 1, n - 1) AS hi,
+               h - floor(h) AS f FROM qp),
+qval AS (SELECT a.x + (b.x - a.x) * qp2.f AS edge FROM qp2 JOIN qv a ON a.rk = qp2.lo JOIN qv b ON b.rk = qp2.hi),
+edges AS (SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS idx, edge FROM (SELECT DISTINCT edge FROM qval)),
+nb AS (SELECT count(*) - 1 AS nb FROM edges)
+"""
+
+
+@register("quantile_bins", _TX_CHAIN + _quantile_sql_ctes() + "SELECT idx, edge FROM edges")
+def q_quantile_bins(spark, sf):
+    from ..operators.quantiles import quantile_bin_edges
+    prep = _prep(spark, sf, fit=False)
+    edges = quantile_bin_edges(prep.fit_rows(), "amount", N_BINS)
+    return spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "idx int, edge double")
+
+
+@register("piecewise_linear", _TX_CHAIN + _quantile_sql_ctes() + """
+, bins AS (SELECT a.idx, a.edge AS lo, b.edge AS hi FROM edges a JOIN edges b ON b.idx = a.idx + 1)
+SELECT f.user_id, f.k, f.brand, bins.idx,
+       CASE WHEN bins.idx < nb.nb - 1 THEN least(r, 1.0::DOUBLE) ELSE r END AS value
+FROM (SELECT f.*, bins.idx AS bidx, CASE WHEN bins.idx > 0 THEN greatest((f.amount - bins.lo) / (bins.hi - bins.lo), 0.0::DOUBLE)
+             ELSE (f.amount - bins.lo) / (bins.hi - bins.lo) END AS r
+      FROM fitrows f CROSS JOIN bins) f
+JOIN bins ON bins.idx = f.bidx, nb""")
+def q_piecewise_linear(spark, sf):
+    from ..functions.scaling import piecewise_linear
+    from ..operators.quantiles import quantile_bin_edges
+    prep = _prep(spark, sf, fit=False)
+    rows = prep.fit_rows()
+    edges = quantile_bin_edges(rows, "amount", N_BINS)
+    ple = piecewise_linear(F.col("amount"), F.array(*[F.lit(float(e)) for e in edges]))
+    return rows.select("user_id", "k", "brand", F.posexplode(ple).alias("idx", "value")).select(
+        "user_id", "k", "brand", F.col("idx").cast("int").alias("idx"), "value")
