@@ -610,3 +610,137 @@ def q_piecewise_linear(spark, sf):
     ple = piecewise_linear(F.col("amount"), F.array(*[F.lit(float(e)) for e in edges]))
     return rows.select("user_id", "k", "brand", F.posexplode(ple).alias("idx", "value")).select(
         "user_id", "k", "brand", F.col("idx").cast("int").alias("idx"), "value")
+
+
+# ---------------------------------------------------------------- sweep
+# The registered search space, trial count and seed.
+SWEEP_SPACE = {
+    "data": {
+        "top_n": {"type": "int", "min": 5, "max": 25},
+        "lookback": {"type": "int", "min": 3, "max": 40},
+        "denominator": {"type": "categorical", "options": ["all", "active"]},
+    },
+}
+TRIAL_SPACE = {
+    **SWEEP_SPACE,
+    "train": {"learning_rate": {"type": "loguniform", "min": 1e-5, "max": 1e-2}},
+    "model": {"dropout": {"type": "float", "min": 0.0, "max": 0.5}},
+}
+N_TRIALS, SWEEP_SEED = 16, 42
+
+
+def _u_sql(name):
+    return (f"(CAST(CAST(('0x' || substr(md5('{SWEEP_SEED}' || ':' || CAST(r.t AS VARCHAR) || ':' || '{name}'), 1, 13)) "
+            f"AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE)")
+
+
+def _trials_sql(space) -> str:
+    from ..operators.sweep import flatten_space
+    cols = []
+    for p in flatten_space(space):
+        u = _u_sql(p.name)
+        if p.kind == "int":
+            e = f"CAST({int(p.min)} + floor({u} * {O.d(int(p.max) - int(p.min) + 1)}) AS BIGINT)"
+        elif p.kind == "float":
+            e = f"{O.d(p.min)} + {u} * ({O.d(float(p.max) - float(p.min))})"
+        elif p.kind == "loguniform":
+            e = f"round(exp(ln({O.d(p.min)}) + {u} * (ln({O.d(p.max)}) - ln({O.d(p.min)}))), 12)"
+        else:
+            arr = "[" + ", ".join(f"'{o}'" for o in p.options) + "]"
+            e = f"{arr}[CAST(floor({u} * {O.d(len(p.options))}) AS INTEGER) + 1]"
+        cols.append(f"{e} AS {p.column}")
+    return f"SELECT CAST(r.t AS BIGINT) AS trial, {', '.join(cols)} FROM range({N_TRIALS}) r(t)"
+
+
+@register("trial_table", "WITH x AS (SELECT 1) " + _trials_sql(TRIAL_SPACE))
+def q_trial_table(spark, sf):
+    from ..operators.sweep import trial_table
+    # the trial count is a parameter; the table grows with it, not with data
+    return trial_table(spark, TRIAL_SPACE, N_TRIALS, SWEEP_SEED)
+
+
+def _sweep_sql() -> str:
+    W = 28 * 86_400_000_000
+    c = TX_CONFIG.cutoffs
+    kl = []
+    for s in ("train", "val", "test"):
+        e = O.ts(dt.datetime.fromisoformat(c.target_start(s)) - dt.timedelta(microseconds=1))
+        kl.append(f"SELECT '{s}' AS split, least({O.bucket_idx(e, W)}, spec.m) AS k_last FROM spec")
+    return O.targets_sql("tx", TX_CONFIG) + f""",
+nall2 AS (SELECT * FROM nall),
+trials AS ({_trials_sql(SWEEP_SPACE)}),
+brank AS (SELECT brand, row_number() OVER (ORDER BY cnt DESC, fu, fk, brand) AS brank FROM bstats),
+nbr AS (SELECT count(*) AS nbr FROM bstats),
+kl AS ({' UNION ALL '.join(kl)}),
+sin AS (SELECT i.split, i.user_id, i.k, i.brand, i.amount, kl.k_last - i.k + 1 AS back, br.brank
+        FROM inrows i JOIN kl ON kl.split = i.split LEFT JOIN brank br ON br.brand = i.brand),
+sp AS (SELECT t.trial, s.split, s.user_id, CASE WHEN s.brank <= t.data_top_n THEN s.brand ELSE '<UNK>' END AS slot,
+              sum({O.fxv('s.amount')}) AS s, count(DISTINCT s.k) AS active,
+              first(t.data_lookback) AS lookback, first(t.data_denominator) AS denominator
+       FROM sin s JOIN trials t ON s.back <= t.data_lookback GROUP BY ALL),
+spred AS (SELECT sp.trial, sp.split, sp.user_id, sp.slot,
+                 CAST(CAST(round(CAST(sp.s AS DOUBLE) / CAST(CASE WHEN sp.denominator = 'all'
+                      THEN least(sp.lookback, nall2.n_all) ELSE sp.active END AS DOUBLE)) AS BIGINT) AS DOUBLE) / {O.FX} AS p
+          FROM sp JOIN nall2 ON nall2.split = sp.split),
+sact AS (SELECT t.trial, r.split, r.user_id, CASE WHEN br.brank <= t.data_top_n THEN r.brand ELSE '<UNK>' END AS slot,
+                CAST(sum({O.fxv('r.amount')}) AS DOUBLE) / {O.FX} AS t
+         FROM trows r LEFT JOIN brank br ON br.brand = r.brand CROSS JOIN trials t GROUP BY ALL),
+sal AS (SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.split, b.split) AS split,
+               coalesce(a.p, 0.0::DOUBLE) AS p, coalesce(b.t, 0.0::DOUBLE) AS t
+        FROM spred a FULL OUTER JOIN sact b ON a.trial = b.trial AND a.split = b.split
+             AND a.user_id = b.user_id AND a.slot = b.slot),
+scells AS (SELECT t.trial, n.split, n.n_users, 3 + least(t.data_top_n, nbr.nbr) AS vocab_size
+           FROM trials t CROSS JOIN nusers n CROSS JOIN nbr),
+sm AS (
+SELECT c.trial, c.split, c.n_users, c.n_users * c.vocab_size AS n_cells, coalesce(a.n_positive, 0) AS n_positive,
+       CAST(coalesce(a.fp, 0) AS DOUBLE) / CAST(c.n_users * c.vocab_size - coalesce(a.n_positive, 0) AS DOUBLE) AS false_positive_rate,
+       CAST(coalesce(a.fn, 0) AS DOUBLE) / CAST(coalesce(a.n_positive, 0) AS DOUBLE) AS false_negative_rate,
+       CAST(a.ae AS DOUBLE) / 10000.0::DOUBLE / CAST(a.n_positive AS DOUBLE) AS positive_mae,
+       round(a.pe * 100.0::DOUBLE, 9) AS percentage_error
+FROM scells c LEFT JOIN (
+  SELECT trial, split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
+         count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
+         count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
+         sum(CASE WHEN abs(t) > 0 THEN abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT)) END) AS ae,
+         avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
+  FROM sal GROUP BY trial, split) a ON a.trial = c.trial AND a.split = c.split)
+"""
+
+
+def _sweep(spark, sf):
+    from ..operators.sweep import sweep_metrics, trial_table
+    prep = _prep(spark, sf, fit=False)
+    trials = trial_table(spark, SWEEP_SPACE, N_TRIALS, SWEEP_SEED)
+    return sweep_metrics(prep, trials), trials
+
+
+_SWEEP_COLS = ["trial", "split", "n_users", "n_cells", "n_positive", "false_positive_rate",
+               "false_negative_rate", "positive_mae", "percentage_error"]
+
+
+@register("sweep_metrics", _sweep_sql() + "SELECT * FROM sm")
+def q_sweep_metrics(spark, sf):
+    return _sweep(spark, sf)[0].select(*_SWEEP_COLS)
+
+
+@register("best_trial", _sweep_sql() + """
+SELECT b.trial, b.value, t.data_top_n, t.data_lookback, t.data_denominator
+FROM (SELECT trial, positive_mae AS value FROM sm WHERE split = 'val' AND positive_mae IS NOT NULL
+      ORDER BY positive_mae, trial LIMIT 1) b JOIN trials t ON t.trial = b.trial""")
+def q_best_trial(spark, sf):
+    from ..operators.sweep import best_trial
+    m, trials = _sweep(spark, sf)
+    return best_trial(m, trials).select("trial", "value", "data_top_n", "data_lookback", "data_denominator")
+
+
+@register("trial_log", _sweep_sql() + " " + " UNION ALL ".join(
+    f"SELECT 'sweep' AS run, trial, split, CAST(0 AS BIGINT) AS step, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM sm"
+    for m in _SWEEP_COLS[2:]))
+def q_trial_log(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.store import TrialLog, melt_metrics
+    m, _ = _sweep(spark, sf)
+    log = TrialLog(spark, scratch_path(spark, "ledgerflow-trials", uuid.uuid4().hex))
+    log.append(melt_metrics(m.select(*_SWEEP_COLS), "sweep"))
+    return log.read("sweep").select(*TrialLog.COLS)
