@@ -744,3 +744,23 @@ def q_trial_log(spark, sf):
     log = TrialLog(spark, scratch_path(spark, "ledgerflow-trials", uuid.uuid4().hex))
     log.append(melt_metrics(m.select(*_SWEEP_COLS), "sweep"))
     return log.read("sweep").select(*TrialLog.COLS)
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_bucket", O.chain("ev", EV_CONFIG, interval=EV_BUCKET_INTERVAL) + _CELLS)
+def q_stream_bucket(spark, sf):
+    """ev_bucket computed by Structured Streaming over the events file with
+    the batch origin fixed.  ``complete`` output mode emits the final state
+    of a bounded input; a live stream uses ``append`` with the watermark."""
+    import os
+    from ..sources.views import normalize
+    from ..streaming.buckets import run_to_table, stream_bucket_aggregate
+    ev = ev_view(spark, sf)
+    spec = fit_buckets(ev, EV_BUCKET_INTERVAL)
+    path = os.path.join(sf, "events.parquet")
+    # a file stream watches a directory; the glob filter picks the events file
+    raw = (spark.readStream.schema(spark.read.parquet(path).schema)
+           .option("pathGlobFilter", "events.parquet").parquet(sf))
+    stream = normalize(raw, date="ts", brand="event_type", amount="value")
+    agg = stream_bucket_aggregate(stream, spec.origin, EV_BUCKET_INTERVAL, "3650 days", spec.n_buckets)
+    return run_to_table(spark, agg, "complete")
