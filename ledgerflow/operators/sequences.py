@@ -118,7 +118,7 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
     interval adjustment.  Rows of non-members are ignored; unknown brands
     accumulate in the ``<UNK>`` slot.
     """
-    r = rows.join(members, ["split", "user_id"], "left_semi")
+    r = rows  # rows of split members only (Prepared.target_rows)
     grouped = amount_enc is not None and getattr(amount_enc, "group_by", None)
     if grouped:
         # one scaler per raw group value: scale per (user, brand) first, then

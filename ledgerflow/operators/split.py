@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Splits
@@ -68,7 +68,68 @@ def user_split(users: DataFrame, splits: Splits, n_users: int | None = None) ->
 def split_membership(roles: DataFrame) -> DataFrame:
     """``(user_id, split)``: val = val-only + overlap, test = test-only +
     overlap, train = train + overlap (a narrow explode, no shuffle)."""
-    splits = (F.when(F.col("role") == "train_overlap", F.array(F.lit("train"), F.lit("val"), F.lit("test")))
-              .when(F.col("role") == "train", F.array(F.lit("train")))
-              .otherwise(F.array(F.col("role"))))
-    return roles.select("user_id", F.explode(splits).alias("split"))
+    return roles.select("user_id", F.explode(splits_of(F.col("role"))).alias("split"))
+
+
+def _hash_cols(users: DataFrame, seed: int, key: str = "user_id") -> DataFrame:
+    h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
+    return users.select(key).withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 4))
+
+
+def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None) -> dict:
+    """Hash keys ``(md5, user_id)`` of the users at the three cut ranks.
+
+    With them a user's role is a pure function of its own key, so rows are
+    assigned to splits by an expression instead of a join with the member
+    table.  Work: one histogram of hash prefixes (at most 16^4 rows reach the
+    driver) and one small window inside the (at most three) prefixes that
+    hold a cut rank.
+    """
+    n = users.count() if n_users is None else n_users
+    q = split_quotas(n, splits)
+    ranks = {"test": q["test"], "val": q["test"] + q["val"],
+             "train_overlap": q["test"] + q["val"] + q["overlap"]}
+    u = _hash_cols(users, splits.seed)
+    hist = sorted((r["_p"], r["c"]) for r in u.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect())
+    where, off = {}, 0
+    for p, c in hist:
+        for role, r in ranks.items():
+            if off < r <= off + c:
+                where[role] = (p, r - off)
+        off += c
+    cuts = {role: None for role in ranks}
+    if where:
+        prefixes = sorted({p for p, _ in where.values()})
+        w = Window.partitionBy("_p").orderBy("_h", "user_id")
+        sub = u.where(F.col("_p").isin(prefixes)).withColumn("_rn", F.row_number().over(w))
+        wanted = [(p, l) for p, l in where.values()]
+        cond = None
+        for p, l in wanted:
+            c = (F.col("_p") == p) & (F.col("_rn") == l)
+            cond = c if cond is None else cond | c
+        found = {(r["_p"], r["_rn"]): (r["_h"], r["user_id"]) for r in sub.where(cond).collect()}
+        for role, pl in where.items():
+            cuts[role] = found[pl]
+    return {"quotas": q, "cuts": cuts, "seed": splits.seed}
+
+
+def role_expr(cuts: dict, key: str = "user_id") -> Column:
+    """Role of a user from its hash key and the cut keys (no join)."""
+    h = F.md5(F.concat(F.lit(str(cuts["seed"])), F.lit(":"), F.col(key).cast("string")))
+
+    def le(cut):
+        if cut is None:
+            return F.lit(False)
+        ch, cu = cut
+        return (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(key) <= F.lit(cu)))
+
+    c = cuts["cuts"]
+    return (F.when(le(c["test"]), "test").when(le(c["val"]), "val")
+            .when(le(c["train_overlap"]), "train_overlap").otherwise("train"))
+
+
+def splits_of(role: Column) -> Column:
+    """Array of the splits a role belongs to."""
+    return (F.when(role == "train_overlap", F.array(F.lit("train"), F.lit("val"), F.lit("test")))
+            .when(role == "train", F.array(F.lit("train")))
+            .otherwise(F.array(role)))

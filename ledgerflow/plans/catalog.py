@@ -228,11 +228,11 @@ def q_id_to_brand(spark, sf):
 # ---------------------------------------------------------------- scalers / time
 @register("minmax_fit", _TX_CHAIN + 'SELECT lo, hi, scale, "offset" FROM mm')
 def q_minmax_fit(spark, sf):
-    prep = _prep(spark, sf)
-    a = prep.encoders["amount"]
-    scale, offset = a.params
-    return spark.range(1).select(F.lit(a.lo).alias("lo"), F.lit(a.hi).alias("hi"),
-                                 F.lit(scale).alias("scale"), F.lit(offset).alias("offset"))
+    from ..functions.scaling import minmax_param_cols
+    rows = _prep(spark, sf, fit=False).fit_rows()
+    agg = rows.agg(F.min("amount").cast("double").alias("lo"), F.max("amount").cast("double").alias("hi"))
+    scale, offset = minmax_param_cols(F.col("lo"), F.col("hi"), TX_CONFIG.feature_range)
+    return agg.select("lo", "hi", scale.alias("scale"), offset.alias("offset"))
 
 
 @register("minmax_scale", _TX_CHAIN +
@@ -652,11 +652,22 @@ def _trials_sql(space) -> str:
     return f"SELECT CAST(r.t AS BIGINT) AS trial, {', '.join(cols)} FROM range({N_TRIALS}) r(t)"
 
 
-@register("trial_table", "WITH x AS (SELECT 1) " + _trials_sql(TRIAL_SPACE))
+@register("trial_table", _TX_CHAIN + ", tt AS (" + _trials_sql(TRIAL_SPACE) + """)
+SELECT tt.*, 3 + least(tt.data_top_n, (SELECT count(*) FROM bstats)) AS vocab_size,
+       least(tt.data_lookback, (SELECT n_all FROM nall WHERE split = 'train')) AS train_intervals FROM tt""")
 def q_trial_table(spark, sf):
+    """Trials with what they mean on the data: the vocabulary size a trial's
+    ``top_n`` yields on the train input window, and the intervals its
+    lookback covers there."""
     from ..operators.sweep import trial_table
-    # the trial count is a parameter; the table grows with it, not with data
-    return trial_table(spark, TRIAL_SPACE, N_TRIALS, SWEEP_SEED)
+    prep = _prep(spark, sf, fit=False)
+    n_brands = prep.fit_rows().agg(F.countDistinct("brand").alias("n_brands"))
+    n_train = prep.spec.count_in_window(TX_CONFIG.cutoffs.in_start, TX_CONFIG.cutoffs.train)
+    trials = trial_table(spark, TRIAL_SPACE, N_TRIALS, SWEEP_SEED)
+    return trials.crossJoin(n_brands).select(  # one-row aggregate
+        *trials.columns,
+        (F.lit(3) + F.least(F.col("data_top_n"), F.col("n_brands"))).alias("vocab_size"),
+        F.least(F.col("data_lookback"), F.lit(n_train).cast("bigint")).alias("train_intervals"))
 
 
 def _sweep_sql() -> str:

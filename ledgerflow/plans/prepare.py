@@ -21,7 +21,8 @@ from ..functions.timecols import ts_lit
 from ..operators.buckets import BucketSpec, bucket_aggregate, fit_buckets
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder
 from ..operators.sequences import sequence_rows, target_cells
-from ..operators.split import distinct_users, split_membership, user_split
+from ..operators.split import (distinct_users, role_expr, split_cuts, split_membership,
+                               splits_of)
 
 SPLITS = ("train", "val", "test")
 
@@ -48,6 +49,7 @@ class Prepared:
     members: DataFrame
     encoders: dict = field(default_factory=dict)
     n_users: int = 0
+    cuts: dict | None = None
 
     # windows -------------------------------------------------------------
     def input_start(self) -> dict:
@@ -60,8 +62,14 @@ class Prepared:
         w = dt.timedelta(microseconds=self.spec.width_us)
         return {s: v + w for s, v in self.target_start().items()}
 
+    def role(self) -> Column:
+        return role_expr(self.cuts)
+
     def _rows_in(self, starts: dict, ends: dict) -> DataFrame:
-        j = self.buckets.join(self.members, "user_id")
+        """Bucket rows tagged with each split their user belongs to.  The
+        role is an expression of the user id (see ``split_cuts``), so the
+        bucket table is not joined with -- nor shuffled for -- the members."""
+        j = self.buckets.withColumn("split", F.explode(splits_of(self.role())))
         return j.where((F.col("date") >= split_case(starts)) & (F.col("date") < split_case(ends)))
 
     def input_rows(self) -> DataFrame:
@@ -74,8 +82,7 @@ class Prepared:
 
     def fit_rows(self) -> DataFrame:
         c = self.cfg.cutoffs
-        train = self.members.where(F.col("split") == "train").select("user_id")
-        b = self.buckets.join(train, "user_id")
+        b = self.buckets.where(self.role().isin("train", "train_overlap"))
         return b.where((F.col("date") >= ts_lit(_dt(c.in_start))) & (F.col("date") < ts_lit(_dt(c.train))))
 
     # products --------------------------------------------------------------
@@ -90,7 +97,6 @@ class Prepared:
 
     def unpersist(self):
         self.buckets.unpersist()
-        self.roles.unpersist()
 
 
 def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSpec | None = None,
@@ -102,13 +108,12 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     users = distinct_users(tx)
     if persist:
         users = users.persist(StorageLevel.MEMORY_AND_DISK)
-    n = users.count()
-    roles = user_split(users, cfg.splits, n_users=n)
-    if persist:
         buckets = buckets.persist(StorageLevel.MEMORY_AND_DISK)
-        roles = roles.persist(StorageLevel.MEMORY_AND_DISK)
+    n = users.count()
+    cuts = split_cuts(users, cfg.splits, n_users=n)
+    roles = users.withColumn("role", role_expr(cuts))
     members = split_membership(roles)
-    prep = Prepared(cfg, spec, buckets, roles, members, {}, n)
+    prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts)
     if fit:
         fit_encoders(prep)
     return prep
