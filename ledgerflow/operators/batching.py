@@ -62,5 +62,11 @@ def collate_arrays(padded: DataFrame, features) -> DataFrame:
     g = padded.groupBy("split", "shard", "batch", "user_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", *features, "mask"))).alias("_e"))
     return g.select("split", "shard", "batch", "user_id",
-                    *[F.transform("_e", lambda x, f=f: x[f]).alias(f) for f in features],
+                    *[F.transform("_e", _field(f)).alias(f) for f in features],
                     F.transform("_e", lambda x: x["mask"]).alias("mask"))
+
+
+def _field(name: str):
+    """Element getter for ``transform`` (a two-argument lambda would be read
+    as (element, index))."""
+    return lambda x: x[name]

@@ -100,7 +100,7 @@ def collect_sequences(seq: DataFrame, features, max_len: int | None = None) -> D
         F.sort_array(F.collect_list(F.struct("pos", *features))).alias("_e"))
     cols = []
     for f in features:
-        a = F.transform("_e", lambda x, f=f: x[f])
+        a = F.transform("_e", _field(f))
         if max_len:
             a = F.slice(a, -max_len, max_len)
         cols.append(a.alias(f))
@@ -175,3 +175,9 @@ def recover_target(cells: DataFrame, amount_enc) -> DataFrame:
     return cells.select(
         "*", ((F.col("amount") - off) / sc).alias("amount_inverse"),
         ((F.col("amount") - F.col("n_rows").cast("double") * off) / sc).alias("amount_exact"))
+
+
+def _field(name: str):
+    """Element getter for ``transform`` (a two-argument lambda would be read
+    as (element, index))."""
+    return lambda x: x[name]

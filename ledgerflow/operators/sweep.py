@@ -170,3 +170,26 @@ def best_trial(metrics: DataFrame, trials: DataFrame, split: str = "val",
     best = m.agg(F.min_by(F.struct("trial", F.col(metric).alias("value")),
                           F.struct(F.col(metric), F.col("trial"))).alias("b")).select("b.*")
     return best.join(trials, "trial")
+
+
+def resume_sweep(prep, space, n_trials: int, log, run: str, seed: int = 42,
+                 split: str = "val", metric: str = "positive_mae") -> DataFrame:
+    """Continue a logged sweep: evaluate only trials missing from the log
+    (anti join), append them, and return the best trial over all logged ones.
+
+    Trials are deterministic in (seed, trial), so trial ``i`` of a resumed
+    run has the same parameters as in the first run."""
+    from ..sources.store import melt_metrics
+    spark = prep.buckets.sparkSession
+    trials = trial_table(spark, space, n_trials, seed)
+    done = log.read(run).select("trial").distinct()
+    todo = trials.join(done, "trial", "left_anti").persist()
+    ids = sorted(r.trial for r in todo.select("trial").collect())  # <= n_trials ids
+    if ids:
+        m = sweep_metrics(prep, todo)
+        log.append(melt_metrics(m, run, metric_cols=[c for c in m.columns if c not in ("trial", "split")]),
+                   chunk=f"{ids[0]}-{ids[-1]}-{len(ids)}")
+    todo.unpersist()
+    logged = log.read(run).where((F.col("split") == split) & (F.col("metric") == metric))
+    wide = logged.select("trial", F.col("value").alias(metric), F.lit(split).alias("split"))
+    return best_trial(wide, trials, split, metric)

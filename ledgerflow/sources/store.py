@@ -106,8 +106,9 @@ def write_predictions(df: DataFrame, path: str) -> DataFrame:
 class TrialLog:
     """Append-only metric log ``(run, trial, split, step, metric, value)``.
 
-    Partitioned by run; re-writing a run replaces only that run's partition
-    (dynamic partition overwrite), so a retried job does not duplicate rows.
+    Partitioned by run and chunk; each append writes one chunk with dynamic
+    partition overwrite, so a retried append of the same chunk replaces it
+    instead of duplicating rows, and other chunks of the run stay.
     """
     COLS = ["run", "trial", "split", "step", "metric", "value"]
 
@@ -115,17 +116,18 @@ class TrialLog:
         self.spark = spark
         self.path = path or scratch_path(spark, "ledgerflow-trials")
 
-    def append(self, df: DataFrame) -> None:
-        (df.select(*self.COLS).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic")
-           .partitionBy("run").parquet(self.path))
+    def append(self, df: DataFrame, chunk: str = "0") -> None:
+        (df.select(*self.COLS).withColumn("chunk", F.lit(str(chunk)))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("run", "chunk").parquet(self.path))
 
     def read(self, run: str | None = None) -> DataFrame:
         if not _exists(self.spark, self.path):
             return self.spark.createDataFrame(
-                [], "trial bigint, split string, step bigint, metric string, value double, run string")
+                [], "run string, trial bigint, split string, step bigint, metric string, value double")
         df = self.spark.read.parquet(self.path)
-        return df if run is None else df.where(F.col("run") == run)
+        df = df if run is None else df.where(F.col("run") == run)
+        return df.select(*self.COLS)
 
 
 def melt_metrics(metrics: DataFrame, run: str, id_cols=("trial", "split"), step: int = 0,
