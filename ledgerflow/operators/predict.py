@@ -34,3 +34,16 @@ def average_spend(rows: DataFrame, brand_enc, n_intervals, denominator: str = "a
     denom = n_intervals if denominator == "all" else F.col("_active")
     return g.select("split", "user_id", F.col("brand_id").cast("int").alias("brand_id"),
                     unfx(_round_fx(F.col("_s"), denom)).alias("predicted"))
+
+
+def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):
+    """Wrap a user scorer written in pandas as a predictor.
+
+    ``fn(pdf)`` receives one user's encoded input rows (one split) and
+    returns that user's predictions.  It runs through ``applyInPandas``
+    grouped by (split, user): Arrow batches, one user per call.  A user's
+    rows are bounded by buckets x brands after aggregation; scorers needing
+    more context should stay in DataFrame expressions."""
+    def predictor(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("split", "user_id").applyInPandas(fn, schema)
+    return predictor

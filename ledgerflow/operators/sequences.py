@@ -36,34 +36,40 @@ def _encode(rows: DataFrame, encoders: dict, features) -> DataFrame:
     return out
 
 
+# Sequences up to this many elements are numbered by one window per user;
+# longer ones are numbered per (user, bucket) so no task holds a whole user.
+SINGLE_TASK_MAX = 2_000_000
+
+
 @SEQUENCE_BUILDERS.register("continuous_time")
 def sequence_rows(rows: DataFrame, members: DataFrame, encoders: dict, features,
-                  start_of: Column, end_of: Column | dict) -> DataFrame:
+                  start_of: Column, end_of: Column | dict,
+                  single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Long-form sequences.
 
     ``rows``: ``(split, user_id, k, brand, amount, date)`` inside each split's
     input window.  ``members``: ``(split, user_id)``; every member gets a
     sequence, ``[SOS, EOS]`` when it has no rows.  ``start_of`` / ``end_of``
     map a split to its window bounds (python values per split).
+
+    The per-user lengths (needed for the end token anyway) are aggregated
+    first and their maximum checked: when every user fits ``single_task_max``
+    a single window per (split, user) numbers the elements; otherwise
+    positions are built from per-(user, bucket) counts and ranks, which
+    spreads a hot user over its buckets.
     """
     features = list(features)
     keyed = rows.withColumn("_bk", F.col("brand"))
     enc = _encode(keyed, encoders, features)
 
-    # running offsets per (split, user, bucket)
-    per_k = rows.groupBy("split", "user_id", "k").agg(F.count(F.lit(1)).alias("_c"))
-    w_user = Window.partitionBy("split", "user_id").orderBy("k")
-    offsets = per_k.select(
-        "split", "user_id", "k",
-        (F.coalesce(F.sum("_c").over(w_user.rowsBetween(Window.unboundedPreceding, -1)),
-                    F.lit(0)) + F.lit(1)).alias("_off"))
-    w_k = Window.partitionBy("split", "user_id", "k").orderBy("_bk")
-    body = (enc.withColumn("_r", F.row_number().over(w_k))
-               .join(offsets, ["split", "user_id", "k"])
-               .select("split", "user_id", (F.col("_off") + F.col("_r") - 1).cast("int").alias("pos"),
-                       *features))
-
     lengths = rows.groupBy("split", "user_id").agg(F.count(F.lit(1)).alias("_n"))
+    longest = lengths.agg(F.max("_n")).first()[0] or 0
+    if longest <= single_task_max:
+        w = Window.partitionBy("split", "user_id").orderBy("k", "_bk")
+        body = enc.select("split", "user_id", F.row_number().over(w).cast("int").alias("pos"), *features)
+    else:
+        body = _two_level_positions(rows, enc, features)
+
     m = members.join(lengths, ["split", "user_id"], "left").fillna(0, ["_n"])
 
     def tokens(kind: str):
@@ -82,6 +88,23 @@ def sequence_rows(rows: DataFrame, members: DataFrame, encoders: dict, features,
     return sos.unionByName(body).unionByName(eos)
 
 
+def _two_level_positions(rows: DataFrame, enc: DataFrame, features) -> DataFrame:
+    """pos = 1 + (elements of the user in earlier buckets) + rank by brand
+    inside the bucket.  The first term comes from a window over per-(user,
+    bucket) counts -- at most one row per bucket of the time range."""
+    per_k = rows.groupBy("split", "user_id", "k").agg(F.count(F.lit(1)).alias("_c"))
+    w_user = Window.partitionBy("split", "user_id").orderBy("k")
+    offsets = per_k.select(
+        "split", "user_id", "k",
+        (F.coalesce(F.sum("_c").over(w_user.rowsBetween(Window.unboundedPreceding, -1)),
+                    F.lit(0)) + F.lit(1)).alias("_off"))
+    w_k = Window.partitionBy("split", "user_id", "k").orderBy("_bk")
+    return (enc.withColumn("_r", F.row_number().over(w_k))
+               .join(offsets, ["split", "user_id", "k"])
+               .select("split", "user_id", (F.col("_off") + F.col("_r") - 1).cast("int").alias("pos"),
+                       *features))
+
+
 def _per_split(fn, splits) -> Column:
     expr = None
     for s in splits:
@@ -181,3 +204,21 @@ def _field(name: str):
     """Element getter for ``transform`` (a two-argument lambda would be read
     as (element, index))."""
     return lambda x: x[name]
+
+
+@SEQUENCE_BUILDERS.register("multi_hot_brand_only")
+def multi_hot_brand_only(rows, members, brand_enc, amount_enc=None, ratio: float = 1.0) -> DataFrame:
+    return target_cells(rows, members, brand_enc, amount_enc, ratio).select(
+        "split", "user_id", "brand_id", "brand_flag")
+
+
+@SEQUENCE_BUILDERS.register("multi_hot_brand_amount")
+def multi_hot_brand_amount(rows, members, brand_enc, amount_enc=None, ratio: float = 1.0) -> DataFrame:
+    return target_cells(rows, members, brand_enc, amount_enc, ratio).select(
+        "split", "user_id", "brand_id", "amount", "amount_raw", "n_rows")
+
+
+@SEQUENCE_BUILDERS.register("multi_hot_separate")
+def multi_hot_separate(rows, members, brand_enc, amount_enc=None, ratio: float = 1.0) -> DataFrame:
+    return target_cells(rows, members, brand_enc, amount_enc, ratio).select(
+        "split", "user_id", "brand_id", "brand_flag", "amount", "amount_raw", "n_rows")

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..config import DataConfig
 from ..functions.timecols import ts_lit
+from ..session import checkpoint_dir
 from ..operators.buckets import BucketSpec, bucket_aggregate, fit_buckets
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder
-from ..operators.sequences import sequence_rows, target_cells
+from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
 from ..operators.split import (distinct_users, role_expr, split_cuts, split_membership,
                                splits_of)
 
@@ -63,13 +64,13 @@ class Prepared:
         return {s: v + w for s, v in self.target_start().items()}
 
     def role(self) -> Column:
-        return role_expr(self.cuts)
+        return F.col("role") if "role" in self.buckets.columns else role_expr(self.cuts)
 
     def _rows_in(self, starts: dict, ends: dict) -> DataFrame:
         """Bucket rows tagged with each split their user belongs to.  The
         role is an expression of the user id (see ``split_cuts``), so the
         bucket table is not joined with -- nor shuffled for -- the members."""
-        j = self.buckets.withColumn("split", F.explode(splits_of(self.role())))
+        j = self.buckets.withColumn("split", F.explode(splits_of(self.role()))).drop("role")
         return j.where((F.col("date") >= split_case(starts)) & (F.col("date") < split_case(ends)))
 
     def input_rows(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Prepared:
 
     def fit_rows(self) -> DataFrame:
         c = self.cfg.cutoffs
-        b = self.buckets.where(self.role().isin("train", "train_overlap"))
+        b = self.buckets.where(self.role().isin("train", "train_overlap")).drop("role")
         return b.where((F.col("date") >= ts_lit(_dt(c.in_start))) & (F.col("date") < ts_lit(_dt(c.train))))
 
     # products --------------------------------------------------------------
@@ -91,7 +92,12 @@ class Prepared:
         return sequence_rows(self.input_rows(), self.members, self.encoders, feats,
                              self.input_start(), self.target_start())
 
-    def targets(self, ratio: float = 1.0) -> DataFrame:
+    def targets(self, ratio: float = 1.0, kind: str | None = None) -> DataFrame:
+        """Sparse target cells; ``kind`` picks a registered multi-hot builder
+        (default: all columns)."""
+        if kind is not None:
+            return SEQUENCE_BUILDERS.get(kind)(self.target_rows(), self.members, self.encoders["brand"],
+                                               self.encoders.get("amount"), ratio)
         return target_cells(self.target_rows(), self.members, self.encoders["brand"],
                             self.encoders.get("amount"), ratio)
 
@@ -99,19 +105,44 @@ class Prepared:
         self.buckets.unpersist()
 
 
+def _materialize(df: DataFrame, how: str) -> DataFrame:
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)  # reliable copy in the shared folder
+    return df
+
+
 def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSpec | None = None,
-            fit: bool = True) -> Prepared:
-    spec = spec or fit_buckets(tx, cfg.interval)
+            fit: bool = True, materialize: str | None = None) -> Prepared:
+    """Bucket, split and (optionally) fit.  Two scans of the source: a
+    per-user summary (bucket bounds and the user list in one pass) and the
+    bucket aggregate, pruned to the windows the splits use.
+
+    ``materialize``: ``'persist'`` (default when ``persist``) caches the
+    bucket table -- lost blocks are recomputed from a short lineage;
+    ``'checkpoint'`` writes it to ``spark.checkpoint.dir`` and cuts the
+    lineage (long sweeps on clusters that lose executors); ``'none'``."""
+    how = materialize or ("persist" if persist else "none")
+    summary = tx.groupBy("user_id").agg(
+        F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.count(F.when(F.col("brand").isNotNull() & F.col("date").isNotNull(), 1)).alias("n"))
+    if how != "none":
+        summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
+    if spec is None:
+        b = summary.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        spec = fit_buckets(tx, cfg.interval, origin=b["lo"], end=b["hi"]) if b["lo"] is not None \
+            else fit_buckets(tx, cfg.interval)
     c = cfg.cutoffs
     last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
-    buckets = bucket_aggregate(tx, spec, window=(_dt(c.in_start), last_end))
-    users = distinct_users(tx)
-    if persist:
-        users = users.persist(StorageLevel.MEMORY_AND_DISK)
-        buckets = buckets.persist(StorageLevel.MEMORY_AND_DISK)
+    users = summary.where(F.col("user_id").isNotNull() & (F.col("n") > 0)).select("user_id")
     n = users.count()
     cuts = split_cuts(users, cfg.splits, n_users=n)
     roles = users.withColumn("role", role_expr(cuts))
+    # the role travels with each bucket row: computed once, before caching
+    buckets = bucket_aggregate(tx, spec, window=(_dt(c.in_start), last_end)).withColumn("role", role_expr(cuts))
+    buckets = _materialize(buckets, how)
     members = split_membership(roles)
     prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts)
     if fit:
@@ -120,16 +151,25 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
 
 
 def fit_encoders(prep: Prepared) -> Prepared:
+    """Fit brand vocabulary, amount scaler and time-delta encoder with ONE
+    aggregate over the train input window: per brand the row count, first
+    appearance, amount min / max and earliest date.  The global parameters
+    are reduced from that small table."""
     cfg = prep.cfg
     rows = prep.fit_rows()
-    enc = {
-        "brand": BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold),
-        "amount": MinMaxEncoder(feature_range=cfg.feature_range, group_by=cfg.amount_group_by),
-        "date": TimeDeltaEncoder(),
-    }
-    for f, e in enc.items():
-        e.fit(rows, f)
-    prep.encoders = enc
+    first = F.min(F.struct("user_id", "k", F.col("brand").alias("_b")))
+    stats = rows.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("cnt"), first.alias("first_seen"),
+        F.min("amount").cast("double").alias("lo"), F.max("amount").cast("double").alias("hi"),
+        F.min("date").alias("e"))
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    g = stats.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("e").alias("e")).first()
+    brand = BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold).fit_stats(stats)
+    if cfg.amount_group_by:
+        amount = MinMaxEncoder(feature_range=cfg.feature_range, group_by=cfg.amount_group_by).fit(rows, "amount")
+    else:
+        amount = MinMaxEncoder(feature_range=cfg.feature_range).set_range(g["lo"], g["hi"])
+    prep.encoders = {"brand": brand, "amount": amount, "date": TimeDeltaEncoder().set_earliest(g["e"])}
     return prep
 
 

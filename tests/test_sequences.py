@@ -89,3 +89,37 @@ def test_unknown_brands_share_unk_slot(spark):
     vocab = BrandVocab(top_n=1).fit(rows, "brand")  # keeps A only
     cells = {(r.user_id, r.brand_id): r.amount for r in target_cells(rows, members, vocab, None).collect()}
     assert cells[(1, 2)] == 200 and cells[(2, 2)] == 300 and cells[(1, 3)] == 100
+
+
+def test_two_level_positions_equal_single_window(spark):
+    import datetime as dt
+    import random
+    from ledgerflow.operators.sequences import sequence_rows
+    rnd = random.Random(2)
+    raw = [("test", rnd.randint(1, 4), rnd.randint(1, 6), rnd.choice("ABCDE"), float(rnd.randint(1, 9)),
+            D("2020-01-01") + dt.timedelta(days=rnd.randint(0, 30))) for _ in range(200)]
+    rows = spark.createDataFrame(raw, "split string, user_id long, k long, brand string, amount double, date timestamp_ntz")
+    rows = rows.dropDuplicates(["split", "user_id", "k", "brand"])
+    members = spark.createDataFrame([("test", u) for u in range(1, 6)], "split string, user_id long")
+    enc = {"brand": BrandVocab().fit(rows, "brand"), "amount": NoOpEncoder("amount"),
+           "date": TimeDeltaEncoder().fit(rows, "date")}
+    start, end = {"test": D("2020-01-01")}, {"test": D("2020-02-01")}
+    a = sequence_rows(rows, members, enc, FEATS, start, end)
+    b = sequence_rows(rows, members, enc, FEATS, start, end, single_task_max=0)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(a) == key(b)
+
+
+def test_pandas_predictor(spark):
+    import pandas as pd
+    from ledgerflow.operators.predict import pandas_predictor
+    rows = spark.createDataFrame([("test", 1, 3, 10.0), ("test", 1, 3, 30.0), ("test", 2, 4, 5.0)],
+                                 "split string, user_id long, brand_id int, amount double")
+
+    def mean_by_brand(pdf):
+        g = pdf.groupby("brand_id", as_index=False)["amount"].mean()
+        return pd.DataFrame({"split": pdf["split"].iloc[0], "user_id": pdf["user_id"].iloc[0],
+                             "brand_id": g["brand_id"].astype("int32"), "predicted": g["amount"]})
+
+    out = sorted(tuple(r) for r in pandas_predictor(mean_by_brand)(rows).collect())
+    assert out == [("test", 1, 3, 20.0), ("test", 2, 4, 5.0)]
