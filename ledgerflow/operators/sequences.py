@@ -44,7 +44,7 @@ SINGLE_TASK_MAX = 2_000_000
 @SEQUENCE_BUILDERS.register("continuous_time")
 def sequence_rows(rows: DataFrame, members: DataFrame, encoders: dict, features,
                   start_of: Column, end_of: Column | dict,
-                  single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
+                  single_task_max: int = SINGLE_TASK_MAX, longest: int | None = None) -> DataFrame:
     """Long-form sequences.
 
     ``rows``: ``(split, user_id, k, brand, amount, date)`` inside each split's
@@ -56,14 +56,17 @@ def sequence_rows(rows: DataFrame, members: DataFrame, encoders: dict, features,
     first and their maximum checked: when every user fits ``single_task_max``
     a single window per (split, user) numbers the elements; otherwise
     positions are built from per-(user, bucket) counts and ranks, which
-    spreads a hot user over its buckets.
+    spreads a hot user over its buckets.  ``longest``: a known upper bound of
+    any user's length (e.g. the busiest user's raw row count), which spares
+    the check when it is already small enough.
     """
     features = list(features)
     keyed = rows.withColumn("_bk", F.col("brand"))
     enc = _encode(keyed, encoders, features)
 
     lengths = rows.groupBy("split", "user_id").agg(F.count(F.lit(1)).alias("_n"))
-    longest = lengths.agg(F.max("_n")).first()[0] or 0
+    if longest is None or longest > single_task_max:
+        longest = lengths.agg(F.max("_n")).first()[0] or 0
     if longest <= single_task_max:
         w = Window.partitionBy("split", "user_id").orderBy("k", "_bk")
         body = enc.select("split", "user_id", F.row_number().over(w).cast("int").alias("pos"), *features)

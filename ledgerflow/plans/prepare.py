@@ -51,6 +51,7 @@ class Prepared:
     encoders: dict = field(default_factory=dict)
     n_users: int = 0
     cuts: dict | None = None
+    max_user_rows: int | None = None  # raw rows of the busiest user: bounds any sequence
 
     # windows -------------------------------------------------------------
     def input_start(self) -> dict:
@@ -90,7 +91,7 @@ class Prepared:
     def sequences(self, features=None) -> DataFrame:
         feats = list(features or self.cfg.input_features)
         return sequence_rows(self.input_rows(), self.members, self.encoders, feats,
-                             self.input_start(), self.target_start())
+                             self.input_start(), self.target_start(), longest=self.max_user_rows)
 
     def targets(self, ratio: float = 1.0, kind: str | None = None) -> DataFrame:
         """Sparse target cells; ``kind`` picks a registered multi-hot builder
@@ -131,9 +132,13 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     if how != "none":
         summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
     if spec is None:
-        b = summary.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        b = summary.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                        F.max(F.when(F.col("user_id").isNotNull(), F.col("n"))).alias("mx")).first()
         spec = fit_buckets(tx, cfg.interval, origin=b["lo"], end=b["hi"]) if b["lo"] is not None \
             else fit_buckets(tx, cfg.interval)
+        max_rows = b["mx"]
+    else:
+        max_rows = None
     c = cfg.cutoffs
     last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
     users = summary.where(F.col("user_id").isNotNull() & (F.col("n") > 0)).select("user_id")
@@ -144,7 +149,7 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     buckets = bucket_aggregate(tx, spec, window=(_dt(c.in_start), last_end)).withColumn("role", role_expr(cuts))
     buckets = _materialize(buckets, how)
     members = split_membership(roles)
-    prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts)
+    prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts, max_rows)
     if fit:
         fit_encoders(prep)
     return prep
@@ -163,8 +168,10 @@ def fit_encoders(prep: Prepared) -> Prepared:
         F.min("amount").cast("double").alias("lo"), F.max("amount").cast("double").alias("hi"),
         F.min("date").alias("e"))
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-    g = stats.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("e").alias("e")).first()
-    brand = BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold).fit_stats(stats)
+    g = stats.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("e").alias("e"),
+                  F.count(F.lit(1)).alias("n_brands")).first()
+    brand = BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold).fit_stats(
+        stats, n_brands=g["n_brands"])
     if cfg.amount_group_by:
         amount = MinMaxEncoder(feature_range=cfg.feature_range, group_by=cfg.amount_group_by).fit(rows, "amount")
     else:
