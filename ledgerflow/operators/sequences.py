@@ -29,8 +29,12 @@ DENSE_MAX_VOCAB = 200_000
 
 
 def _encode(rows: DataFrame, encoders: dict, features) -> DataFrame:
+    """Encode features; features another encoder groups by (e.g. a per-brand
+    scaler) are replaced last, so the group lookup sees the raw values."""
+    groups = {getattr(e, "group_by", None) for e in encoders.values()}
+    order = sorted(features, key=lambda f: f in groups)
     out = rows
-    for f in features:
+    for f in order:
         if f in encoders:
             out = encoders[f].transform(out, f)
     return out

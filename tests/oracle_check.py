@@ -100,6 +100,11 @@ def run(sf_dir: str, names=None, spark=None):
             print(f"{name:28s} SQL ERROR {str(e)[:600]}")
             continue
         exact, tol, msg = compare(sdf, odf)
+        dt_s = {c: str(t) for c, t in sdf.dtypes.items()}
+        dt_o = {c: str(t) for c, t in odf.dtypes.items()}
+        if dt_s != dt_o:
+            msg = (msg + " DTYPES " + str({c: (dt_s.get(c), dt_o.get(c)) for c in set(dt_s) | set(dt_o)
+                                          if dt_s.get(c) != dt_o.get(c)})).strip()
         results[name] = ("exact" if exact else "tolerant" if tol else "MISMATCH", msg)
         print(f"{name:28s} rows={len(sdf):7d}/{len(odf):7d} {'EXACT' if exact else 'tol' if tol else 'MISMATCH'} "
               f"{ts:.1f}s {msg[:300]}")

@@ -100,3 +100,32 @@ def test_resume_sweep(spark, tx, tmp_path):
     assert log.read("run1").select("trial").distinct().count() == 6
     full = resume_sweep(prep, space, 6, TrialLog(spark, str(tmp_path / "log2")), "run1").collect()
     assert resumed == full and len(first) == 1
+
+
+def test_prepare_with_per_brand_scaler(spark, tx):
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(4)
+    base = D("2024-01-01")
+    data = [(u, base + dt.timedelta(hours=rnd.randint(0, 24 * 40)), rnd.choice("ABC"), rnd.randint(1, 90))
+            for u in range(30) for _ in range(20)]
+    cfg = DataConfig(interval="2D", cutoffs=Cutoffs("2024-01-01", "2024-01-25", "2024-01-29", "2024-02-02"),
+                     amount_group_by="brand")
+    prep = prepare(tx(data), cfg)
+    fit = prep.fit_rows()
+    bounds = {r.brand: (r.lo, r.hi) for r in fit.groupBy("brand").agg(F.min("amount").alias("lo"),
+                                                                        F.max("amount").alias("hi")).collect()}
+    vocab = {r.id: r.value for r in prep.encoders["brand"].vocab.collect()}
+    seq = prep.sequences().where("pos > 0 AND brand > 2").collect()
+    assert seq
+    # every body element's scaled amount lies in [0, 1] on the train input window of train users
+    train_seq = [r for r in seq if r.split == "train"]
+    assert all(-1e-9 <= r.amount <= 1 + 1e-9 for r in train_seq)
+    tgt = prep.targets().collect()
+    raw = {(r.split, r.user_id, r.brand_id): r for r in tgt}
+    for r in tgt:
+        if r.brand_id > 2:
+            lo, hi = bounds[vocab[r.brand_id]]
+            expect = (r.amount_raw - r.n_rows * lo) / (hi - lo)
+            assert abs(r.amount - expect) < 1e-9
+    assert raw
