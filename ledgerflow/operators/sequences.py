@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import fx, unfx
 from ..registry import Registry
-from .encoders import UNK_ID
 
 SEQUENCE_BUILDERS = Registry("sequence builder")
 

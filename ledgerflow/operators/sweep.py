@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import FX_SCALE, fx, unfx
 from .encoders import UNK, BrandVocab
-from .evaluate import cell_metrics
 from .joins import materialize_small, sized_broadcast
 
 TWO_52 = float(2 ** 52)

@@ -7,16 +7,15 @@ so that they compare row by row with the oracle.
 from __future__ import annotations
 
 import datetime as dt
-from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EV_CONFIG, TX_CONFIG, BrandParams, DataConfig
-from ..functions.timecols import ts_lit
+from ..config import EV_CONFIG, TX_CONFIG, DataConfig
+from ..functions.fixedpoint import fx, unfx
 from ..operators.buckets import (bucket_aggregate, bucket_coverage, bucket_label, date_window,
                                  dense_grid_summary, fit_buckets)
-from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder
+from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder
 from ..operators.split import distinct_users, split_membership, user_split
 from ..sources.views import ev_view, tx_view
 from . import oracle as O
@@ -35,6 +34,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _fxsum(col):
+    """Exact fixed-point sum of a money column (0 for no rows)."""
+    return unfx(F.coalesce(F.sum(fx(F.col(col))), F.lit(0).cast("bigint")))
+
+
 def _view(spark, sf_dir, view):
     return tx_view(spark, sf_dir) if view == "tx" else ev_view(spark, sf_dir)
 
@@ -132,12 +136,7 @@ def _split_windows_spark(prep: Prepared) -> DataFrame:
     tgt = prep.target_rows().withColumn("window_kind", F.lit("target"))
     return inp.unionByName(tgt).groupBy("split", "window_kind").agg(
         F.count(F.lit(1)).alias("n_cells"), F.countDistinct("user_id").alias("n_users"),
-        O_fxsum("amount").alias("amount"))
-
-
-def O_fxsum(col):
-    from ..functions.fixedpoint import fx, unfx
-    return unfx(F.coalesce(F.sum(fx(F.col(col))), F.lit(0).cast("bigint")))
+        _fxsum("amount").alias("amount"))
 
 
 @register("split_windows", _TX_CHAIN + f"""
@@ -256,7 +255,7 @@ def q_minmax_inverse(spark, sf):
 , g0 AS (SELECT brand, CAST(min(amount) AS DOUBLE) AS lo, CAST(max(amount) AS DOUBLE) AS hi FROM fitrows GROUP BY brand),
 g AS (SELECT brand, {O.d(1.0)} / (CASE WHEN hi - lo <> 0 THEN hi - lo ELSE {O.d(1.0)} END) AS scale, lo FROM g0)
 SELECT w.user_id, w.k, w.brand, w.amount * g.scale + ({O.d(0.0)} - g.lo * g.scale) AS amount_scaled
-FROM wcells w LEFT JOIN g ON g.brand = w.brand""".replace("WITH", "WITH", 1))
+FROM wcells w LEFT JOIN g ON g.brand = w.brand""")
 def q_minmax_by_brand(spark, sf):
     prep = _prep(spark, sf, fit=False)
     enc = MinMaxEncoder(group_by="brand").fit(prep.fit_rows(), "amount")
@@ -383,7 +382,8 @@ def _users_per_split(prep):
     return prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users"))
 
 
-_EVAL_SQL = O.baseline_sql("tx", TX_CONFIG, "all") + """
+def _eval_sql(view="tx", cfg=TX_CONFIG) -> str:
+    return O.baseline_sql(view, cfg, "all") + """
 SELECT n.split, n.n_users, n.n_users * vsize.v AS n_cells, coalesce(a.n_positive, 0) AS n_positive,
        CAST(coalesce(a.fp, 0) AS DOUBLE) / CAST(n.n_users * vsize.v - coalesce(a.n_positive, 0) AS DOUBLE) AS false_positive_rate,
        CAST(coalesce(a.fn, 0) AS DOUBLE) / CAST(coalesce(a.n_positive, 0) AS DOUBLE) AS false_negative_rate,
@@ -398,7 +398,7 @@ FROM nusers n CROSS JOIN vsize LEFT JOIN (
   FROM aligned GROUP BY split) a ON a.split = n.split"""
 
 
-@register("eval_metrics", _EVAL_SQL)
+@register("eval_metrics", _eval_sql())
 def q_eval_metrics(spark, sf):
     from ..operators.evaluate import cell_metrics
     prep = _prep(spark, sf)
@@ -498,8 +498,7 @@ def recover_rows(rows: DataFrame, encoders: dict) -> DataFrame:
     return out
 
 
-@register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all").replace(
-    "\nnusers AS", "\nnusers AS", 1) + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
+@register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all") + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
 , pu AS (SELECT split, user_id, sum(abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT))) AS l1
          FROM aligned GROUP BY split, user_id),
 pb AS (SELECT b.split, b.shard, b.batch, coalesce(sum(pu.l1), 0) AS l1, count(*) AS n
@@ -775,3 +774,26 @@ def q_stream_bucket(spark, sf):
     stream = normalize(raw, date="ts", brand="event_type", amount="value")
     agg = stream_bucket_aggregate(stream, spec.origin, EV_BUCKET_INTERVAL, "3650 days", spec.n_buckets)
     return run_to_table(spark, agg, "complete")
+
+
+# ---------------------------------------------------------------- event view (µs timestamps)
+_EV_SEQ_SQL = O.sequences_sql("ev", EV_CONFIG)
+
+
+@register("ev_input_sequences", _EV_SEQ_SQL + "SELECT split, user_id, pos, brand, amount, date FROM seq")
+def q_ev_input_sequences(spark, sf):
+    return _prep(spark, sf, "ev", EV_CONFIG).sequences().select(*_SEQ_COLS)
+
+
+@register("ev_multi_hot_amount", O.targets_sql("ev", EV_CONFIG) +
+          "SELECT split, user_id, brand_id, amount, amount_raw FROM tcells")
+def q_ev_multi_hot_amount(spark, sf):
+    return _prep(spark, sf, "ev", EV_CONFIG).targets().select(
+        "split", "user_id", "brand_id", "amount", "amount_raw")
+
+
+@register("ev_eval_metrics", _eval_sql("ev", EV_CONFIG))
+def q_ev_eval_metrics(spark, sf):
+    from ..operators.evaluate import cell_metrics
+    prep = _prep(spark, sf, "ev", EV_CONFIG)
+    return cell_metrics(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)

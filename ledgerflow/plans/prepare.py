@@ -22,8 +22,7 @@ from ..session import checkpoint_dir
 from ..operators.buckets import BucketSpec, bucket_aggregate, fit_buckets
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder
 from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
-from ..operators.split import (distinct_users, role_expr, split_cuts, split_membership,
-                               splits_of)
+from ..operators.split import role_expr, split_cuts, split_membership, splits_of
 
 SPLITS = ("train", "val", "test")
 
