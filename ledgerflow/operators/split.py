@@ -85,12 +85,12 @@ def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None) ->
     driver) and one small window inside the (at most three) prefixes that
     hold a cut rank.
     """
-    n = users.count() if n_users is None else n_users
+    u = _hash_cols(users, splits.seed)
+    hist = sorted((r["_p"], r["c"]) for r in u.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect())
+    n = sum(c for _, c in hist) if n_users is None else n_users
     q = split_quotas(n, splits)
     ranks = {"test": q["test"], "val": q["test"] + q["val"],
              "train_overlap": q["test"] + q["val"] + q["overlap"]}
-    u = _hash_cols(users, splits.seed)
-    hist = sorted((r["_p"], r["c"]) for r in u.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect())
     where, off = {}, 0
     for p, c in hist:
         for role, r in ranks.items():

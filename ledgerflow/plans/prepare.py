@@ -141,8 +141,8 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     c = cfg.cutoffs
     last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
     users = summary.where(F.col("user_id").isNotNull() & (F.col("n") > 0)).select("user_id")
-    n = users.count()
-    cuts = split_cuts(users, cfg.splits, n_users=n)
+    cuts = split_cuts(users, cfg.splits)  # the prefix histogram also yields the user count
+    n = cuts["quotas"]["n"]
     roles = users.withColumn("role", role_expr(cuts))
     # the role travels with each bucket row: computed once, before caching
     buckets = bucket_aggregate(tx, spec, window=(_dt(c.in_start), last_end)).withColumn("role", role_expr(cuts))
