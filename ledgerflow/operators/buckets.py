@@ -200,11 +200,11 @@ def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
     including those whose rows all fell outside the buckets."""
     c = clean(df)
     cells = bucket_aggregate(df, spec)
-    keys = c.agg(F.countDistinct("user_id").alias("n_users"),
-                 F.countDistinct("brand").alias("n_brands"))
-    filled = cells.agg(F.count(F.lit(1)).alias("n_nonempty"),
-                       unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount"))
-    out = keys.crossJoin(filled)  # two one-row aggregates
+    n_users = c.select("user_id").distinct().agg(F.count(F.lit(1))).scalar()
+    n_brands = c.select("brand").distinct().agg(F.count(F.lit(1))).scalar()
+    out = cells.agg(F.count(F.lit(1)).alias("n_nonempty"),
+                    unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount")
+                    ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")
     n_cells = F.col("n_users") * F.col("n_brands") * F.lit(spec.n_buckets)
     return out.select(
         "n_users", F.lit(spec.n_buckets).cast("bigint").alias("n_buckets"), "n_brands",

@@ -111,17 +111,26 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
     from ..plans.prepare import split_case
     ranks, n_brands = materialize_small(brand_ranks(prep.fit_rows()))
     rk = sized_broadcast(ranks, n_brands)
-    tr, n_trials = materialize_small(trials.select(
-        "trial", F.col(top_n).alias("top_n"), F.col(lookback).alias("lookback"),
-        F.col(denominator).alias("denominator")))
-    tb = sized_broadcast(tr, n_trials)
+    # Trials are parameters (one row each, as many as requested): each data
+    # row fans out to the trials that use it with a narrow explode over a
+    # literal array -- no join, no shuffle for the expansion.
+    tlist = trials.select("trial", F.col(top_n).alias("top_n"), F.col(lookback).alias("lookback"),
+                          F.col(denominator).alias("denominator")).collect()
+    arr = F.array(*[F.struct(F.lit(int(t.trial)).cast("bigint").alias("trial"),
+                             F.lit(int(t.top_n)).cast("bigint").alias("top_n"),
+                             F.lit(int(t.lookback)).cast("bigint").alias("lookback"),
+                             F.lit(str(t.denominator)).alias("denominator")) for t in tlist])
+
+    def fan_out(df, cond=None):
+        a = arr if cond is None else F.filter(arr, cond)
+        return df.withColumn("_t", F.explode(a)).select("*", "_t.*").drop("_t")
 
     def slot(df):
         return F.when(F.col("brank") <= F.col("top_n"), F.col("brand")).otherwise(F.lit(UNK))
 
     inp = (prep.input_rows().join(rk, "brand", "left")
            .withColumn("back", split_case(k_last) - F.col("k") + 1))
-    x = inp.join(tb, F.col("back") <= F.col("lookback"))
+    x = fan_out(inp, lambda t: t["lookback"] >= F.col("back"))
     g = x.groupBy("trial", "split", "user_id", slot(x).alias("slot")).agg(
         F.sum(fx(F.col("amount"))).alias("_s"), F.countDistinct("k").alias("_active"),
         F.first("lookback").alias("lookback"), F.first("denominator").alias("denominator"))
@@ -130,16 +139,17 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
     pred = g.select("trial", "split", "user_id", "slot",
                     unfx(F.round(F.col("_s").cast("double") / den.cast("double")).cast("bigint")).alias("_p"))
 
-    tgt = prep.target_rows().join(rk, "brand", "left").crossJoin(tb)
+    tgt = fan_out(prep.target_rows().join(rk, "brand", "left"))
     act = tgt.groupBy("trial", "split", "user_id", slot(tgt).alias("slot")).agg(
         unfx(F.sum(fx(F.col("amount")))).alias("_t"))
     keys = ["trial", "split", "user_id", "slot"]
     aligned = pred.join(act, keys, "full_outer").select(
         *keys, F.coalesce("_p", F.lit(0.0)).alias("p"), F.coalesce("_t", F.lit(0.0)).alias("t"))
 
-    users = prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users"))
-    per_trial = tb.select("trial", (F.lit(3) + F.least(F.col("top_n"), F.lit(n_brands))).alias("vocab_size"))
-    return _metrics_by_trial(aligned, users.crossJoin(per_trial))
+    users = fan_out(prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users")))
+    cells = users.select("trial", "split", "n_users",
+                         (F.lit(3) + F.least(F.col("top_n"), F.lit(n_brands))).alias("vocab_size"))
+    return _metrics_by_trial(aligned, cells)
 
 
 def _metrics_by_trial(aligned: DataFrame, cells: DataFrame) -> DataFrame:

@@ -660,12 +660,12 @@ def q_trial_table(spark, sf):
     lookback covers there."""
     from ..operators.sweep import trial_table
     prep = _prep(spark, sf, fit=False)
-    n_brands = prep.fit_rows().agg(F.countDistinct("brand").alias("n_brands"))
+    n_brands = prep.fit_rows().select("brand").distinct().agg(F.count(F.lit(1))).scalar()
     n_train = prep.spec.count_in_window(TX_CONFIG.cutoffs.in_start, TX_CONFIG.cutoffs.train)
     trials = trial_table(spark, TRIAL_SPACE, N_TRIALS, SWEEP_SEED)
-    return trials.crossJoin(n_brands).select(  # one-row aggregate
+    return trials.select(
         *trials.columns,
-        (F.lit(3) + F.least(F.col("data_top_n"), F.col("n_brands"))).alias("vocab_size"),
+        (F.lit(3) + F.least(F.col("data_top_n"), n_brands)).alias("vocab_size"),
         F.least(F.col("data_lookback"), F.lit(n_train).cast("bigint")).alias("train_intervals"))
 
 
