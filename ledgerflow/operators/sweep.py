@@ -96,7 +96,7 @@ def brand_ranks(fit_rows: DataFrame) -> DataFrame:
     order).  The window runs over the distinct brand table only."""
     stats = BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k"))
     return stats.select("brand", F.row_number().over(
-        Window.orderBy(F.col("cnt").desc(), F.col("first_seen"))).alias("brank"))
+        Window.orderBy(F.col("cnt").desc(), F.col("first_seen"), F.col("brand"))).alias("brank"))
 
 
 def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lookback",

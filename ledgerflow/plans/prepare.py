@@ -20,7 +20,8 @@ from ..config import DataConfig
 from ..functions.timecols import ts_lit
 from ..session import checkpoint_dir
 from ..operators.buckets import BucketSpec, bucket_aggregate, fit_buckets
-from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder
+from ..operators.encoders import (BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
+                                  first_seen_key)
 from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
 from ..operators.split import role_expr, split_cuts, split_membership, splits_of
 
@@ -161,9 +162,8 @@ def fit_encoders(prep: Prepared) -> Prepared:
     are reduced from that small table."""
     cfg = prep.cfg
     rows = prep.fit_rows()
-    first = F.min(F.struct("user_id", "k", F.col("brand").alias("_b")))
     stats = rows.groupBy("brand").agg(
-        F.count(F.lit(1)).alias("cnt"), first.alias("first_seen"),
+        F.count(F.lit(1)).alias("cnt"), first_seen_key(("user_id", "k")).alias("first_seen"),
         F.min("amount").cast("double").alias("lo"), F.max("amount").cast("double").alias("hi"),
         F.min("date").alias("e"))
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
