@@ -131,9 +131,10 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
     inp = (prep.input_rows().join(rk, "brand", "left")
            .withColumn("back", split_case(k_last) - F.col("k") + 1))
     x = fan_out(inp, lambda t: t["lookback"] >= F.col("back"))
-    g = x.groupBy("trial", "split", "user_id", slot(x).alias("slot")).agg(
-        F.sum(fx(F.col("amount"))).alias("_s"), F.countDistinct("k").alias("_active"),
-        F.first("lookback").alias("lookback"), F.first("denominator").alias("denominator"))
+    # lookback / denominator depend on the trial only: grouping keys, not
+    # first() buffers, so the aggregate stays a hash aggregate
+    g = x.groupBy("trial", "lookback", "denominator", "split", "user_id", slot(x).alias("slot")).agg(
+        F.sum(fx(F.col("amount"))).alias("_s"), F.countDistinct("k").alias("_active"))
     den = F.when(F.col("denominator") == "all",
                  F.least(F.col("lookback"), split_case(n_all).cast("bigint"))).otherwise(F.col("_active"))
     pred = g.select("trial", "split", "user_id", "slot",
