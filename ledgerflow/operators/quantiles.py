@@ -28,14 +28,15 @@ def _ranges(n: int) -> int:
     return int(min(100_000, max(256, n // 5_000_000)))
 
 
-def exact_order_stats(df: DataFrame, col: str, ranks) -> dict:
-    """``{rank: value}`` for 0-based ranks of the non-null values of ``col``."""
+def exact_order_stats(df: DataFrame, col: str, ranks, n: int | None = None) -> dict:
+    """``{rank: value}`` for 0-based ranks of the non-null values of ``col``
+    (``n``: their count, when already known)."""
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     ranks = sorted(set(int(r) for r in ranks))
-    vc = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    n = x.count() if ranks else 0
     if not ranks:
         return {}
+    vc = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    n = x.count() if n is None else n
     G = _ranges(n)
     probs = [j / G for j in range(1, G)]
     approx = vc.agg(F.percentile_approx("x", probs, max(10_000, 10 * G)).alias("p")).first()["p"] or []
@@ -67,8 +68,8 @@ def exact_order_stats(df: DataFrame, col: str, ranks) -> dict:
     return {int(row["rank"]): float(row["x"]) for row in hit.select("rank", "x").collect()}
 
 
-def exact_quantiles(df: DataFrame, col: str, probs) -> list:
-    n = df.where(F.col(col).isNotNull()).count()
+def exact_quantiles(df: DataFrame, col: str, probs, n: int | None = None) -> list:
+    n = df.where(F.col(col).isNotNull()).count() if n is None else n
     if n == 0:
         return [None for _ in probs]
     pos = []
@@ -77,7 +78,7 @@ def exact_quantiles(df: DataFrame, col: str, probs) -> list:
         lo = math.floor(h)
         hi = min(lo + 1, n - 1)
         pos.append((lo, hi, h - lo))
-    stats = exact_order_stats(df, col, [p for a, b, _ in pos for p in (a, b)])
+    stats = exact_order_stats(df, col, [p for a, b, _ in pos for p in (a, b)], n)
     return [stats[a] + (stats[b] - stats[a]) * f for a, b, f in pos]
 
 
@@ -86,5 +87,5 @@ def quantile_bin_edges(df: DataFrame, col: str, n_bins: int = 48) -> list:
     quantiles of the training values, duplicates removed."""
     n = df.where(F.col(col).isNotNull()).count()
     b = min(int(n_bins), max(2, n - 1))
-    qs = exact_quantiles(df, col, [i / b for i in range(b + 1)])
+    qs = exact_quantiles(df, col, [i / b for i in range(b + 1)], n)
     return sorted(set(q for q in qs if q is not None))

@@ -64,3 +64,19 @@ def run_to_table(spark: SparkSession, stream: DataFrame, output_mode: str = "app
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name)
+
+
+def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str | None = None,
+                      trigger: dict | None = None):
+    """Durable sink for :func:`stream_bucket_aggregate`: ``append`` mode, so a
+    bucket is written once, after the watermark has passed its end; rows
+    later than the watermark are dropped by Spark.  The checkpoint (offsets
+    and aggregation state) lives in the shared ``spark.checkpoint.dir`` by
+    default, so a restarted query resumes after executor or driver loss.
+    Returns the started query."""
+    spark = stream.sparkSession
+    ckpt = checkpoint or scratch_path(spark, "ledgerflow-streams", uuid.uuid4().hex)
+    w = (stream.writeStream.format("parquet").outputMode("append")
+         .option("path", path).option("checkpointLocation", ckpt))
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()

@@ -129,3 +129,29 @@ def test_prepare_with_per_brand_scaler(spark, tx):
             expect = (r.amount_raw - r.n_rows * lo) / (hi - lo)
             assert abs(r.amount - expect) < 1e-9
     assert raw
+
+
+def test_stream_append_respects_watermark(spark, tx, tmp_path):
+    """Append mode emits a bucket once the watermark passes its end; a row
+    arriving later than the watermark is dropped, earlier buckets stay exact."""
+    from ledgerflow.streaming.buckets import stream_to_parquet
+    src = tmp_path / "in"
+    first = tx([(1, "2024-01-01", "A", 1), (1, "2024-01-02", "A", 2), (1, "2024-01-05", "A", 4),
+                (2, "2024-01-09", "B", 8)])
+    first.write.parquet(str(src / "b1"))
+    origin, out = D("2024-01-01"), str(tmp_path / "out")
+    ckpt = str(tmp_path / "ckpt")
+
+    def run():
+        stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").parquet(str(src))
+        q = stream_to_parquet(stream_bucket_aggregate(stream, origin, "3D", "1 day"), out, ckpt)
+        q.awaitTermination()
+
+    run()
+    # late row for bucket 1 (ends 2024-01-04) and a far-future row that moves the watermark
+    tx([(1, "2024-01-03", "A", 100), (3, "2024-01-30", "C", 16)]).write.parquet(str(src / "b2"))
+    run()
+    got = sorted((r.user_id, r.k, r.brand, r.amount) for r in spark.read.parquet(out).collect())
+    assert (1, 1, "A", 3.0) in got            # bucket 1 kept its on-time amount
+    assert all(a != 103.0 for *_, a in got)    # the late row did not reopen it
+    assert (1, 2, "A", 4.0) in got and (2, 3, "B", 8.0) in got
