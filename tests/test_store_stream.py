@@ -155,3 +155,18 @@ def test_stream_append_respects_watermark(spark, tx, tmp_path):
     assert (1, 1, "A", 3.0) in got            # bucket 1 kept its on-time amount
     assert all(a != 103.0 for *_, a in got)    # the late row did not reopen it
     assert (1, 2, "A", 4.0) in got and (2, 3, "B", 8.0) in got
+
+
+def test_prepare_checkpointed_equals_persisted(spark, tx):
+    import random
+    rnd = random.Random(9)
+    base = D("2024-01-01")
+    data = [(u, base + dt.timedelta(hours=rnd.randint(0, 24 * 40)), rnd.choice("ABCD"), rnd.randint(1, 90))
+            for u in range(25) for _ in range(15)]
+    cfg = DataConfig(interval="2D", cutoffs=Cutoffs("2024-01-01", "2024-01-25", "2024-01-29", "2024-02-02"))
+    df = tx(data)
+    a = prepare(df, cfg, materialize="persist")
+    b = prepare(df, cfg, materialize="checkpoint")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(a.sequences()) == key(b.sequences())
+    assert key(a.targets()) == key(b.targets())
