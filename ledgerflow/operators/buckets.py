@@ -196,12 +196,13 @@ def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
 
     The reference materialises every cell (empty ones with amount 0 and no
     date).  Nothing downstream needs an empty cell except the list of users,
-    so the grid is only counted: users and brands are the distinct raw keys,
-    including those whose rows all fell outside the buckets."""
-    c = clean(df)
+    so the grid is only counted: users and brands are the distinct non-null
+    raw keys, including those whose rows all fell outside the buckets."""
     cells = bucket_aggregate(df, spec)
-    n_users = c.select("user_id").distinct().agg(F.count(F.lit(1))).scalar()
-    n_brands = c.select("brand").distinct().agg(F.count(F.lit(1))).scalar()
+    n_users = df.where(F.col("user_id").isNotNull()).select("user_id").distinct() \
+        .agg(F.count(F.lit(1))).scalar()
+    n_brands = df.where(F.col("brand").isNotNull()).select("brand").distinct() \
+        .agg(F.count(F.lit(1))).scalar()
     out = cells.agg(F.count(F.lit(1)).alias("n_nonempty"),
                     unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount")
                     ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")

@@ -113,7 +113,7 @@ def q_bucket_coverage(spark, sf):
 @register("densify", O.chain("tx", TX_CONFIG) + """
 SELECT u.n_users, spec.m AS n_buckets, u.n_brands, u.n_users * u.n_brands * spec.m AS n_cells,
        f.n_nonempty, u.n_users * u.n_brands * spec.m - f.n_nonempty AS n_empty, f.amount
-FROM (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT brand) AS n_brands FROM raw) u,
+FROM (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT brand) AS n_brands FROM src) u,
      (SELECT count(*) AS n_nonempty, CAST(coalesce(sum(CAST(round(amount * 10000.0) AS BIGINT)), 0) AS DOUBLE) / 10000.0::DOUBLE AS amount FROM cells) f,
      spec""")
 def q_densify(spark, sf):

@@ -92,7 +92,7 @@ bk AS (SELECT r.user_id, {bucket_idx('r.date', W)} AS k, r.brand, r.amount, r.da
        FROM raw r, spec WHERE r.date >= spec.lo),
 cells AS (SELECT user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date
           FROM bk WHERE k <= m GROUP BY user_id, k, brand),
-users AS (SELECT DISTINCT user_id FROM raw),
+users AS (SELECT DISTINCT user_id FROM src WHERE user_id IS NOT NULL),
 nu AS (SELECT count(*) AS n FROM users),
 q1 AS (SELECT n, CAST(ceil(({d(sp.val)} + {d(sp.test)}) * n) AS BIGINT) AS n_temp FROM nu),
 q2 AS (SELECT n, n_temp, n - n_temp AS n_train,

@@ -127,8 +127,7 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     lineage (long sweeps on clusters that lose executors); ``'none'``."""
     how = materialize or ("persist" if persist else "none")
     summary = tx.groupBy("user_id").agg(
-        F.min("date").alias("lo"), F.max("date").alias("hi"),
-        F.count(F.when(F.col("brand").isNotNull() & F.col("date").isNotNull(), 1)).alias("n"))
+        F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
     if how != "none":
         summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
     if spec is None:
@@ -141,7 +140,7 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
         max_rows = None
     c = cfg.cutoffs
     last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
-    users = summary.where(F.col("user_id").isNotNull() & (F.col("n") > 0)).select("user_id")
+    users = summary.where(F.col("user_id").isNotNull()).select("user_id")
     cuts = split_cuts(users, cfg.splits)  # the prefix histogram also yields the user count
     n = cuts["quotas"]["n"]
     roles = users.withColumn("role", role_expr(cuts))

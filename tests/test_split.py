@@ -58,3 +58,16 @@ def test_zero_overlap_is_allowed(spark):
     roles = user_split(users, Splits(overlap=0.0))
     assert roles.where("role = 'train_overlap'").count() == 0
     assert roles.count() == 50
+
+
+def test_users_without_complete_rows_are_members(spark, tx):
+    from ledgerflow.config import Cutoffs, DataConfig
+    from ledgerflow.plans.prepare import prepare
+    rows = [(u, f"2024-01-{d:02d}", "A", 10) for u in range(1, 6) for d in range(1, 28)]
+    rows += [(7, "2024-01-05", None, 5), (8, None, "B", 5), (None, "2024-01-06", "A", 5)]
+    cfg = DataConfig(interval="2D", cutoffs=Cutoffs("2024-01-01", "2024-01-15", "2024-01-19", "2024-01-22"))
+    prep = prepare(tx(rows), cfg)
+    users = {r.user_id for r in prep.roles.collect()}
+    assert users == {1, 2, 3, 4, 5, 7, 8}
+    seq = prep.sequences().where(F.col("user_id").isin(7, 8)).groupBy("split", "user_id").count().collect()
+    assert seq and all(r["count"] == 2 for r in seq)  # [SOS, EOS] only
