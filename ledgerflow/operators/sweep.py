@@ -19,12 +19,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import FX_SCALE, fx, unfx
 from .encoders import UNK, BrandVocab
 from .joins import materialize_small, sized_broadcast
+from .ranking import global_row_number
 
 TWO_52 = float(2 ** 52)
 
@@ -93,10 +94,10 @@ def trial_table(spark: SparkSession, space, n_trials: int, seed: int = 42) -> Da
 
 def brand_ranks(fit_rows: DataFrame) -> DataFrame:
     """``(brand, brank)``: rank by count desc, first appearance (the top-N
-    order).  The window runs over the distinct brand table only."""
-    stats = BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k"))
-    return stats.select("brand", F.row_number().over(
-        Window.orderBy(F.col("cnt").desc(), F.col("first_seen"), F.col("brand"))).alias("brank"))
+    order), over the distinct brand table."""
+    stats = BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k")).persist()
+    return global_row_number(stats, [F.col("cnt").desc(), F.col("first_seen"), F.col("brand")],
+                             -F.col("cnt"), "brank").select("brand", "brank")
 
 
 def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lookback",

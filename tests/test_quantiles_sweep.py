@@ -52,3 +52,20 @@ def test_trial_table_deterministic_and_in_range(spark):
     assert t1 == t2
     assert {r.a for r in t1} == {2, 3, 4} and {r.c for r in t1} == {"x", "y"}
     assert all(1e-4 <= r.b <= 1e-1 and 0 <= r.d < 1 for r in t1)
+
+
+def test_global_row_number_distributed_equals_window(spark):
+    from pyspark.sql import Window
+    from ledgerflow.operators import ranking
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(0, 50), rnd.choice("abcdef")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, c long, s string")
+    order = [F.col("c").desc(), F.col("s"), F.col("id")]
+    ref = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).collect()}
+    old = ranking.ROWS_PER_RANGE
+    ranking.ROWS_PER_RANGE = 100  # force ~30 ranges
+    try:
+        got = {r.id: r.rn for r in ranking.global_row_number(df, order, -F.col("c"), "rn", single_max=0).collect()}
+    finally:
+        ranking.ROWS_PER_RANGE = old
+    assert got == ref
