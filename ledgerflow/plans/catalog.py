@@ -797,3 +797,19 @@ def q_ev_eval_metrics(spark, sf):
     from ..operators.evaluate import cell_metrics
     prep = _prep(spark, sf, "ev", EV_CONFIG)
     return cell_metrics(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)
+
+
+# ---------------------------------------------------------------- strict window alignment
+@register("input_sequences_strict", O.sequences_sql("tx", TX_CONFIG, strict=True) +
+          "SELECT split, user_id, pos, brand, amount, date FROM seq")
+def q_input_sequences_strict(spark, sf):
+    """Input sequences when each window's cells come only from raw rows inside
+    the window (``prepare(align='strict')``)."""
+    return prepare(tx_view(spark, sf), TX_CONFIG, align="strict").sequences().select(*_SEQ_COLS)
+
+
+@register("multi_hot_amount_strict", O.targets_sql("tx", TX_CONFIG, strict=True) +
+          "SELECT split, user_id, brand_id, amount, amount_raw FROM tcells")
+def q_multi_hot_amount_strict(spark, sf):
+    return prepare(tx_view(spark, sf), TX_CONFIG, align="strict").targets().select(
+        "split", "user_id", "brand_id", "amount", "amount_raw")

@@ -50,7 +50,7 @@ def delta(t: str) -> str:
 
 
 def chain(view: str, cfg: DataConfig, interval: str | None = None, top_n="cfg",
-          freq_threshold="cfg") -> str:
+          freq_threshold="cfg", strict: bool = False) -> str:
     """The shared WITH-chain.  CTEs: src raw bnd spec cells users roles members
     wcells fitrows bstats kept vocab mm ee inrows trows nall."""
     W, weekly = parse_interval(interval or cfg.interval)
@@ -107,8 +107,15 @@ members AS (SELECT user_id, 'train' AS split FROM roles WHERE role IN ('train',
             UNION ALL SELECT user_id, 'val' FROM roles WHERE role IN ('val', 'train_overlap')
             UNION ALL SELECT user_id, 'test' FROM roles WHERE role IN ('test', 'train_overlap')),
 wcells AS (SELECT * FROM cells WHERE date >= {ts(in_start)} AND date < {ts(last_end)}),
-fitrows AS (SELECT w.* FROM wcells w JOIN members m ON w.user_id = m.user_id AND m.split = 'train'
-            WHERE w.date >= {ts(in_start)} AND w.date < {ts(tstart['train'])}),
+sraw AS (SELECT b.user_id, b.k, b.brand, b.amount, b.date, m.split FROM bk b JOIN members m ON b.user_id = m.user_id
+         WHERE b.k <= b.m),
+sin AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+        WHERE date >= {ts(in_start)} AND date < {case(tstart)} GROUP BY split, user_id, k, brand),
+stg AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+        WHERE date >= {case(tstart)} AND date < {case(tend)} GROUP BY split, user_id, k, brand),
+fitrows AS ({"SELECT user_id, k, brand, amount, date FROM sin WHERE split = 'train'" if strict else
+             f"""SELECT w.* FROM wcells w JOIN members m ON w.user_id = m.user_id AND m.split = 'train'
+            WHERE w.date >= {ts(in_start)} AND w.date < {ts(tstart['train'])}"""}),
 bfirst AS (SELECT brand, user_id AS fu, k AS fk,
                   row_number() OVER (PARTITION BY brand ORDER BY user_id, k) AS rn FROM fitrows),
 bstats AS (SELECT f.brand, f.fu, f.fk, c.cnt FROM bfirst f
@@ -121,21 +128,23 @@ mm0 AS (SELECT CAST(min(amount) AS DOUBLE) AS lo, CAST(max(amount) AS DOUBLE) AS
 mm1 AS (SELECT lo, hi, ({d(b)} - {d(a)}) / (CASE WHEN hi - lo <> 0 THEN hi - lo ELSE {d(1.0)} END) AS scale FROM mm0),
 mm AS (SELECT lo, hi, scale, {d(a)} - lo * scale AS offset FROM mm1),
 ee AS (SELECT min(date) AS e FROM fitrows),
-inrows AS (SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
-           WHERE w.date >= {ts(in_start)} AND w.date < {case(tstart)}),
-trows AS (SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
-          WHERE w.date >= {case(tstart)} AND w.date < {case(tend)}),
+inrows AS ({"SELECT user_id, k, brand, amount, date, split FROM sin" if strict else
+            f"""SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
+           WHERE w.date >= {ts(in_start)} AND w.date < {case(tstart)}"""}),
+trows AS ({"SELECT user_id, k, brand, amount, date, split FROM stg" if strict else
+           f"""SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
+          WHERE w.date >= {case(tstart)} AND w.date < {case(tend)}"""}),
 nall AS ({' UNION ALL '.join(n_all)}),
 nusers AS (SELECT split, count(*) AS n_users FROM members GROUP BY split)
 """
 
 
-def sequences_sql(view: str, cfg: DataConfig) -> str:
+def sequences_sql(view: str, cfg: DataConfig, strict: bool = False) -> str:
     c = cfg.cutoffs
     tstart = {s: c.target_start(s) for s in ("train", "val", "test")}
     eos_date = "CASE m.split " + " ".join(
         f"WHEN '{s}' THEN {delta(ts(v))}" for s, v in tstart.items()) + " END"
-    return chain(view, cfg) + f""",
+    return chain(view, cfg, strict=strict) + f""",
 enc AS (SELECT i.split, i.user_id, i.k, i.brand AS bk, coalesce(v.id, 2) AS brand,
                i.amount * mm.scale + mm.offset AS amount, {delta('i.date')} AS date
         FROM inrows i LEFT JOIN vocab v ON v.value = i.brand, mm, ee),
@@ -151,8 +160,8 @@ seq AS (SELECT * FROM sos UNION ALL SELECT * FROM body UNION ALL SELECT * FROM e
 """
 
 
-def targets_sql(view: str, cfg: DataConfig) -> str:
-    return sequences_sql(view, cfg) + f""",
+def targets_sql(view: str, cfg: DataConfig, strict: bool = False) -> str:
+    return sequences_sql(view, cfg, strict) + f""",
 tcells0 AS (SELECT t.split, t.user_id, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id,
                    sum({fxv('t.amount')}) AS s, count(*) AS n
             FROM trows t LEFT JOIN vocab v ON v.value = t.brand GROUP BY ALL),

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..config import DataConfig
 from ..functions.timecols import ts_lit
 from ..session import checkpoint_dir
-from ..operators.buckets import BucketSpec, bucket_aggregate, fit_buckets
+from ..functions.fixedpoint import fx, unfx
+from ..operators.buckets import BucketSpec, bucket_aggregate, bucketize, fit_buckets
 from ..operators.encoders import (BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
                                   first_seen_key)
 from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
@@ -52,6 +53,7 @@ class Prepared:
     n_users: int = 0
     cuts: dict | None = None
     max_user_rows: int | None = None  # raw rows of the busiest user: bounds any sequence
+    window_cells: DataFrame | None = None  # align='strict': cells built per window
 
     # windows -------------------------------------------------------------
     def input_start(self) -> dict:
@@ -74,15 +76,24 @@ class Prepared:
         j = self.buckets.withColumn("split", F.explode(splits_of(self.role()))).drop("role")
         return j.where((F.col("date") >= split_case(starts)) & (F.col("date") < split_case(ends)))
 
+    def _strict(self, kind: str) -> DataFrame:
+        return self.window_cells.where(F.col("window_kind") == kind).drop("window_kind")
+
     def input_rows(self) -> DataFrame:
         """Bucket rows of each split's users in ``[in_start, target_start)``."""
+        if self.window_cells is not None:
+            return self._strict("input")
         return self._rows_in(self.input_start(), self.target_start())
 
     def target_rows(self) -> DataFrame:
         """Bucket rows in ``[target_start, target_start + interval)``."""
+        if self.window_cells is not None:
+            return self._strict("target")
         return self._rows_in(self.target_start(), self.target_end())
 
     def fit_rows(self) -> DataFrame:
+        if self.window_cells is not None:
+            return self._strict("input").where(F.col("split") == "train").drop("split")
         c = self.cfg.cutoffs
         b = self.buckets.where(self.role().isin("train", "train_overlap")).drop("role")
         return b.where((F.col("date") >= ts_lit(_dt(c.in_start))) & (F.col("date") < ts_lit(_dt(c.train))))
@@ -115,8 +126,25 @@ def _materialize(df: DataFrame, how: str) -> DataFrame:
     return df
 
 
+def strict_window_cells(tx: DataFrame, spec: BucketSpec, role: Column, starts: dict, ends: dict,
+                        t_starts: dict, t_ends: dict) -> DataFrame:
+    """Cells per (window kind, split, user, bucket, brand) built only from raw
+    rows inside each split's input / target window, so a bucket straddling a
+    cutoff contributes only its rows on the window's side (no future rows
+    leak into the input).  One aggregate for all splits and both kinds."""
+    lo, hi = min(starts.values()), max(t_ends.values())
+    raw = tx.where((F.col("date") >= ts_lit(lo)) & (F.col("date") < ts_lit(hi)))  # pushed to the scan
+    rows = bucketize(raw, spec).withColumn("split", F.explode(splits_of(role)))
+    kind = (F.when((F.col("date") >= split_case(starts)) & (F.col("date") < split_case(ends)), "input")
+            .when((F.col("date") >= split_case(t_starts)) & (F.col("date") < split_case(t_ends)), "target"))
+    return (rows.withColumn("window_kind", kind).where(F.col("window_kind").isNotNull())
+                .groupBy("window_kind", "split", "user_id", "k", "brand")
+                .agg(unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount"),
+                     F.min("date").alias("date")))
+
+
 def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSpec | None = None,
-            fit: bool = True, materialize: str | None = None) -> Prepared:
+            fit: bool = True, materialize: str | None = None, align: str = "bucket") -> Prepared:
     """Bucket, split and (optionally) fit.  Two scans of the source: a
     per-user summary (bucket bounds and the user list in one pass) and the
     bucket aggregate, pruned to the windows the splits use.
@@ -124,7 +152,13 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     ``materialize``: ``'persist'`` (default when ``persist``) caches the
     bucket table -- lost blocks are recomputed from a short lineage;
     ``'checkpoint'`` writes it to ``spark.checkpoint.dir`` and cuts the
-    lineage (long sweeps on clusters that lose executors); ``'none'``."""
+    lineage (long sweeps on clusters that lose executors); ``'none'``.
+
+    ``align``: ``'bucket'`` (default, as the reference) keeps a bucket
+    whole on the side of its first date; ``'strict'`` builds each window's
+    cells from the raw rows inside the window only."""
+    if align not in ("bucket", "strict"):
+        raise ValueError("align must be 'bucket' or 'strict'")
     how = materialize or ("persist" if persist else "none")
     summary = tx.groupBy("user_id").agg(
         F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -149,6 +183,10 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     buckets = _materialize(buckets, how)
     members = split_membership(roles)
     prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts, max_rows)
+    if align == "strict":
+        prep.window_cells = _materialize(strict_window_cells(
+            tx, spec, role_expr(cuts), prep.input_start(), prep.target_start(),
+            prep.target_start(), prep.target_end()), how)
     if fit:
         fit_encoders(prep)
     return prep

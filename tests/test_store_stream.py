@@ -170,3 +170,20 @@ def test_prepare_checkpointed_equals_persisted(spark, tx):
     key = lambda d: sorted(tuple(r) for r in d.collect())
     assert key(a.sequences()) == key(b.sequences())
     assert key(a.targets()) == key(b.targets())
+
+
+def test_strict_alignment_splits_a_straddling_bucket(spark, tx):
+    # 4-day buckets from 2024-01-01; the train target starts inside bucket 3 (01-09 .. 01-13]
+    rows = [(u, "2024-01-01", "A", 1) for u in range(1, 11)]
+    rows += [(u, "2024-01-10", "A", 10) for u in range(1, 11)]   # bucket 3, before the cutoff
+    rows += [(u, "2024-01-12", "A", 100) for u in range(1, 11)]  # bucket 3, after the cutoff
+    rows += [(u, "2024-01-30", "B", 1) for u in range(1, 11)]
+    cfg = DataConfig(interval="4D", cutoffs=Cutoffs("2024-01-01", "2024-01-11", "2024-01-11", "2024-01-11"))
+    loose = prepare(tx(rows), cfg)
+    strict = prepare(tx(rows), cfg, align="strict")
+    amounts = lambda p: sorted({r.amount for r in p.input_rows().where("k = 3").collect()})
+    assert amounts(loose) == [110.0]      # whole bucket on the side of its first date
+    assert amounts(strict) == [10.0]      # only the rows before the cutoff
+    tgt = {r.amount_raw for r in strict.targets().collect()}
+    assert tgt == {100.0}                 # the rest lands in the target window
+    assert {r.amount_raw for r in loose.targets().collect()} == set()
