@@ -813,3 +813,18 @@ def q_input_sequences_strict(spark, sf):
 def q_multi_hot_amount_strict(spark, sf):
     return prepare(tx_view(spark, sf), TX_CONFIG, align="strict").targets().select(
         "split", "user_id", "brand_id", "amount", "amount_raw")
+
+
+# ---------------------------------------------------------------- interval rescale (C9)
+# Fixed value: a 7-day prediction interval over the 28-day input buckets.
+PREDICTION_DAYS = 7
+_RATIO = PREDICTION_DAYS / 28
+
+
+@register("multi_hot_amount_rescaled", O.targets_sql("tx", TX_CONFIG) +
+          f"SELECT split, user_id, brand_id, amount * {O.d(_RATIO)} AS amount, "
+          f"amount_raw * {O.d(_RATIO)} AS amount_raw FROM tcells")
+def q_multi_hot_amount_rescaled(spark, sf):
+    """Targets with the prediction/input interval adjustment applied."""
+    return _prep(spark, sf).targets(ratio=_RATIO).select(
+        "split", "user_id", "brand_id", "amount", "amount_raw")
