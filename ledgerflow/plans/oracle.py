@@ -109,11 +109,11 @@ members AS (SELECT user_id, 'train' AS split FROM roles WHERE role IN ('train',
 wcells AS (SELECT * FROM cells WHERE date >= {ts(in_start)} AND date < {ts(last_end)}),
 sraw AS (SELECT b.user_id, b.k, b.brand, b.amount, b.date, m.split FROM bk b JOIN members m ON b.user_id = m.user_id
          WHERE b.k <= b.m),
-sin AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+strict_in AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
         WHERE date >= {ts(in_start)} AND date < {case(tstart)} GROUP BY split, user_id, k, brand),
-stg AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+strict_tg AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
         WHERE date >= {case(tstart)} AND date < {case(tend)} GROUP BY split, user_id, k, brand),
-fitrows AS ({"SELECT user_id, k, brand, amount, date FROM sin WHERE split = 'train'" if strict else
+fitrows AS ({"SELECT user_id, k, brand, amount, date FROM strict_in WHERE split = 'train'" if strict else
              f"""SELECT w.* FROM wcells w JOIN members m ON w.user_id = m.user_id AND m.split = 'train'
             WHERE w.date >= {ts(in_start)} AND w.date < {ts(tstart['train'])}"""}),
 bfirst AS (SELECT brand, user_id AS fu, k AS fk,
@@ -128,10 +128,10 @@ mm0 AS (SELECT CAST(min(amount) AS DOUBLE) AS lo, CAST(max(amount) AS DOUBLE) AS
 mm1 AS (SELECT lo, hi, ({d(b)} - {d(a)}) / (CASE WHEN hi - lo <> 0 THEN hi - lo ELSE {d(1.0)} END) AS scale FROM mm0),
 mm AS (SELECT lo, hi, scale, {d(a)} - lo * scale AS offset FROM mm1),
 ee AS (SELECT min(date) AS e FROM fitrows),
-inrows AS ({"SELECT user_id, k, brand, amount, date, split FROM sin" if strict else
+inrows AS ({"SELECT user_id, k, brand, amount, date, split FROM strict_in" if strict else
             f"""SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
            WHERE w.date >= {ts(in_start)} AND w.date < {case(tstart)}"""}),
-trows AS ({"SELECT user_id, k, brand, amount, date, split FROM stg" if strict else
+trows AS ({"SELECT user_id, k, brand, amount, date, split FROM strict_tg" if strict else
            f"""SELECT w.*, m.split FROM wcells w JOIN members m ON w.user_id = m.user_id
           WHERE w.date >= {case(tstart)} AND w.date < {case(tend)}"""}),
 nall AS ({' UNION ALL '.join(n_all)}),
