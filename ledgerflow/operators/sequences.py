@@ -3,12 +3,13 @@
 Sequences are produced in LONG form, one row per element
 ``(split, user_id, pos, <features>)`` with the start token at ``pos = 0`` and
 the end token last.  Elements are ordered by (bucket, brand) -- not date --
-like the reference.  Positions are computed without gathering a user's rows
-into one task: a per-(user, bucket) count gives running offsets (a user has
-at most as many buckets as the time range holds), and a rank inside each
-(user, bucket) gives the place within it.  A user holding a third of all rows
-is therefore spread over all of its buckets.  :func:`collect_sequences`
-builds the per-user arrays for consumers that need them.
+like the reference.  Positions come from one window per (split, user) when
+the longest user is checked to fit a task; otherwise a per-(user, bucket)
+count gives running offsets (a user has at most as many buckets as the time
+range holds) and a rank inside each (user, bucket) gives the place within
+it, so a user holding a third of all rows is spread over its buckets.
+:func:`collect_sequences` builds the per-user arrays for consumers that need
+them.
 
 Targets are SPARSE cells ``(split, user_id, brand_id, ...)``: only non-zero
 cells exist; the dense vector is :func:`dense_vectors`, guarded by a
@@ -144,8 +145,9 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
     sum (exact) and the scaled sum.  The scaled sum of a cell is
     ``scale * sum(x) + n * offset`` -- the sum of the per-row scaled values,
     computed from the exact raw sum.  ``ratio`` is the prediction/input
-    interval adjustment.  Rows of non-members are ignored; unknown brands
-    accumulate in the ``<UNK>`` slot.
+    interval adjustment.  ``rows`` are split members' rows (as produced by
+    ``Prepared.target_rows``); unknown brands accumulate in the ``<UNK>``
+    slot.
     """
     r = rows  # rows of split members only (Prepared.target_rows)
     grouped = amount_enc is not None and getattr(amount_enc, "group_by", None)
