@@ -41,3 +41,27 @@ def test_time_features(spark):
     out = df.select("tau", time_features(F.col("tau"), [.5, .5], [.2, .2], .5, .1).alias("f")).collect()
     for r in out:
         assert r.f == pytest.approx([math.sin(.5 * r.tau + .2)] * 2 + [.5 * r.tau + .1], abs=1e-6)
+
+
+def test_baseline_denominators(spark):
+    from pyspark.sql import functions as F
+    from ledgerflow.operators.encoders import BrandVocab
+    from ledgerflow.operators.predict import average_spend
+    rows = spark.createDataFrame(
+        [("test", 1, 1, "A", 10.0), ("test", 1, 3, "A", 30.0), ("test", 1, 3, "B", 5.0), ("test", 2, 2, "B", 7.0)],
+        "split string, user_id long, k long, brand string, amount double")
+    vocab = BrandVocab().fit(rows.withColumnRenamed("split", "s"), "brand")
+    got_all = {(r.user_id, r.brand_id): r.predicted
+               for r in average_spend(rows, vocab, F.lit(4), "all").collect()}
+    got_active = {(r.user_id, r.brand_id): r.predicted
+                  for r in average_spend(rows, vocab, F.lit(4), "active").collect()}
+    assert got_all == {(1, 3): 10.0, (1, 4): 1.25, (2, 4): 1.75}
+    assert got_active == {(1, 3): 20.0, (1, 4): 5.0, (2, 4): 7.0}
+
+
+def test_threshold_positive_cells(spark):
+    a = aligned(spark, [(0.004, 0), (5, 0.001), (6, 8)])
+    exact = cell_metrics(a, one_user(spark), 3).first()
+    loose = cell_metrics(a, one_user(spark), 3, threshold=0.01).first()
+    assert exact.n_positive == 2 and loose.n_positive == 1
+    assert loose.false_positive_rate == 0.5  # (5, 0.001) counts as a false positive now
