@@ -92,12 +92,13 @@ def trial_table(spark: SparkSession, space, n_trials: int, seed: int = 42) -> Da
                                for p in params])
 
 
-def brand_ranks(fit_rows: DataFrame) -> DataFrame:
-    """``(brand, brank)``: rank by count desc, first appearance (the top-N
-    order), over the distinct brand table."""
-    stats = BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k")).persist()
-    return global_row_number(stats, [F.col("cnt").desc(), F.col("first_seen"), F.col("brand")],
-                             -F.col("cnt"), "brank").select("brand", "brank")
+def brand_ranks(fit_rows: DataFrame) -> tuple[DataFrame, int]:
+    """``(brand, brank)`` ranked by count desc, first appearance (the top-N
+    order) over the distinct brand table, and the number of brands."""
+    stats, n = materialize_small(BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k")))
+    ranks = global_row_number(stats, [F.col("cnt").desc(), F.col("first_seen"), F.col("brand")],
+                              -F.col("cnt"), "brank", n_rows=n).select("brand", "brank")
+    return ranks.persist(), n
 
 
 def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lookback",
@@ -110,7 +111,7 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
         lo, hi = spec.bucket_range(c.in_start, c.target_start(s))
         k_last[s], n_all[s] = hi, max(0, hi - lo + 1)
     from ..plans.prepare import split_case
-    ranks, n_brands = materialize_small(brand_ranks(prep.fit_rows()))
+    ranks, n_brands = brand_ranks(prep.fit_rows())
     rk = sized_broadcast(ranks, n_brands)
     # Trials are parameters (one row each, as many as requested): each data
     # row fans out to the trials that use it with a narrow explode over a
