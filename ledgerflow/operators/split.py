@@ -77,7 +77,7 @@ def _hash_cols(users: DataFrame, seed: int, key: str = "user_id") -> DataFrame:
     return users.select(key).withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 4))
 
 
-def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None) -> dict:
+def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None, hist=None) -> dict:
     """Hash keys ``(md5, user_id)`` of the users at the three cut ranks.
 
     With them a user's role is a pure function of its own key, so rows are
@@ -87,7 +87,9 @@ def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None) ->
     hold a cut rank.
     """
     u = _hash_cols(users, splits.seed)
-    hist = sorted((r["_p"], r["c"]) for r in u.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect())
+    if hist is None:  # [(prefix, users)], unless the caller already has it
+        hist = u.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect()
+    hist = sorted((p, c) for p, c in hist)
     n = sum(c for _, c in hist) if n_users is None else n_users
     q = split_quotas(n, splits)
     ranks = {"test": q["test"], "val": q["test"] + q["val"],
@@ -114,6 +116,11 @@ def split_cuts(users: DataFrame, splits: Splits, n_users: int | None = None) ->
     return {"quotas": q, "cuts": cuts, "seed": splits.seed}
 
 
+def hash_prefix(seed: int, key: str = "user_id") -> Column:
+    """First four hex digits of the user's split hash (NULL for a NULL id)."""
+    return F.substring(F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string"))), 1, 4)
+
+
 def role_expr(cuts: dict, key: str = "user_id") -> Column:
     """Role of a user from its hash key and the cut keys (no join)."""
     h = F.md5(F.concat(F.lit(str(cuts["seed"])), F.lit(":"), F.col(key).cast("string")))

@@ -24,7 +24,7 @@ from ..operators.buckets import BucketSpec, bucket_aggregate, bucketize, fit_buc
 from ..operators.encoders import (BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
                                   first_seen_key)
 from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
-from ..operators.split import role_expr, split_cuts, split_membership, splits_of
+from ..operators.split import hash_prefix, role_expr, split_cuts, split_membership, splits_of
 
 SPLITS = ("train", "val", "test")
 
@@ -164,18 +164,23 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
         F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n"))
     if how != "none":
         summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
+    # one small aggregate (<= 16^4 + 1 rows) gives the bucket bounds, the
+    # busiest user's row count and the split's hash-prefix histogram
+    by_prefix = summary.groupBy(hash_prefix(cfg.splits.seed).alias("_p")).agg(
+        F.count("user_id").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.max(F.when(F.col("user_id").isNotNull(), F.col("n"))).alias("mx")).collect()
+    hist = [(r["_p"], r["c"]) for r in by_prefix if r["_p"] is not None]
+    los = [r["lo"] for r in by_prefix if r["lo"] is not None]
+    his = [r["hi"] for r in by_prefix if r["hi"] is not None]
+    mxs = [r["mx"] for r in by_prefix if r["mx"] is not None]
+    max_rows = max(mxs) if mxs else 0
     if spec is None:
-        b = summary.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                        F.max(F.when(F.col("user_id").isNotNull(), F.col("n"))).alias("mx")).first()
-        spec = fit_buckets(tx, cfg.interval, origin=b["lo"], end=b["hi"]) if b["lo"] is not None \
+        spec = fit_buckets(tx, cfg.interval, origin=min(los), end=max(his)) if los \
             else fit_buckets(tx, cfg.interval)
-        max_rows = b["mx"]
-    else:
-        max_rows = None
     c = cfg.cutoffs
     last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
     users = summary.where(F.col("user_id").isNotNull()).select("user_id")
-    cuts = split_cuts(users, cfg.splits)  # the prefix histogram also yields the user count
+    cuts = split_cuts(users, cfg.splits, hist=hist)  # the histogram also yields the user count
     n = cuts["quotas"]["n"]
     roles = users.withColumn("role", role_expr(cuts))
     # the role travels with each bucket row: computed once, before caching
