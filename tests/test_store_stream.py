@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import D
@@ -54,7 +55,8 @@ def test_cache_hit_and_miss(spark, tx, tmp_path):
     assert not hit and key4 != key
 
 
-def test_streaming_equals_batch(spark, tx, tmp_path):
+@pytest.mark.parametrize("interval", ["3D", "1W"])
+def test_streaming_equals_batch(spark, tx, tmp_path, interval):
     import random
     rnd = random.Random(5)
     base = D("2024-01-01 03:00")
@@ -63,10 +65,12 @@ def test_streaming_equals_batch(spark, tx, tmp_path):
     df = tx(data)
     src = tmp_path / "in"
     df.write.parquet(str(src))
-    spec = fit_buckets(df, "3D")
+    spec = fit_buckets(df, interval)
     batch = sorted(tuple(r) for r in bucket_aggregate(df, spec).collect())
     stream = spark.readStream.schema(df.schema).parquet(str(src))
-    out = run_to_table(spark, stream_bucket_aggregate(stream, spec.origin, "3D", "365 days", spec.n_buckets),
+    # the stream takes the raw earliest date and anchors weeks itself
+    raw_lo = df.agg(F.min("date")).first()[0]
+    out = run_to_table(spark, stream_bucket_aggregate(stream, raw_lo, interval, "365 days", spec.n_buckets),
                        "complete")
     assert sorted(tuple(r) for r in out.select("user_id", "k", "brand", "amount", "date").collect()) == batch
 
