@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from ledgerflow.llm import ftrl, html_mss, piece_bpe, trigram_secrets, wu_manber
+from ledgerflow.llm import adaptive_rules, chosen_path, ftrl, html_mss, piece_bpe, trigram_secrets, wu_manber
 
 QUERIES = {
     "op4_trigram_secrets": trigram_secrets.op4_trigram_secrets,
+    "op5_adaptive_rules": adaptive_rules.op5_adaptive_rules,
+    "op6_chosen_path": chosen_path.op6_chosen_path,
     "op7_ftrl": ftrl.op7_ftrl,
     "op8_html_mss": html_mss.op8_html_mss,
     "op9_wu_manber": wu_manber.op9_wu_manber,
@@ -13,5 +15,7 @@ QUERIES = {
 
 ORACLE = {
     "op4_trigram_secrets": trigram_secrets.ORACLE,
+    "op5_adaptive_rules": adaptive_rules.ORACLE,
+    "op6_chosen_path": chosen_path.ORACLE,
     "op9_wu_manber": wu_manber.ORACLE,
 }

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NONE = np.int64(1) << 40
 
-ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()),
+ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                         T.StructField("decoded", T.StringType())])
 
 
@@ -204,7 +205,7 @@ class Vocabulary:
         return self.raw(ids).removeprefix(" ")
 
     def encode(self, texts: list[str], known: dict[str, tuple[int, str, str]]) -> list[list[str]]:
-        """The chunks of each text; ``known`` gets (number of ids, ids, decoded text) of each."""
+        """The chunks of each text; ``known`` gets (number of ids, ids in decimal, decoded text) of each."""
         cut = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list({c for one in cut for c in one}.difference(known))
         short, long = [c for c in new if len(c) <= LONG], [c for c in new if len(c) > LONG]
@@ -232,24 +233,28 @@ def _cache(path: str) -> dict[str, tuple[int, str, str]]:
     return {}
 
 
-def encode_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
+def _encoded(path: str, column: pa.Array) -> Iterator[tuple[int, str, str]]:
+    """(number of ids, ids in decimal, decoded text) of each text."""
     known = _cache(path)
     if len(known) > CACHE:
         known.clear()
-    cut = vocabulary(path).encode([t or "" for t in column.to_pylist()], known)
-    n, ids, decoded = [], [], []
-    for chunks in cut:
+    for chunks in vocabulary(path).encode([t or "" for t in column.to_pylist()], known):
         each = [known[c] for c in chunks]
-        n.append(sum(x[0] for x in each))
-        ids.append(",".join([x[1] for x in each]))
-        decoded.append("".join([x[2] for x in each])[1:])
-    return {"n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())}
+        yield sum([x[0] for x in each]), ",".join([x[1] for x in each]), "".join([x[2] for x in each])[1:]
+
+
+def encode_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
+    n, ids, decoded = zip(*_encoded(path, column))
+    flat = np.array(",".join(filter(None, ids)).split(",") if any(n) else [], np.int32)
+    at = pa.array(np.cumsum([0, *n]).astype(np.int32))
+    return {"n_tokens": pa.array(n, pa.int64()), "ids": pa.ListArray.from_arrays(at, pa.array(flat)),
+            "decoded": pa.array(decoded, pa.string())}
 
 
 def digest_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
-    got = encode_struct(path, column)
-    sha = lambda a: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in a.to_pylist()], pa.string())
-    return {"n_tokens": got["n_tokens"], "ids_sha256": sha(got["ids"]), "decoded_sha256": sha(got["decoded"])}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    n, ids, decoded = zip(*((n, sha(i), sha(d)) for n, i, d in _encoded(path, column)))
+    return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
@@ -263,7 +268,7 @@ def default_model() -> str:
 
 
 def encode(docs: DataFrame, *, model: str | None = None, text: str = "text", name: str = "__pieces") -> DataFrame:
-    """``docs`` plus a struct column ``name``: n_tokens, ids (decimal, comma-joined), decoded."""
+    """``docs`` plus a struct column ``name``: n_tokens, ids, decoded."""
     path = model or default_model()
     return with_struct(docs, text, name, ENCODED, lambda column: encode_struct(path, column))
 
