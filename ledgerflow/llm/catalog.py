@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from ledgerflow.llm import adaptive_rules, chosen_path, context_mixing, ftrl, html_mss, piece_bpe, quote_links, trigram_secrets, wu_manber
+from ledgerflow.llm import adaptive_rules, chosen_path, context_mixing, ftrl, html_mss, kneser_ney, piece_bpe, quote_links, trigram_secrets, wu_manber
 
 QUERIES = {
     "op1_quote_links": quote_links.op1_quote_links,
     "op2_context_mixing": context_mixing.op2_context_mixing,
+    "op3_kneser_ney": kneser_ney.op3_kneser_ney,
     "op4_trigram_secrets": trigram_secrets.op4_trigram_secrets,
     "op5_adaptive_rules": adaptive_rules.op5_adaptive_rules,
     "op6_chosen_path": chosen_path.op6_chosen_path,
