@@ -107,7 +107,8 @@ def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 def judge(measured: DataFrame, *, groups: tuple[str, ...] = ("lang", "source"), name: str = "__q",
           kept: str = "__kept") -> DataFrame:
-    """``measured`` plus the boolean column ``kept``."""
+    """``measured``, which should be a written table as it is read twice, plus the boolean column
+    ``kept``."""
     keys = [f"g{i}" for i in range(len(groups))]
     sketch = written(sketches(measured, groups=groups, name=name), "sketches")
     # the sketch of all texts is the sum of the groups' sketches

@@ -70,9 +70,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
-                work: Callable[[pa.Array], dict[str, pa.Array]]) -> DataFrame:
+                work: Callable[[pa.Array], dict[str, pa.Array]], drop: bool = False) -> DataFrame:
     """All rows and columns of ``df`` plus one struct column ``name`` that ``work`` derives from
-    the text column, slice by slice."""
+    the text column, slice by slice. ``drop`` leaves the text column out, which saves sending it
+    back from the workers."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
@@ -82,9 +83,10 @@ def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
             got = work(part.column(part.schema.get_field_index(column)))
             fields = [arrow.field(i) for i in range(arrow.num_fields)]
             struct = pa.StructArray.from_arrays([_as(got[f.name], f.type) for f in fields], fields=fields)
-            yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])
+            kept = [c for c in part.schema.names if not (drop and c == column)]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), struct], [*kept, name])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    schema = T.StructType([*(f for f in df.schema.fields if not (drop and f.name == column)), T.StructField(name, kind)])
     return df.mapInArrow(run, schema)
 
 

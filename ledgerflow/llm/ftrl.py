@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, text: str = "text"
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, text: str = "text",
-          buckets: int = BUCKETS, name: str = "__toxic") -> DataFrame:
-    """``docs`` plus a struct column ``name`` with ``score``, the probability of label 1."""
+          buckets: int = BUCKETS, name: str = "__toxic", drop: bool = False) -> DataFrame:
+    """``docs`` plus a struct column ``name`` with ``score``, the probability of label 1; ``drop``
+    leaves the text out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(column: pa.Array) -> dict[str, pa.Array]:
@@ -136,13 +137,13 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, text:
         total = bias + np.bincount(key // buckets, w[key % buckets], len(column))
         return {"score": pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))}
 
-    return with_struct(docs, text, name, T.StructType([T.StructField("score", T.DoubleType())]), work)
+    return with_struct(docs, text, name, T.StructType([T.StructField("score", T.DoubleType())]), work, drop)
 
 
 def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     model = fit(docs, table(spark, sf_dir, "labels"), fold != 1)
-    return score(docs, model).select(
+    return score(docs, model, drop=True).select(
         "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col("__toxic.score").alias("score"),
         (F.col("__toxic.score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -47,7 +47,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     for j in range(ORDER):
         symbol = np.zeros(n, np.int64)
-        symbol[j:] = data[:n - j] + np.int64(1)
+        symbol[j:] = data[:max(n - j, 0)] + np.int64(1)
         symbol[place < j] = 0
         out |= symbol << (SYMBOL_BITS * j)
     return out

@@ -195,7 +195,7 @@ _WORDS = ("list_filter(string_split(regexp_replace(translate({0}, 'ABCDEFGHIJKLM
 
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT cast(item_id AS VARCHAR) AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+b AS (SELECT coalesce(cast(item_id AS VARCHAR), 'null') AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
 wins AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
   FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM wins),
