@@ -1,21 +1,24 @@
-"""Fixed-point money arithmetic.
+"""Sums of money that do not depend on the order in which rows meet.
 
-Double sums depend on the order rows meet, so two engines (or two runs with a
-different partitioning) disagree in the last bits.  Amounts are summed as
-integers of 1/10,000 of a unit instead; the sum is exact and associative, and
-converting back to DOUBLE gives the same value everywhere.
+Amounts are summed as plain DOUBLE.  The last bits of such a sum depend on how
+rows are dealt to tasks, so a finished sum is kept to ``DIGITS`` significant
+digits: a relative rounding far above the noise of summation and below any
+amount's own precision.  Nothing is rounded before it is summed, and no value,
+however small, becomes zero.
 """
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FX_SCALE = 10_000
+DIGITS = 13
 
 
-def fx(c: Column) -> Column:
-    """DOUBLE amount -> BIGINT count of 1/10,000 units (half away from zero)."""
-    return F.round(c * F.lit(float(FX_SCALE))).cast("bigint")
+def settled(total: Column) -> Column:
+    """A finished DOUBLE sum kept to ``DIGITS`` significant digits (NULL stays NULL)."""
+    x = total.cast("double")
+    unit = F.pow(F.lit(10.0), F.lit(float(DIGITS - 1)) - F.floor(F.log10(F.abs(x))).cast("double"))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * unit) / unit)
 
 
-def unfx(c: Column) -> Column:
-    """BIGINT fixed-point -> DOUBLE."""
-    return c.cast("double") / F.lit(float(FX_SCALE))
+def money_sum(amount: Column) -> Column:
+    """Settled sum of an amount column, 0 for no rows."""
+    return settled(F.coalesce(F.sum(amount.cast("double")), F.lit(0.0)))

@@ -58,7 +58,8 @@ def time_features(tau: Column, w: Sequence[float], b: Sequence[float],
 def piecewise_linear(x: Column, edges: Column) -> Column:
     """Piecewise-linear encoding of ``x`` over bin ``edges`` (ascending array
     of B+1 values): one ratio per bin, ``(x - e_i) / (e_{i+1} - e_i)``, clamped
-    to [0, 1] except below the first bin and above the last one."""
+    to [0, 1] except below the first bin and above the last one.  Fewer than
+    two edges (a constant column has one) make no bin: the result is empty."""
     n_bins = F.size(edges) - 1
     xd = x.cast("double")
 
@@ -69,4 +70,5 @@ def piecewise_linear(x: Column, edges: Column) -> Column:
         r = F.when(i > 0, F.greatest(r, F.lit(0.0))).otherwise(r)
         return F.when(i < n_bins - 1, F.least(r, F.lit(1.0))).otherwise(r)
 
-    return F.transform(F.sequence(F.lit(0), n_bins - 1), ratio)
+    bins = F.when(n_bins > 0, F.sequence(F.lit(0), F.greatest(n_bins, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(bins, ratio)

@@ -1,9 +1,10 @@
 """Batches, padding and masks over long-form sequences.
 
-Batch assignment is fixed-size within hash shards: ``shard`` comes from
-``md5(seed:user)`` and each (split, shard) window numbers its users, so no
-window spans a whole split.  Train users are ordered by a seeded hash
-(shuffled), val/test users by id.  A batch is ``(split, shard, batch)``.
+Batches hold exactly ``batch_size`` users of a split (the last one what is
+left).  Users are ordered by a seeded hash; the exact rank is the offset of
+the hash's first four hex digits (at most 16^4 counts per split, so the
+offsets are broadcast) plus a row number among the users that share them, so
+no window spans a split.
 
 Padding repeats each sequence's last element (its end token) up to the batch
 maximum length; the mask is ``false`` on real elements and ``true`` on
@@ -15,40 +16,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _h(seed: int, *parts):
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
-
-
-def assign_batches(members: DataFrame, batch_size: int = 32, shards: int = 256,
-                   seed: int = 42) -> DataFrame:
-    """``(split, user_id, shard, batch, slot)``."""
-    h = _h(seed, F.col("user_id").cast("string"))
-    shard = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
-    train_key = F.when(F.col("split") == "train", _h(seed, F.lit("train"), F.col("user_id").cast("string")))
-    m = members.withColumn("shard", shard).withColumn("_key", train_key)
-    w = Window.partitionBy("split", "shard").orderBy("_key", "user_id")
-    rn = F.row_number().over(w) - 1
-    return m.select("split", "user_id", "shard",
-                    F.floor(rn / F.lit(batch_size)).cast("int").alias("batch"),
-                    F.pmod(rn, F.lit(batch_size)).cast("int").alias("slot"))
+def assign_batches(members: DataFrame, batch_size: int = 32, seed: int = 42) -> DataFrame:
+    """``(split, user_id, batch, slot)``: ``ceil(n / batch_size)`` batches per split."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("split"), F.col("user_id").cast("string")))
+    m = members.select("split", "user_id", h.alias("_h")).withColumn("_p", F.substring("_h", 1, 4))
+    counts = m.groupBy("split", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("split").orderBy("_p")  # <= 16^4 rows per split
+    offsets = counts.select("split", "_p", (F.sum("_c").over(before) - F.col("_c")).alias("_off"))
+    inner = Window.partitionBy("split", "_p").orderBy("_h", "user_id")
+    rank = F.col("_off") + F.row_number().over(inner) - 1
+    return (m.join(F.broadcast(offsets), ["split", "_p"])
+             .select("split", "user_id", F.floor(rank / F.lit(batch_size)).cast("int").alias("batch"),
+                     F.pmod(rank, F.lit(batch_size)).cast("int").alias("slot")))
 
 
 def pad_and_mask(seq: DataFrame, batches: DataFrame, features) -> DataFrame:
-    """Padded long form ``(split, shard, batch, user_id, pos, <features>, mask)``."""
+    """Padded long form ``(split, batch, user_id, pos, <features>, mask)``."""
     features = list(features)
     lengths = seq.groupBy("split", "user_id").agg(F.max("pos").alias("_last"))
     lb = batches.join(lengths, ["split", "user_id"])
-    wb = Window.partitionBy("split", "shard", "batch")
+    wb = Window.partitionBy("split", "batch")
     lb = lb.withColumn("_len", F.col("_last") + 1).withColumn("_max", F.max("_len").over(wb))
-    real = (seq.join(lb.select("split", "user_id", "shard", "batch"), ["split", "user_id"])
-               .withColumn("mask", F.lit(False)))
-    last = seq.join(lb.select("split", "user_id", "shard", "batch", "_last", "_len", "_max")
-                    .where(F.col("_max") > F.col("_len")),
-                    ["split", "user_id"]).where(F.col("pos") == F.col("_last"))
-    pads = (last.withColumn("pos", F.explode(F.sequence(F.col("_len"), F.col("_max") - 1)))
-                .withColumn("mask", F.lit(True)))
-    cols = ["split", "shard", "batch", "user_id", "pos", *features, "mask"]
-    return real.select(*cols).unionByName(pads.select(*cols))
+    # the last element of a shorter sequence stands for itself and its padding
+    at = F.when(F.col("pos") == F.col("_last"), F.sequence(F.col("pos"), F.col("_max") - 1)).otherwise(F.array("pos"))
+    return (seq.join(lb.select("split", "user_id", "batch", "_last", "_max"), ["split", "user_id"])
+               .withColumn("_at", F.explode(at))
+               .select("split", "batch", "user_id", F.col("_at").alias("pos"), *features,
+                       (F.col("_at") > F.col("_last")).alias("mask")))
 
 
 def unbatch(padded: DataFrame, features) -> DataFrame:
@@ -59,9 +53,9 @@ def unbatch(padded: DataFrame, features) -> DataFrame:
 def collate_arrays(padded: DataFrame, features) -> DataFrame:
     """Per user: padded arrays and the mask array, ordered by position."""
     features = list(features)
-    g = padded.groupBy("split", "shard", "batch", "user_id").agg(
+    g = padded.groupBy("split", "batch", "user_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", *features, "mask"))).alias("_e"))
-    return g.select("split", "shard", "batch", "user_id",
+    return g.select("split", "batch", "user_id",
                     *[F.transform("_e", _field(f)).alias(f) for f in features],
                     F.transform("_e", lambda x: x["mask"]).alias("mask"))
 

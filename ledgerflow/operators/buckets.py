@@ -21,7 +21,7 @@ from typing import Optional, Tuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import money_sum
 from ..functions.timecols import add_micros, micros_between, parse_interval, ts_lit, ts_text
 
 _ONE_US = dt.timedelta(microseconds=1)
@@ -150,7 +150,7 @@ def bucket_aggregate(df: DataFrame, spec: BucketSpec, window=None,
         src = window_prefilter(src, spec, *window)
     rows = bucketize(src, spec, keep_tail=keep_tail)
     agg = rows.groupBy("user_id", "k", "brand").agg(
-        unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount"),
+        money_sum(F.col("amount")).alias("amount"),
         F.min("date").alias("date"),
     )
     if window is not None:
@@ -187,7 +187,7 @@ def bucket_coverage(df: DataFrame, spec: BucketSpec) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count(F.when(inside, 1)).alias("n_binned"),
         F.count(F.when(~inside, 1)).alias("n_dropped"),
-        unfx(F.coalesce(F.sum(F.when(inside, fx(F.col("amount")))), F.lit(0).cast("bigint"))).alias("amount_binned"),
+        money_sum(F.when(inside, F.col("amount"))).alias("amount_binned"),
     )
 
 
@@ -204,7 +204,7 @@ def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
     n_brands = df.where(F.col("brand").isNotNull()).select("brand").distinct() \
         .agg(F.count(F.lit(1))).scalar()
     out = cells.agg(F.count(F.lit(1)).alias("n_nonempty"),
-                    unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount")
+                    money_sum(F.col("amount")).alias("amount")
                     ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")
     n_cells = F.col("n_users") * F.col("n_brands") * F.lit(spec.n_buckets)
     return out.select(

@@ -5,7 +5,7 @@ a prediction or an actual value exist as rows (full outer join); all other
 cells are zero on both sides and are counted arithmetically.  A cell is
 positive when ``|value| > threshold`` (default: non-zero).
 
-Money differences are summed in exact fixed point; only the percentage
+Sums of differences are kept to 13 significant digits; only the percentage
 error (a sum of ratios) is rounded to 9 decimals to be independent of
 summation order.  An empty denominator gives NULL (numpy gives NaN).
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import FX_SCALE, fx
+from ..functions.fixedpoint import settled
 from ..registry import Registry
 
 LOSSES = Registry("loss")
@@ -30,24 +30,24 @@ def align(pred: DataFrame, actual: DataFrame, pred_col: str = "predicted",
         *keys, F.coalesce("_p", F.lit(0.0)).alias("p"), F.coalesce("_t", F.lit(0.0)).alias("t"))
 
 
-def _absdiff_fx():
-    return F.abs(fx(F.col("p")) - fx(F.col("t")))
+def _absdiff():
+    return F.abs(F.col("p") - F.col("t"))
 
 
 @LOSSES.register("l1")
 def l1_sum():
-    return F.sum(_absdiff_fx())
+    return settled(F.sum(_absdiff()))
 
 
 @LOSSES.register("l2")
 def l2_sum():
-    d = (fx(F.col("p")) - fx(F.col("t"))).cast("decimal(38,0)")
-    return F.sum(d * d)
+    d = F.col("p") - F.col("t")
+    return settled(F.sum(d * d))
 
 
 @LOSSES.register("no_op")
 def no_op_sum():
-    return F.lit(0).cast("bigint")
+    return F.lit(0.0)
 
 
 def cell_metrics(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int,
@@ -60,7 +60,7 @@ def cell_metrics(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int
         F.count(F.when(tpos, 1)).alias("n_positive"),
         F.count(F.when(~tpos & ppos, 1)).alias("_fp"),
         F.count(F.when(tpos & ~ppos, 1)).alias("_fn"),
-        F.sum(F.when(tpos, _absdiff_fx())).alias("_ae"),
+        settled(F.sum(F.when(tpos, _absdiff()))).alias("_ae"),
         F.avg(F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t")))).alias("_pe"),
     )
     j = users_per_split.join(agg, "split", "left").fillna(0, ["n_positive", "_fp", "_fn"])
@@ -70,7 +70,7 @@ def cell_metrics(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int
         "split", "n_users", n_cells.alias("n_cells"), "n_positive",
         F.try_divide(F.col("_fp").cast("double"), neg.cast("double")).alias("false_positive_rate"),
         F.try_divide(F.col("_fn").cast("double"), F.col("n_positive").cast("double")).alias("false_negative_rate"),
-        F.try_divide(F.col("_ae").cast("double") / F.lit(float(FX_SCALE)),
+        F.try_divide(F.col("_ae"),
                      F.col("n_positive").cast("double")).alias("positive_mae"),
         F.round(F.col("_pe") * F.lit(100.0), 9).alias("percentage_error"),
     )
@@ -84,10 +84,8 @@ def cell_losses(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int)
     n_cells = (F.col("n_users") * F.lit(vocab_size)).cast("double")
     return j.select(
         "split", "n_users",
-        F.try_divide(F.coalesce(F.col("_l1"), F.lit(0)).cast("double") / F.lit(float(FX_SCALE)),
-                     n_cells).alias("l1"),
-        F.try_divide(F.coalesce(F.col("_l2"), F.lit(0)).cast("double") / F.lit(float(FX_SCALE) ** 2),
-                     n_cells).alias("l2"),
+        F.try_divide(F.coalesce(F.col("_l1"), F.lit(0.0)), n_cells).alias("l1"),
+        F.try_divide(F.coalesce(F.col("_l2"), F.lit(0.0)), n_cells).alias("l2"),
         F.lit(0.0).alias("no_op"))
 
 
@@ -96,10 +94,9 @@ def batch_mean_loss(aligned: DataFrame, batches: DataFrame, vocab_size: int) ->
     batch's mean absolute cell error (a short last batch weighs the same)."""
     per_user = aligned.groupBy("split", "user_id").agg(l1_sum().alias("_l1"))
     b = batches.join(per_user, ["split", "user_id"], "left")
-    per_batch = b.groupBy("split", "shard", "batch").agg(
-        F.coalesce(F.sum("_l1"), F.lit(0)).alias("_l1"), F.count(F.lit(1)).alias("_n"))
-    loss = (F.col("_l1").cast("double") / F.lit(float(FX_SCALE))
-            / (F.col("_n") * F.lit(vocab_size)).cast("double"))
+    per_batch = b.groupBy("split", "batch").agg(
+        settled(F.coalesce(F.sum("_l1"), F.lit(0.0))).alias("_l1"), F.count(F.lit(1)).alias("_n"))
+    loss = (F.col("_l1") / (F.col("_n") * F.lit(vocab_size)).cast("double"))
     return per_batch.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_batches"),
         F.round(F.avg(loss), 9).alias("mean_batch_l1"))

@@ -3,7 +3,7 @@
 ``baseline.avg``: for each user and brand the input-window spend divided by
 the number of intervals -- all intervals in the window (``'all'``, empty ones
 count as zero) or only those where the user bought the brand
-(``'active'``).  Predictions are rounded to 1/10,000 of a currency unit.
+(``'active'``). 
 User code can register its own predictor (e.g. a ``mapInPandas`` scorer).
 """
 from __future__ import annotations
@@ -11,16 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import settled
 from ..registry import Registry
 
 PREDICTORS = Registry("predictor")
 
 
-def _round_fx(sum_fx, denom):
-    return F.round(sum_fx.cast("double") / denom.cast("double")).cast("bigint")
-
-
 @PREDICTORS.register("baseline.avg")
 def average_spend(rows: DataFrame, brand_enc, n_intervals, denominator: str = "all") -> DataFrame:
     """``rows``: ``(split, user_id, k, brand, amount)`` in each input window.
@@ -30,10 +26,10 @@ def average_spend(rows: DataFrame, brand_enc, n_intervals, denominator: str = "a
         raise ValueError("denominator must be 'all' or 'active'")
     enc = brand_enc.transform(rows, "brand", "brand_id")
     g = enc.groupBy("split", "user_id", "brand_id").agg(
-        F.sum(fx(F.col("amount"))).alias("_s"), F.countDistinct("k").alias("_active"))
+        F.sum("amount").alias("_s"), F.countDistinct("k").alias("_active"))
     denom = n_intervals if denominator == "all" else F.col("_active")
     return g.select("split", "user_id", F.col("brand_id").cast("int").alias("brand_id"),
-                    unfx(_round_fx(F.col("_s"), denom)).alias("predicted"))
+                    (settled(F.col("_s")) / denom.cast("double")).alias("predicted"))
 
 
 def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):

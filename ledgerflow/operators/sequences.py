@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import settled
 from ..registry import Registry
 
 SEQUENCE_BUILDERS = Registry("sequence builder")
@@ -155,9 +155,9 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
         # one scaler per raw group value: scale per (user, brand) first, then
         # fold brands into ids (unknown brands share the <UNK> slot)
         per_b = r.groupBy("split", "user_id", "brand").agg(
-            F.sum(fx(F.col("amount"))).alias("_s"), F.count(F.lit(1)).alias("_n"))
+            F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_n"))
         per_b = amount_enc.with_params(per_b).withColumn(
-            "_sx", unfx(F.col("_s")) * F.col("_scale") + F.col("_n").cast("double") * F.col("_offset"))
+            "_sx", settled(F.col("_s")) * F.col("_scale") + F.col("_n").cast("double") * F.col("_offset"))
         enc = brand_enc.transform(per_b, "brand", "brand_id")
         cells = enc.groupBy("split", "user_id", "brand_id").agg(
             F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_sx").alias("_sx"))
@@ -165,9 +165,9 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
     else:
         enc = brand_enc.transform(r, "brand", "brand_id")
         cells = enc.groupBy("split", "user_id", "brand_id").agg(
-            F.sum(fx(F.col("amount"))).alias("_s"), F.count(F.lit(1)).alias("_n"))
+            F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_n"))
         scaled = None
-    raw = unfx(F.col("_s"))
+    raw = settled(F.col("_s"))
     if scaled is None:
         if amount_enc is not None:
             scale, offset = amount_enc.params

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import FX_SCALE, fx, unfx
+from ..functions.fixedpoint import settled
 from .encoders import UNK, BrandVocab
 from .joins import materialize_small, sized_broadcast
 from .ranking import global_row_number
@@ -136,15 +136,15 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
     # lookback / denominator depend on the trial only: grouping keys, not
     # first() buffers, so the aggregate stays a hash aggregate
     g = x.groupBy("trial", "lookback", "denominator", "split", "user_id", slot(x).alias("slot")).agg(
-        F.sum(fx(F.col("amount"))).alias("_s"), F.countDistinct("k").alias("_active"))
+        F.sum("amount").alias("_s"), F.countDistinct("k").alias("_active"))
     den = F.when(F.col("denominator") == "all",
                  F.least(F.col("lookback"), split_case(n_all).cast("bigint"))).otherwise(F.col("_active"))
     pred = g.select("trial", "split", "user_id", "slot",
-                    unfx(F.round(F.col("_s").cast("double") / den.cast("double")).cast("bigint")).alias("_p"))
+                    (settled(F.col("_s")) / den.cast("double")).alias("_p"))
 
     tgt = fan_out(prep.target_rows().join(rk, "brand", "left"))
     act = tgt.groupBy("trial", "split", "user_id", slot(tgt).alias("slot")).agg(
-        unfx(F.sum(fx(F.col("amount")))).alias("_t"))
+        settled(F.sum("amount")).alias("_t"))
     keys = ["trial", "split", "user_id", "slot"]
     aligned = pred.join(act, keys, "full_outer").select(
         *keys, F.coalesce("_p", F.lit(0.0)).alias("p"), F.coalesce("_t", F.lit(0.0)).alias("t"))
@@ -162,7 +162,7 @@ def _metrics_by_trial(aligned: DataFrame, cells: DataFrame) -> DataFrame:
         F.count(F.when(tpos, 1)).alias("n_positive"),
         F.count(F.when(~tpos & ppos, 1)).alias("_fp"),
         F.count(F.when(tpos & ~ppos, 1)).alias("_fn"),
-        F.sum(F.when(tpos, F.abs(fx(F.col("p")) - fx(F.col("t"))))).alias("_ae"),
+        F.sum(F.when(tpos, F.abs(F.col("p") - F.col("t")))).alias("_ae"),
         F.avg(F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t")))).alias("_pe"))
     j = cells.join(agg, ["trial", "split"], "left").fillna(0, ["n_positive", "_fp", "_fn"])
     n_cells = F.col("n_users") * F.col("vocab_size")
@@ -170,7 +170,7 @@ def _metrics_by_trial(aligned: DataFrame, cells: DataFrame) -> DataFrame:
         "trial", "split", "n_users", n_cells.alias("n_cells"), "n_positive",
         F.try_divide(F.col("_fp").cast("double"), (n_cells - F.col("n_positive")).cast("double")).alias("false_positive_rate"),
         F.try_divide(F.col("_fn").cast("double"), F.col("n_positive").cast("double")).alias("false_negative_rate"),
-        F.try_divide(F.col("_ae").cast("double") / F.lit(float(FX_SCALE)),
+        F.try_divide(settled(F.col("_ae")),
                      F.col("n_positive").cast("double")).alias("positive_mae"),
         F.round(F.col("_pe") * F.lit(100.0), 9).alias("percentage_error"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EV_CONFIG, TX_CONFIG, DataConfig
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import money_sum
 from ..operators.buckets import (bucket_aggregate, bucket_coverage, bucket_label, date_window,
                                  dense_grid_summary, fit_buckets)
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder
@@ -34,11 +34,6 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _fxsum(col):
-    """Exact fixed-point sum of a money column (0 for no rows)."""
-    return unfx(F.coalesce(F.sum(fx(F.col(col))), F.lit(0).cast("bigint")))
-
-
 def _view(spark, sf_dir, view):
     return tx_view(spark, sf_dir) if view == "tx" else ev_view(spark, sf_dir)
 
@@ -54,8 +49,17 @@ EV_BUCKET_INTERVAL = "7D"
 FREQ_THRESHOLD = 0.04
 
 # ---------------------------------------------------------------- sources
-register("read_transactions", f"{O.SOURCES['tx']}")(
-    lambda spark, sf: tx_view(spark, sf))
+@register("read_transactions", f"{O.SOURCES['tx']}")
+def q_read_transactions(spark, sf):
+    """The view through CSV: written with its columns in another order and one
+    more, read by header name."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.views import read_transactions
+    path = scratch_path(spark, "ledgerflow-csv", uuid.uuid4().hex)
+    tx_view(spark, sf).select("amount", "brand", F.lit("x").alias("note"), "user_id", "date").write.option("header", True).csv(path)
+    return read_transactions(spark, path)
+
 
 # ---------------------------------------------------------------- buckets
 _CELLS = "SELECT user_id, k, brand, amount, date FROM cells"
@@ -102,7 +106,7 @@ def q_bucket_label(spark, sf):
 @register("bucket_coverage", O.chain("ev", EV_CONFIG, interval=EV_BUCKET_INTERVAL) + f"""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE inside) AS n_binned,
        count(*) FILTER (WHERE NOT inside) AS n_dropped,
-       {O.fxsum('CASE WHEN inside THEN amount END')} AS amount_binned
+       {O.money_sum('CASE WHEN inside THEN amount END')} AS amount_binned
 FROM (SELECT r.amount, r.date >= spec.lo AND {O.bucket_idx('r.date', 7 * 86_400_000_000)} <= spec.m AS inside
       FROM raw r, spec)""")
 def q_bucket_coverage(spark, sf):
@@ -110,11 +114,11 @@ def q_bucket_coverage(spark, sf):
     return bucket_coverage(ev, fit_buckets(ev, EV_BUCKET_INTERVAL))
 
 
-@register("densify", O.chain("tx", TX_CONFIG) + """
+@register("densify", O.chain("tx", TX_CONFIG) + f"""
 SELECT u.n_users, spec.m AS n_buckets, u.n_brands, u.n_users * u.n_brands * spec.m AS n_cells,
        f.n_nonempty, u.n_users * u.n_brands * spec.m - f.n_nonempty AS n_empty, f.amount
 FROM (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT brand) AS n_brands FROM src) u,
-     (SELECT count(*) AS n_nonempty, CAST(coalesce(sum(CAST(round(amount * 10000.0) AS BIGINT)), 0) AS DOUBLE) / 10000.0::DOUBLE AS amount FROM cells) f,
+     (SELECT count(*) AS n_nonempty, {O.money_sum('amount')} AS amount FROM cells) f,
      spec""")
 def q_densify(spark, sf):
     tx = tx_view(spark, sf)
@@ -136,11 +140,11 @@ def _split_windows_spark(prep: Prepared) -> DataFrame:
     tgt = prep.target_rows().withColumn("window_kind", F.lit("target"))
     return inp.unionByName(tgt).groupBy("split", "window_kind").agg(
         F.count(F.lit(1)).alias("n_cells"), F.countDistinct("user_id").alias("n_users"),
-        _fxsum("amount").alias("amount"))
+        money_sum(F.col("amount")).alias("amount"))
 
 
 @register("split_windows", _TX_CHAIN + f"""
-SELECT split, window_kind, count(*) AS n_cells, count(DISTINCT user_id) AS n_users, {O.fxsum('amount')} AS amount
+SELECT split, window_kind, count(*) AS n_cells, count(DISTINCT user_id) AS n_users, {O.money_sum('amount')} AS amount
 FROM (SELECT *, 'input' AS window_kind FROM inrows UNION ALL SELECT *, 'target' AS window_kind FROM trows)
 GROUP BY split, window_kind""")
 def q_split_windows(spark, sf):
@@ -387,13 +391,13 @@ def _eval_sql(view="tx", cfg=TX_CONFIG) -> str:
 SELECT n.split, n.n_users, n.n_users * vsize.v AS n_cells, coalesce(a.n_positive, 0) AS n_positive,
        CAST(coalesce(a.fp, 0) AS DOUBLE) / CAST(n.n_users * vsize.v - coalesce(a.n_positive, 0) AS DOUBLE) AS false_positive_rate,
        CAST(coalesce(a.fn, 0) AS DOUBLE) / CAST(coalesce(a.n_positive, 0) AS DOUBLE) AS false_negative_rate,
-       CAST(a.ae AS DOUBLE) / 10000.0::DOUBLE / CAST(a.n_positive AS DOUBLE) AS positive_mae,
+       """ + O.settled("a.ae") + """ / CAST(a.n_positive AS DOUBLE) AS positive_mae,
        round(a.pe * 100.0::DOUBLE, 9) AS percentage_error
 FROM nusers n CROSS JOIN vsize LEFT JOIN (
   SELECT split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
          count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
          count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
-         sum(CASE WHEN abs(t) > 0 THEN abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT)) END) AS ae,
+         sum(CASE WHEN abs(t) > 0 THEN abs(p - t) END) AS ae,
          avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
   FROM aligned GROUP BY split) a ON a.split = n.split"""
 
@@ -407,13 +411,12 @@ def q_eval_metrics(spark, sf):
 
 @register("eval_losses", O.baseline_sql("tx", TX_CONFIG, "all") + """
 SELECT n.split, n.n_users,
-       CAST(coalesce(a.l1, 0) AS DOUBLE) / 10000.0::DOUBLE / CAST(n.n_users * vsize.v AS DOUBLE) AS l1,
-       CAST(coalesce(a.l2, 0) AS DOUBLE) / 100000000.0::DOUBLE / CAST(n.n_users * vsize.v AS DOUBLE) AS l2,
+       """ + O.settled("coalesce(a.l1, 0.0::DOUBLE)") + """ / CAST(n.n_users * vsize.v AS DOUBLE) AS l1,
+       """ + O.settled("coalesce(a.l2, 0.0::DOUBLE)") + """ / CAST(n.n_users * vsize.v AS DOUBLE) AS l2,
        0.0::DOUBLE AS no_op
 FROM nusers n CROSS JOIN vsize LEFT JOIN (
-  SELECT split, sum(abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT))) AS l1,
-         sum(CAST(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT) AS HUGEINT)
-             * CAST(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT) AS HUGEINT)) AS l2
+  SELECT split, sum(abs(p - t)) AS l1,
+         sum((p - t) * (p - t)) AS l2
   FROM aligned GROUP BY split) a ON a.split = n.split""")
 def q_eval_losses(spark, sf):
     from ..operators.evaluate import cell_losses
@@ -423,27 +426,21 @@ def q_eval_losses(spark, sf):
 
 # ---------------------------------------------------------------- batching
 _BATCH = TX_CONFIG.batch_size
-_SHARDS = TX_CONFIG.batch_shards
 
 
 def _batch_sql_ctes():
     seed = TX_CONFIG.splits.seed
     return f""",
-bh AS (SELECT split, user_id,
-              CAST(CAST(('0x' || substr(md5('{seed}' || ':' || CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % {_SHARDS} AS INTEGER) AS shard,
-              CASE WHEN split = 'train' THEN md5('{seed}' || ':train:' || CAST(user_id AS VARCHAR)) END AS bkey
-       FROM members),
-batches AS (SELECT split, user_id, shard,
-                   CAST((row_number() OVER (PARTITION BY split, shard ORDER BY bkey, user_id) - 1) // {_BATCH} AS INTEGER) AS batch,
-                   CAST((row_number() OVER (PARTITION BY split, shard ORDER BY bkey, user_id) - 1) % {_BATCH} AS INTEGER) AS slot
-            FROM bh),
-lens2 AS (SELECT s.split, s.user_id, b.shard, b.batch, max(s.pos) + 1 AS len FROM seq s
+bh AS (SELECT split, user_id, row_number() OVER (PARTITION BY split
+              ORDER BY md5('{seed}' || ':' || split || ':' || CAST(user_id AS VARCHAR)), user_id) - 1 AS rk FROM members),
+batches AS (SELECT split, user_id, CAST(rk // {_BATCH} AS INTEGER) AS batch, CAST(rk % {_BATCH} AS INTEGER) AS slot FROM bh),
+lens2 AS (SELECT s.split, s.user_id, b.batch, max(s.pos) + 1 AS len FROM seq s
           JOIN batches b ON s.split = b.split AND s.user_id = b.user_id GROUP BY ALL),
-bmax AS (SELECT *, max(len) OVER (PARTITION BY split, shard, batch) AS mx FROM lens2),
-padded AS (SELECT s.split, b.shard, b.batch, s.user_id, s.pos, s.brand, s.amount, s.date, false AS mask
+bmax AS (SELECT *, max(len) OVER (PARTITION BY split, batch) AS mx FROM lens2),
+padded AS (SELECT s.split, b.batch, s.user_id, s.pos, s.brand, s.amount, s.date, false AS mask
            FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id
            UNION ALL
-           SELECT s.split, b.shard, b.batch, s.user_id, CAST(g.p AS INTEGER) AS pos, s.brand, s.amount, s.date, true AS mask
+           SELECT s.split, b.batch, s.user_id, CAST(g.p AS INTEGER) AS pos, s.brand, s.amount, s.date, true AS mask
            FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id AND s.pos = b.len - 1
            CROSS JOIN LATERAL (SELECT range AS p FROM range(b.len, b.mx)) g)
 """
@@ -451,7 +448,7 @@ padded AS (SELECT s.split, b.shard, b.batch, s.user_id, s.pos, s.brand, s.amount
 
 def _batches(prep):
     from ..operators.batching import assign_batches
-    return assign_batches(prep.members, _BATCH, _SHARDS, prep.cfg.splits.seed)
+    return assign_batches(prep.members, _BATCH, prep.cfg.splits.seed)
 
 
 def _padded(prep):
@@ -459,13 +456,13 @@ def _padded(prep):
     return pad_and_mask(prep.sequences(), _batches(prep), ["brand", "amount", "date"])
 
 
-@register("batches", _SEQ_SQL + _batch_sql_ctes() + "SELECT split, user_id, shard, batch, slot FROM batches")
+@register("batches", _SEQ_SQL + _batch_sql_ctes() + "SELECT split, user_id, batch, slot FROM batches")
 def q_batches(spark, sf):
     return _batches(_prep(spark, sf, fit=False))
 
 
 @register("pad_mask", _SEQ_SQL + _batch_sql_ctes() +
-          "SELECT split, shard, batch, user_id, pos, brand, amount, date, mask FROM padded")
+          "SELECT split, batch, user_id, pos, brand, amount, date, mask FROM padded")
 def q_pad_mask(spark, sf):
     return _padded(_prep(spark, sf))
 
@@ -499,12 +496,12 @@ def recover_rows(rows: DataFrame, encoders: dict) -> DataFrame:
 
 
 @register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all") + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
-, pu AS (SELECT split, user_id, sum(abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT))) AS l1
+, pu AS (SELECT split, user_id, """ + O.settled("sum(abs(p - t))") + """ AS l1
          FROM aligned GROUP BY split, user_id),
-pb AS (SELECT b.split, b.shard, b.batch, coalesce(sum(pu.l1), 0) AS l1, count(*) AS n
+pb AS (SELECT b.split, b.batch, """ + O.settled("coalesce(sum(pu.l1), 0.0::DOUBLE)") + """ AS l1, count(*) AS n
        FROM batches b LEFT JOIN pu ON pu.split = b.split AND pu.user_id = b.user_id GROUP BY ALL)
 SELECT split, count(*) AS n_batches,
-       round(avg(CAST(l1 AS DOUBLE) / 10000.0::DOUBLE / CAST(n * (SELECT v FROM vsize) AS DOUBLE)), 9) AS mean_batch_l1
+       round(avg(l1 / CAST(n * (SELECT v FROM vsize) AS DOUBLE)), 9) AS mean_batch_l1
 FROM pb GROUP BY split""")
 def q_batch_mean_loss(spark, sf):
     from ..operators.evaluate import batch_mean_loss
@@ -685,15 +682,15 @@ kl AS ({' UNION ALL '.join(kl)}),
 sin AS (SELECT i.split, i.user_id, i.k, i.brand, i.amount, kl.k_last - i.k + 1 AS back, br.brank
         FROM inrows i JOIN kl ON kl.split = i.split LEFT JOIN brank br ON br.brand = i.brand),
 sp AS (SELECT t.trial, s.split, s.user_id, CASE WHEN s.brank <= t.data_top_n THEN s.brand ELSE '<UNK>' END AS slot,
-              sum({O.fxv('s.amount')}) AS s, count(DISTINCT s.k) AS active,
+              sum(s.amount) AS s, count(DISTINCT s.k) AS active,
               first(t.data_lookback) AS lookback, first(t.data_denominator) AS denominator
        FROM sin s JOIN trials t ON s.back <= t.data_lookback GROUP BY ALL),
 spred AS (SELECT sp.trial, sp.split, sp.user_id, sp.slot,
-                 CAST(CAST(round(CAST(sp.s AS DOUBLE) / CAST(CASE WHEN sp.denominator = 'all'
-                      THEN least(sp.lookback, nall2.n_all) ELSE sp.active END AS DOUBLE)) AS BIGINT) AS DOUBLE) / {O.FX} AS p
+                 {O.settled('sp.s')} / CAST(CASE WHEN sp.denominator = 'all'
+                      THEN least(sp.lookback, nall2.n_all) ELSE sp.active END AS DOUBLE) AS p
           FROM sp JOIN nall2 ON nall2.split = sp.split),
 sact AS (SELECT t.trial, r.split, r.user_id, CASE WHEN br.brank <= t.data_top_n THEN r.brand ELSE '<UNK>' END AS slot,
-                CAST(sum({O.fxv('r.amount')}) AS DOUBLE) / {O.FX} AS t
+                {O.settled('sum(r.amount)')} AS t
          FROM trows r LEFT JOIN brank br ON br.brand = r.brand CROSS JOIN trials t GROUP BY ALL),
 sal AS (SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.split, b.split) AS split,
                coalesce(a.p, 0.0::DOUBLE) AS p, coalesce(b.t, 0.0::DOUBLE) AS t
@@ -705,13 +702,13 @@ sm AS (
 SELECT c.trial, c.split, c.n_users, c.n_users * c.vocab_size AS n_cells, coalesce(a.n_positive, 0) AS n_positive,
        CAST(coalesce(a.fp, 0) AS DOUBLE) / CAST(c.n_users * c.vocab_size - coalesce(a.n_positive, 0) AS DOUBLE) AS false_positive_rate,
        CAST(coalesce(a.fn, 0) AS DOUBLE) / CAST(coalesce(a.n_positive, 0) AS DOUBLE) AS false_negative_rate,
-       CAST(a.ae AS DOUBLE) / 10000.0::DOUBLE / CAST(a.n_positive AS DOUBLE) AS positive_mae,
+       {O.settled('a.ae')} / CAST(a.n_positive AS DOUBLE) AS positive_mae,
        round(a.pe * 100.0::DOUBLE, 9) AS percentage_error
 FROM scells c LEFT JOIN (
   SELECT trial, split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
          count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
          count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
-         sum(CASE WHEN abs(t) > 0 THEN abs(CAST(round(p * 10000.0) AS BIGINT) - CAST(round(t * 10000.0) AS BIGINT)) END) AS ae,
+         sum(CASE WHEN abs(t) > 0 THEN abs(p - t) END) AS ae,
          avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
   FROM sal GROUP BY trial, split) a ON a.trial = c.trial AND a.split = c.split)
 """

@@ -12,9 +12,6 @@ import datetime as dt
 from ..config import DataConfig
 from ..functions.timecols import parse_interval
 
-FX = "10000.0::DOUBLE"
-
-
 def ts(v) -> str:
     if not isinstance(v, dt.datetime):
         v = dt.datetime.fromisoformat(str(v))
@@ -33,12 +30,14 @@ SOURCES = {
 }
 
 
-def fxsum(col: str) -> str:
-    return f"CAST(coalesce(sum(CAST(round({col} * 10000.0) AS BIGINT)), 0) AS DOUBLE) / {FX}"
+def settled(x: str) -> str:
+    """A finished sum kept to 13 significant digits, as the library keeps it."""
+    unit = f"pow(10.0::DOUBLE, 12 - floor(log10(abs({x}))))"
+    return f"(CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round({x} * {unit}) / {unit} END)"
 
 
-def fxv(col: str) -> str:
-    return f"CAST(round({col} * 10000.0) AS BIGINT)"
+def money_sum(col: str) -> str:
+    return settled(f"coalesce(sum(CAST({col} AS DOUBLE)), 0.0::DOUBLE)")
 
 
 def bucket_idx(t: str, W: int) -> str:
@@ -90,7 +89,7 @@ spec0 AS (SELECT {lo_expr} AS lo, hi FROM bnd),
 spec AS (SELECT lo, hi, CASE WHEN hi >= lo THEN (epoch_us(hi) - epoch_us(lo)) // {W} ELSE 0 END AS m FROM spec0),
 bk AS (SELECT r.user_id, {bucket_idx('r.date', W)} AS k, r.brand, r.amount, r.date, spec.m
        FROM raw r, spec WHERE r.date >= spec.lo),
-cells AS (SELECT user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date
+cells AS (SELECT user_id, k, brand, {money_sum('amount')} AS amount, min(date) AS date
           FROM bk WHERE k <= m GROUP BY user_id, k, brand),
 users AS (SELECT DISTINCT user_id FROM src WHERE user_id IS NOT NULL),
 nu AS (SELECT count(*) AS n FROM users),
@@ -109,9 +108,9 @@ members AS (SELECT user_id, 'train' AS split FROM roles WHERE role IN ('train',
 wcells AS (SELECT * FROM cells WHERE date >= {ts(in_start)} AND date < {ts(last_end)}),
 sraw AS (SELECT b.user_id, b.k, b.brand, b.amount, b.date, m.split FROM bk b JOIN members m ON b.user_id = m.user_id
          WHERE b.k <= b.m),
-strict_in AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+strict_in AS (SELECT split, user_id, k, brand, {money_sum('amount')} AS amount, min(date) AS date FROM sraw
         WHERE date >= {ts(in_start)} AND date < {case(tstart)} GROUP BY split, user_id, k, brand),
-strict_tg AS (SELECT split, user_id, k, brand, {fxsum('amount')} AS amount, min(date) AS date FROM sraw
+strict_tg AS (SELECT split, user_id, k, brand, {money_sum('amount')} AS amount, min(date) AS date FROM sraw
         WHERE date >= {case(tstart)} AND date < {case(tend)} GROUP BY split, user_id, k, brand),
 fitrows AS ({"SELECT user_id, k, brand, amount, date FROM strict_in WHERE split = 'train'" if strict else
              f"""SELECT w.* FROM wcells w JOIN members m ON w.user_id = m.user_id AND m.split = 'train'
@@ -163,11 +162,11 @@ seq AS (SELECT * FROM sos UNION ALL SELECT * FROM body UNION ALL SELECT * FROM e
 def targets_sql(view: str, cfg: DataConfig, strict: bool = False) -> str:
     return sequences_sql(view, cfg, strict) + f""",
 tcells0 AS (SELECT t.split, t.user_id, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id,
-                   sum({fxv('t.amount')}) AS s, count(*) AS n
+                   sum(t.amount) AS s, count(*) AS n
             FROM trows t LEFT JOIN vocab v ON v.value = t.brand GROUP BY ALL),
 tcells AS (SELECT split, user_id, brand_id, 1 AS brand_flag,
-                  (CAST(s AS DOUBLE) / {FX}) * mm.scale + CAST(n AS DOUBLE) * mm.offset AS amount,
-                  CAST(s AS DOUBLE) / {FX} AS amount_raw, n AS n_rows FROM tcells0, mm)
+                  {settled("s")} * mm.scale + CAST(n AS DOUBLE) * mm.offset AS amount,
+                  {settled("s")} AS amount_raw, n AS n_rows FROM tcells0, mm)
 """
 
 
@@ -175,10 +174,10 @@ def baseline_sql(view: str, cfg: DataConfig, denominator: str = "all") -> str:
     den = "CAST(n_all AS DOUBLE)" if denominator == "all" else "CAST(active AS DOUBLE)"
     return targets_sql(view, cfg) + f""",
 pred0 AS (SELECT i.split, i.user_id, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id,
-                 sum({fxv('i.amount')}) AS s, count(DISTINCT i.k) AS active
+                 sum(i.amount) AS s, count(DISTINCT i.k) AS active
           FROM inrows i LEFT JOIN vocab v ON v.value = i.brand GROUP BY ALL),
 pred AS (SELECT p.split, p.user_id, p.brand_id,
-                CAST(CAST(round(CAST(p.s AS DOUBLE) / {den}) AS BIGINT) AS DOUBLE) / {FX} AS predicted
+                {settled("p.s")} / {den} AS predicted
          FROM pred0 p JOIN nall USING (split)),
 aligned AS (SELECT coalesce(p.split, t.split) AS split, coalesce(p.user_id, t.user_id) AS user_id,
                    coalesce(p.brand_id, t.brand_id) AS brand_id,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DataConfig
 from ..functions.timecols import ts_lit
 from ..session import checkpoint_dir
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import money_sum
 from ..operators.buckets import BucketSpec, bucket_aggregate, bucketize, fit_buckets
 from ..operators.encoders import (BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
                                   first_seen_key)
@@ -139,7 +139,7 @@ def strict_window_cells(tx: DataFrame, spec: BucketSpec, role: Column, starts: d
             .when((F.col("date") >= split_case(t_starts)) & (F.col("date") < split_case(t_ends)), "target"))
     return (rows.withColumn("window_kind", kind).where(F.col("window_kind").isNotNull())
                 .groupBy("window_kind", "split", "user_id", "k", "brand")
-                .agg(unfx(F.coalesce(F.sum(fx(F.col("amount"))), F.lit(0).cast("bigint"))).alias("amount"),
+                .agg(money_sum(F.col("amount")).alias("amount"),
                      F.min("date").alias("date")))
 
 

@@ -66,14 +66,21 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
                       schema: T.StructType = TX_SCHEMA) -> DataFrame:
     """Read raw transactions with an explicit schema (no inference pass).
 
-    CSV files have a header row; blanks before values are tolerated."""
+    CSV files have a header row, by which columns are chosen: their order does
+    not matter, further columns are ignored, a missing one is an error.  Blanks
+    around names and values are tolerated; a value that does not parse fails
+    the job."""
     if fmt == "csv":
-        df = (spark.read.schema(schema)
-              .option("header", True)
-              .option("ignoreLeadingWhiteSpace", True)
-              .option("ignoreTrailingWhiteSpace", True)
-              .option("mode", "FAILFAST")
-              .csv(path))
+        raw = (spark.read.option("header", True)
+               .option("ignoreLeadingWhiteSpace", True)
+               .option("ignoreTrailingWhiteSpace", True)
+               .option("mode", "FAILFAST")
+               .csv(path))  # all columns as strings: no inference pass
+        named = {c.strip(): c for c in raw.columns}
+        absent = [f.name for f in schema if f.name not in named]
+        if absent:
+            raise ValueError(f"{path} has no column {', '.join(absent)}; its header is {raw.columns}")
+        df = raw.select(*(F.col(f"`{named[f.name]}`").cast(f.dataType).alias(f.name) for f in schema))
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import fx, unfx
+from ..functions.fixedpoint import settled
 from ..functions.timecols import micros_between, parse_interval, ts_lit
 from ..session import scratch_path
 
@@ -44,11 +44,11 @@ def stream_bucket_aggregate(events: DataFrame, origin: dt.datetime, interval: st
                 .withWatermark("_t", watermark))
     agg = ev.groupBy(F.window("_t", f"{width} microseconds", startTime=f"{start_us} microseconds").alias("w"),
                      "user_id", "brand").agg(
-        F.sum(fx(F.col("amount"))).alias("_s"), F.min("date").alias("date"))
+        F.sum("amount").alias("_s"), F.min("date").alias("date"))
     out = agg.select(
         "user_id",
         ((F.unix_micros(F.col("w.end")) - F.lit(origin_us)) / F.lit(width)).cast("bigint").alias("k"),
-        "brand", unfx(F.coalesce(F.col("_s"), F.lit(0).cast("bigint"))).alias("amount"), "date")
+        "brand", settled(F.coalesce(F.col("_s"), F.lit(0.0))).alias("amount"), "date")
     if n_buckets is not None:
         out = out.where(F.col("k") <= F.lit(n_buckets))
     return out

@@ -65,3 +65,29 @@ def test_threshold_positive_cells(spark):
     loose = cell_metrics(a, one_user(spark), 3, threshold=0.01).first()
     assert exact.n_positive == 2 and loose.n_positive == 1
     assert loose.false_positive_rate == 0.5  # (5, 0.001) counts as a false positive now
+
+
+def test_small_amounts_stay(spark):
+    """No quantum: a spend of 0.00004 sums to itself, 0.01 over 500 intervals predicts a positive."""
+    from pyspark.sql import functions as F
+    from ledgerflow.functions.fixedpoint import money_sum
+    from ledgerflow.operators.encoders import BrandVocab
+    from ledgerflow.operators.predict import average_spend
+    rows = spark.createDataFrame([("test", 1, 1, "A", 0.00004), ("test", 2, 1, "B", 0.01)],
+                                 "split string, user_id long, k long, brand string, amount double")
+    assert [r.s for r in rows.groupBy("user_id").agg(money_sum(F.col("amount")).alias("s")).orderBy("user_id").collect()] == [0.00004, 0.01]
+    vocab = BrandVocab().fit(rows.withColumnRenamed("split", "s"), "brand")
+    got = {r.user_id: r.predicted for r in average_spend(rows, vocab, F.lit(500), "all").collect()}
+    assert got[2] == 0.01 / 500 and got[1] > 0
+    a = aligned(spark, [(got[2], 1.0)])
+    assert cell_metrics(a, one_user(spark), 1).first().false_negative_rate == 0.0
+
+
+def test_settled_sums(spark):
+    from pyspark.sql import functions as F
+    from ledgerflow.functions.fixedpoint import settled
+    values = [0.0, -0.3, 0.1 + 0.2, 1e-13, 123456789.1234, -1e15, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.s for r in df.select("i", settled(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got[:2] == [0.0, -0.3] and got[2] == 0.3 and got[4] == 123456789.1234 and got[5] == -1e15 and got[6] is None
+    assert abs(got[3] / 1e-13 - 1) < 1e-12

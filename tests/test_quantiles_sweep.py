@@ -69,3 +69,9 @@ def test_global_row_number_distributed_equals_window(spark):
     finally:
         ranking.ROWS_PER_RANGE = old
     assert got == ref
+
+
+def test_piecewise_linear_without_a_bin(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1.0, [2.0]), (1.0, []), (1.0, [0.0, 2.0])], "x double, e array<double>")
+    assert [r.p for r in df.select(piecewise_linear(F.col("x"), F.col("e")).alias("p")).collect()] == [[], [], [0.5]]

@@ -35,7 +35,7 @@ def test_sequences_literal(spark):
 
 def test_collate_no_padding_and_rows(spark):
     _, members, _, seq = seq_fixture(spark)
-    b = assign_batches(members, batch_size=32, shards=1)
+    b = assign_batches(members, batch_size=32)
     padded = pad_and_mask(seq, b, FEATS)
     assert padded.where("mask").count() == 0
     rows = unbatch(padded, FEATS)
@@ -46,7 +46,7 @@ def test_empty_user_and_padding(spark):
     _, members, _, seq = seq_fixture(spark, extra_users=(3,))
     got = arrays(seq)
     assert got[3][0] == [0, 1]
-    b = assign_batches(members, batch_size=32, shards=1)
+    b = assign_batches(members, batch_size=32)
     arr = {r.user_id: r for r in collate_arrays(pad_and_mask(seq, b, FEATS), FEATS).collect()}
     assert arr[3].brand == [0, 1, 1, 1]
     assert arr[3].mask == [False, False, True, True]
@@ -123,3 +123,12 @@ def test_pandas_predictor(spark):
 
     out = sorted(tuple(r) for r in pandas_predictor(mean_by_brand)(rows).collect())
     assert out == [("test", 1, 3, 20.0), ("test", 2, 4, 5.0)]
+
+
+def test_batches_are_full(spark):
+    members = spark.createDataFrame([("train", u) for u in range(1000)] + [("val", u) for u in range(33)], "split string, user_id long")
+    rows = assign_batches(members, batch_size=32).collect()
+    for split, n in (("train", 1000), ("val", 33)):
+        mine = [r for r in rows if r.split == split]
+        assert sorted(r.batch * 32 + r.slot for r in mine) == list(range(n))
+        assert {r.slot for r in mine} <= set(range(32))

@@ -21,6 +21,16 @@ def test_csv_with_leading_blanks(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [(1, D("2024-01-01"), "A", 100.0), (2, D("2024-01-08"), "B", 200.5)]
 
 
+def test_csv_by_header_name(spark, tmp_path):
+    p = tmp_path / "tx.csv"
+    p.write_text("amount, note,brand ,date,user_id\n100,x,7,2024-01-01,1\n0.00004,y,8,2024-01-02 10:00:00,2\n")
+    got = sorted(tuple(r) for r in read_transactions(spark, str(p)).collect())
+    assert got == [(1, D("2024-01-01"), "7", 100.0), (2, D("2024-01-02 10:00:00"), "8", 0.00004)]
+    p.write_text("amount,brand,date\n1,2,2024-01-01\n")
+    with pytest.raises(ValueError, match="user_id"):
+        read_transactions(spark, str(p))
+
+
 def test_fingerprint_is_order_free(tx):
     a = tx([(1, "2024-01-01", "A", 1), (2, "2024-01-02", "B", 2)])
     b = tx([(2, "2024-01-02", "B", 2), (1, "2024-01-01", "A", 1)])
