@@ -1,16 +1,17 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text (A-Z lowered, UTF-8) and an end symbol are spelled in bits by a Huffman code over the
-training bytes, so the model gives every text a probability. For each of ``CONTEXTS`` a table of
-fixed size counts the bits seen in training after the hash of (context, place in the
-code). Scoring mixes the tables' log odds with weights gated by which contexts have been seen; each
+A text (A-Z lowered, UTF-8) and an end symbol are spelled in bits by Huffman codes, one after each
+byte, from the pairs of bytes in training texts, so the model gives every text a probability. For
+each context of ``HASHED`` a table of fixed size counts the bits seen in training after the hash of
+(context, place in the code); one more predictor is the place in the code alone.
+Scoring mixes the tables' log odds with weights gated by which contexts have been seen; each
 text's own weights, and the slope and shift that refine the mixed odds, start the same and are learned
 online along the text: after every ``STEP`` symbols, from past bits only. The text's score is the sum of log10 probabilities: total bits per byte
 are -score / log10(2) / bytes.
 
-Three scans: byte counts and words; context counts; scores. Context counts leave a task as the
+Three scans: pairs of bytes and words; context counts; scores. Context counts leave a task as the
 non-empty slots of table pages and are summed page by page as a stream, so a page of any number of
-tasks needs the memory of one page. The tables, seven megabytes at any input, are broadcast.
+tasks needs the memory of one page. The tables, six megabytes at any input, are broadcast.
 Word counts of the base score are joined by hash range: each block of texts sends every word once
 and gets its count back, so frequent words are no hot keys and no vocabulary meets in one task.
 
@@ -31,18 +32,20 @@ from pyspark.sql import types as T
 
 from ledgerflow.llm.common import LOWER, SPACES, Words, mix, slices, strings, table, with_struct, word_bytes, written
 
-#: The contexts: so many earlier bytes, each with a table of 2 ** bits slots.
-CONTEXTS = ((3, 20), (4, 21), (5, 22))
-K = len(CONTEXTS)
+#: The hashed contexts: so many earlier bytes, each with a table of 2 ** bits slots.
+HASHED = ((4, 21), (6, 22))
+#: Predictors: the place in the code, which depends on one earlier byte, and the hashed contexts.
+K = 1 + len(HASHED)
 PAGE_BITS = 14
 END = 256
+SYMBOLS = 257
 #: Pseudo-counts of a slot; log odds are kept in bytes, ``SCALE`` to the unit.
 PRIOR, SCALE = 0.15, 16.0
 #: Symbols between two updates of a text's weights, and the rates of updates.
-STEP = 128
+STEP = 256
 RATE, REFINE_RATE = 1.0, 0.3
-#: The gate: starting weights of the contexts, by which have been seen (bit k for context k).
-SHARES = (0.2, 0.4, 0.6)
+#: The gate: starting weights of the predictors, by which have been seen (bit k for predictor k).
+SHARES = (0.15, 0.6, 0.4)
 
 
 def _gates() -> np.ndarray:
@@ -57,31 +60,43 @@ def _gates() -> np.ndarray:
 GATES = _gates()
 
 
+def _levels(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log odds of a 1 as bytes; 0 says never seen."""
+    level = np.clip(np.rint(np.log((n1 + PRIOR) / (n0 + PRIOR)) * SCALE), -127, 127).astype(np.int8)
+    level[(n0 + n1 > 0) & (level == 0)] = 1
+    return level
+
+
 class Code:
-    """A Huffman code of symbols 0-256: per symbol the inner nodes passed and the bits taken."""
-
-    def __init__(self, counts: list[int]):
-        heap = [(n + 1, s, s) for s, n in enumerate(counts)]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        node = len(counts)
-        while len(heap) > 1:
-            (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[left], parent[right] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a + b, node, node))
-            node += 1
+    """For each earlier symbol a Huffman code of symbols 0-256, from counts of pairs: per pair the
+    inner nodes passed and the bits taken, and per node the log odds of a 1."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = np.asarray(counts, np.int64).reshape(SYMBOLS, SYMBOLS)
         nodes, bits, size = [], [], []
-        for s in range(len(counts)):
-            path, at = [], s
-            while at in parent:
-                path.append(parent[at])
-                at = parent[at][0]
-            nodes += [n for n, _ in path[::-1]]
-            bits += [b for _, b in path[::-1]]
-            size.append(len(path))
+        n = np.zeros((SYMBOLS * END, 2), np.float64)
+        for before in range(SYMBOLS):
+            heap = [(c + 1, s, s) for s, c in enumerate(counts[before].tolist())]
+            heapq.heapify(heap)
+            parent: dict[int, tuple[int, int]] = {}
+            for node in range(SYMBOLS, 2 * SYMBOLS - 1):
+                (x, _, left), (y, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+                name = before * END + node - SYMBOLS
+                parent[left], parent[right] = (name, 0), (name, 1)
+                heapq.heappush(heap, (x + y, node, node))
+            for s in range(SYMBOLS):
+                path, at = [], s
+                while at in parent:
+                    path.append(parent[at])
+                    at = parent[at][0] - before * END + SYMBOLS
+                nodes += [x for x, _ in path[::-1]]
+                bits += [x for _, x in path[::-1]]
+                size.append(len(path))
         self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
         self.size = np.array(size, np.int64)
         self.start = np.cumsum(self.size) - self.size
+        np.add.at(n, (self.nodes, self.bits), np.repeat(counts.ravel(), self.size))
+        self.level = _levels(n[:, 0], n[:, 1])
 
 
 def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,54 +113,66 @@ def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def pairs_of(symbols: np.ndarray) -> np.ndarray:
+    """Each symbol with the one before it, which is an end where a text starts."""
+    before = np.empty(len(symbols), np.int32)
+    before[:1], before[1:] = END, symbols[:-1]
+    return before * np.int32(SYMBOLS) + symbols
+
+
 def _hash32(x: np.ndarray) -> np.ndarray:
     return (mix(x) >> np.uint64(32)).astype(np.uint32)
 
 
 def context_hashes(symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For each context, a 32-bit hash at every symbol, from earlier symbols of the text only."""
+    """For each hashed context, its hash at every symbol, from earlier symbols of the text only."""
     n = len(symbols)
     place = np.arange(n, dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
     packed, out = np.zeros(n, np.uint64), []
-    for j in range(1, max(size for size, _ in CONTEXTS) + 1):
+    for j in range(1, max(size for size, _ in HASHED) + 1):
         before = np.zeros(n, np.uint64)
-        before[j:] = symbols[:n - j] + np.uint64(1)
+        before[j:] = symbols[:max(n - j, 0)] + np.uint64(1)
         before[place < j] = 0
         packed = (packed << np.uint64(9)) | before
-        out += [_hash32(packed) for size, _ in CONTEXTS if size == j]
+        out += [_hash32(packed) for size, _ in HASHED if size == j]
     return out
 
 
-def decisions(code: Code, symbols: np.ndarray, hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The table slot of each context at each bit, the bits, and how many bits each symbol has."""
-    reps = code.size[symbols]
+def decisions(code: Code, pairs: np.ndarray, hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The table slot of each hashed context at each bit, the nodes of the code, the bits, and how
+    many bits each symbol has."""
+    reps = code.size[pairs]
     base = np.cumsum(reps) - reps
     total = int(reps.sum())
-    which = np.repeat((code.start[symbols] - base).astype(np.int32), reps) + np.arange(total, dtype=np.int32)
-    salt = (code.nodes * np.uint32(0x9E3779B1))[which]
+    which = np.repeat((code.start[pairs] - base).astype(np.int32), reps)
+    which += np.arange(total, dtype=np.int32)
+    nodes = code.nodes[which]
+    salt = nodes * np.uint32(0x9E3779B1)
     slots = []
-    for h, (_, size) in zip(hashes, CONTEXTS):
+    for h, (_, size) in zip(hashes, HASHED):
         x = np.repeat(h, reps)
         x ^= salt
         x *= np.uint32(0x85EBCA6B)
         x >>= np.uint32(32 - size)
         slots.append(x)
-    return slots, code.bits[which], reps
+    return slots, nodes, code.bits[which], reps
 
 
-def _count(code: Code):
+def _count(code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 << size, np.uint32) for _, size in CONTEXTS]
+        counts = [np.zeros(2 << size, np.uint32) for _, size in HASHED]
         one = np.uint32(1)
         any_ = False
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 19):
             any_ = True
             symbols, at = symbols_of(part.column("text"))
-            slots, bits, _ = decisions(code, symbols, context_hashes(symbols, at))
-            for k in range(K):
-                np.add.at(counts[k], (slots[k] << one) | bits, one)
+            slots, _, bits, _ = decisions(code.value, pairs_of(symbols), context_hashes(symbols, at))
+            for k, slot in enumerate(slots):
+                slot <<= one
+                slot |= bits
+                np.add.at(counts[k], slot, one)
         size = 2 << PAGE_BITS
-        for k in range(K if any_ else 0):
+        for k in range(len(HASHED) if any_ else 0):
             for page in range(len(counts[k]) // size):
                 mine = counts[k][page * size:(page + 1) * size]
                 used = np.flatnonzero(mine)
@@ -163,14 +190,12 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         n = counts.reshape(-1, 2).astype(np.float64)
-        odds = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-        level = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
-        level[(n.sum(axis=1) > 0) & (level == 0)] = 1  # 0 says never seen
         return pa.RecordBatch.from_pydict({"context": pa.array([now[0]], pa.int32()), "page": pa.array([now[1]], pa.int32()),
-                                           "level": pa.array([level.tobytes()], pa.binary())})
+                                           "level": pa.array([_levels(n[:, 0], n[:, 1]).tobytes()], pa.binary())})
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in ("context", "page", "used", "n")}
             key = (row["context"], row["page"])
             if key != now:
                 if now is not None:
@@ -196,8 +221,8 @@ def score_texts(code: Code, levels: list[np.ndarray], column: pa.Array) -> np.nd
     length = np.minimum(size[text] - step * STEP, STEP)
     first = np.cumsum(length) - length
     move = np.repeat(start - first, length) + np.arange(len(symbols))
-    slots, bits, reps = decisions(code, symbols[move], [h[move] for h in hashes])
-    level = [levels[k][slots[k]] for k in range(K)]
+    slots, nodes, bits, reps = decisions(code, pairs_of(symbols)[move], [h[move] for h in hashes])
+    level = [code.level[nodes], *(levels[k][slot] for k, slot in enumerate(slots))]
     gate = np.zeros(len(bits), np.uint8)
     for k in range(K):
         gate |= (level[k] != 0).view(np.uint8) << np.uint8(k)
@@ -215,8 +240,12 @@ def score_texts(code: Code, levels: list[np.ndarray], column: pa.Array) -> np.nd
         each, begin = np.diff(cut), cut[:-1] - a
         at_segment += n
         xs = [x[k][a:b] for k in range(K)]
-        mixed = sum(np.repeat(weights[k, :n], each) * xs[k] for k in range(K))
-        np.clip(mixed, -9, 9, out=mixed)
+        mixed = np.repeat(weights[0, :n], each)
+        mixed *= xs[0]
+        for k in range(1, K):
+            part = np.repeat(weights[k, :n], each)
+            part *= xs[k]
+            mixed += part
         final = mixed * np.repeat(slope[:n], each)
         final += np.repeat(shift[:n], each)
         final *= sign[a:b]
@@ -224,7 +253,8 @@ def score_texts(code: Code, levels: list[np.ndarray], column: pa.Array) -> np.nd
         miss = np.exp(-final)
         total[:n] -= np.add.reduceat(np.log1p(miss), begin)
         # what these bits teach holds from the next step on
-        error = miss / (1 + miss) * sign[a:b]
+        error = miss / (1 + miss)
+        error *= sign[a:b]
         for k in range(K):
             weights[k, :n] += RATE / (STEP * 4) * np.add.reduceat(error * xs[k], begin)
         slope[:n] += REFINE_RATE / (STEP * 4) * np.add.reduceat(error * mixed, begin)
@@ -238,21 +268,24 @@ def _fold(key: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def fit(texts: DataFrame, counts: list[int]) -> tuple[Code, list[np.ndarray]]:
-    """The code and the tables of log odds, from a ``text`` column and its byte counts."""
+def fit(texts: DataFrame, counts: np.ndarray) -> tuple[Code, list[np.ndarray]]:
+    """The codes and the tables of log odds, from a ``text`` column and its counts of pairs."""
     code = Code(counts)
-    pages = (texts.mapInArrow(_count(code), "context int, page int, used binary, n binary")
+    shared = texts.sparkSession.sparkContext.broadcast(code)
+    pages = (texts.mapInArrow(_count(shared), "context int, page int, used binary, n binary")
              .repartition("context", "page").sortWithinPartitions("context", "page")
              .mapInArrow(_pages, "context int, page int, level binary"))
-    levels = [np.zeros(1 << size, np.int8) for _, size in CONTEXTS]
+    levels = [np.zeros(1 << size, np.int8) for _, size in HASHED]
     size = 1 << PAGE_BITS
     for row in pages.toLocalIterator():  # a byte a slot of the tables in all
         levels[row["context"]][row["page"] * size:(row["page"] + 1) * size] = np.frombuffer(row["level"], np.int8)
     return code, levels
 
 
-def score(docs: DataFrame, model: tuple[Code, list[np.ndarray]], *, text: str = "text", name: str = "__lm") -> DataFrame:
-    """``docs`` plus a struct column ``name``: score (log10 probability) and bits_per_byte."""
+def score(docs: DataFrame, model: tuple[Code, list[np.ndarray]], *, text: str = "text", name: str = "__lm",
+          drop: bool = False) -> DataFrame:
+    """``docs`` plus a struct column ``name``: score (log10 probability) and bits_per_byte; ``drop``
+    leaves the text out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
@@ -264,7 +297,7 @@ def score(docs: DataFrame, model: tuple[Code, list[np.ndarray]], *, text: str =
         size = np.diff(strings(column)[1])
         return {"score": pa.array(got), "bits_per_byte": pa.array(-got / np.log10(2) / np.maximum(size, 1))}
 
-    return with_struct(docs, text, name, kind, work)
+    return with_struct(docs, text, name, kind, work, drop)
 
 
 # The base score: word counts by blocks of texts and ranges of word hashes.
@@ -274,12 +307,14 @@ BLOCK = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.LongType())),
     T.StructField("n_tokens", T.ArrayType(T.LongType())), T.StructField("tokens", T.BinaryType()),
     T.StructField("words", T.BinaryType()), T.StructField("train", T.BinaryType()),
-    T.StructField("n_train", T.LongType()), T.StructField("bytes", T.ArrayType(T.LongType()))])
+    T.StructField("n_train", T.LongType()), T.StructField("pairs", T.ArrayType(T.IntegerType())),
+    T.StructField("n_pairs", T.ArrayType(T.LongType()))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per slice of texts: its distinct word hashes, how often each occurs in training
-    texts, the words of each text as places in that list, and byte counts of training texts."""
+    texts, the words of each text as places in that list, and counts of pairs of symbols in training
+    texts."""
     is_word = word_bytes(SPACES)
     for number, part in enumerate(slices(batches, "text")):
         data, offsets = strings(part.column("text"))
@@ -296,13 +331,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique, place = np.unique(token, return_inverse=True)
         learns = np.repeat(train, size)
         counts = np.bincount(place[learns], minlength=len(unique))
-        of_train = np.repeat(train, np.diff(offsets))
-        histogram = np.bincount(low[of_train], minlength=256).tolist() + [int(train.sum())]
+        symbols, _ = symbols_of(part.filter(pa.array(train)).column("text"))
+        pair = np.bincount(pairs_of(symbols), minlength=1)
+        used = np.flatnonzero(pair)
         yield pa.RecordBatch.from_arrays([
             pa.array([TaskContext.get().partitionId() * (1 << 32) + number]), pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())),
             pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([place.astype(np.uint32).tobytes()], pa.binary()),
             pa.array([unique.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary()),
-            pa.array([int(learns.sum())]), pa.array([histogram], pa.list_(pa.int64()))], BLOCK.names)
+            pa.array([int(learns.sum())]), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([pair[used].tolist()], pa.list_(pa.int64()))],
+            BLOCK.names)
 
 
 def _ranges(bits: int):
@@ -352,8 +389,11 @@ def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _fold("doc_id").alias("held_out"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     blocks = written(docs.select("row", "held_out", "text").mapInArrow(_blocks, BLOCK), "blocks")
-    sums = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.octet_length("words") / 8).alias("words"),
-                      *(F.sum(F.get("bytes", F.lit(s))).alias(f"b{s}") for s in range(END + 1))).first()
+    sums = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.octet_length("words") / 8).alias("words")).first()
+    counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    seen = blocks.select(F.explode(F.arrays_zip("pairs", "n_pairs")).alias("x")).groupBy("x.pairs").agg(F.sum("x.n_pairs").alias("n"))
+    for row in seen.collect():  # at most SYMBOLS ** 2 rows
+        counts[row["pairs"]] = row["n"]
     bits = max(0, int(np.ceil(np.log2(max(1.0, (sums["words"] or 0) / RANGE_WORDS * 4)))))
     bits = max(bits, int(np.ceil(np.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     totals = written(blocks.select("block", "words", "train")
@@ -366,8 +406,8 @@ def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rows with one key have one text: any of them stands for all
     base = base.groupBy("row").agg(*(F.min(c).alias(c) for c in ("n_tokens", "n_known", "log_counts")))
 
-    model = fit(docs.where(~F.col("held_out")).select("text"), [int(sums[f"b{s}"] or 0) for s in range(END + 1)])
-    scored = score(docs, model).select("doc_id", "row", "held_out", "__lm.score", "__lm.bits_per_byte")
+    model = fit(docs.where(~F.col("held_out")).select("text"), counts)
+    scored = score(docs, model, drop=True).select("doc_id", "row", "held_out", "__lm.score", "__lm.bits_per_byte")
     n = int(sums["n"] or 0)
     return scored.join(base, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
