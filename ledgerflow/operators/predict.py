@@ -32,6 +32,27 @@ def average_spend(rows: DataFrame, brand_enc, n_intervals, denominator: str = "a
                     (settled(F.col("_s")) / denom.cast("double")).alias("predicted"))
 
 
+def average_and_actual(inputs: DataFrame, targets: DataFrame, brand_enc, n_intervals,
+                       denominator: str = "all") -> DataFrame:
+    """``(split, user_id, brand_id, p, t)``: the average-spend prediction beside
+    the actual spend of every cell that has either, by one vocabulary lookup
+    and one aggregate over both windows' rows -- no join of the two."""
+    cols = ["split", "user_id", "k", "brand", "amount"]
+    rows = inputs.select(*cols, F.lit(True).alias("_in")).unionByName(targets.select(*cols, F.lit(False).alias("_in")))
+    enc = brand_enc.transform(rows, "brand", "brand_id")
+    spent = F.sum(F.when(F.col("_in"), F.col("amount")))
+    aggs = [spent.alias("_s"), F.sum(F.when(~F.col("_in"), F.col("amount"))).alias("_t")]
+    if denominator == "active":
+        aggs.append(F.countDistinct(F.when(F.col("_in"), F.col("k"))).alias("_active"))
+    elif denominator != "all":
+        raise ValueError("denominator must be 'all' or 'active'")
+    g = enc.groupBy("split", "user_id", "brand_id").agg(*aggs)
+    denom = n_intervals if denominator == "all" else F.col("_active")
+    return g.select("split", "user_id", F.col("brand_id").cast("int").alias("brand_id"),
+                    F.coalesce(settled(F.col("_s")) / denom.cast("double"), F.lit(0.0)).alias("p"),
+                    F.coalesce(settled(F.col("_t")), F.lit(0.0)).alias("t"))
+
+
 def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):
     """Wrap a user scorer written in pandas as a predictor.
 

@@ -357,12 +357,15 @@ def q_dense_target(spark, sf):
 
 
 # ---------------------------------------------------------------- baseline / evaluation
+def _n_intervals(prep: Prepared):
+    return split_case({s: prep.spec.count_in_window(prep.cfg.cutoffs.in_start,
+                                                    prep.cfg.cutoffs.target_start(s))
+                       for s in ("train", "val", "test")})
+
+
 def _baseline(prep: Prepared, denominator="all"):
     from ..operators.predict import average_spend
-    n_all = split_case({s: prep.spec.count_in_window(prep.cfg.cutoffs.in_start,
-                                                     prep.cfg.cutoffs.target_start(s))
-                        for s in ("train", "val", "test")})
-    return average_spend(prep.input_rows(), prep.encoders["brand"], n_all, denominator)
+    return average_spend(prep.input_rows(), prep.encoders["brand"], _n_intervals(prep), denominator)
 
 
 @register("baseline_avg_all", O.baseline_sql("tx", TX_CONFIG, "all") +
@@ -378,8 +381,8 @@ def q_baseline_avg_active(spark, sf):
 
 
 def _aligned(prep):
-    from ..operators.evaluate import align
-    return align(_baseline(prep, "all"), prep.targets())
+    from ..operators.predict import average_and_actual
+    return average_and_actual(prep.input_rows(), prep.target_rows(), prep.encoders["brand"], _n_intervals(prep))
 
 
 def _users_per_split(prep):

@@ -91,3 +91,20 @@ def test_settled_sums(spark):
     got = [r.s for r in df.select("i", settled(F.col("v")).alias("s")).orderBy("i").collect()]
     assert got[:2] == [0.0, -0.3] and got[2] == 0.3 and got[4] == 123456789.1234 and got[5] == -1e15 and got[6] is None
     assert abs(got[3] / 1e-13 - 1) < 1e-12
+
+
+@pytest.mark.parametrize("denominator", ["all", "active"])
+def test_one_aggregate_equals_the_join(spark, denominator):
+    from pyspark.sql import functions as F
+    from ledgerflow.operators.encoders import BrandVocab
+    from ledgerflow.operators.evaluate import align
+    from ledgerflow.operators.predict import average_and_actual, average_spend
+    kind = "split string, user_id long, k long, brand string, amount double"
+    inp = spark.createDataFrame([("test", 1, 1, "A", 10.0), ("test", 1, 3, "A", 30.0), ("val", 1, 3, "B", 5.0), ("test", 2, 2, "Z", 7.0)], kind)
+    tgt = spark.createDataFrame([("test", 1, 4, "A", 3.0), ("val", 3, 4, "C", 2.5)], kind)
+    vocab = BrandVocab(top_n=2).fit(inp.drop("split"), "brand")
+    t = vocab.transform(tgt, "brand", "brand_id").groupBy("split", "user_id", "brand_id").agg(F.sum("amount").alias("amount_raw"))
+    want = align(average_spend(inp, vocab, F.lit(4), denominator), t)
+    got = average_and_actual(inp, tgt, vocab, F.lit(4), denominator)
+    cols = ["split", "user_id", "brand_id", "p", "t"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))

@@ -1,5 +1,4 @@
-import math
-
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -8,31 +7,26 @@ from ledgerflow.operators.split import (hash_rank, role_expr, split_cuts, split_
                                         split_quotas, user_split)
 
 
-def test_reference_counts(spark):
+def test_eight_users(spark):
+    """The sizes that 8 users give at these shares."""
     users = spark.range(1, 9).withColumnRenamed("id", "user_id")
-    sp = Splits(train=0.65, val=0.15, test=0.2, overlap=0.5)
-    roles = user_split(users, sp)
-    mem = split_membership(roles)
+    mem = split_membership(user_split(users, Splits(train=0.65, val=0.15, test=0.2, overlap=0.5)))
     n = {r["split"]: r["n"] for r in mem.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert n == {"train": 5, "val": 3, "test": 4}
-    by = {r["role"]: r["n"] for r in roles.groupBy("role").agg(F.count("*").alias("n")).collect()}
-    assert by == {"train": 3, "train_overlap": 2, "val": 1, "test": 2}
-    sets = {s: {r.user_id for r in mem.where(F.col("split") == s).collect()} for s in ("train", "val", "test")}
-    ovl = {r.user_id for r in roles.where("role = 'train_overlap'").collect()}
-    assert not (sets["train"] - ovl) & sets["val"]
-    assert not (sets["train"] - ovl) & sets["test"]
-    assert not (sets["val"] - ovl) & (sets["test"] - ovl)
-    assert ovl <= sets["train"] & sets["val"] & sets["test"]
+    assert split_quotas(8, Splits(0.65, 0.15, 0.2, 0.5)) == {"n": 8, "train": 5, "val": 1, "test": 2, "overlap": 2}
 
 
-def test_quota_formula_matches_reference_test():
-    n = 8
-    q = split_quotas(n, Splits(0.65, 0.15, 0.2, 0.5))
-    train = math.floor(n * (1 - 0.15 - 0.2))
-    assert q["train"] == train
-    assert q["overlap"] == math.ceil(train * 0.5 * 0.65)
-    assert q["val"] == math.floor((n - train) * 0.15 / 0.35)
-    assert q["test"] == math.ceil((n - train) * 0.2 / 0.35)
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40, 333])
+@pytest.mark.parametrize("shares", [(0.7, 0.15, 0.15, 0.2), (0.5, 0.3, 0.2, 1.0), (0.9, 0.05, 0.05, 0.0)])
+def test_every_user_has_one_role_and_overlap_is_shared(spark, n, shares):
+    users = spark.range(n).withColumnRenamed("id", "user_id")
+    roles = {r.user_id: r.role for r in user_split(users, Splits(*shares)).collect()}
+    assert sorted(roles) == list(range(n))
+    splits = {}
+    for r in split_membership(user_split(users, Splits(*shares))).collect():
+        splits.setdefault(r.user_id, set()).add(r.split)
+    for user, role in roles.items():
+        assert splits[user] == ({"train", "val", "test"} if role == "train_overlap" else {role})
 
 
 def test_hash_rank_equals_global_ranking(spark):
