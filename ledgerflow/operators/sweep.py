@@ -97,7 +97,7 @@ def brand_ranks(fit_rows: DataFrame) -> tuple[DataFrame, int]:
     order) over the distinct brand table, and the number of brands."""
     stats, n = materialize_small(BrandVocab.brand_stats(fit_rows, "brand", ("user_id", "k")))
     ranks = global_row_number(stats, [F.col("cnt").desc(), F.col("first_seen"), F.col("brand")],
-                              -F.col("cnt"), "brank", n_rows=n).select("brand", "brank")
+                              "brank", n_rows=n).select("brand", "brank")
     return ranks.persist(), n
 
 

@@ -54,6 +54,7 @@ class Prepared:
     cuts: dict | None = None
     max_user_rows: int | None = None  # raw rows of the busiest user: bounds any sequence
     window_cells: DataFrame | None = None  # align='strict': cells built per window
+    held: list = field(default_factory=list)  # further tables kept in storage until unpersist()
 
     # windows -------------------------------------------------------------
     def input_start(self) -> dict:
@@ -114,7 +115,10 @@ class Prepared:
                             self.encoders.get("amount"), ratio)
 
     def unpersist(self):
-        self.buckets.unpersist()
+        """Release every table that the preparation keeps in storage."""
+        for df in (self.buckets, self.window_cells, *self.held):
+            if df is not None:
+                df.unpersist()
 
 
 def _materialize(df: DataFrame, how: str) -> DataFrame:
@@ -188,6 +192,8 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
     buckets = _materialize(buckets, how)
     members = split_membership(roles)
     prep = Prepared(cfg, spec, buckets, roles, members, {}, n, cuts, max_rows)
+    if how != "none":
+        prep.held.append(summary)
     if align == "strict":
         prep.window_cells = _materialize(strict_window_cells(
             tx, spec, role_expr(cuts), prep.input_start(), prep.target_start(),
@@ -209,6 +215,7 @@ def fit_encoders(prep: Prepared) -> Prepared:
         F.min("amount").cast("double").alias("lo"), F.max("amount").cast("double").alias("hi"),
         F.min("date").alias("e"))
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    prep.held.append(stats)
     g = stats.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("e").alias("e"),
                   F.count(F.lit(1)).alias("n_brands")).first()
     brand = BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold).fit_stats(
@@ -217,6 +224,7 @@ def fit_encoders(prep: Prepared) -> Prepared:
         amount = MinMaxEncoder(feature_range=cfg.feature_range, group_by=cfg.amount_group_by).fit(rows, "amount")
     else:
         amount = MinMaxEncoder(feature_range=cfg.feature_range).set_range(g["lo"], g["hi"])
+    prep.held += [df for df in vars(brand).values() if isinstance(df, DataFrame)]
     prep.encoders = {"brand": brand, "amount": amount, "date": TimeDeltaEncoder().set_earliest(g["e"])}
     return prep
 

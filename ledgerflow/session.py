@@ -6,6 +6,7 @@ here only fill in settings that are unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.match(r"local(\[|$)", master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster; "
                                "a machine-local scratch folder would not survive executor loss")
         current = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")

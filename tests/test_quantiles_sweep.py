@@ -65,7 +65,7 @@ def test_global_row_number_distributed_equals_window(spark):
     old = ranking.ROWS_PER_RANGE
     ranking.ROWS_PER_RANGE = 100  # force ~30 ranges
     try:
-        got = {r.id: r.rn for r in ranking.global_row_number(df, order, -F.col("c"), "rn", single_max=0).collect()}
+        got = {r.id: r.rn for r in ranking.global_row_number(df, order, "rn", single_max=0).collect()}
     finally:
         ranking.ROWS_PER_RANGE = old
     assert got == ref
@@ -75,3 +75,20 @@ def test_piecewise_linear_without_a_bin(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(1.0, [2.0]), (1.0, []), (1.0, [0.0, 2.0])], "x double, e array<double>")
     assert [r.p for r in df.select(piecewise_linear(F.col("x"), F.col("e")).alias("p")).collect()] == [[], [], [0.5]]
+
+
+def test_row_numbers_of_tied_and_wide_keys(spark, monkeypatch):
+    """Half of the rows tie on the leading column, and first-seen keys lie closer than a double
+    can tell: no range may take them all."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from ledgerflow.operators import ranking
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 200)
+    df = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("c"),
+                                  (F.lit(2).cast("decimal(38,0)") * F.lit(1 << 62) * F.lit(1 << 40) + F.col("id")).cast("decimal(38,0)").alias("first"))
+    order = [F.col("c").desc(), F.col("first"), F.col("id")]
+    got = ranking.global_row_number(df, order, single_max=0)
+    want = df.withColumn("want", F.row_number().over(Window.orderBy(*order)))
+    assert got.join(want, "id").where("rn != want").count() == 0 and got.count() == 4000
+    cut = df.repartitionByRange(20, *order).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in cut) < 600

@@ -201,3 +201,16 @@ def test_strict_alignment_splits_a_straddling_bucket(spark, tx):
     tgt = {r.amount_raw for r in strict.targets().collect()}
     assert tgt == {100.0}                 # the rest lands in the target window
     assert {r.amount_raw for r in loose.targets().collect()} == set()
+
+
+def test_unpersist_releases_storage(spark, tx):
+    from ledgerflow.config import Cutoffs, DataConfig
+    from ledgerflow.plans.prepare import prepare
+    spark.catalog.clearCache()
+    df = tx([(u, f"2024-01-{1 + u % 28:02d}", "AB"[u % 2], u) for u in range(60)])
+    prep = prepare(df, DataConfig("7D", Cutoffs("2024-01-01", "2024-01-10", "2024-01-15", "2024-01-20")))
+    assert prep.sequences().count() > 0 and prep.targets().count() >= 0
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    prep.unpersist()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() < held
+    assert not prep.buckets.is_cached and not any(d.is_cached for d in prep.held)
