@@ -311,6 +311,15 @@ BLOCK = T.StructType([
     T.StructField("n_pairs", T.ArrayType(T.LongType()))])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with all first bytes first, then all second ones, ...: they compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per slice of texts: its distinct word hashes, how often each occurs in training
     texts, the words of each text as places in that list, and counts of pairs of symbols in training
@@ -336,7 +345,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(pair)
         yield pa.RecordBatch.from_arrays([
             pa.array([TaskContext.get().partitionId() * (1 << 32) + number]), pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())),
-            pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([place.astype(np.uint32).tobytes()], pa.binary()),
+            pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([_planes(place)], pa.binary()),
             pa.array([unique.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary()),
             pa.array([int(learns.sum())]), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([pair[used].tolist()], pa.list_(pa.int64()))],
             BLOCK.names)
@@ -372,7 +381,7 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             total = np.concatenate([np.frombuffer(x["total"], np.int64) for x in row["ranges"]])
-            c = total[np.frombuffer(row["tokens"], np.uint32)]
+            c = total[_from_planes(row["tokens"])]
             size = np.array(row["n_tokens"], np.int64)
             first = np.cumsum(size) - size
             yield pa.RecordBatch.from_arrays([
