@@ -4,7 +4,7 @@
 the number of intervals -- all intervals in the window (``'all'``, empty ones
 count as zero) or only those where the user bought the brand
 (``'active'``). 
-User code can register its own predictor (e.g. a ``mapInPandas`` scorer).
+User code can register its own predictor (e.g. a pandas scorer).
 """
 from __future__ import annotations
 
@@ -54,13 +54,15 @@ def average_and_actual(inputs: DataFrame, targets: DataFrame, brand_enc, n_inter
 
 
 def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):
-    """Wrap a user scorer written in pandas as a predictor.
+    """Wrap a user scorer written in pandas as a predictor with the common
+    signature, to be registered by name.
 
     ``fn(pdf)`` receives one user's encoded input rows (one split) and
     returns that user's predictions.  It runs through ``applyInPandas``
     grouped by (split, user): Arrow batches, one user per call.  A user's
     rows are bounded by buckets x brands after aggregation; scorers needing
     more context should stay in DataFrame expressions."""
-    def predictor(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("split", "user_id").applyInPandas(fn, schema)
+    def predictor(rows: DataFrame, brand_enc, n_intervals=None, denominator: str = "all") -> DataFrame:
+        enc = brand_enc.transform(rows, "brand", "brand_id")
+        return enc.groupBy("split", "user_id").applyInPandas(fn, schema)
     return predictor

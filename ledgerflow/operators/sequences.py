@@ -169,7 +169,7 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
         scaled = None
     raw = settled(F.col("_s"))
     if scaled is None:
-        if amount_enc is not None:
+        if getattr(amount_enc, "params", None) is not None:
             scale, offset = amount_enc.params
             scaled = raw * F.lit(float(scale)) + F.col("_n").cast("double") * F.lit(float(offset))
         else:

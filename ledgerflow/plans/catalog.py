@@ -7,6 +7,7 @@ so that they compare row by row with the oracle.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -357,15 +358,9 @@ def q_dense_target(spark, sf):
 
 
 # ---------------------------------------------------------------- baseline / evaluation
-def _n_intervals(prep: Prepared):
-    return split_case({s: prep.spec.count_in_window(prep.cfg.cutoffs.in_start,
-                                                    prep.cfg.cutoffs.target_start(s))
-                       for s in ("train", "val", "test")})
-
-
 def _baseline(prep: Prepared, denominator="all"):
     from ..operators.predict import average_spend
-    return average_spend(prep.input_rows(), prep.encoders["brand"], _n_intervals(prep), denominator)
+    return average_spend(prep.input_rows(), prep.encoders["brand"], prep.n_intervals(), denominator)
 
 
 @register("baseline_avg_all", O.baseline_sql("tx", TX_CONFIG, "all") +
@@ -382,7 +377,7 @@ def q_baseline_avg_active(spark, sf):
 
 def _aligned(prep):
     from ..operators.predict import average_and_actual
-    return average_and_actual(prep.input_rows(), prep.target_rows(), prep.encoders["brand"], _n_intervals(prep))
+    return average_and_actual(prep.input_rows(), prep.target_rows(), prep.encoders["brand"], prep.n_intervals())
 
 
 def _users_per_split(prep):
@@ -427,6 +422,17 @@ def q_eval_losses(spark, sf):
     return cell_losses(_aligned(prep), _users_per_split(prep), prep.encoders["brand"].size)
 
 
+_NAMED = replace(TX_CONFIG, amount_encoder="no_op", output_type="multi_hot_separate", loss="l2")
+
+
+@register("configured_loss", O.baseline_sql("tx", _NAMED, "all") + """
+SELECT n.split, """ + O.settled("coalesce(a.l2, 0.0::DOUBLE)") + """ / CAST(n.n_users * vsize.v AS DOUBLE) AS loss
+FROM nusers n CROSS JOIN vsize LEFT JOIN (SELECT split, sum((p - t) * (p - t)) AS l2 FROM aligned GROUP BY split) a ON a.split = n.split""")
+def q_configured_loss(spark, sf):
+    """A plan built from names only: encoder, target builder, predictor, loss."""
+    return _prep(spark, sf, cfg=_NAMED).configured_loss()
+
+
 # ---------------------------------------------------------------- batching
 _BATCH = TX_CONFIG.batch_size
 

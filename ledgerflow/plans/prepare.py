@@ -21,8 +21,10 @@ from ..functions.timecols import ts_lit
 from ..session import checkpoint_dir
 from ..functions.fixedpoint import money_sum
 from ..operators.buckets import BucketSpec, bucket_aggregate, bucketize, fit_buckets
-from ..operators.encoders import (BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
+from ..operators.encoders import (ENCODERS, BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
                                   first_seen_key)
+from ..operators.evaluate import LOSSES, align
+from ..operators.predict import PREDICTORS
 from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
 from ..operators.split import hash_prefix, role_expr, split_cuts, split_membership, splits_of
 
@@ -114,6 +116,22 @@ class Prepared:
         return target_cells(self.target_rows(), self.members, self.encoders["brand"],
                             self.encoders.get("amount"), ratio)
 
+    def n_intervals(self) -> Column:
+        """Intervals in each split's input window."""
+        c = self.cfg.cutoffs
+        return split_case({s: self.spec.count_in_window(c.in_start, c.target_start(s)) for s in SPLITS})
+
+    def configured_loss(self, denominator: str = "all") -> DataFrame:
+        """``(split, loss)``: the mean over all cells of the loss that the
+        configuration names, between its predictor and its target builder."""
+        cfg, brand = self.cfg, self.encoders["brand"]
+        predicted = PREDICTORS.get(cfg.predictor)(self.input_rows(), brand, self.n_intervals(), denominator)
+        cells = align(predicted, self.targets(kind=cfg.output_type))
+        sums = cells.groupBy("split").agg(LOSSES.get(cfg.loss)().alias("_l"))
+        users = self.members.groupBy("split").agg(F.count(F.lit(1)).alias("_n"))
+        mean = F.coalesce(F.col("_l"), F.lit(0.0)) / (F.col("_n") * F.lit(brand.size)).cast("double")
+        return users.join(sums, "split", "left").select("split", mean.alias("loss"))
+
     def unpersist(self):
         """Release every table that the preparation keeps in storage."""
         for df in (self.buckets, self.window_cells, *self.held):
@@ -220,10 +238,15 @@ def fit_encoders(prep: Prepared) -> Prepared:
                   F.count(F.lit(1)).alias("n_brands")).first()
     brand = BrandVocab(top_n=cfg.brand.top_n, freq_threshold=cfg.brand.freq_threshold).fit_stats(
         stats, n_brands=g["n_brands"])
-    if cfg.amount_group_by:
-        amount = MinMaxEncoder(feature_range=cfg.feature_range, group_by=cfg.amount_group_by).fit(rows, "amount")
+    kind = ENCODERS.get(cfg.amount_encoder)
+    if issubclass(kind, NoOpEncoder):
+        amount = kind("amount").fit(rows, "amount")
+    elif not issubclass(kind, MinMaxEncoder):
+        amount = kind().fit(rows, "amount")
+    elif cfg.amount_group_by:
+        amount = kind(feature_range=cfg.feature_range, clip=cfg.clip, group_by=cfg.amount_group_by).fit(rows, "amount")
     else:
-        amount = MinMaxEncoder(feature_range=cfg.feature_range).set_range(g["lo"], g["hi"])
+        amount = kind(feature_range=cfg.feature_range, clip=cfg.clip).set_range(g["lo"], g["hi"])
     prep.held += [df for df in vars(brand).values() if isinstance(df, DataFrame)]
     prep.encoders = {"brand": brand, "amount": amount, "date": TimeDeltaEncoder().set_earliest(g["e"])}
     return prep

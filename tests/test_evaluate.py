@@ -108,3 +108,29 @@ def test_one_aggregate_equals_the_join(spark, denominator):
     got = average_and_actual(inp, tgt, vocab, F.lit(4), denominator)
     cols = ["split", "user_id", "brand_id", "p", "t"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_unknown_names(tx):
+    from dataclasses import replace
+    from ledgerflow.config import Cutoffs, DataConfig
+    from ledgerflow.plans.prepare import prepare
+    df = tx([(u, f"2024-01-{1 + u % 28:02d}", "AB"[u % 2], 1.0) for u in range(60)])
+    cfg = DataConfig("7D", Cutoffs("2024-01-01", "2024-01-10", "2024-01-15", "2024-01-20"))
+    with pytest.raises(KeyError, match="min_max_scaler"):
+        prepare(df, replace(cfg, amount_encoder="nothing"))
+    for field, known in (("predictor", "baseline.avg"), ("loss", "l1"), ("output_type", "multi_hot_separate")):
+        with pytest.raises(KeyError, match=known):
+            prepare(df, replace(cfg, **{field: "nothing"})).configured_loss()
+
+
+def test_registered_pandas_predictor(spark, tx):
+    from dataclasses import replace
+    from ledgerflow.config import Cutoffs, DataConfig
+    from ledgerflow.operators.predict import PREDICTORS, pandas_predictor
+    from ledgerflow.plans.prepare import prepare
+    PREDICTORS.register("test.sum")(pandas_predictor(
+        lambda pdf: pdf.groupby(["split", "user_id", "brand_id"], as_index=False).amount.sum().rename(columns={"amount": "predicted"})))
+    df = tx([(u, f"2024-01-{1 + (u * 7) % 28:02d}", "AB"[u % 2], 1.0) for u in range(60)])
+    cfg = DataConfig("7D", Cutoffs("2024-01-01", "2024-01-10", "2024-01-15", "2024-01-20"), predictor="test.sum")
+    rows = prepare(df, cfg).configured_loss().collect()
+    assert {r.split for r in rows} == {"train", "val", "test"} and all(r.loss > 0 for r in rows)

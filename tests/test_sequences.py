@@ -113,15 +113,16 @@ def test_two_level_positions_equal_single_window(spark):
 def test_pandas_predictor(spark):
     import pandas as pd
     from ledgerflow.operators.predict import pandas_predictor
-    rows = spark.createDataFrame([("test", 1, 3, 10.0), ("test", 1, 3, 30.0), ("test", 2, 4, 5.0)],
-                                 "split string, user_id long, brand_id int, amount double")
+    rows = spark.createDataFrame([("test", 1, "A", 10.0), ("test", 1, "A", 30.0), ("test", 2, "B", 5.0)],
+                                 "split string, user_id long, brand string, amount double")
+    vocab = BrandVocab(order_by=("user_id",)).fit(rows, "brand")
 
     def mean_by_brand(pdf):
         g = pdf.groupby("brand_id", as_index=False)["amount"].mean()
         return pd.DataFrame({"split": pdf["split"].iloc[0], "user_id": pdf["user_id"].iloc[0],
                              "brand_id": g["brand_id"].astype("int32"), "predicted": g["amount"]})
 
-    out = sorted(tuple(r) for r in pandas_predictor(mean_by_brand)(rows).collect())
+    out = sorted(tuple(r) for r in pandas_predictor(mean_by_brand)(rows, vocab).collect())
     assert out == [("test", 1, 3, 20.0), ("test", 2, 4, 5.0)]
 
 
