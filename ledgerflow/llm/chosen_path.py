@@ -8,11 +8,12 @@ with probability s^d, so at s = 0.8 all trees miss them with probability (1 - 0.
 at depth 1 or 2, 2e-4 at depth 4, and less where other links connect them.
 
 Classes that still stand together at the greatest depth are, as a rule, copies of each other. There
-all are compared with the smallest class; once these links are merged, only classes outside its
-component are compared with the others, in blocks. So no pairs are listed within a large group, and
-none is dropped. A comparison is by size and by the share of equal minwise tokens (64, a bound that
-a pair at the threshold passes but for 1e-9); what passes is confirmed on full sets. Links become
-components by large-star and small-star steps.
+all are compared with the smallest class; once these links are merged, only classes outside the
+node's largest component are compared with the others, in blocks and on full sets, and one link to
+each component is listed. So no pairs are listed within a large group, and no class is dropped.
+Other comparisons are by size and by the share of equal minwise tokens (64; a pair at the threshold
+passes but for 2e-6); what passes is confirmed on full sets. Links become components by large-star
+and small-star steps.
 
 Rows shuffled are tokens and keys, not texts; texts or sets move only for classes with a candidate.
 Skew: classes fold copies by partial aggregation, nodes of any size are counted by partial
@@ -39,10 +40,11 @@ WIDTH = 5
 PERCENT = 80
 TREES, DEPTH = 16, 4
 NODE = 32
-BLOCK = 256
+#: Shingles in a block of classes outside a region and in a part of all its classes, about.
+BLOCK, PART = 100_000, 500_000
 SIGNS = TREES * DEPTH
-#: A pair passes the comparison of tokens with so many of 64 equal: 51.2 - 6.5 * 3.2 at 0.8.
-EQUAL = 30
+#: A pair passes the comparison of tokens with so many of 64 equal: 51.2 - 4.7 * 3.2 at 0.8.
+EQUAL = 36
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -189,22 +191,45 @@ def _leaf_pairs(percent: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs of a block of classes outside the main component with a block of all classes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
-            mine = np.array(rows["mine"].to_pylist(), bool)
-            cls, label = np.array(rows["cls"].to_pylist(), object), np.array(rows["label"].to_pylist(), object)
-            n, sketch = rows["n"].to_numpy(), _matrix(rows["sketch"])
-            left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-            a, b = [], []
-            for i in left.tolist():
-                j = right[(label[right] != label[i])]
-                j = j[_compare(np.full(len(j), n[i]), n[j], np.broadcast_to(sketch[i], (len(j), SIGNS)), sketch[j], percent)]
-                a += [min(cls[i], cls[k]) for k in j]
-                b += [max(cls[i], cls[k]) for k in j]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _region_links(percent: int):
+    """Links of a block of classes outside a region's component with a part of the region, sorted
+    by place: as many as tie the labels that link there together, less than one a class."""
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        mine = np.array(rows["mine"].to_pylist(), bool)
+        cls, label = rows["cls"].to_pylist(), np.array(rows["label"].to_pylist(), object)
+        sets = rows["set"].combine_chunks()
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        size = np.diff(at)
+        others = np.flatnonzero(~mine)
+        owner = np.repeat(np.arange(len(size)), size)
+        keep = ~mine[owner]
+        values, owner = flat[at[0]:at[-1]][keep], owner[keep]
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        tied = {x: x for x in label}
+
+        def top(x: bytes) -> bytes:
+            while tied[x] != x:
+                tied[x] = x = tied[tied[x]]
+            return x
+
+        for i in np.flatnonzero(mine).tolist():
+            own = flat[at[i]:at[i + 1]]
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = high - low
+            hits = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(owner[hits], minlength=len(size))
+            near = others[100 * common[others] >= percent * (size[others] + size[i] - common[others])]
+            for j in dict(zip(label[near], near.tolist())).values():
+                one, two = top(label[i]), top(label[j])
+                if one != two:
+                    tied[one] = two
+                    a.append(min(cls[i], cls[j]))
+                    b.append(max(cls[i], cls[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -214,10 +239,10 @@ def _block_pairs(percent: int):
             at = rows["place"].to_numpy()
             edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()]
             for x, y in zip(edges, edges[1:]):
-                yield pairs(rows.slice(x, y - x).combine_chunks())
+                yield links(rows.slice(x, y - x))
             rest = rows.slice(edges[-1])
         if rest is not None and rest.num_rows:
-            yield pairs(rest.combine_chunks())
+            yield links(rest)
     return run
 
 
@@ -281,8 +306,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     one, two = (label.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
     across = (pairs.join(one, "a", "left").join(two, "b", "left")
               .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
-    more = across.unionAll(_across_deep(deep, label, percent)).distinct()
-    links = written(_confirmed(written(more, "more"), sets, percent), "links")
+    links = written(_confirmed(across, sets, percent).unionAll(_across_deep(deep, label, sets, percent)), "links")
     label = components(label.where("id != label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionAll(links))
 
     named = classes.join(label.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc", F.coalesce("label", "cls").alias("label"))
@@ -292,25 +316,34 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
             .select("doc", "row", "n", F.coalesce("component", "doc").alias("component")))
 
 
-def _across_deep(deep: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components in nodes that stay large: classes outside the component
-    of the node's smallest label, in blocks, against all classes of the node, in blocks."""
-    known = (deep.join(label.withColumnRenamed("id", "cls"), "cls", "left")
-             .select("node", "cls", "n", "sketch", "size", F.coalesce("label", "cls").alias("label")))
+def _across_deep(deep: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in nodes that stay large. A node's region is its largest
+    component; classes of the node outside it are compared, on full sets, with each other and with
+    all classes of the region that stand in such nodes. Both sides are cut into blocks of bounded
+    size, each pair of blocks is one small group of rows."""
+    known = written(deep.join(label.withColumnRenamed("id", "cls"), "cls", "left")
+                    .select("node", "cls", "n", F.coalesce("label", "cls").alias("label")), "known")
     many = known.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n_label"))
     main = (many.groupBy("node").agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("all"))
-            .where("all > top.n_label").select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n_label")).alias("outside")))
-    rows = known.join(main, "node").select(
-        "node", "cls", "n", "sketch", "label", (F.col("label") != F.col("main")).alias("out"),
-        F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / (8 * BLOCK)).cast("int").alias("parts"))
+            .where("all > top.n_label").select("node", F.col("top.label").alias("region")))
+    outside = (known.join(main, "node").where("label != region").select("region", "cls", "label", "n")
+               .distinct().withColumn("out", F.lit(True)))
+    inside = (known.join(main.select("region").distinct(), F.col("label") == F.col("region"))
+              .select("region", "cls", "label", "n").distinct().withColumn("out", F.lit(False)))
+    rows = written(outside.unionAll(inside), "regions")
+    total = rows.groupBy("region").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("out"), F.col("n"))).alias("outside"))
+    rows = rows.join(total, "region").join(sets, "cls").select(
+        "region", "cls", "label", "out", "set", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("all") / PART).cast("int").alias("parts"))
     rows = rows.select("*", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"),
                        F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int").alias("part"))
-    mine = rows.where("out").select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("q")).select(
-        F.xxhash64("node", "block", "q").alias("place"), F.lit(True).alias("mine"), "cls", "label", "n", "sketch")
-    others = rows.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("p")).select(
-        F.xxhash64("node", "p", "part").alias("place"), F.lit(False).alias("mine"), "cls", "label", "n", "sketch")
-    return (mine.unionAll(others).repartition("place").sortWithinPartitions("place")
-            .mapInArrow(_block_pairs(percent), "a binary, b binary"))
+    copies = F.when(F.col("out"), F.expr("concat(transform(sequence(0, parts - 1), q -> struct(true as mine, block as x, q as y)), "
+                                         "transform(sequence(0, blocks - 1), p -> struct(false as mine, p as x, part as y)))")
+                    ).otherwise(F.expr("transform(sequence(0, blocks - 1), p -> struct(false as mine, p as x, part as y))"))
+    placed = (rows.withColumn("c", F.explode(copies))
+              .select(F.xxhash64("region", "c.x", "c.y").alias("place"), "c.mine", "cls", "label", "set"))
+    return (placed.repartition("place").sortWithinPartitions("place")
+            .mapInArrow(_region_links(percent), "a binary, b binary"))
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
