@@ -1,6 +1,7 @@
 """Small helpers shared by the operators: tables, scratch tables, Arrow batches, word hashing."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handled at once inside a task; one longer document is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The white space that separates words: 0x20 and 0x09-0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -32,6 +33,8 @@ def scratch_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         shared = context.getCheckpointDir()
         if not shared:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerflow-"))
             shared = context.getCheckpointDir()
     return shared.rstrip("/")
@@ -70,7 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
-                work: Callable[[pa.Array], dict[str, pa.Array]], drop: bool = False) -> DataFrame:
+                work: Callable[[pa.Array], dict[str, pa.Array]], drop: bool = False,
+                limit: int = SLICE_BYTES) -> DataFrame:
     """All rows and columns of ``df`` plus one struct column ``name`` that ``work`` derives from
     the text column, slice by slice. ``drop`` leaves the text column out, which saves sending it
     back from the workers."""
@@ -79,7 +83,7 @@ def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, limit):
             got = work(part.column(part.schema.get_field_index(column)))
             fields = [arrow.field(i) for i in range(arrow.num_fields)]
             struct = pa.StructArray.from_arrays([_as(got[f.name], f.type) for f in fields], fields=fields)
