@@ -105,19 +105,19 @@ def parents(parsed: DataFrame) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """``links`` plus r_conv, r_turn (the message that replies lead back to) and depth."""
     now = written(links.select("*", F.coalesce("p_conv", "conv").alias("r_conv"), F.coalesce("p_turn", "turn").alias("r_turn"),
-                               F.when(F.col("p_conv").isNull(), 0).otherwise(1).cast("long").alias("depth")), "roots0")
+                               F.when(F.col("p_conv").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+                               F.col("p_conv").isNotNull().alias("open")), "roots0")
     step = 0
-    while True:
+    while not now.where("open").isEmpty():
         step += 1
         far = now.select(F.col("conv").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("r_conv").alias("n_conv"),
-                         F.col("r_turn").alias("n_turn"), F.col("depth").alias("more"))
-        rest = now.where("r_conv != conv or r_turn != turn")
-        moved = rest.join(far, ["r_conv", "r_turn"]).select(*links.columns, F.col("n_conv").alias("r_conv"), F.col("n_turn").alias("r_turn"),
-                                                           (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        after = written(now.where("r_conv = conv and r_turn = turn").withColumn("moved", F.lit(False)).unionByName(moved), f"roots{step}")
-        if after.where("moved").isEmpty():
-            return after.drop("moved")
-        now = after.drop("moved")
+                         F.col("r_turn").alias("n_turn"), F.col("depth").alias("more"), F.col("open").alias("n_open"))
+        # a message is settled once the message that it points to points to a root
+        moved = now.where("open").join(far, ["r_conv", "r_turn"]).select(
+            *links.columns, F.col("n_conv").alias("r_conv"), F.col("n_turn").alias("r_turn"),
+            (F.col("depth") + F.col("more")).alias("depth"), F.col("n_open").alias("open"))
+        now = written(now.where("not open").unionByName(moved), f"roots{step}")
+    return now.drop("open")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -140,7 +140,9 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations"))
+    """``link`` on all conversations; a message without a parent is shown as its own."""
+    linked = link(table(spark, sf_dir, "conversations"))
+    return linked.withColumns({"parent_conv": F.coalesce("parent_conv", "conv_id"), "parent_turn": F.coalesce("parent_turn", "turn")})
 
 
 _N = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
@@ -176,7 +178,7 @@ top AS (SELECT conv_id, turn, arg_max((c, t), depth) AS o, max(depth) AS depth F
 own AS (SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE own), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS text FROM l GROUP BY r)
 SELECT m.conv_id, m.turn, role, coalesce(own.text, '') AS text,
   (SELECT count(*) FROM p WHERE p.r = m.r AND level > 0) AS n_quoted, cast(coalesce(n, 0) AS BIGINT) AS n_linked,
-  pc AS parent_conv, pt AS parent_turn, coalesce(top.o[1], m.conv_id) AS root_conv, coalesce(top.o[2], m.turn) AS root_turn,
+  coalesce(pc, m.conv_id) AS parent_conv, coalesce(pt, m.turn) AS parent_turn, coalesce(top.o[1], m.conv_id) AS root_conv, coalesce(top.o[2], m.turn) AS root_turn,
   cast(coalesce(top.depth, 0) AS BIGINT) AS depth
 FROM m JOIN own USING (r) LEFT JOIN par ON par.conv_id = m.conv_id AND par.turn = m.turn
   LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn"""
