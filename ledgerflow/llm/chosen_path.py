@@ -42,6 +42,8 @@ TREES, DEPTH = 16, 4
 NODE = 32
 #: Shingles in a block of classes outside a region and in a part of all its classes, about.
 BLOCK, PART = 100_000, 500_000
+#: Row keys (16 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 SIGNS = TREES * DEPTH
 #: A pair passes the comparison of tokens with so many of 64 equal: 51.2 - 4.7 * 3.2 at 0.8.
 EQUAL = 36
@@ -121,6 +123,12 @@ def _signed(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
             .mapInArrow(run, f"doc {kind}, row long, cls binary, n long, tokens array<int>, sketch binary"))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """A written table of row keys, broadcast while it has at most ``BROADCAST_ROWS`` rows, so that
+    texts need not move to be chosen; beyond that Spark joins by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _sets(docs: DataFrame, rows: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """(cls, set) of the classes whose representative's row key is in ``rows``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,7 @@ def _sets(docs: DataFrame, rows: DataFrame, text: str, key: str, width: int) ->
                                              ["row", "cls", "set"])
 
     wanted = (docs.select(_row_key(text, key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-              .join(rows, "row", "left_semi"))
+              .join(_sized(rows.select("row")), "row", "left_semi"))
     # rows that share a key are repeated rows, or one in 2^64 others; their class tells them apart
     return (wanted.mapInArrow(run, "row long, cls binary, set array<long>")
             .join(rows, ["row", "cls"], "left_semi").dropDuplicates(["row", "cls"]).drop("row"))
@@ -351,7 +359,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", wid
     rows one stays."""
     found = near_duplicates(docs, text=text, key=key, width=width, percent=percent)
     stay = written(found.where(F.col("doc").eqNullSafe(F.col("component"))).groupBy("row").agg(F.count(F.lit(1)).alias("copies")), "stay")
-    kept = docs.withColumn("__row", _row_key(text, key)).join(stay.select(F.col("row").alias("__row"), F.col("copies").alias("__copies")), "__row")
+    kept = docs.withColumn("__row", _row_key(text, key)).join(_sized(stay.select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))), "__row")
     once = kept.where("__copies = 1")
     return once.unionAll(kept.where("__copies > 1").dropDuplicates(["__row"])).drop("__row", "__copies")
 

@@ -74,10 +74,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
                 work: Callable[[pa.Array], dict[str, pa.Array]], drop: bool = False,
-                limit: int = SLICE_BYTES) -> DataFrame:
+                limit: int = SLICE_BYTES, finish: Callable[[], None] | None = None) -> DataFrame:
     """All rows and columns of ``df`` plus one struct column ``name`` that ``work`` derives from
     the text column, slice by slice. ``drop`` leaves the text column out, which saves sending it
-    back from the workers."""
+    back from the workers; ``finish`` is called at the end of each task."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
@@ -89,6 +89,8 @@ def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
             struct = pa.StructArray.from_arrays([_as(got[f.name], f.type) for f in fields], fields=fields)
             kept = [c for c in part.schema.names if not (drop and c == column)]
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), struct], [*kept, name])
+        if finish:
+            finish()
 
     schema = T.StructType([*(f for f in df.schema.fields if not (drop and f.name == column)), T.StructField(name, kind)])
     return df.mapInArrow(run, schema)

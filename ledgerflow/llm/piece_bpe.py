@@ -6,11 +6,11 @@ joined piece scores highest is merged first, the leftmost among equals, until no
 piece; symbols outside the vocabulary fall back to bytes. No piece of such a vocabulary has U+2581
 after another character, so texts are cut before each run of U+2581 and every distinct chunk is
 encoded once per task: many short chunks in step (each round pops the head of every chunk's
-agenda), long ones with a heap in O(n log n). Each distinct chunk is also encoded by the library;
-a difference raises.
+agenda), long ones with a heap in O(n log n). Each distinct chunk is also encoded by the library
+and decoded; a difference raises.
 
 Narrow: one pass, no shuffle; memory is a slice of texts, the tables of the vocabulary (a fixed
-file) and a cache of at most ``CACHE`` chunks that is emptied when full.
+file) and a cache of at most ``CACHE`` chunks that is emptied when full and after a task.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; a literal U+2581
 reads as a space; repeated rows each get their row; other columns pass through.
@@ -34,7 +34,9 @@ from ledgerflow.llm.common import table, with_struct
 MODEL = "piece_bpe_32k.model"
 #: Chunks with more code points than this are encoded one by one with a heap.
 LONG = 48
-CACHE = 400_000
+CACHE = 500_000
+#: Text encoded at once; the pieces of a text take many times its size as Python objects.
+SLICE = 1 << 20
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NONE = np.int64(1) << 40
@@ -204,22 +206,23 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         return self.raw(ids).removeprefix(" ")
 
-    def encode(self, texts: list[str], known: dict[str, tuple[int, str, str]]) -> list[list[str]]:
-        """The chunks of each text; ``known`` gets (number of ids, ids in decimal, decoded text) of each."""
+    def encode(self, texts: list[str], known: dict[str, str]) -> list[list[str]]:
+        """The chunks of each text; ``known`` gets the ids of each, in decimal."""
         cut = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list({c for one in cut for c in one}.difference(known))
-        short, long = [c for c in new if len(c) <= LONG], [c for c in new if len(c) > LONG]
-        got = dict(zip(long, map(self.one, long)))
-        for k in range(0, len(short), 50_000):
-            got.update(zip(short[k:k + 50_000], self.many(short[k:k + 50_000])))
-        for k in range(0, len(new), 50_000):
-            part = new[k:k + 50_000]
+        for k in range(0, len(new), 20_000):
+            part = new[k:k + 20_000]
+            short = [c for c in part if len(c) <= LONG]
+            got = dict(zip(short, self.many(short)))
+            got.update((c, self.one(c)) for c in part if len(c) > LONG)
             for chunk, want in zip(part, self.library.encode([c[1:] for c in part], num_threads=1)):
+                ids = got[chunk]
                 # a lone U+2581 is the empty text to the library, which gives that no ids
-                if want != got[chunk] and chunk != SPACE:
-                    raise ValueError(f"differs from the library: {chunk!r}: {got[chunk]} and {want}")
-        for chunk, ids in got.items():
-            known[chunk] = (len(ids), ",".join(map(str, ids)), self.raw(ids))
+                if want != ids and chunk != SPACE:
+                    raise ValueError(f"differs from the library: {chunk!r}: {ids} and {want}")
+                if self.raw(ids) != chunk.replace(SPACE, " "):
+                    raise ValueError(f"does not decode to itself: {chunk!r}: {ids}")
+                known[chunk] = ",".join(map(str, ids))
         return cut
 
 
@@ -229,23 +232,24 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(2)
-def _cache(path: str) -> dict[str, tuple[int, str, str]]:
+def _cache(path: str) -> dict[str, str]:
     return {}
 
 
 def _encoded(path: str, column: pa.Array) -> Iterator[tuple[int, str, str]]:
-    """(number of ids, ids in decimal, decoded text) of each text."""
+    """(number of ids, ids in decimal, decoded text) of each text. Every chunk's ids have been seen
+    to decode to the chunk, so a text's decode to its chunks, less the space put in front."""
     known = _cache(path)
     if len(known) > CACHE:
         known.clear()
     for chunks in vocabulary(path).encode([t or "" for t in column.to_pylist()], known):
-        each = [known[c] for c in chunks]
-        yield sum([x[0] for x in each]), ",".join([x[1] for x in each]), "".join([x[2] for x in each])[1:]
+        ids = ",".join([known[c] for c in chunks])
+        yield ids.count(",") + 1 if ids else 0, ids, "".join(chunks).replace(SPACE, " ")[1:]
 
 
 def encode_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
     n, ids, decoded = zip(*_encoded(path, column))
-    flat = np.array(",".join(filter(None, ids)).split(",") if any(n) else [], np.int32)
+    flat = np.concatenate([np.array(x.split(","), np.int32) for x in ids if x] or [np.zeros(0, np.int32)])
     at = pa.array(np.cumsum([0, *n]).astype(np.int32))
     return {"n_tokens": pa.array(n, pa.int64()), "ids": pa.ListArray.from_arrays(at, pa.array(flat)),
             "decoded": pa.array(decoded, pa.string())}
@@ -270,13 +274,14 @@ def default_model() -> str:
 def encode(docs: DataFrame, *, model: str | None = None, text: str = "text", name: str = "__pieces") -> DataFrame:
     """``docs`` plus a struct column ``name``: n_tokens, ids, decoded."""
     path = model or default_model()
-    return with_struct(docs, text, name, ENCODED, lambda column: encode_struct(path, column))
+    return with_struct(docs, text, name, ENCODED, lambda column: encode_struct(path, column), limit=SLICE, finish=lambda: _cache(path).clear())
 
 
 def digests(docs: DataFrame, *, model: str | None = None, text: str = "text", name: str = "__pieces") -> DataFrame:
-    """As ``encode``, with sha256 digests in place of ids and decoded text."""
+    """As ``encode``, with sha256 digests in place of ids and decoded text, and without the text."""
     path = model or default_model()
-    return with_struct(docs, text, name, DIGEST, lambda column: digest_struct(path, column))
+    return with_struct(docs, text, name, DIGEST, lambda column: digest_struct(path, column), drop=True, limit=SLICE,
+                       finish=lambda: _cache(path).clear())
 
 
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
