@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import LOWER, SALT, SPACES, Words, mix, slices, strings, table, word_bytes, written
+from ledgerflow.llm.common import LOWER, SALT, SPACES, Words, mix, release, slices, strings, table, word_bytes, written
 from ledgerflow.llm.components import components
 
 WIDTH = 5
@@ -117,6 +117,7 @@ def _signed(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("row"), _class_of(sets), pa.array(sizes), lists, pa.array(sketch, pa.binary())],
                 ["doc", "row", "cls", "n", "tokens", "sketch"])
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("doc"), _row_key(text, key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -1,6 +1,7 @@
 """Small helpers shared by the operators: tables, scratch tables, Arrow batches, word hashing."""
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -91,11 +92,22 @@ def with_struct(df: DataFrame, column: str, name: str, kind: T.StructType,
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), struct], [*kept, name])
         if finish:
             finish()
+        release()
 
     schema = T.StructType([*(f for f in df.schema.fields if not (drop and f.name == column)), T.StructField(name, kind)])
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the system: Python workers live on, and what they
+    hold counts against the executor in later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def _as(values, kind: pa.DataType) -> pa.Array:
     array = values if isinstance(values, pa.Array) else pa.array(values)
     return array if array.type == kind else array.cast(kind)

@@ -34,7 +34,7 @@ from ledgerflow.llm.common import table, with_struct
 MODEL = "piece_bpe_32k.model"
 #: Chunks with more code points than this are encoded one by one with a heap.
 LONG = 48
-CACHE = 500_000
+CACHE = 300_000
 #: Text encoded at once; the pieces of a text take many times its size as Python objects.
 SLICE = 1 << 20
 SPACE = "▁"
