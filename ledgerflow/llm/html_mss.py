@@ -55,6 +55,7 @@ NOTICE = re.compile(r"""(?:class|id)\s*=\s*["']?[^"'>]*\b(?:ads?|advert\w*|banne
                     r"""consent|notice|popup|modal|newsletter|share|social|related|breadcrumbs?|menu|nav\w*|footer|header)\b""", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -62,12 +63,8 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 def pieces(page: str) -> Iterator[tuple[str, str]]:
     """(tag, "") and ("", text) in page order; tags as ``name``, ``/name`` or ``name.notice``.
     The content of raw elements is left out, comments and declarations too."""
-    at, skip_to = 0, None
-    for m in _TAG.finditer(page):
-        if skip_to is not None:
-            if not (m[1] and m[2] and m[2].lower() == skip_to):
-                continue
-            at, skip_to = m.start(), None
+    at, m = 0, _TAG.search(page)
+    while m:
         if m.start() > at:
             yield "", page[at:m.start()]
         at = m.end()
@@ -75,8 +72,13 @@ def pieces(page: str) -> Iterator[tuple[str, str]]:
             name = m[2].lower()
             yield ("/" + name if m[1] else name + ".notice" if m[3] and NOTICE.search(m[3]) else name), ""
             if not m[1] and name in RAW and not m[3].rstrip().endswith("/"):
-                skip_to = name
-    if skip_to is None and at < len(page):
+                # no tags in here: a "<" of a script may swallow its end tag
+                end = _RAW_END[name].search(page, at)
+                if not end or page.find(">", end.end()) < 0:
+                    return
+                at = end.start()
+        m = _TAG.search(page, at)
+    if at < len(page):
         yield "", page[at:]
 
 
