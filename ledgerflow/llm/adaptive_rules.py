@@ -2,10 +2,10 @@
 
 ``measure`` counts words, symbols, repeated lines and repeated five-word windows of each text, and
 derives four shares in whole units. A sketch of a share in a group (language, source) is a
-histogram: (group, share, bin, count) rows with bins of one unit up to ``BINS``, the last bin
-holding the rest. Sketches merge by adding counts, so a group of any size is folded by partial
-aggregation before the shuffle and has at most ``BINS`` + 1 rows a share after it; results do not
-depend on how rows are dealt out. Quartiles of a sketch give the group's thresholds, ``FENCE``
+histogram: (group, share, bin, count) rows with bins of one unit and no upper end, so quartiles are
+those of the shares themselves. Sketches merge by adding counts, so a group of any size is folded by
+partial aggregation before the shuffle and has one row a distinct share after it: at most 1,001 of
+shares per 1000, and of word lengths as many as differ; results do not depend on how rows are dealt out. Quartiles of a sketch give the group's thresholds, ``FENCE``
 interquartile ranges and a slack outside the quartiles; a join on the group applies them. Texts of
 less than ``LEAST_WORDS`` words, or with more than ``MOST_REPEATED`` percent of words in repeated
 windows, fail in any case (and are left out of the sketches).
@@ -28,6 +28,7 @@ from ledgerflow.llm.common import table, written
 
 #: Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
+#: Where the SQL caps a share before it takes quartiles; it agrees while quartiles are no greater.
 BINS = 4000
 FENCE = 8.0
 LEAST_DOCS = 20
@@ -85,8 +86,7 @@ def measure(docs: DataFrame, *, text: str = "text", name: str = "__q") -> DataFr
 
 def sketches(measured: DataFrame, *, groups: tuple[str, ...] = ("lang", "source"), name: str = "__q") -> DataFrame:
     """(group columns g0, g1, ..., share, bin, n) rows of the texts that pass the base rules."""
-    bins = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.least(F.col(f"{name}.{s}"), F.lit(BINS).cast("long")).alias("bin"))
-                               for s in SHARES))).alias("s")
+    bins = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"{name}.{s}").alias("bin")) for s in SHARES))).alias("s")
     keys = [F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]
     return (measured.where(~F.col(f"{name}.base_failed")).select(*keys, bins)
             .groupBy(*(f"g{i}" for i in range(len(groups))), "s.share", "s.bin").agg(F.count(F.lit(1)).alias("n")))

@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
+import pyarrow as pa
 import pytest
 
-from ledgerflow.llm import html_mss
+from ledgerflow.llm import adaptive_rules, chosen_path, html_mss
+from ledgerflow.llm.common import written
 
 
 @pytest.mark.parametrize("name", ["script", "SCRIPT", "style", "textarea"])
@@ -11,3 +13,15 @@ def test_raw_elements_end_at_their_end_tag(name):
         page = f"<body><{name} type=x>{inside}</{name.lower()} ><article><p>first words here</p></article><{name}>open"
         assert [x for x in html_mss.pieces(page) if x[1]] == [("", "first words here")]
         assert html_mss.extract(page, {}) == "first words here"
+
+
+def test_long_words_keep_their_language(spark):
+    """Fences of a group whose quartiles lie far above 4000 hold its own texts; others still fail."""
+    text = lambda k, size: " ".join(chr(0x4E00 + (k * 31 + i * 7) % 9000) * (size + (k + i) % 9) for i in range(12))
+    rows = [(k, text(k, 60), "zh", "web") for k in range(40)] + [(100, text(3, 700), "zh", "web"), (101, text(3, 2), "zh", "web")]
+    rows += [(200 + k, text(k, 5), "en", "web") for k in range(40)] + [(300, text(3, 60), "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = written(adaptive_rules.measure(docs), "measured")
+    assert measured.where("lang = 'zh' and doc_id < 100").agg({"__q.word_length": "min"}).first()[0] > 4000
+    got = {r.doc_id for r in adaptive_rules.judge(measured).where("__kept").collect()}
+    assert got == {*range(40), *range(200, 240)}
