@@ -55,7 +55,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     words = Words(LOWER[data], offsets, word_bytes(SPACES))
     h, n = words.hashes, len(words)
     joined = h.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, n)):
         joined[:n - k] = mix(joined[:n - k] * np.uint64(3) + h[k:])
     out = []
     for a, count in zip(words.first[:-1].tolist(), words.counts.tolist()):

@@ -25,3 +25,18 @@ def test_long_words_keep_their_language(spark):
     assert measured.where("lang = 'zh' and doc_id < 100").agg({"__q.word_length": "min"}).first()[0] > 4000
     got = {r.doc_id for r in adaptive_rules.judge(measured).where("__kept").collect()}
     assert got == {*range(40), *range(200, 240)}
+
+
+@pytest.mark.parametrize("count", range(6))
+def test_shingles_of_few_words(spark, count):
+    """Texts of 0 to 5 words, alone in a slice."""
+    text = " ".join(["one", "two", "three", "four", "five"][:count])
+    alone = chosen_path.shingle_sets(pa.array([text]), 5)
+    beside = chosen_path.shingle_sets(pa.array([text, "a b c d e f g h"]), 5)
+    assert len(alone[0]) == min(count, 1) and alone[0].tolist() == beside[0].tolist()
+
+
+def test_near_duplicates_of_few_words(spark):
+    rows = [(i, " ".join("abcde"[:1 + i // 2])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(10, "doc_id")
+    assert len(docs.collect()) == 10 and chosen_path.deduplicate(docs).count() == 5
