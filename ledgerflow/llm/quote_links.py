@@ -4,11 +4,13 @@ A line's quote level is the number of ``>`` in its leading run of blanks and ``>
 level, up to a blank line or a change of level, form a passage; passages and their single lines are
 normalised (white space to one space, A-Z lowered) and hashed. Passages of level 0 are a message's
 own; attribution lines before a quote ("... wrote:") and quoted lines are cut from its text. A
-quoted passage of level 1 points to the message that it quotes: the first in the same conversation
-with that own passage or line, else the first of all conversations, if that message comes before;
-of several, the one with the most quoted characters is the parent, else the latest. A message
-without such a quote replies to the turn before it, if there is one. Deeper levels quote what the
-parent quoted and add no link. Following parents gives each message its root and reply depth.
+quoted passage of any level points to the message that it quotes: the first in the same conversation
+with that own passage or line, else the first of all conversations, if that message comes before.
+Passages shorter than ``LEAST`` point within their conversation only. Links of the shallowest level
+that has any decide (as a rule level 1; deeper levels quote what the parent quoted) and are counted;
+of several messages, the one with the most quoted characters is the parent, else the latest. A
+message without a link replies to the turn numbered one less, if there is one. Following parents
+gives each message its root and reply depth.
 
 All in DataFrame operations. Originals are folded to one row per (conversation, hash) and per hash
 by partial aggregation before they are joined, so a passage that a third of all messages share
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import table, written
 
-#: Shorter passages and lines (in characters, normalised) are no evidence.
+#: Shorter passages (in characters, normalised) are evidence in their own conversation only, shorter
+#: quoted lines inside a passage none. The SQL drops both, and all levels but 1.
 LEAST = 20
 #: Lines that announce a quote.
 ATTRIBUTION = r"(wrote|writes|schrieb|a écrit|escribió)[^\n]{0,40}:[ \t]*$"
@@ -69,32 +72,40 @@ def parse(messages: DataFrame, *, text: str = "text") -> DataFrame:
     return out.withColumn("__passages", F.aggregate("__lines", zero, step, flush))
 
 
-def _units(parsed: DataFrame, level: int) -> DataFrame:
-    """(conv, turn, hash, size): the distinct passages and lines of one level."""
-    single = F.transform(F.filter("__lines", lambda x: (x["level"] == level) & ((x["level"] > 0) | x["own"])), lambda x: _normal(x["body"]))
-    whole = F.transform(F.filter("__passages", lambda x: x["level"] == level), lambda x: x["text"])
-    units = F.filter(F.array_distinct(F.concat(whole, single)), lambda t: F.length(t) >= LEAST)
+def _units(parsed: DataFrame, quoted: bool) -> DataFrame:
+    """(conv, turn, level, hash, size): the distinct passages and lines of each quoted level, or
+    of a message's own; quoted lines shorter than ``LEAST`` count as whole passages only."""
+    lines = F.filter("__lines", (lambda x: x["level"] > 0) if quoted else (lambda x: x["own"]))
+    single = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("text")))
+    whole = F.filter("__passages", lambda x: (x["level"] > 0) if quoted else (x["level"] == 0))
+    if quoted:
+        single = F.filter(single, lambda x: F.length(x["text"]) >= LEAST)
+    units = F.filter(F.array_distinct(F.concat(whole, single)), lambda x: x["text"] != "")
     return (parsed.where("conv_id is not null and turn is not null")
-            .select(F.col("conv_id").alias("conv"), "turn", F.explode(units).alias("t"))
-            .select("conv", "turn", F.md5("t").alias("hash"), F.length("t").alias("size")))
+            .select(F.col("conv_id").alias("conv"), "turn", F.explode(units).alias("u"))
+            .select("conv", "turn", "u.level", F.md5("u.text").alias("hash"), F.length("u.text").alias("size")))
 
 
 def parents(parsed: DataFrame) -> DataFrame:
     """(conv, turn, p_conv, p_turn, n_linked) of the messages that have a parent."""
-    own, quoted = _units(parsed, 0), _units(parsed, 1)
-    here = own.groupBy("conv", "hash").agg(F.min("turn").alias("turn"))
-    first = here.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("o")).select("hash", "o.conv", "o.turn")
-    quotes = quoted.groupBy("conv", "turn", "hash").agg(F.max("size").alias("size"))
-    found = (quotes.join(here.withColumnRenamed("turn", "h_turn"), ["conv", "hash"], "left")
+    own, quoted = _units(parsed, False), _units(parsed, True)
+    here = own.groupBy("conv", "hash").agg(F.min("turn").alias("turn"), F.max("size").alias("size"))
+    first = (here.where(F.col("size") >= LEAST).groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("o"))
+             .select("hash", "o.conv", "o.turn"))
+    quotes = quoted.groupBy("conv", "turn", "level", "hash").agg(F.max("size").alias("size"))
+    found = (quotes.join(here.select("conv", "hash", F.col("turn").alias("h_turn")), ["conv", "hash"], "left")
              .join(first.select("hash", F.col("conv").alias("f_conv"), F.col("turn").alias("f_turn")), "hash", "left"))
     near = F.col("h_turn") < F.col("turn")
     far = (F.col("f_conv") < F.col("conv")) | ((F.col("f_conv") == F.col("conv")) & (F.col("f_turn") < F.col("turn")))
-    linked = (found.select("conv", "turn", "size", F.when(near, F.struct(F.col("conv").alias("conv"), F.col("h_turn").alias("turn")))
+    linked = (found.select("conv", "turn", "level", "size",
+                           F.when(near, F.struct(F.col("conv").alias("conv"), F.col("h_turn").alias("turn")))
                            .when(far, F.struct(F.col("f_conv").alias("conv"), F.col("f_turn").alias("turn"))).alias("to"))
               .where("to is not null")
-              .groupBy("conv", "turn", "to").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-              .groupBy("conv", "turn").agg(F.max(F.struct("size", "to")).alias("best"), F.sum("n").alias("n_linked"))
-              .select("conv", "turn", "best.to", "n_linked"))
+              .groupBy("conv", "turn", "level", "to").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+              .groupBy("conv", "turn", "level").agg(F.max(F.struct("size", "to")).alias("most"), F.sum("n").alias("n"))
+              # the shallowest level that links
+              .groupBy("conv", "turn").agg(F.min(F.struct("level", F.col("most.to").alias("to"), "n")).alias("best"))
+              .select("conv", "turn", "best.to", F.col("best.n").alias("n_linked")))
     keys = parsed.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("conv"), "turn").distinct()
     before = keys.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("b_turn"))
     return (keys.join(linked, ["conv", "turn"], "left").join(before, ["conv", "turn"], "left")

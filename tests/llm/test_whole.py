@@ -2,7 +2,7 @@
 import pyarrow as pa
 import pytest
 
-from ledgerflow.llm import adaptive_rules, chosen_path, html_mss
+from ledgerflow.llm import adaptive_rules, chosen_path, html_mss, quote_links
 from ledgerflow.llm.common import written
 
 
@@ -27,6 +27,19 @@ def test_long_words_keep_their_language(spark):
     assert got == {*range(40), *range(200, 240)}
 
 
+def test_deeper_and_short_quotes_link(spark):
+    long = "This is the first long message of all."
+    rows = [(1, 0, "u", long), (1, 1, "v", "Fine by me."), (1, 2, "u", "Nothing quoted in this one."),
+            (1, 3, "v", f">> {long}\nonly the inner quote is left"), (1, 4, "u", "> Fine by me.\nthanks"),
+            (1, 5, "u", f"> Nothing quoted in this one.\n>> {long}\nboth"),
+            (2, 3, "u", f">>> {long}\nfrom afar"), (2, 7, "u", "> Fine by me.\nshort, from afar")]
+    links = quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(x.conv_id, x.turn): (x.parent_conv, x.parent_turn, x.n_linked) for x in links}
+    assert got[1, 3] == (1, 0, 1) and got[1, 4] == (1, 1, 1)
+    assert got[1, 5] == (1, 2, 1)  # the shallowest level that links
+    assert got[2, 3] == (1, 0, 1) and got[2, 7] == (None, None, 0)
+
+
 @pytest.mark.parametrize("count", range(6))
 def test_shingles_of_few_words(spark, count):
     """Texts of 0 to 5 words, alone in a slice."""
