@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -6,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from helpers import D  # noqa: E402
 from ledgerflow.session import local_session  # noqa: E402
 
 TX = "user_id long, date timestamp_ntz, brand string, amount double"
@@ -17,10 +17,6 @@ def spark():
     yield s
 
 
-def D(s: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(s)
-
-
 @pytest.fixture
 def tx(spark):
     def make(rows):

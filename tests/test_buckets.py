@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D
+from helpers import D
 from ledgerflow.functions.timecols import parse_interval
 from ledgerflow.operators.buckets import (bucket_aggregate, bucket_coverage, bucket_label,
                                           date_window, dense_grid_summary, fit_buckets)

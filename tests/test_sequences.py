@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D
+from helpers import D
 from ledgerflow.operators.batching import assign_batches, collate_arrays, pad_and_mask, unbatch
 from ledgerflow.operators.encoders import BrandVocab, NoOpEncoder, TimeDeltaEncoder
 from ledgerflow.operators.sequences import (collect_sequences, dense_vectors, sequence_rows,

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D
+from helpers import D
 from ledgerflow.config import DataConfig, Cutoffs
 from ledgerflow.operators.buckets import bucket_aggregate, fit_buckets
 from ledgerflow.plans.prepare import prepare
