@@ -6,8 +6,8 @@ day) and ``m = (latest - origin) div W``.  Bucket k is right-closed,
 ``(e[k-1], e[k]]``, and bucket 1 also holds ``e[0]``.  Rows after the last
 edge (and, for weeks, before the first Sunday) fall outside every bucket.
 
-Per (user, bucket, brand) the aggregate keeps the amount sum (exact fixed
-point; a null amount counts as 0) and the first (earliest) date.  Only
+Per (user, bucket, brand) the aggregate keeps the amount sum (exact; a
+null amount counts as 0) and the first (earliest) date.  Only
 non-empty cells are produced; the dense users x buckets x brands grid is
 summarised arithmetically by :func:`dense_grid_summary` instead of being
 materialised.
@@ -21,7 +21,7 @@ from typing import Optional, Tuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import money_sum
+from ..functions.fixedpoint import exact_sums
 from ..functions.timecols import add_micros, micros_between, parse_interval, ts_lit, ts_text
 
 _ONE_US = dt.timedelta(microseconds=1)
@@ -149,10 +149,8 @@ def bucket_aggregate(df: DataFrame, spec: BucketSpec, window=None,
     if window is not None:
         src = window_prefilter(src, spec, *window)
     rows = bucketize(src, spec, keep_tail=keep_tail)
-    agg = rows.groupBy("user_id", "k", "brand").agg(
-        money_sum(F.col("amount")).alias("amount"),
-        F.min("date").alias("date"),
-    )
+    agg = exact_sums(rows.groupBy("user_id", "k", "brand"), {"amount": F.col("amount")},
+                     F.min("date").alias("date"), zero=True).select("user_id", "k", "brand", "amount", "date")
     if window is not None:
         agg = date_window(agg, *window)
     return agg
@@ -183,12 +181,12 @@ def bucket_coverage(df: DataFrame, spec: BucketSpec) -> DataFrame:
     else:
         d = micros_between(spec.origin_col(), F.col("date"))
         inside = (d >= 0) & (spec.index_col("date") <= F.lit(spec.n_buckets))
-    return c.agg(
+    return exact_sums(
+        c.select(inside.alias("inside"), F.when(inside, F.col("amount")).alias("amount")),
+        {"amount_binned": F.col("amount")},
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(inside, 1)).alias("n_binned"),
-        F.count(F.when(~inside, 1)).alias("n_dropped"),
-        money_sum(F.when(inside, F.col("amount"))).alias("amount_binned"),
-    )
+        F.count(F.when(F.col("inside"), 1)).alias("n_binned"),
+        F.count(F.when(~F.col("inside"), 1)).alias("n_dropped"), zero=True)
 
 
 def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
@@ -203,9 +201,8 @@ def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
         .agg(F.count(F.lit(1))).scalar()
     n_brands = df.where(F.col("brand").isNotNull()).select("brand").distinct() \
         .agg(F.count(F.lit(1))).scalar()
-    out = cells.agg(F.count(F.lit(1)).alias("n_nonempty"),
-                    money_sum(F.col("amount")).alias("amount")
-                    ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")
+    out = exact_sums(cells, {"amount": F.col("amount")}, F.count(F.lit(1)).alias("n_nonempty"), zero=True
+                     ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")
     n_cells = F.col("n_users") * F.col("n_brands") * F.lit(spec.n_buckets)
     return out.select(
         "n_users", F.lit(spec.n_buckets).cast("bigint").alias("n_buckets"), "n_brands",

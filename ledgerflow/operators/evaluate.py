@@ -5,16 +5,16 @@ a prediction or an actual value exist as rows (full outer join); all other
 cells are zero on both sides and are counted arithmetically.  A cell is
 positive when ``|value| > threshold`` (default: non-zero).
 
-Sums of differences are kept to 13 significant digits; only the percentage
-error (a sum of ratios) is rounded to 9 decimals to be independent of
-summation order.  An empty denominator gives NULL (numpy gives NaN).
+All sums are exact (``functions/fixedpoint.py``), so no result depends on
+the order of the rows; sums are kept to 13 significant digits, percentage
+errors and batch means to 9 decimals.  An empty denominator gives NULL (numpy gives NaN).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import settled
+from ..functions.fixedpoint import exact_sum, exact_sums, settled
 from ..registry import Registry
 
 LOSSES = Registry("loss")
@@ -30,19 +30,16 @@ def align(pred: DataFrame, actual: DataFrame, pred_col: str = "predicted",
         *keys, F.coalesce("_p", F.lit(0.0)).alias("p"), F.coalesce("_t", F.lit(0.0)).alias("t"))
 
 
-def _absdiff():
-    return F.abs(F.col("p") - F.col("t"))
-
-
+# A registered loss is an unsettled aggregate over the cells' ``p`` and ``t``.
 @LOSSES.register("l1")
 def l1_sum():
-    return settled(F.sum(_absdiff()))
+    return exact_sum(F.abs(F.col("p") - F.col("t")))
 
 
 @LOSSES.register("l2")
 def l2_sum():
     d = F.col("p") - F.col("t")
-    return settled(F.sum(d * d))
+    return exact_sum(d * d)
 
 
 @LOSSES.register("no_op")
@@ -56,13 +53,14 @@ def cell_metrics(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int
     thr = F.lit(float(threshold))
     tpos = F.abs(F.col("t")) > thr
     ppos = F.abs(F.col("p")) > thr
-    agg = aligned.groupBy("split").agg(
-        F.count(F.when(tpos, 1)).alias("n_positive"),
-        F.count(F.when(~tpos & ppos, 1)).alias("_fp"),
-        F.count(F.when(tpos & ~ppos, 1)).alias("_fn"),
-        settled(F.sum(F.when(tpos, _absdiff()))).alias("_ae"),
-        F.avg(F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t")))).alias("_pe"),
-    )
+    cells = aligned.select("split", tpos.alias("_tpos"), ppos.alias("_ppos"),
+                           F.when(tpos, F.abs(F.col("p") - F.col("t"))).alias("_d"),
+                           F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t"))).alias("_r"))
+    agg = exact_sums(cells.groupBy("split"), {"_ae": F.col("_d"), "_re": F.col("_r")},
+                     F.count(F.when(F.col("_tpos"), 1)).alias("n_positive"),
+                     F.count(F.when(~F.col("_tpos") & F.col("_ppos"), 1)).alias("_fp"),
+                     F.count(F.when(F.col("_tpos") & ~F.col("_ppos"), 1)).alias("_fn"),
+                     F.count("_r").alias("_both"))
     j = users_per_split.join(agg, "split", "left").fillna(0, ["n_positive", "_fp", "_fn"])
     n_cells = F.col("n_users") * F.lit(vocab_size)
     neg = n_cells - F.col("n_positive")
@@ -72,7 +70,7 @@ def cell_metrics(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int
         F.try_divide(F.col("_fn").cast("double"), F.col("n_positive").cast("double")).alias("false_negative_rate"),
         F.try_divide(F.col("_ae"),
                      F.col("n_positive").cast("double")).alias("positive_mae"),
-        F.round(F.col("_pe") * F.lit(100.0), 9).alias("percentage_error"),
+        F.round(F.try_divide(F.col("_re"), F.col("_both").cast("double")) * F.lit(100.0), 9).alias("percentage_error"),
     )
 
 
@@ -84,19 +82,20 @@ def cell_losses(aligned: DataFrame, users_per_split: DataFrame, vocab_size: int)
     n_cells = (F.col("n_users") * F.lit(vocab_size)).cast("double")
     return j.select(
         "split", "n_users",
-        F.try_divide(F.coalesce(F.col("_l1"), F.lit(0.0)), n_cells).alias("l1"),
-        F.try_divide(F.coalesce(F.col("_l2"), F.lit(0.0)), n_cells).alias("l2"),
+        F.try_divide(F.coalesce(settled(F.col("_l1")), F.lit(0.0)), n_cells).alias("l1"),
+        F.try_divide(F.coalesce(settled(F.col("_l2")), F.lit(0.0)), n_cells).alias("l2"),
         F.lit(0.0).alias("no_op"))
 
 
 def batch_mean_loss(aligned: DataFrame, batches: DataFrame, vocab_size: int) -> DataFrame:
     """Epoch loss as the reference reports it: the mean over batches of each
     batch's mean absolute cell error (a short last batch weighs the same)."""
-    per_user = aligned.groupBy("split", "user_id").agg(l1_sum().alias("_l1"))
+    cells = aligned.withColumn("_d", F.abs(F.col("p") - F.col("t")))
+    per_user = exact_sums(cells.groupBy("split", "user_id"), {"_l1": F.col("_d")})
     b = batches.join(per_user, ["split", "user_id"], "left")
-    per_batch = b.groupBy("split", "batch").agg(
-        settled(F.coalesce(F.sum("_l1"), F.lit(0.0))).alias("_l1"), F.count(F.lit(1)).alias("_n"))
+    per_batch = exact_sums(b.groupBy("split", "batch"), {"_l1": F.col("_l1")}, F.count(F.lit(1)).alias("_n"), zero=True)
     loss = (F.col("_l1") / (F.col("_n") * F.lit(vocab_size)).cast("double"))
-    return per_batch.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_batches"),
-        F.round(F.avg(loss), 9).alias("mean_batch_l1"))
+    means = exact_sums(per_batch.withColumn("_l", loss).groupBy("split"), {"_l": F.col("_l")},
+                       F.count(F.lit(1)).alias("n_batches"))
+    return means.select("split", "n_batches",
+                        F.round(F.col("_l") / F.col("n_batches").cast("double"), 9).alias("mean_batch_l1"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import settled
+from ..functions.fixedpoint import exact_sums
 from ..registry import Registry
 
 PREDICTORS = Registry("predictor")
@@ -25,11 +25,11 @@ def average_spend(rows: DataFrame, brand_enc, n_intervals, denominator: str = "a
     if denominator not in ("all", "active"):
         raise ValueError("denominator must be 'all' or 'active'")
     enc = brand_enc.transform(rows, "brand", "brand_id")
-    g = enc.groupBy("split", "user_id", "brand_id").agg(
-        F.sum("amount").alias("_s"), F.countDistinct("k").alias("_active"))
+    g = exact_sums(enc.groupBy("split", "user_id", "brand_id"), {"_s": F.col("amount")},
+                   F.countDistinct("k").alias("_active"))
     denom = n_intervals if denominator == "all" else F.col("_active")
     return g.select("split", "user_id", F.col("brand_id").cast("int").alias("brand_id"),
-                    (settled(F.col("_s")) / denom.cast("double")).alias("predicted"))
+                    (F.col("_s") / denom.cast("double")).alias("predicted"))
 
 
 def average_and_actual(inputs: DataFrame, targets: DataFrame, brand_enc, n_intervals,
@@ -40,17 +40,17 @@ def average_and_actual(inputs: DataFrame, targets: DataFrame, brand_enc, n_inter
     cols = ["split", "user_id", "k", "brand", "amount"]
     rows = inputs.select(*cols, F.lit(True).alias("_in")).unionByName(targets.select(*cols, F.lit(False).alias("_in")))
     enc = brand_enc.transform(rows, "brand", "brand_id")
-    spent = F.sum(F.when(F.col("_in"), F.col("amount")))
-    aggs = [spent.alias("_s"), F.sum(F.when(~F.col("_in"), F.col("amount"))).alias("_t")]
+    enc = enc.withColumns({"_i": F.when(F.col("_in"), F.col("amount")), "_o": F.when(~F.col("_in"), F.col("amount"))})
+    others = []
     if denominator == "active":
-        aggs.append(F.countDistinct(F.when(F.col("_in"), F.col("k"))).alias("_active"))
+        others.append(F.countDistinct(F.when(F.col("_in"), F.col("k"))).alias("_active"))
     elif denominator != "all":
         raise ValueError("denominator must be 'all' or 'active'")
-    g = enc.groupBy("split", "user_id", "brand_id").agg(*aggs)
+    g = exact_sums(enc.groupBy("split", "user_id", "brand_id"), {"_s": F.col("_i"), "_t": F.col("_o")}, *others)
     denom = n_intervals if denominator == "all" else F.col("_active")
     return g.select("split", "user_id", F.col("brand_id").cast("int").alias("brand_id"),
-                    F.coalesce(settled(F.col("_s")) / denom.cast("double"), F.lit(0.0)).alias("p"),
-                    F.coalesce(settled(F.col("_t")), F.lit(0.0)).alias("t"))
+                    F.coalesce(F.col("_s") / denom.cast("double"), F.lit(0.0)).alias("p"),
+                    F.coalesce(F.col("_t"), F.lit(0.0)).alias("t"))
 
 
 def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):

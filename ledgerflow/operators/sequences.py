@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import settled
+from ..functions.fixedpoint import exact_sums
 from ..registry import Registry
 
 SEQUENCE_BUILDERS = Registry("sequence builder")
@@ -154,20 +154,20 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
     if grouped:
         # one scaler per raw group value: scale per (user, brand) first, then
         # fold brands into ids (unknown brands share the <UNK> slot)
-        per_b = r.groupBy("split", "user_id", "brand").agg(
-            F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        per_b = exact_sums(r.groupBy("split", "user_id", "brand"), {"_s": F.col("amount")},
+                           F.count(F.lit(1)).alias("_n"))
         per_b = amount_enc.with_params(per_b).withColumn(
-            "_sx", settled(F.col("_s")) * F.col("_scale") + F.col("_n").cast("double") * F.col("_offset"))
+            "_sx", F.col("_s") * F.col("_scale") + F.col("_n").cast("double") * F.col("_offset"))
         enc = brand_enc.transform(per_b, "brand", "brand_id")
-        cells = enc.groupBy("split", "user_id", "brand_id").agg(
-            F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_sx").alias("_sx"))
+        cells = exact_sums(enc.groupBy("split", "user_id", "brand_id"),
+                           {"_s": F.col("_s"), "_sx": F.col("_sx")}, F.sum("_n").alias("_n"))
         scaled = F.col("_sx")
     else:
         enc = brand_enc.transform(r, "brand", "brand_id")
-        cells = enc.groupBy("split", "user_id", "brand_id").agg(
-            F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        cells = exact_sums(enc.groupBy("split", "user_id", "brand_id"), {"_s": F.col("amount")},
+                           F.count(F.lit(1)).alias("_n"))
         scaled = None
-    raw = settled(F.col("_s"))
+    raw = F.col("_s")
     if scaled is None:
         if getattr(amount_enc, "params", None) is not None:
             scale, offset = amount_enc.params

@@ -8,21 +8,22 @@ column name replaces ``.`` with ``_``.
 
 The swept parameters act on data: ``top_n`` (vocabulary size), ``lookback``
 (the last L intervals of the input window feed the baseline) and
-``denominator`` (``all`` / ``active``).  The small trial table is broadcast
-(its size is the trial count) against the bucket rows, so the scan and the
-bucket aggregate happen once for every trial; the per-trial work is one
-aggregate over (trial, split, user, brand slot).  Brand slots are the brand
-itself when it is among the trial's ``top_n`` or ``<UNK>``: the metrics do
-not depend on id labels, so per-trial id tables are not needed.
+``denominator`` (``all`` / ``active``).  The scan, the bucket aggregate and the
+one shuffle of its cells are shared by all trials; a trial's figures are read
+off running sums over the buckets and cuts of the brand ranks (see
+:func:`sweep_metrics`).  Brand slots are the brand itself when it is among the
+trial's ``top_n`` or ``<UNK>``: the metrics do not depend on id labels, so
+per-trial id tables are not needed.
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import settled
+from ..functions.fixedpoint import LIMBS, limbs, settled, total_of
 from .encoders import UNK, BrandVocab
 from .joins import materialize_small, sized_broadcast
 from .ranking import global_row_number
@@ -80,7 +81,7 @@ def sample(p: Param, u: Column) -> Column:
         return F.lit(float(p.min)) + u * F.lit(float(p.max) - float(p.min))
     if p.kind == "loguniform":
         lo, hi = F.log(F.lit(float(p.min))), F.log(F.lit(float(p.max)))
-        return F.round(F.exp(lo + u * (hi - lo)), 12)
+        return settled(F.exp(lo + u * (hi - lo)))  # 13 digits: exp differs between libraries in its last
     opts = F.array(*[F.lit(o) for o in p.options])
     return F.element_at(opts, (F.floor(u * F.lit(float(len(p.options)))) + 1).cast("int"))
 
@@ -101,78 +102,121 @@ def brand_ranks(fit_rows: DataFrame) -> tuple[DataFrame, int]:
     return ranks.persist(), n
 
 
+def _rows_of(rows: list, kind: str) -> Column:
+    """Rows known to the driver (parameters) as one literal array of structs; a single JSON text,
+    so that the plan does not grow with thousands of trials."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
+
+
 def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lookback",
                   denominator="data_denominator") -> DataFrame:
     """Per (trial, split): FPR, FNR, positive MAE, percentage error of the
-    average baseline under each trial's data parameters."""
+    average baseline under each trial's data parameters.
+
+    What is shuffled does not depend on the trials: the input and target cells, once, by
+    (split, user).  Each (user, brand) then has a running spend over its buckets from the newest
+    back, and the value at a lookback is read off the bucket where that lookback ends.  A trial's
+    vocabulary cuts the brand ranks: brands up to the cut stand for themselves, so their cells are
+    counted once per (first cut that holds the brand, lookback, denominator) and a trial adds up
+    the cuts below its own; the rest meet in ``<UNK>``, whose spend per user is first summed per
+    (first cut, bucket) and then cut twice, by rank and by lookback, inside the user's partition."""
+    from ..plans.prepare import split_case
     spec, c = prep.spec, prep.cfg.cutoffs
     k_last, n_all = {}, {}
     for s in ("train", "val", "test"):
         lo, hi = spec.bucket_range(c.in_start, c.target_start(s))
         k_last[s], n_all[s] = hi, max(0, hi - lo + 1)
-    from ..plans.prepare import split_case
+    longest = max(1, *n_all.values())
     ranks, n_brands = brand_ranks(prep.fit_rows())
-    rk = sized_broadcast(ranks, n_brands)
-    # Trials are parameters (one row each, as many as requested): each data
-    # row fans out to the trials that use it with a narrow explode over a
-    # literal array -- no join, no shuffle for the expansion.
-    tlist = trials.select("trial", F.col(top_n).alias("top_n"), F.col(lookback).alias("lookback"),
-                          F.col(denominator).alias("denominator")).collect()
-    arr = F.array(*[F.struct(F.lit(int(t.trial)).cast("bigint").alias("trial"),
-                             F.lit(int(t.top_n)).cast("bigint").alias("top_n"),
-                             F.lit(int(t.lookback)).cast("bigint").alias("lookback"),
-                             F.lit(str(t.denominator)).alias("denominator")) for t in tlist])
-
-    def fan_out(df, cond=None):
-        a = arr if cond is None else F.filter(arr, cond)
-        return df.withColumn("_t", F.explode(a)).select("*", "_t.*").drop("_t")
-
-    def slot(df):
-        return F.when(F.col("brank") <= F.col("top_n"), F.col("brand")).otherwise(F.lit(UNK))
-
-    inp = (prep.input_rows().join(rk, "brand", "left")
-           .withColumn("back", split_case(k_last) - F.col("k") + 1))
-    x = fan_out(inp, lambda t: t["lookback"] >= F.col("back"))
-    # lookback / denominator depend on the trial only: grouping keys, not
-    # first() buffers, so the aggregate stays a hash aggregate
-    g = x.groupBy("trial", "lookback", "denominator", "split", "user_id", slot(x).alias("slot")).agg(
-        F.sum("amount").alias("_s"), F.countDistinct("k").alias("_active"))
-    den = F.when(F.col("denominator") == "all",
-                 F.least(F.col("lookback"), split_case(n_all).cast("bigint"))).otherwise(F.col("_active"))
-    pred = g.select("trial", "split", "user_id", "slot",
-                    (settled(F.col("_s")) / den.cast("double")).alias("_p"))
-
-    tgt = fan_out(prep.target_rows().join(rk, "brand", "left"))
-    act = tgt.groupBy("trial", "split", "user_id", slot(tgt).alias("slot")).agg(
-        settled(F.sum("amount")).alias("_t"))
-    keys = ["trial", "split", "user_id", "slot"]
-    aligned = pred.join(act, keys, "full_outer").select(
-        *keys, F.coalesce("_p", F.lit(0.0)).alias("p"), F.coalesce("_t", F.lit(0.0)).alias("t"))
-
-    users = fan_out(prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users")))
-    cells = users.select("trial", "split", "n_users",
-                         (F.lit(3) + F.least(F.col("top_n"), F.lit(n_brands))).alias("vocab_size"))
-    return _metrics_by_trial(aligned, cells)
-
-
-def _metrics_by_trial(aligned: DataFrame, cells: DataFrame) -> DataFrame:
-    tpos = F.abs(F.col("t")) > 0
-    ppos = F.abs(F.col("p")) > 0
-    agg = aligned.groupBy("trial", "split").agg(
-        F.count(F.when(tpos, 1)).alias("n_positive"),
-        F.count(F.when(~tpos & ppos, 1)).alias("_fp"),
-        F.count(F.when(tpos & ~ppos, 1)).alias("_fn"),
-        F.sum(F.when(tpos, F.abs(F.col("p") - F.col("t")))).alias("_ae"),
-        F.avg(F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t")))).alias("_pe"))
-    j = cells.join(agg, ["trial", "split"], "left").fillna(0, ["n_positive", "_fp", "_fn"])
+    # one row per trial: parameters, not data.  Beyond all intervals or all brands nothing changes.
+    settings = [(int(t["trial"]), min(int(t["n"]), n_brands), min(int(t["l"]), longest), str(t["d"]))
+                for t in trials.select("trial", F.col(top_n).alias("n"), F.col(lookback).alias("l"),
+                                       F.col(denominator).alias("d")).collect()]
+    cuts = sorted({n for _, n, _, _ in settings})
+    at = {n: i for i, n in enumerate(cuts)}
+    reads = [{"look": look, "den": d} for look, d in sorted({(look, d) for _, _, look, d in settings})]
+    unknown = [{"cut": at[n], "look": look, "den": d} for n, look, d in sorted({s[1:] for s in settings})]
+    first_cut = F.size(F.filter(F.array(*[F.lit(n) for n in cuts]), lambda n: n < F.col("brank")))
+    held = sized_broadcast(ranks.select("brand", first_cut.alias("_cut")), n_brands)
+    oldest = max(r["look"] for r in reads) if reads else 0
+
+    cols = ["split", "user_id", "brand", "k", "amount"]
+    rows = (prep.input_rows().select(*cols, F.lit(False).alias("_goal"))
+            .unionByName(prep.target_rows().select(*cols, F.lit(True).alias("_goal"))))
+    back = F.when(F.col("_goal"), F.lit(0)).otherwise(split_case(k_last) - F.col("k") + 1).cast("int")
+    rows = (rows.where(F.col("_goal") | (back <= F.lit(oldest))).join(held, "brand", "left")
+            .withColumn("cut", F.coalesce("_cut", F.lit(len(cuts)))).drop("_cut")
+            .repartition("split", "user_id").withColumn("back", back))
+
+    spent = limbs(F.when(~F.col("_goal"), F.col("amount")))
+    goal = limbs(F.when(F.col("_goal"), F.col("amount")))
+    named = {**{f"s_{n}": x for n, x in spent.items()}, **{f"t_{n}": x for n, x in goal.items()}}
+
+    def totals(df: DataFrame) -> DataFrame:
+        s, t = (settled(total_of({n: F.col(f"{side}_{n}") for n in LIMBS})) for side in "st")
+        return df.withColumns({"_s": s, "_t": F.coalesce(t, F.lit(0.0))}).drop(*named)
+
+    def cells(df: DataFrame, unk: bool) -> DataFrame:
+        den = F.when(F.col("den") == "all", F.least(F.col("look"), split_case(n_all))).otherwise(F.col("_active"))
+        return df.select("split", F.lit(unk).alias("unk"), "cut", "look", "den", F.col("_t").alias("t"),
+                         F.coalesce(F.col("_s") / den.cast("double"), F.lit(0.0)).alias("p"))
+
+    # brands that stand for themselves: running sums, targets (back 0) first
+    run = Window.partitionBy("split", "user_id", "brand").orderBy("back", "k")
+    so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.select(
+        "split", "cut", "back", F.coalesce(F.lead("back").over(run), F.lit(oldest + 1)).alias("_next"),
+        *[F.sum(x).over(so_far).alias(n) for n, x in named.items()],
+        F.sum(F.when(F.col("_goal"), 0).otherwise(1)).over(so_far).alias("_active")).where(F.col("cut") < len(cuts))
+    covered = F.filter(_rows_of(reads, "look int, den string"),
+                       lambda r: (r["look"] >= F.col("back")) & (r["look"] < F.col("_next")))
+    own = cells(totals(own).withColumn("_r", F.explode(covered)).select("*", "_r.*"), False)
+
+    # <UNK>: a bucket counts as active for every cut below its rarest brand, so that brand carries it
+    rarest = Window.partitionBy("split", "user_id", "k").orderBy("_goal", F.col("cut").desc(), "brand")
+    rare = (rows.withColumn("_top", ((F.row_number().over(rarest) == 1) & ~F.col("_goal")).cast("int"))
+            .where(F.col("cut") > 0).groupBy("split", "user_id", "cut", "back")
+            .agg(*[F.sum(x).alias(n) for n, x in named.items()], F.sum("_top").alias("_active")))
+    reached = F.filter(_rows_of(unknown, "cut int, look int, den string"),
+                       lambda r: (r["cut"] < F.col("cut")) & (r["look"] >= F.col("back")))
+    unk = (rare.withColumn("_r", F.explode(reached)).drop("cut").select("*", "_r.*")
+           .groupBy("split", "user_id", "cut", "look", "den")
+           .agg(*[F.sum(n).alias(n) for n in named], F.sum("_active").alias("_active")))
+    unk = cells(totals(unk), True)
+
+    tpos, ppos = F.abs(F.col("t")) > 0, F.abs(F.col("p")) > 0
+    error = limbs(F.when(tpos, F.abs(F.col("p") - F.col("t"))))
+    ratio = limbs(F.when(tpos & ppos, F.abs((F.col("t") - F.col("p")) / F.col("t"))))
+    sums = {"n_positive": F.when(tpos, 1).otherwise(0), "_fp": F.when(~tpos & ppos, 1).otherwise(0),
+            "_fn": F.when(tpos & ~ppos, 1).otherwise(0), "_both": F.when(tpos & ppos, 1).otherwise(0),
+            **{f"e_{n}": x for n, x in error.items()}, **{f"r_{n}": x for n, x in ratio.items()}}
+    counted = own.unionByName(unk).groupBy("split", "unk", "cut", "look", "den").agg(
+        *[F.sum(x).alias(n) for n, x in sums.items()])
+
+    # at most splits x cuts x (lookback, denominator) pairs of rows are left
+    tried = _rows_of([{"trial": i, "top": n, "mine": at[n], "l": look, "d": d} for i, n, look, d in settings],
+                     "trial bigint, top bigint, mine int, l int, d string")
+    uses = F.filter(tried, lambda r: (r["l"] == F.col("look")) & (r["d"] == F.col("den"))
+                    & F.when(F.col("unk"), r["mine"] == F.col("cut")).otherwise(r["mine"] >= F.col("cut")))
+    agg = counted.withColumn("trial", F.explode(F.transform(uses, lambda r: r["trial"]))).groupBy("trial", "split").agg(
+        *[F.sum(n).alias(n) for n in sums])
+    users = prep.members.groupBy("split").agg(F.count(F.lit(1)).alias("n_users"))
+    size = (users.withColumn("_r", F.explode(tried))
+            .select("split", "n_users", "_r.trial", (F.lit(3) + F.col("_r.top")).alias("vocab_size")))
+    return _metrics_by_trial(agg, size)
+
+
+def _metrics_by_trial(agg: DataFrame, size: DataFrame) -> DataFrame:
+    j = size.join(agg, ["trial", "split"], "left").fillna(0, ["n_positive", "_fp", "_fn", "_both"])
     n_cells = F.col("n_users") * F.col("vocab_size")
+    error = total_of({n: F.col(f"e_{n}") for n in LIMBS})
+    ratio = total_of({n: F.col(f"r_{n}") for n in LIMBS})
     return j.select(
         "trial", "split", "n_users", n_cells.alias("n_cells"), "n_positive",
         F.try_divide(F.col("_fp").cast("double"), (n_cells - F.col("n_positive")).cast("double")).alias("false_positive_rate"),
         F.try_divide(F.col("_fn").cast("double"), F.col("n_positive").cast("double")).alias("false_negative_rate"),
-        F.try_divide(settled(F.col("_ae")),
-                     F.col("n_positive").cast("double")).alias("positive_mae"),
-        F.round(F.col("_pe") * F.lit(100.0), 9).alias("percentage_error"))
+        F.try_divide(settled(error), F.col("n_positive").cast("double")).alias("positive_mae"),
+        F.round(F.try_divide(ratio, F.col("_both").cast("double")) * F.lit(100.0), 9).alias("percentage_error"))
 
 
 def best_trial(metrics: DataFrame, trials: DataFrame, split: str = "val",

@@ -7,13 +7,14 @@ so that they compare row by row with the oracle.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EV_CONFIG, TX_CONFIG, DataConfig
-from ..functions.fixedpoint import money_sum
+from ..functions.fixedpoint import exact_sums
 from ..operators.buckets import (bucket_aggregate, bucket_coverage, bucket_label, date_window,
                                  dense_grid_summary, fit_buckets)
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder
@@ -26,11 +27,22 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+# Sums that several oracles share, named in their texts as @NAME@.
+_SHARED = {
+    "AE": O.exact_sum("CASE WHEN abs(t) > 0 THEN abs(p - t) END"),
+    "PE": O.exact_sum("CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END")
+    + " / CAST(count(*) FILTER (WHERE abs(t) > 0 AND abs(p) > 0) AS DOUBLE)",
+    "L1": O.exact_sum("abs(p - t)"),
+    "L2": O.exact_sum("(p - t) * (p - t)"),
+    "BM": O.exact_sum("l1 / CAST(n * (SELECT v FROM vsize) AS DOUBLE)"),
+}
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = re.sub(r"@(\w+)@", lambda m: _SHARED[m.group(1)], sql)
         return fn
     return deco
 
@@ -139,9 +151,8 @@ _TX_CHAIN = O.chain("tx", TX_CONFIG)
 def _split_windows_spark(prep: Prepared) -> DataFrame:
     inp = prep.input_rows().withColumn("window_kind", F.lit("input"))
     tgt = prep.target_rows().withColumn("window_kind", F.lit("target"))
-    return inp.unionByName(tgt).groupBy("split", "window_kind").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.countDistinct("user_id").alias("n_users"),
-        money_sum(F.col("amount")).alias("amount"))
+    return exact_sums(inp.unionByName(tgt).groupBy("split", "window_kind"), {"amount": F.col("amount")},
+                      F.count(F.lit(1)).alias("n_cells"), F.countDistinct("user_id").alias("n_users"), zero=True)
 
 
 @register("split_windows", _TX_CHAIN + f"""
@@ -395,8 +406,8 @@ FROM nusers n CROSS JOIN vsize LEFT JOIN (
   SELECT split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
          count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
          count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
-         sum(CASE WHEN abs(t) > 0 THEN abs(p - t) END) AS ae,
-         avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
+         @AE@ AS ae,
+         @PE@ AS pe
   FROM aligned GROUP BY split) a ON a.split = n.split"""
 
 
@@ -413,8 +424,8 @@ SELECT n.split, n.n_users,
        """ + O.settled("coalesce(a.l2, 0.0::DOUBLE)") + """ / CAST(n.n_users * vsize.v AS DOUBLE) AS l2,
        0.0::DOUBLE AS no_op
 FROM nusers n CROSS JOIN vsize LEFT JOIN (
-  SELECT split, sum(abs(p - t)) AS l1,
-         sum((p - t) * (p - t)) AS l2
+  SELECT split, @L1@ AS l1,
+         @L2@ AS l2
   FROM aligned GROUP BY split) a ON a.split = n.split""")
 def q_eval_losses(spark, sf):
     from ..operators.evaluate import cell_losses
@@ -427,7 +438,7 @@ _NAMED = replace(TX_CONFIG, amount_encoder="no_op", output_type="multi_hot_separ
 
 @register("configured_loss", O.baseline_sql("tx", _NAMED, "all") + """
 SELECT n.split, """ + O.settled("coalesce(a.l2, 0.0::DOUBLE)") + """ / CAST(n.n_users * vsize.v AS DOUBLE) AS loss
-FROM nusers n CROSS JOIN vsize LEFT JOIN (SELECT split, sum((p - t) * (p - t)) AS l2 FROM aligned GROUP BY split) a ON a.split = n.split""")
+FROM nusers n CROSS JOIN vsize LEFT JOIN (SELECT split, @L2@ AS l2 FROM aligned GROUP BY split) a ON a.split = n.split""")
 def q_configured_loss(spark, sf):
     """A plan built from names only: encoder, target builder, predictor, loss."""
     return _prep(spark, sf, cfg=_NAMED).configured_loss()
@@ -505,12 +516,12 @@ def recover_rows(rows: DataFrame, encoders: dict) -> DataFrame:
 
 
 @register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all") + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
-, pu AS (SELECT split, user_id, """ + O.settled("sum(abs(p - t))") + """ AS l1
+, pu AS (SELECT split, user_id, """ + O.settled(O.exact_sum("abs(p - t)")) + """ AS l1
          FROM aligned GROUP BY split, user_id),
-pb AS (SELECT b.split, b.batch, """ + O.settled("coalesce(sum(pu.l1), 0.0::DOUBLE)") + """ AS l1, count(*) AS n
+pb AS (SELECT b.split, b.batch, """ + O.settled("coalesce(" + O.exact_sum("pu.l1") + ", 0.0::DOUBLE)") + """ AS l1, count(*) AS n
        FROM batches b LEFT JOIN pu ON pu.split = b.split AND pu.user_id = b.user_id GROUP BY ALL)
 SELECT split, count(*) AS n_batches,
-       round(avg(l1 / CAST(n * (SELECT v FROM vsize) AS DOUBLE)), 9) AS mean_batch_l1
+       round(@BM@ / CAST(count(*) AS DOUBLE), 9) AS mean_batch_l1
 FROM pb GROUP BY split""")
 def q_batch_mean_loss(spark, sf):
     from ..operators.evaluate import batch_mean_loss
@@ -649,7 +660,7 @@ def _trials_sql(space) -> str:
         elif p.kind == "float":
             e = f"{O.d(p.min)} + {u} * ({O.d(float(p.max) - float(p.min))})"
         elif p.kind == "loguniform":
-            e = f"round(exp(ln({O.d(p.min)}) + {u} * (ln({O.d(p.max)}) - ln({O.d(p.min)}))), 12)"
+            e = O.settled(f"exp(ln({O.d(p.min)}) + {u} * (ln({O.d(p.max)}) - ln({O.d(p.min)})))")
         else:
             arr = "[" + ", ".join(f"'{o}'" for o in p.options) + "]"
             e = f"{arr}[CAST(floor({u} * {O.d(len(p.options))}) AS INTEGER) + 1]"
@@ -691,7 +702,7 @@ kl AS ({' UNION ALL '.join(kl)}),
 sin AS (SELECT i.split, i.user_id, i.k, i.brand, i.amount, kl.k_last - i.k + 1 AS back, br.brank
         FROM inrows i JOIN kl ON kl.split = i.split LEFT JOIN brank br ON br.brand = i.brand),
 sp AS (SELECT t.trial, s.split, s.user_id, CASE WHEN s.brank <= t.data_top_n THEN s.brand ELSE '<UNK>' END AS slot,
-              sum(s.amount) AS s, count(DISTINCT s.k) AS active,
+              {O.exact_sum('s.amount')} AS s, count(DISTINCT s.k) AS active,
               first(t.data_lookback) AS lookback, first(t.data_denominator) AS denominator
        FROM sin s JOIN trials t ON s.back <= t.data_lookback GROUP BY ALL),
 spred AS (SELECT sp.trial, sp.split, sp.user_id, sp.slot,
@@ -699,7 +710,7 @@ spred AS (SELECT sp.trial, sp.split, sp.user_id, sp.slot,
                       THEN least(sp.lookback, nall2.n_all) ELSE sp.active END AS DOUBLE) AS p
           FROM sp JOIN nall2 ON nall2.split = sp.split),
 sact AS (SELECT t.trial, r.split, r.user_id, CASE WHEN br.brank <= t.data_top_n THEN r.brand ELSE '<UNK>' END AS slot,
-                {O.settled('sum(r.amount)')} AS t
+                {O.settled(O.exact_sum('r.amount'))} AS t
          FROM trows r LEFT JOIN brank br ON br.brand = r.brand CROSS JOIN trials t GROUP BY ALL),
 sal AS (SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.split, b.split) AS split,
                coalesce(a.p, 0.0::DOUBLE) AS p, coalesce(b.t, 0.0::DOUBLE) AS t
@@ -717,8 +728,8 @@ FROM scells c LEFT JOIN (
   SELECT trial, split, count(*) FILTER (WHERE abs(t) > 0) AS n_positive,
          count(*) FILTER (WHERE abs(t) <= 0 AND abs(p) > 0) AS fp,
          count(*) FILTER (WHERE abs(t) > 0 AND abs(p) <= 0) AS fn,
-         sum(CASE WHEN abs(t) > 0 THEN abs(p - t) END) AS ae,
-         avg(CASE WHEN abs(t) > 0 AND abs(p) > 0 THEN abs((t - p) / t) END) AS pe
+         @AE@ AS ae,
+         @PE@ AS pe
   FROM sal GROUP BY trial, split) a ON a.trial = c.trial AND a.split = c.split)
 """
 

@@ -33,11 +33,16 @@ SOURCES = {
 def settled(x: str) -> str:
     """A finished sum kept to 13 significant digits, as the library keeps it."""
     unit = f"pow(10.0::DOUBLE, 12 - floor(log10(abs({x}))))"
-    return f"(CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round({x} * {unit}) / {unit} END)"
+    return f"(CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round_even({x} * {unit}, 0) / {unit} END)"
+
+
+def exact_sum(x: str) -> str:
+    """The sum of the decimals that DOUBLE values print as, to 18 places."""
+    return f"CAST(CAST(sum(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE)"
 
 
 def money_sum(col: str) -> str:
-    return settled(f"coalesce(sum(CAST({col} AS DOUBLE)), 0.0::DOUBLE)")
+    return settled(f"coalesce({exact_sum(col)}, 0.0::DOUBLE)")
 
 
 def bucket_idx(t: str, W: int) -> str:
@@ -162,7 +167,7 @@ seq AS (SELECT * FROM sos UNION ALL SELECT * FROM body UNION ALL SELECT * FROM e
 def targets_sql(view: str, cfg: DataConfig, strict: bool = False) -> str:
     return sequences_sql(view, cfg, strict) + f""",
 tcells0 AS (SELECT t.split, t.user_id, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id,
-                   sum(t.amount) AS s, count(*) AS n
+                   {exact_sum("t.amount")} AS s, count(*) AS n
             FROM trows t LEFT JOIN vocab v ON v.value = t.brand GROUP BY ALL),
 tcells AS (SELECT split, user_id, brand_id, 1 AS brand_flag,
                   {settled("s")} * mm.scale + CAST(n AS DOUBLE) * mm.offset AS amount,
@@ -174,7 +179,7 @@ def baseline_sql(view: str, cfg: DataConfig, denominator: str = "all") -> str:
     den = "CAST(n_all AS DOUBLE)" if denominator == "all" else "CAST(active AS DOUBLE)"
     return targets_sql(view, cfg) + f""",
 pred0 AS (SELECT i.split, i.user_id, CAST(coalesce(v.id, 2) AS INTEGER) AS brand_id,
-                 sum(i.amount) AS s, count(DISTINCT i.k) AS active
+                 {exact_sum("i.amount")} AS s, count(DISTINCT i.k) AS active
           FROM inrows i LEFT JOIN vocab v ON v.value = i.brand GROUP BY ALL),
 pred AS (SELECT p.split, p.user_id, p.brand_id,
                 {settled("p.s")} / {den} AS predicted

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DataConfig
 from ..functions.timecols import ts_lit
 from ..session import checkpoint_dir
-from ..functions.fixedpoint import money_sum
+from ..functions.fixedpoint import exact_sums, settled
 from ..operators.buckets import BucketSpec, bucket_aggregate, bucketize, fit_buckets
 from ..operators.encoders import (ENCODERS, BrandVocab, MinMaxEncoder, NoOpEncoder, TimeDeltaEncoder,
                                   first_seen_key)
@@ -129,7 +129,7 @@ class Prepared:
         cells = align(predicted, self.targets(kind=cfg.output_type))
         sums = cells.groupBy("split").agg(LOSSES.get(cfg.loss)().alias("_l"))
         users = self.members.groupBy("split").agg(F.count(F.lit(1)).alias("_n"))
-        mean = F.coalesce(F.col("_l"), F.lit(0.0)) / (F.col("_n") * F.lit(brand.size)).cast("double")
+        mean = F.coalesce(settled(F.col("_l")), F.lit(0.0)) / (F.col("_n") * F.lit(brand.size)).cast("double")
         return users.join(sums, "split", "left").select("split", mean.alias("loss"))
 
     def unpersist(self):
@@ -159,10 +159,9 @@ def strict_window_cells(tx: DataFrame, spec: BucketSpec, role: Column, starts: d
     rows = bucketize(raw, spec).withColumn("split", F.explode(splits_of(role)))
     kind = (F.when((F.col("date") >= split_case(starts)) & (F.col("date") < split_case(ends)), "input")
             .when((F.col("date") >= split_case(t_starts)) & (F.col("date") < split_case(t_ends)), "target"))
-    return (rows.withColumn("window_kind", kind).where(F.col("window_kind").isNotNull())
-                .groupBy("window_kind", "split", "user_id", "k", "brand")
-                .agg(money_sum(F.col("amount")).alias("amount"),
-                     F.min("date").alias("date")))
+    keyed = rows.withColumn("window_kind", kind).where(F.col("window_kind").isNotNull()).groupBy(
+        "window_kind", "split", "user_id", "k", "brand")
+    return exact_sums(keyed, {"amount": F.col("amount")}, F.min("date").alias("date"), zero=True)
 
 
 def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSpec | None = None,

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import settled
+from ..functions.fixedpoint import exact_sums
 from ..functions.timecols import micros_between, parse_interval, ts_lit
 from ..session import scratch_path
 
@@ -42,13 +42,13 @@ def stream_bucket_aggregate(events: DataFrame, origin: dt.datetime, interval: st
                        & F.col("date").isNotNull() & (F.col("date") >= o))
                 .withColumn("_t", t)
                 .withWatermark("_t", watermark))
-    agg = ev.groupBy(F.window("_t", f"{width} microseconds", startTime=f"{start_us} microseconds").alias("w"),
-                     "user_id", "brand").agg(
-        F.sum("amount").alias("_s"), F.min("date").alias("date"))
+    keyed = ev.groupBy(F.window("_t", f"{width} microseconds", startTime=f"{start_us} microseconds").alias("w"),
+                       "user_id", "brand")
+    agg = exact_sums(keyed, {"amount": F.col("amount")}, F.min("date").alias("date"), zero=True)
     out = agg.select(
         "user_id",
         ((F.unix_micros(F.col("w.end")) - F.lit(origin_us)) / F.lit(width)).cast("bigint").alias("k"),
-        "brand", settled(F.coalesce(F.col("_s"), F.lit(0.0))).alias("amount"), "date")
+        "brand", "amount", "date")
     if n_buckets is not None:
         out = out.where(F.col("k") <= F.lit(n_buckets))
     return out

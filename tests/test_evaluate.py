@@ -70,12 +70,12 @@ def test_threshold_positive_cells(spark):
 def test_small_amounts_stay(spark):
     """No quantum: a spend of 0.00004 sums to itself, 0.01 over 500 intervals predicts a positive."""
     from pyspark.sql import functions as F
-    from ledgerflow.functions.fixedpoint import money_sum
+    from ledgerflow.functions.fixedpoint import exact_sums
     from ledgerflow.operators.encoders import BrandVocab
     from ledgerflow.operators.predict import average_spend
     rows = spark.createDataFrame([("test", 1, 1, "A", 0.00004), ("test", 2, 1, "B", 0.01)],
                                  "split string, user_id long, k long, brand string, amount double")
-    assert [r.s for r in rows.groupBy("user_id").agg(money_sum(F.col("amount")).alias("s")).orderBy("user_id").collect()] == [0.00004, 0.01]
+    assert [r.s for r in exact_sums(rows.groupBy("user_id"), {"s": F.col("amount")}).orderBy("user_id").collect()] == [0.00004, 0.01]
     vocab = BrandVocab().fit(rows.withColumnRenamed("split", "s"), "brand")
     got = {r.user_id: r.predicted for r in average_spend(rows, vocab, F.lit(500), "all").collect()}
     assert got[2] == 0.01 / 500 and got[1] > 0
