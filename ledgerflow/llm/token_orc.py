@@ -13,9 +13,9 @@ for whole.
 
 Work: documents are dealt by ranges of (doc_id, hash of the text), so that a hot id is split too,
 and sorted inside them by Spark; texts then stream through the tokenizers library in slices. Texts
-are cut at ASCII white space, which the vocabulary drops, and every distinct word of a slice is
-encoded once (words seen lately are remembered, at most ``KNOWN`` of them); pieces never cross white
-space, so a text's ids are those of its words. The driver sees one number per file.
+are cut where the vocabulary's pieces always end (see ``_CUT``), and every distinct part of a slice is
+encoded once (parts seen lately are remembered, at most ``KNOWN`` of them); a text's ids are those of
+its parts. The driver sees one number per file.
 
 Defined results: null and empty texts hold the end id only; null ids come first; rows with one id
 follow by the hash of their texts, repeated rows each have their place; very long texts are encoded
@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.common import empty_text, release, scratch_dir, slices, table
+from ledgerflow.llm.common import empty_text, release, scratch_dir, slices, strings, table
 
 #: The id that ends each document.
 END = 2
@@ -61,47 +60,91 @@ def vocabulary(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
+#: Classes of bytes: 0 white space, 1 letters A-Z and a-z, 2 digits, 3 apostrophe, 4 other ASCII, 5 parts of other characters.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[48:58] = 2
+_CLASS[39] = 3
+_CLASS[128:] = 5
+#: Whether the vocabulary's pieces always end between bytes of two classes: at white space; at a digit, which is a piece of its own;
+#: after a letter and before one, but for an apostrophe, which may take the letters behind it. Next to other characters, which may
+#: be letters, marks that combine or signs, there is no telling.
+_CUT = np.zeros((6, 6), bool)
+_CUT[0, 1:] = _CUT[1:, 0] = True
+_CUT[2, 1:5] = _CUT[1:5, 2] = True
+_CUT[1, 3:5] = _CUT[4, 1] = True
+#: What begins the text of a special token, which the library takes as such and which no cut may divide.
+_SPECIAL = b"<|"
+
+
 class Encoder:
-    """Texts to ids, word by distinct word."""
+    """Texts to ids, part by distinct part: texts are cut where pieces always end, and A-Z are lowered
+    as the vocabulary does, but before characters that may combine with them."""
 
     def __init__(self, path: str | None = None, end: int | None = END):
         self.library = vocabulary(path)
         self.end = end
         self.known: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
+    def parts(self, parts: list[str]) -> list[bytes]:
+        new = [w for w in parts if w not in self.known]
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-            new = words
+            new = parts
         got = self.library.encode_batch_fast(new, add_special_tokens=False)
         found = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(new, got)}
-        out = [found[w] if w in found else self.known[w] for w in words]
+        out = [found[w] if w in found else self.known[w] for w in parts]
         if len(found) <= KNOWN:
             self.known.update(found)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the n + 1 offsets of the texts in them."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        at = split.offsets.to_numpy().astype(np.int64)
-        at -= at[0]
-        parts = self.words(coded.dictionary.to_pylist())
+        data, at = strings(texts)
+        kind = _CLASS[data]
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data):
+            cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+            upper = (data >= 65) & (data <= 90)
+            upper[:-1] &= kind[1:] != 5
+            lowered = data + (upper * np.uint8(32))
+            raw = data.tobytes()
+            if _SPECIAL in raw:  # such a text stays one part, as it is
+                for a, b in zip(at, at[1:]):
+                    if _SPECIAL in raw[a:b]:
+                        cut[a:b] = False
+                        lowered[a:b] = data[a:b]
+            cut[at] = True
+        else:
+            lowered = data
+        bounds = np.flatnonzero(cut).astype(np.int64) if len(data) else np.zeros(1, np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lowered)))
+        coded = pieces.dictionary_encode()
+        known = self.parts(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if self.end is not None:  # the end is one more word behind each text
-            which = np.insert(which, at[1:], len(parts))
-            at = at + np.arange(len(at))
-            parts.append(np.array([self.end], np.int32).tobytes())
-        flat = np.frombuffer(b"".join(parts), np.int32)
-        size = np.array([len(p) // 4 for p in parts], np.int64)
+        first = np.searchsorted(bounds[:-1], at) if len(data) else np.zeros(len(at), np.int64)
+        if self.end is not None:  # the end is one more part behind each text
+            which = np.insert(which, first[1:], len(known))
+            first = first + np.arange(len(first))
+            known.append(np.array([self.end], np.int32).tobytes())
+        flat = np.frombuffer(b"".join(known), np.int32)
+        size = np.array([len(p) // 4 for p in known], np.int64)
         begins = np.cumsum(size) - size
         counts = size[which]
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(begins[which] - total[:-1], counts) + np.arange(total[-1])]
-        return ids, total[at]
+        return ids, total[first]
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's encoder, with what it remembers of earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -113,9 +156,9 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, before = Encoder(vocabulary_path), TaskContext.get().partitionId(), 0
+        encode, shard, before = encoder(vocabulary_path), TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", SLICE):
-            ids, at = encoder(part["text"])
+            ids, at = encode(part["text"])
             n = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array(np.full(n, shard, np.int32)), pa.array(at[:-1] + before), pa.array(np.diff(at)),

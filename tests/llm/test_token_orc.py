@@ -23,7 +23,7 @@ def awkward():
     parts = ["Hello", "WORLD's", "don't", "ΣΑΣ", "ΟΔΟΣ", "été", "́x", "😀👍🏽", "漢字かな", "x_1.5,2", "<|endoftext|>", "<|startoftext|>x", " ",
              " ", "\u0085", "‍", "ﬁ", "İI", "a" * 300, "1234567", "\x1c", "\x00", "'s", "they'LL", "﻿", "ＡＢ", "नमस्ते", "가"]
     gaps = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", ""]
-    return ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randrange(30))) for _ in range(300)]
+    return ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randrange(30))) for _ in range(1500)]
 
 
 def test_words_make_the_text():
