@@ -40,7 +40,7 @@ END = 2
 #: Rows per entry of the row index, bytes of a stripe.
 STRIDE, STRIPE = 1_000, 16 << 20
 #: Distinct words that a worker remembers.
-KNOWN = 200_000
+KNOWN = 800_000
 SLICE = 4 << 20
 
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()),
@@ -60,7 +60,8 @@ def vocabulary(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
-#: Classes of bytes: 0 white space, 1 letters A-Z and a-z, 2 digits, 3 apostrophe, 4 other ASCII, 5 parts of other characters.
+#: Classes of bytes: 0 white space, 1 letters A-Z and a-z, 2 digits, 3 apostrophe, 4 other ASCII, 5 parts of other characters,
+#: 6 and 7 the two bytes of a letter from U+00C0 to U+00FF.
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[65:91] = _CLASS[97:123] = 1
@@ -70,10 +71,11 @@ _CLASS[128:] = 5
 #: Whether the vocabulary's pieces always end between bytes of two classes: at white space; at a digit, which is a piece of its own;
 #: after a letter and before one, but for an apostrophe, which may take the letters behind it. Next to other characters, which may
 #: be letters, marks that combine or signs, there is no telling.
-_CUT = np.zeros((6, 6), bool)
+_CUT = np.zeros((8, 8), bool)
 _CUT[0, 1:] = _CUT[1:, 0] = True
-_CUT[2, 1:5] = _CUT[1:5, 2] = True
-_CUT[1, 3:5] = _CUT[4, 1] = True
+_CUT[2, [1, 2, 3, 4, 6]] = _CUT[[1, 3, 4, 7], 2] = True
+_CUT[1, 3:5] = _CUT[7, 3:5] = _CUT[4, [1, 6]] = True
+_CUT = _CUT.ravel()
 #: What begins the text of a special token, which the library takes as such and which no cut may divide.
 _SPECIAL = b"<|"
 
@@ -105,25 +107,31 @@ class Encoder:
         kind = _CLASS[data]
         cut = np.zeros(len(data) + 1, bool)
         if len(data):
-            cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+            latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+            kind[latin], kind[latin + 1] = 6, 7
+            cut[1:-1] = _CUT[kind[:-1] * np.uint8(8) + kind[1:]]
             upper = (data >= 65) & (data <= 90)
-            upper[:-1] &= kind[1:] != 5
+            upper[:-1] &= kind[1:] < 5
             lowered = data + (upper * np.uint8(32))
             raw = data.tobytes()
             if _SPECIAL in raw:  # such a text stays one part, as it is
                 for a, b in zip(at, at[1:]):
                     if _SPECIAL in raw[a:b]:
-                        cut[a:b] = False
+                        cut[a:b] = kind[a:b] == 0  # a piece may begin at white space, which may go
                         lowered[a:b] = data[a:b]
             cut[at] = True
+            solid = kind != 0  # white space makes no piece
+            behind = np.concatenate([[0], np.cumsum(solid)])
+            bounds, at = behind[cut], behind[at]
+            bounds = bounds[np.concatenate([[True], bounds[1:] != bounds[:-1]])]
+            lowered = lowered[solid]
         else:
-            lowered = data
-        bounds = np.flatnonzero(cut).astype(np.int64) if len(data) else np.zeros(1, np.int64)
+            lowered, bounds = data, np.zeros(1, np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lowered)))
         coded = pieces.dictionary_encode()
         known = self.parts(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.searchsorted(bounds[:-1], at) if len(data) else np.zeros(len(at), np.int64)
+        first = np.searchsorted(bounds, at)
         if self.end is not None:  # the end is one more part behind each text
             which = np.insert(which, first[1:], len(known))
             first = first + np.arange(len(first))
