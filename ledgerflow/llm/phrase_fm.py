@@ -11,17 +11,21 @@ extensions with lesser symbols. Extension goes left and right in turn, to ``dept
 each phrase's occurrences, and of these those with a word on the left and on the right. Numbers are
 summed across shards by (language, word hashes).
 
-Only phrases with ``least`` occurrences are asked for, and their words have as many. So words are
-counted first, and a word that a Bloom filter of the frequent ones lacks is id 1 in a shard, which no
-phrase extends over. The filter has a fixed size (2^``BLOOM`` bits, at most 8 MB at any input): when
-it fills it lets rare words pass, which costs time and changes no result.
+Only phrases with ``least`` occurrences are asked for, so three passes narrow the work. Words are
+counted first; a word that a Bloom filter of the frequent ones lacks is id 1 in a shard, which no
+phrase extends over. Then phrases are counted by one 64-bit key each, and a Bloom filter holds the
+frequent keys. The last pass gives the phrases that this filter lets through, with their words, and
+sums them by words, so that neither shared keys nor false hits change a result. A filter has 16 bits
+a key, at most 2^``BLOOM`` (16 MB) at any input; when it fills it lets rare words or phrases pass,
+which costs time only.
 
 Word hashes have 64 bits. Words that share one are found in the table of words, and counted anew
 under other hashes until none do.
 
-Work: two passes over the texts in tasks of bounded memory (a shard, about 25 times its bytes), one
-shuffle of distinct words and one of distinct phrases per shard, combined before the shuffle; a hot
-phrase is a row a shard. Tables of frequent words and phrases are written and joined by hash.
+Work: passes over the texts in tasks of bounded memory (a shard, about 25 times its bytes); one
+shuffle of distinct words, one of the keys of distinct phrases per shard (a hot phrase is a row a
+shard), one of the frequent phrases. Tables of frequent words and phrases are written and joined by
+hash.
 
 Defined results: null and empty texts hold no words; a null language is ``und``; a text is taken
 whole, also one longer than a shard; repeated rows count each; scores are exact (decimal) with ties
@@ -46,10 +50,10 @@ IS_WORD = word_bytes(BREAKS + b"\x20\x09")
 IS_BREAK = np.zeros(256, bool)
 IS_BREAK[np.frombuffer(BREAKS, np.uint8)] = True
 
-#: Bytes of text indexed at once.
-SHARD = 6 << 20
-#: The filter of frequent words has 2^BLOOM bits and asks for HASHES of them.
-BLOOM, HASHES = 26, 3
+#: Bytes of one language that are indexed at once, and bytes of all languages that a task keeps as hashes.
+SHARD, OPEN = 4 << 20, 16 << 20
+#: A filter has at most 2^BLOOM bits and asks for HASHES of them.
+BLOOM, HASHES = 27, 3
 
 
 class Index:
@@ -67,12 +71,13 @@ class Index:
             else:
                 rank = keys
         order = np.argsort(rank, kind="stable")
-        self.bwt = ids[order - 1]  # the text begins and ends with 0, so that it may be read as a ring
+        self.bwt = ids[order - 1].astype(np.int32)  # the text begins and ends with 0, so that it may be read as a ring
         counts = np.bincount(ids, minlength=size)
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        self.to_first = np.empty(n, np.int64)
-        self.to_first[np.argsort(self.bwt, kind="stable")] = np.arange(n)
-        self.breaks = np.concatenate([[0], np.cumsum(self.bwt == 0)])
+        del order, rank
+        self.to_first = np.empty(n, np.int32)
+        self.to_first[np.argsort(self.bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+        self.breaks = np.concatenate([[0], np.cumsum(self.bwt == 0)]).astype(np.int32)
 
 
 def _extended(here: Index, lo: np.ndarray, other: np.ndarray, size: np.ndarray, symbols: int):
@@ -86,7 +91,7 @@ def _extended(here: Index, lo: np.ndarray, other: np.ndarray, size: np.ndarray,
     pattern, symbol = found // symbols, found % symbols
     lesser = np.cumsum(counts) - counts
     lesser -= begins[pattern]  # extensions by lesser symbols, breaks included
-    start = here.to_first[rows[at]]
+    start = here.to_first[rows[at]].astype(np.int64)
     keep = symbol > 1
     return pattern[keep], symbol[keep], start[keep], (other[pattern] + lesser)[keep], counts[keep]
 
@@ -154,24 +159,27 @@ class Shard:
         return out, known[wanted]
 
 
-def _places(hashes: np.ndarray) -> list[np.ndarray]:
-    return [mix(hashes.view(np.uint64) + np.uint64(k + 1)) >> np.uint64(64 - BLOOM) for k in range(HASHES)]
+def _places(hashes: np.ndarray, n_words: int) -> list[np.ndarray]:
+    shift = np.uint64(64 - 5 - n_words.bit_length())  # filters have 64 * 2^k bits
+    return [mix(hashes.view(np.uint64) + np.uint64(k + 1)) >> shift for k in range(HASHES)]
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes a filter may hold."""
     out = np.ones(len(hashes), bool)
-    for place in _places(hashes):
+    for place in _places(hashes, len(bits)):
         out &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
 
 
-def bloom(hashes: DataFrame) -> np.ndarray:
-    """The filter of a table with a column ``w1``: 2^BLOOM bits, put together from the tasks' bits."""
+def bloom(keys: DataFrame) -> np.ndarray:
+    """The filter of a table's only column, put together from the tasks' bits: 16 bits a row, 2^BLOOM at most."""
+    n_words = 1 << min(BLOOM - 6, max(8, (keys.count() >> 2).bit_length()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM - 6, np.uint64)
+        bits = np.zeros(n_words, np.uint64)
         for batch in batches:
-            for place in _places(batch["w1"].to_numpy(zero_copy_only=False)):
+            for place in _places(batch.column(0).to_numpy(zero_copy_only=False), n_words):
                 np.bitwise_or.at(bits, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
         at = np.flatnonzero(bits)
         for a in range(0, len(at), 10_000):
@@ -179,9 +187,9 @@ def bloom(hashes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(bits[part].view(np.int64))], ["at", "bits"])
         release()
 
-    rows = hashes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << BLOOM - 6, np.uint64)
-    found = rows.toArrow()  # at most 2^(BLOOM - 6) rows, 16 MB, at any input
+    rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(n_words, np.uint64)
+    found = rows.toArrow()  # at most 2^(BLOOM - 6) rows, 32 MB, at any input
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -206,7 +214,9 @@ def _per_shard(docs: DataFrame, schema: str, work, clashes: frozenset[int], spel
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 rows = np.flatnonzero(langs.indices.to_numpy(zero_copy_only=False) == i)
                 open_.setdefault(lang, Shard(clashes)).add(part["text"].take(pa.array(rows)), spell)
-            while sum(s.size for s in open_.values()) > SHARD:
+                if open_[lang].size > SHARD:
+                    yield from close(lang)
+            while sum(s.size for s in open_.values()) > OPEN:
                 yield from close(max(open_, key=lambda x: open_[x].size))
         for lang in list(open_):
             yield from close(lang)
@@ -248,20 +258,39 @@ def phrases(docs: DataFrame, least: int = 10, depth: int = 3) -> tuple[DataFrame
     """Words (lang, w1, word, f) and phrases of 2 to ``depth`` words with ``least`` occurrences or more:
     (lang, w1 .. w<depth> as hashes, f, and how many have a word on their left and right)."""
     words, clashes = sound_words(docs)
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom(words.where(F.col("f") >= least).select("w1"))) if least > 1 else None  # 8 MB at any input
     keys = [f"w{i + 1}" for i in range(depth)]
-
-    def work(shard: Shard):
-        ids, known = shard.ids(bits.value if bits else None)
-        for grams, f, on_left, on_right in phrases_of(ids, depth, len(known) + 2):
-            n = grams.shape[1]
-            if n > 1:
-                named = [pa.array(known[grams[:, i] - 2]) if i < n else pa.nulls(len(grams), pa.int64()) for i in range(depth)]
-                yield [*named, pa.array(f), pa.array(on_left), pa.array(on_right)]
-
+    context = docs.sparkSession.sparkContext
+    filters = []  # two numpy arrays of at most 16 MB each
+
+    def grams_of(shard: Shard):
+        ids, known = shard.ids(filters[0].value if filters else None)
+        for grams, *numbers in phrases_of(ids, depth, len(known) + 2):
+            if grams.shape[1] > 1:
+                words_ = [known[grams[:, i] - 2] for i in range(grams.shape[1])]
+                key = np.zeros(len(grams), np.uint64)
+                for w in words_:
+                    key = mix(key * np.uint64(3) + w.view(np.uint64))
+                yield words_, key.view(np.int64), numbers
+
+    def keyed(shard: Shard):
+        for _, key, numbers in grams_of(shard):
+            yield [pa.array(key), pa.array(numbers[0])]
+
+    def spelled(shard: Shard):
+        for words_, key, numbers in grams_of(shard):
+            keep = holds(filters[1].value, key) if filters else np.ones(len(key), bool)
+            named = [pa.array(words_[i][keep]) if i < len(words_) else pa.nulls(int(keep.sum()), pa.int64()) for i in range(depth)]
+            yield [*named, *(pa.array(x[keep]) for x in numbers)]
+
+    texts = _texts(docs)
+    if least > 1:
+        filters.append(context.broadcast(bloom(words.where(F.col("f") >= least).select("w1"))))
+        found = _per_shard(texts, "lang string, key long, f long", keyed, clashes, False)
+        # a shard's rows are distinct: dealt out at once, they are summed where they meet
+        often = found.select("key", "f").repartition("key").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        filters.append(context.broadcast(bloom(written(often.select("key"), "often"))))
     schema = ", ".join(["lang string", *(f"{k} long" for k in keys), "f long", "on_left long", "on_right long"])
-    found = _per_shard(_texts(docs), schema, work, clashes, False)
+    found = _per_shard(texts, schema, spelled, clashes, False)
     sums = [F.sum(c).alias(c) for c in ("f", "on_left", "on_right")]
     return words, found.groupBy("lang", *keys).agg(*sums).where(F.col("f") >= least)
 
