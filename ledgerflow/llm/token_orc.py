@@ -40,7 +40,7 @@ END = 2
 #: Rows per entry of the row index, bytes of a stripe.
 STRIDE, STRIPE = 1_000, 16 << 20
 #: Distinct words that a worker remembers.
-KNOWN = 800_000
+KNOWN = 500_000
 SLICE = 4 << 20
 
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()),
@@ -87,18 +87,28 @@ class Encoder:
     def __init__(self, path: str | None = None, end: int | None = END):
         self.library = vocabulary(path)
         self.end = end
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, parts: list[str]) -> list[bytes]:
-        new = [w for w in parts if w not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = parts
-        got = self.library.encode_batch_fast(new, add_special_tokens=False)
-        found = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(new, got)}
-        out = [found[w] if w in found else self.known[w] for w in parts]
-        if len(found) <= KNOWN:
-            self.known.update(found)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts anew: no part has a number, the end has number 0."""
+        self.known: dict[str, int] = {}
+        self.flat = np.array([] if self.end is None else [self.end], np.int32)
+        self.at = np.array([0, len(self.flat)], np.int64)
+
+    def parts(self, parts: list[str]) -> np.ndarray:
+        """The numbers of distinct parts, whose ids are ``flat[at[number]:at[number + 1]]``."""
+        out = np.fromiter((self.known.get(w, -1) for w in parts), np.int64, len(parts))
+        new = np.flatnonzero(out < 0)
+        if self.known and len(self.known) + len(new) > KNOWN:
+            self._forget()
+            out[:], new = -1, np.arange(len(parts))
+        words = [parts[i] for i in new]
+        ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        out[new] = len(self.at) - 1 + np.arange(len(new))
+        self.known.update(zip(words, out[new].tolist()))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for part in ids for i in part), np.int32, int(sizes.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,19 +139,15 @@ class Encoder:
             lowered, bounds = data, np.zeros(1, np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lowered)))
         coded = pieces.dictionary_encode()
-        known = self.parts(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which = self.parts(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         first = np.searchsorted(bounds, at)
         if self.end is not None:  # the end is one more part behind each text
-            which = np.insert(which, first[1:], len(known))
+            which = np.insert(which, first[1:], 0)
             first = first + np.arange(len(first))
-            known.append(np.array([self.end], np.int32).tobytes())
-        flat = np.frombuffer(b"".join(known), np.int32)
-        size = np.array([len(p) // 4 for p in known], np.int64)
-        begins = np.cumsum(size) - size
-        counts = size[which]
+        begins = self.at[which]
+        counts = self.at[which + 1] - begins
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(begins[which] - total[:-1], counts) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(begins - total[:-1], counts) + np.arange(total[-1])]
         return ids, total[first]
 
 
