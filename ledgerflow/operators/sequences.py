@@ -12,8 +12,8 @@ it, so a user holding a third of all rows is spread over its buckets.
 them.
 
 Targets are SPARSE cells ``(split, user_id, brand_id, ...)``: only non-zero
-cells exist; the dense vector is :func:`dense_vectors`, guarded by a
-vocabulary-size limit.
+cells exist.  :func:`dense_blocks` holds them as arrays of ``BLOCK`` slots, blocks
+without a cell left out; :func:`dense_vectors` puts those together.
 """
 from __future__ import annotations
 
@@ -25,7 +25,8 @@ from ..registry import Registry
 
 SEQUENCE_BUILDERS = Registry("sequence builder")
 
-DENSE_MAX_VOCAB = 200_000
+# Slots in a block of a dense vector.
+BLOCK = 4_096
 
 
 def _encode(rows: DataFrame, encoders: dict, features) -> DataFrame:
@@ -182,19 +183,37 @@ def target_cells(rows: DataFrame, members: DataFrame, brand_enc, amount_enc=None
         F.col("_n").alias("n_rows"))
 
 
-def dense_vectors(cells: DataFrame, members: DataFrame, vocab_size: int, value_col: str,
-                  limit: int = DENSE_MAX_VOCAB) -> DataFrame:
-    """Dense ``ArrayType(DOUBLE)`` of length ``vocab_size`` per (split, user),
-    zeros where no cell exists.  Refuses vocabularies above ``limit``."""
-    if vocab_size > limit:
-        raise ValueError(f"vocabulary of {vocab_size} exceeds the dense limit {limit}; "
-                         "use the sparse cells")
-    m = cells.groupBy("split", "user_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("brand_id", F.col(value_col).cast("double")))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(vocab_size - 1)),
-                      lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return (members.join(m, ["split", "user_id"], "left")
-                   .select("split", "user_id", vec.alias(value_col)))
+def dense_blocks(cells: DataFrame, vocab_size: int, value_col: str, block: int = BLOCK) -> DataFrame:
+    """``(split, user_id, block, <value_col>)``: slots ``block * size`` and on as an array; the last block
+    of a vocabulary is shorter.  A block exists only where it has a cell, so the size follows the
+    cells, not users x vocabulary, and one row never holds a whole vocabulary."""
+    at = F.floor(F.col("brand_id") / F.lit(block)).cast("int")
+    m = cells.groupBy("split", "user_id", at.alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.pmod("brand_id", F.lit(block)).cast("int").alias("slot"), F.col(value_col).cast("double").alias("v")))).alias("_m"))
+    last = F.least(F.lit(block), F.lit(vocab_size) - F.col("block") * F.lit(block)) - 1
+    vec = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    return m.select("split", "user_id", "block", vec.alias(value_col))
+
+
+def dense_vectors(cells: DataFrame, members: DataFrame, vocab_size: int, value_col: str, block: int = BLOCK) -> DataFrame:
+    """Dense ``ArrayType(DOUBLE)`` of length ``vocab_size`` per (split, user), zeros where no cell
+    exists: the user's blocks, with rows of zeros for those that are missing.  A row is 8 bytes times
+    the vocabulary; for vocabularies whose vectors are too wide for a row use :func:`dense_blocks`."""
+    m = dense_blocks(cells, vocab_size, value_col, block).groupBy("split", "user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("block", value_col))).alias("_b"))
+    size = F.least(F.lit(block), F.lit(vocab_size))
+    n_blocks = -(-vocab_size // block)
+    vec = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda i: F.coalesce(
+        F.try_element_at(F.col("_b"), i), F.array_repeat(F.lit(0.0), F.least(size, F.lit(vocab_size) - i * F.lit(block))))))
+    return members.join(m, ["split", "user_id"], "left").select("split", "user_id", vec.alias(value_col))
+
+
+def newest_rows(rows: DataFrame, max_len: int) -> DataFrame:
+    """Of each (split, user) the newest ``max_len`` rows by (bucket, brand).  The limit on the row number
+    is one on its group, which Spark applies before the shuffle: a task sends ``max_len`` rows a user
+    at most, and no user's whole history meets anywhere."""
+    w = Window.partitionBy("split", "user_id").orderBy(F.col("k").desc(), F.col("brand").desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_len).drop("_rn")
 
 
 def recover_target(cells: DataFrame, amount_enc) -> DataFrame:

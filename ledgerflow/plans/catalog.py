@@ -316,6 +316,16 @@ def q_input_sequences(spark, sf):
     return _prep(spark, sf).sequences().select(*_SEQ_COLS)
 
 
+# Fixed value: the greatest length of the registered bounded sequences.
+MAX_LEN = 12
+
+
+@register("newest_sequences", O.sequences_sql("tx", TX_CONFIG, newest=MAX_LEN - 2) + "SELECT split, user_id, pos, brand, amount, date FROM seq")
+def q_newest_sequences(spark, sf):
+    """Input sequences of at most MAX_LEN elements: the newest rows between the tokens."""
+    return _prep(spark, sf).sequences(max_len=MAX_LEN).select(*_SEQ_COLS)
+
+
 @register("empty_user_sequences", _SEQ_SQL + """
 SELECT s.split, s.user_id, s.pos, s.brand, s.amount, s.date FROM seq s
 JOIN (SELECT split, user_id FROM seq GROUP BY split, user_id HAVING count(*) = 2) e
@@ -356,6 +366,23 @@ def q_target_recover(spark, sf):
         "split", "user_id", "brand_id", "amount_inverse", "amount_exact")
 
 
+# Fixed value: slots per block of the registered query (the vocabulary has 23).
+BLOCK = 8
+
+
+@register("dense_blocks", _TGT_SQL + f"""
+SELECT b.split, b.user_id, CAST(b.block AS INTEGER) AS block, CAST(i.i AS INTEGER) AS slot, coalesce(t.amount, 0.0::DOUBLE) AS amount
+FROM (SELECT DISTINCT split, user_id, brand_id // {BLOCK} AS block FROM tcells) b
+JOIN (SELECT range AS i FROM range({BLOCK})) i ON b.block * {BLOCK} + i.i < (SELECT v FROM vsize)
+LEFT JOIN tcells t ON t.split = b.split AND t.user_id = b.user_id AND t.brand_id = b.block * {BLOCK} + i.i""")
+def q_dense_blocks(spark, sf):
+    """Target vectors as blocks of slots; blocks without a cell don't exist."""
+    from ..operators.sequences import dense_blocks
+    prep = _prep(spark, sf)
+    blocks = dense_blocks(prep.targets(), prep.encoders["brand"].size, "amount", BLOCK)
+    return blocks.select("split", "user_id", "block", F.posexplode("amount").alias("slot", "amount"))
+
+
 @register("dense_target", _TGT_SQL + """
 SELECT m.split, m.user_id, CAST(i.i AS INTEGER) AS brand_id, coalesce(t.amount, 0.0::DOUBLE) AS amount
 FROM members m CROSS JOIN (SELECT range AS i FROM range((SELECT v FROM vsize))) i
@@ -448,32 +475,55 @@ def q_configured_loss(spark, sf):
 _BATCH = TX_CONFIG.batch_size
 
 
-def _batch_sql_ctes():
+def _batch_sql_ctes(epoch: int = 0):
+    """Places in a split by hash; train users change places by the epoch's rounds of swaps."""
+    from ..operators.batching import ROUNDS
     seed = TX_CONFIG.splits.seed
-    return f""",
-bh AS (SELECT split, user_id, row_number() OVER (PARTITION BY split
-              ORDER BY md5('{seed}' || ':' || split || ':' || CAST(user_id AS VARCHAR)), user_id) - 1 AS rk FROM members),
-batches AS (SELECT split, user_id, CAST(rk // {_BATCH} AS INTEGER) AS batch, CAST(rk % {_BATCH} AS INTEGER) AS slot FROM bh),
-lens2 AS (SELECT s.split, s.user_id, b.batch, max(s.pos) + 1 AS len FROM seq s
+    out = f""",
+s0 AS (SELECT split, user_id, row_number() OVER (PARTITION BY split
+              ORDER BY md5('{seed}' || ':' || split || ':' || CAST(user_id AS VARCHAR)), user_id) - 1 AS x,
+              count(*) OVER (PARTITION BY split) AS n FROM members)"""
+    for i in range(ROUNDS):
+        key = f"CAST(('0x' || substr(md5('{seed}:{epoch}:{i}'), 1, 13)) AS BIGINT)"
+        other = f"((({key} - x) % n) + n) % n"
+        out += f""",
+s{i + 1} AS (SELECT split, user_id, n, CASE WHEN split = 'train' AND substr(md5('{seed}:{epoch}:{i}:' || CAST(greatest(x, y) AS VARCHAR)), 1, 1) < '8'
+            THEN y ELSE x END AS x FROM (SELECT *, {other} AS y FROM s{i}))"""
+    return out + f""",
+batches AS (SELECT split, user_id, CAST(x // {_BATCH} AS INTEGER) AS batch, CAST(x % {_BATCH} AS INTEGER) AS slot FROM s{ROUNDS})
+"""
+
+
+# Padded sequences: every place up to the longest of the batch, from a plain list of places.
+_PADDED_SQL = """,
+lens2 AS MATERIALIZED (SELECT s.split, s.user_id, b.batch, max(s.pos) AS last FROM seq s
           JOIN batches b ON s.split = b.split AND s.user_id = b.user_id GROUP BY ALL),
-bmax AS (SELECT *, max(len) OVER (PARTITION BY split, batch) AS mx FROM lens2),
-padded AS (SELECT s.split, b.batch, s.user_id, s.pos, s.brand, s.amount, s.date, false AS mask
-           FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id
-           UNION ALL
-           SELECT s.split, b.batch, s.user_id, CAST(g.p AS INTEGER) AS pos, s.brand, s.amount, s.date, true AS mask
-           FROM seq s JOIN bmax b ON s.split = b.split AND s.user_id = b.user_id AND s.pos = b.len - 1
-           CROSS JOIN LATERAL (SELECT range AS p FROM range(b.len, b.mx)) g)
+bmax AS MATERIALIZED (SELECT *, max(last) OVER (PARTITION BY split, batch) AS mx FROM lens2),
+places AS MATERIALIZED (SELECT CAST(range AS INTEGER) AS pos FROM range(0, (SELECT max(mx) + 1 FROM bmax))),
+grid AS (SELECT b.split, b.batch, b.user_id, p.pos, least(p.pos, b.last) AS src, p.pos > b.last AS mask
+         FROM bmax b JOIN places p ON p.pos <= b.mx),
+padded AS (SELECT g.split, g.batch, g.user_id, g.pos, s.brand, s.amount, s.date, g.mask
+           FROM grid g JOIN seq s ON s.split = g.split AND s.user_id = g.user_id AND s.pos = g.src)
 """
 
 
-def _batches(prep):
+def _batches(prep, epoch: int = 0):
     from ..operators.batching import assign_batches
-    return assign_batches(prep.members, _BATCH, prep.cfg.splits.seed)
+    return assign_batches(prep.members, _BATCH, prep.cfg.splits.seed, epoch)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table that several steps read, written once to the shared folder."""
+    import uuid
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, f"ledgerflow-{name}", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _padded(prep):
     from ..operators.batching import pad_and_mask
-    return pad_and_mask(prep.sequences(), _batches(prep), ["brand", "amount", "date"])
+    return pad_and_mask(_written(prep.sequences(), "sequences"), _batches(prep), ["brand", "amount", "date"])
 
 
 @register("batches", _SEQ_SQL + _batch_sql_ctes() + "SELECT split, user_id, batch, slot FROM batches")
@@ -481,23 +531,28 @@ def q_batches(spark, sf):
     return _batches(_prep(spark, sf, fit=False))
 
 
-@register("pad_mask", _SEQ_SQL + _batch_sql_ctes() +
+@register("batches_next_epoch", _SEQ_SQL + _batch_sql_ctes(1) + "SELECT split, user_id, batch, slot FROM batches")
+def q_batches_next_epoch(spark, sf):
+    """The next epoch's batches: train users change places, the others stay."""
+    return _batches(_prep(spark, sf, fit=False), epoch=1)
+
+
+@register("pad_mask", _SEQ_SQL + _batch_sql_ctes() + _PADDED_SQL +
           "SELECT split, batch, user_id, pos, brand, amount, date, mask FROM padded")
 def q_pad_mask(spark, sf):
     return _padded(_prep(spark, sf))
 
 
-@register("sequences_to_rows", _SEQ_SQL + _batch_sql_ctes() +
-          "SELECT split, user_id, pos, brand, amount, date FROM padded WHERE NOT mask")
+@register("sequences_to_rows", _SEQ_SQL + "SELECT split, user_id, pos, brand, amount, date FROM seq")
 def q_sequences_to_rows(spark, sf):
     from ..operators.batching import unbatch
     return unbatch(_padded(_prep(spark, sf)), ["brand", "amount", "date"])
 
 
-@register("recover_features", _SEQ_SQL + _batch_sql_ctes() + """
+@register("recover_features", _SEQ_SQL + """
 SELECT p.split, p.user_id, p.pos, v.value AS brand, (p.amount - mm."offset") / mm.scale AS amount,
        ee.e + to_days(CAST(p.date AS INTEGER)) AS date
-FROM padded p JOIN vocab v ON v.id = p.brand, mm, ee WHERE NOT p.mask""")
+FROM seq p JOIN vocab v ON v.id = p.brand, mm, ee""")
 def q_recover_features(spark, sf):
     from ..operators.batching import unbatch
     prep = _prep(spark, sf)
@@ -515,7 +570,7 @@ def recover_rows(rows: DataFrame, encoders: dict) -> DataFrame:
     return out
 
 
-@register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all") + _batch_sql_ctes().split(",\nlens2 AS")[0] + """
+@register("batch_mean_loss", O.baseline_sql("tx", TX_CONFIG, "all") + _batch_sql_ctes() + """
 , pu AS (SELECT split, user_id, """ + O.settled(O.exact_sum("abs(p - t)")) + """ AS l1
          FROM aligned GROUP BY split, user_id),
 pb AS (SELECT b.split, b.batch, """ + O.settled("coalesce(" + O.exact_sum("pu.l1") + ", 0.0::DOUBLE)") + """ AS l1, count(*) AS n
@@ -530,10 +585,24 @@ def q_batch_mean_loss(spark, sf):
 
 
 # ---------------------------------------------------------------- store / sinks
-@register("content_fingerprint")
+_FINGERPRINT_ROW = """md5(length(CAST(user_id AS VARCHAR)) || ':' || user_id
+  || length(CAST(epoch_us(date) AS VARCHAR)) || ':' || epoch_us(date) || length(brand) || ':' || brand || length(a) || ':' || a)"""
+
+
+@register("content_fingerprint", f"""WITH src AS ({O.SOURCES['tx']}),
+m AS (SELECT *, round_even(amount * 1e6::DOUBLE, 0) AS near FROM src),
+t AS (SELECT *, CAST(near AS BIGINT) || '/' || CAST(round_even((amount - near / 1e6::DOUBLE) * 1e18::DOUBLE, 0) AS BIGINT) AS a FROM m),
+h AS (SELECT CAST(year(date) AS VARCHAR) AS part, {_FINGERPRINT_ROW} AS h FROM t),
+p AS (SELECT part, count(*) AS n_rows, """ + ", ".join(
+    f"sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)) AS l{i}" for i in range(4)) + """ FROM h GROUP BY GROUPING SETS ((part), ()))
+SELECT coalesce(part, 'all') AS part, n_rows, md5(n_rows || ':' || l0 || ':' || l1 || ':' || l2 || ':' || l3) AS fingerprint FROM p""")
 def q_content_fingerprint(spark, sf):
-    from ..sources.store import content_fingerprint
-    return content_fingerprint(tx_view(spark, sf))
+    """Fingerprints per year of the transactions and, added up from these, of all of them."""
+    from ..sources.store import fingerprint_parts, fold_parts, with_fingerprint
+    tx = tx_view(spark, sf)
+    parts = _written(fingerprint_parts(tx.withColumn("part", F.year("date").cast("string")), ["part"], tx.columns), "fingerprints")
+    return with_fingerprint(parts).select("part", "n_rows", "fingerprint").unionByName(
+        fold_parts(parts).select(F.lit("all").alias("part"), "n_rows", "fingerprint"))
 
 
 @register("cache_roundtrip", _TGT_SQL + "SELECT split, user_id, brand_id, brand_flag, amount, amount_raw, n_rows FROM tcells")

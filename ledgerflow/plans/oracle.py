@@ -143,24 +143,26 @@ nusers AS (SELECT split, count(*) AS n_users FROM members GROUP BY split)
 """
 
 
-def sequences_sql(view: str, cfg: DataConfig, strict: bool = False) -> str:
+def sequences_sql(view: str, cfg: DataConfig, strict: bool = False, newest: int | None = None) -> str:
     c = cfg.cutoffs
     tstart = {s: c.target_start(s) for s in ("train", "val", "test")}
     eos_date = "CASE m.split " + " ".join(
         f"WHEN '{s}' THEN {delta(ts(v))}" for s, v in tstart.items()) + " END"
+    kept = "inrows" if newest is None else f"""(SELECT * FROM inrows
+        QUALIFY row_number() OVER (PARTITION BY split, user_id ORDER BY k DESC, brand DESC) <= {newest})"""
     return chain(view, cfg, strict=strict) + f""",
 enc AS (SELECT i.split, i.user_id, i.k, i.brand AS bk, coalesce(v.id, 2) AS brand,
                i.amount * mm.scale + mm.offset AS amount, {delta('i.date')} AS date
-        FROM inrows i LEFT JOIN vocab v ON v.value = i.brand, mm, ee),
+        FROM {kept} i LEFT JOIN vocab v ON v.value = i.brand, mm, ee),
 body AS (SELECT split, user_id, CAST(row_number() OVER (PARTITION BY split, user_id ORDER BY k, bk) AS INTEGER) AS pos,
                 brand, amount, date FROM enc),
-lens AS (SELECT split, user_id, count(*) AS n FROM inrows GROUP BY split, user_id),
+lens AS (SELECT split, user_id, count(*) AS n FROM {kept} GROUP BY split, user_id),
 sos AS (SELECT m.split, m.user_id, 0 AS pos, 0 AS brand, {d(-1.0)} AS amount, {delta(ts(c.in_start))} AS date
         FROM members m, ee),
 eos AS (SELECT m.split, m.user_id, CAST(coalesce(l.n, 0) + 1 AS INTEGER) AS pos, 1 AS brand, {d(2.0)} AS amount,
                {eos_date} AS date
         FROM members m LEFT JOIN lens l ON m.split = l.split AND m.user_id = l.user_id, ee),
-seq AS (SELECT * FROM sos UNION ALL SELECT * FROM body UNION ALL SELECT * FROM eos)
+seq AS MATERIALIZED (SELECT * FROM sos UNION ALL SELECT * FROM body UNION ALL SELECT * FROM eos)
 """
 
 

@@ -25,7 +25,7 @@ from ..operators.encoders import (ENCODERS, BrandVocab, MinMaxEncoder, NoOpEncod
                                   first_seen_key)
 from ..operators.evaluate import LOSSES, align
 from ..operators.predict import PREDICTORS
-from ..operators.sequences import SEQUENCE_BUILDERS, sequence_rows, target_cells
+from ..operators.sequences import SEQUENCE_BUILDERS, newest_rows, sequence_rows, target_cells
 from ..operators.split import hash_prefix, role_expr, split_cuts, split_membership, splits_of
 
 SPLITS = ("train", "val", "test")
@@ -102,9 +102,14 @@ class Prepared:
         return b.where((F.col("date") >= ts_lit(_dt(c.in_start))) & (F.col("date") < ts_lit(_dt(c.train))))
 
     # products --------------------------------------------------------------
-    def sequences(self, features=None) -> DataFrame:
+    def sequences(self, features=None, max_len: int | None = None) -> DataFrame:
+        """Framed input sequences; ``max_len`` bounds their length, the two tokens included, and
+        keeps the newest rows."""
         feats = list(features or self.cfg.input_features)
-        return sequence_rows(self.input_rows(), self.members, self.encoders, feats,
+        if max_len is not None and max_len < 2:
+            raise ValueError("a sequence has its two tokens at least: max_len >= 2")
+        rows = self.input_rows() if max_len is None else newest_rows(self.input_rows(), max_len - 2)
+        return sequence_rows(rows, self.members, self.encoders, feats,
                              self.input_start(), self.target_start(), longest=self.max_user_rows)
 
     def targets(self, ratio: float = 1.0, kind: str | None = None) -> DataFrame:

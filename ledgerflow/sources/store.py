@@ -1,11 +1,11 @@
 """Fingerprints, the processed-data cache and result sinks.
 
 The cache key is ``md5(config JSON with sorted keys)`` plus a content
-fingerprint of the input rows.  The fingerprint is an order-insensitive
-aggregate computed in one distributed scan -- row count, XOR and sum of
-per-row 64-bit hashes -- so the same rows at another path (or in another
-file layout) hit, and a changed row misses.  Unlike a hash of file bytes it
-ignores row order (a deliberate change: row order carries no meaning here).
+fingerprint of the input rows: the row count and the sums of the limbs of every
+row's md5, an aggregate of one scan.  The same rows at another path (or in
+another file layout) hit, and a changed row misses; row order carries no meaning
+here (a deliberate change from a hash of file bytes).  Fingerprints of parts add
+up, so appended rows update one without a second scan of the rest.
 
 Cached tables live under ``<spark.checkpoint.dir>/ledgerflow-cache/<key>/``;
 a manifest row is written last and carries the pipeline version, so a
@@ -15,26 +15,94 @@ from __future__ import annotations
 
 import hashlib
 import os
+from decimal import Decimal
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import PIPELINE_VERSION
 from ..session import scratch_path
 
 
+# Limb sums are kept modulo this.
+MODULUS = 2 ** 64
+N_LIMBS = 4
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _canonical(df: DataFrame, name: str) -> Column:
+    """A column as text that no two values share: numbers as integers, times as microseconds."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.TimestampNTZType):
+        text = F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{name}`)").cast("string")
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(c).cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        # millionths and what is left of them in units of 1e-18: all of a DOUBLE from 0.01 to 9e9
+        v = c.cast("double")
+        near = F.rint(v * F.lit(1e6))
+        left = F.rint((v - near / F.lit(1e6)) * F.lit(1e18))
+        usual = (v == 0) | ((F.abs(v) >= F.lit(0.01)) & (F.abs(v) < F.lit(9e9)))
+        text = F.when(usual, F.concat_ws("/", near.cast("bigint").cast("string"), left.cast("bigint").cast("string"))).otherwise(v.cast("string"))
+    else:
+        text = c.cast("string")
+    return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
+def fingerprint_parts(df: DataFrame, by: list | None = None, cols=None) -> DataFrame:
+    """Per part (``by``; the whole table without): ``n_rows, l0..l3``, the sums modulo 2^64 of the four
+    32-bit limbs of every row's md5.  A multiset's sums add up over its parts, in any order."""
+    by = list(by or [])
+    h = F.md5(F.concat(*[_canonical(df, c) for c in (cols or df.columns)]))
+    rows = df.select(*by, *[F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(12,0)").alias(f"l{i}") for i in range(N_LIMBS)])
+    sums = [_modulo(F.sum(f"l{i}")).alias(f"l{i}") for i in range(N_LIMBS)]
+    return (rows.groupBy(*by) if by else rows).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def _modulo(total: Column) -> Column:
+    m = F.lit(Decimal(MODULUS)).cast("decimal(20,0)")
+    return F.pmod(F.coalesce(total.cast("decimal(38,0)"), F.lit(Decimal(0)).cast("decimal(38,0)")), m).cast("decimal(20,0)")
+
+
+def fold_parts(parts: DataFrame) -> DataFrame:
+    """The fingerprint of the union of parts (a ``sign`` column of -1 takes a part away)."""
+    sign = F.col("sign") if "sign" in parts.columns else F.lit(1)
+    folded = parts.agg(F.coalesce(F.sum(F.col("n_rows") * sign), F.lit(0)).cast("bigint").alias("n_rows"),
+                       *[_modulo(F.sum(F.col(f"l{i}") * sign.cast("decimal(2,0)"))).alias(f"l{i}") for i in range(N_LIMBS)])
+    return with_fingerprint(folded)
+
+
+def with_fingerprint(parts: DataFrame) -> DataFrame:
+    text = F.concat_ws(":", F.col("n_rows").cast("string"), *[F.col(f"l{i}").cast("string") for i in range(N_LIMBS)])
+    return parts.withColumn("fingerprint", F.md5(text))
+
+
 def content_fingerprint(df: DataFrame, cols=None) -> DataFrame:
-    """One row: ``n_rows, hash_xor, hash_sum, fingerprint``."""
-    cols = list(cols or df.columns)
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias("hash_xor"),
-                 F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"))
-    return agg.withColumn("fingerprint", F.md5(F.concat_ws(
-        ":", F.col("n_rows").cast("string"), F.col("hash_xor").cast("string"),
-        F.col("hash_sum").cast("string"))))
+    """One row: ``n_rows, l0..l3, fingerprint`` of a table's rows as a multiset."""
+    return with_fingerprint(fingerprint_parts(df, cols=cols))
+
+
+class FingerprintLedger:
+    """Fingerprints per part of a table that grows (a day, a file): adding, replacing or dropping a part
+    reads that part alone, and the whole table's fingerprint is folded from the ledger's rows."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or scratch_path(spark, "ledgerflow-fingerprints")
+
+    def put(self, part: str, rows: DataFrame, cols=None) -> None:
+        """A part's rows as they are now; one folder a part, so a repeated call replaces it."""
+        (fingerprint_parts(rows, cols=cols).withColumn("part", F.lit(part)).coalesce(1)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path))
+
+    def drop(self, part: str) -> None:
+        self.put(part, self.spark.createDataFrame([], "x int"))
+
+    def whole(self) -> DataFrame:
+        return fold_parts(self.spark.read.parquet(self.path))
 
 
 def config_hash(config_json: str) -> str:

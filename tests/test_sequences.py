@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import D
-from ledgerflow.operators.batching import assign_batches, collate_arrays, pad_and_mask, unbatch
+from ledgerflow.operators.batching import assign_batches, collate_arrays, pad_and_mask, shuffled_place, unbatch
 from ledgerflow.operators.encoders import BrandVocab, NoOpEncoder, TimeDeltaEncoder
-from ledgerflow.operators.sequences import (collect_sequences, dense_vectors, sequence_rows,
+from ledgerflow.operators.sequences import (BLOCK, collect_sequences, dense_blocks, dense_vectors, newest_rows, sequence_rows,
                                             target_cells)
 
 FEATS = ["brand", "amount", "date"]
@@ -78,10 +78,41 @@ def test_multi_hot_vectors(spark):
     assert amt[1] == [0, 0, 0, 100, 200, 0] and amt[2] == [0, 0, 0, 150, 0, 300]
 
 
-def test_dense_limit(spark):
-    rows, members, vocab = multi_hot(spark)
-    with pytest.raises(ValueError):
-        dense_vectors(target_cells(rows, members, vocab, None), members, vocab.size, "amount", limit=3)
+def test_dense_vectors_of_any_width(spark):
+    """300,000 slots: two blocks hold cells, the vector is put together from blocks."""
+    cells = spark.createDataFrame([("train", 1, 5, 1.5), ("train", 1, 299_999, 2.5)], "split string, user_id long, brand_id int, amount double")
+    members = spark.createDataFrame([("train", 1), ("train", 2)], "split string, user_id long")
+    blocks = {r.block: r.amount for r in dense_blocks(cells, 300_000, "amount").collect()}
+    assert sorted(blocks) == [0, 299_999 // BLOCK] and len(blocks[0]) == BLOCK and blocks[0][5] == 1.5
+    assert len(blocks[299_999 // BLOCK]) == 300_000 % BLOCK and blocks[299_999 // BLOCK][-1] == 2.5
+    got = {r.user_id: r.amount for r in dense_vectors(cells, members, 300_000, "amount").collect()}
+    assert {u: len(v) for u, v in got.items()} == {1: 300_000, 2: 300_000}
+    assert {i: v for i, v in enumerate(got[1]) if v} == {5: 1.5, 299_999: 2.5} and not any(got[2])
+
+
+def test_newest_rows(spark):
+    rows = spark.createDataFrame([("train", 1, k, b) for k in range(50) for b in "AB"] + [("val", 1, 3, "C")], "split string, user_id long, k long, brand string")
+    kept = newest_rows(rows.repartition(7), 3)
+    assert sorted(map(tuple, kept.collect())) == [("train", 1, 48, "B"), ("train", 1, 49, "A"), ("train", 1, 49, "B"), ("val", 1, 3, "C")]
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 257])
+def test_epochs_are_permutations(spark, n):
+    base = spark.range(n).select(F.col("id"), F.lit(n).cast("bigint").alias("n"))
+    orders = [[r.p for r in base.select("id", shuffled_place(F.col("id"), F.col("n"), 42, e).alias("p")).orderBy("id").collect()] for e in (0, 1, 2)]
+    for order in orders:
+        assert sorted(order) == list(range(n))
+    if n >= 100:
+        assert orders[0] != orders[1] != orders[2] and sum(a == b for a, b in zip(*orders[:2])) < n / 5
+
+
+def test_only_train_is_shuffled(spark):
+    members = spark.createDataFrame([(s, u) for s in ("train", "val") for u in range(200)], "split string, user_id long")
+    by_epoch = [{(r.split, r.user_id): (r.batch, r.slot) for r in assign_batches(members, 32, epoch=e).collect()} for e in (0, 1)]
+    changed = {s for (s, u), at in by_epoch[0].items() if by_epoch[1][s, u] != at}
+    assert changed == {"train"}
+    assert sorted(by_epoch[1].values()) == sorted(by_epoch[0].values())
 
 
 def test_unknown_brands_share_unk_slot(spark):
