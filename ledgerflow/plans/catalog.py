@@ -607,20 +607,45 @@ def q_content_fingerprint(spark, sf):
 
 @register("cache_roundtrip", _TGT_SQL + "SELECT split, user_id, brand_id, brand_flag, amount, amount_raw, n_rows FROM tcells")
 def q_cache_roundtrip(spark, sf):
-    """Prepared targets through the processed-data cache: the first call
-    builds and stores, later calls with the same config and rows hit."""
+    """Targets from a cache hit, which must equal those of the build that it spares."""
+    built, hit = _cached(spark, sf)
+    for name in built:
+        if not _same_rows(built[name], hit[name]):
+            raise AssertionError(f"the cache gives other {name} than were built")
+    return hit["targets"].select("split", "user_id", "brand_id", "brand_flag", "amount", "amount_raw", "n_rows")
+
+
+def _cached(spark, sf) -> tuple[dict, dict]:
+    """(what a build gives, what the cache gives on the next call)."""
     from ..sources.store import ProcessedCache
-    tx = tx_view(spark, sf)
-    cache = ProcessedCache(spark)
+    from .restore import state_tables
+    tx, cache = tx_view(spark, sf), ProcessedCache(spark)
+    built = state_tables(prepare(tx, TX_CONFIG))
+    cache.load_or_build(TX_CONFIG.to_json(), tx, lambda: built)
+    hit, was_hit, _ = cache.load_or_build(TX_CONFIG.to_json(), tx, _no_build)
+    return built, hit
+
+
+def _no_build():
+    raise AssertionError("a stored entry was not found")
 
-    def build():
-        prep = prepare(tx, TX_CONFIG)
-        return {"targets": prep.targets(), "roles": prep.roles,
-                "vocab": prep.encoders["brand"].vocab}
 
-    tables, _hit, _key = cache.load_or_build(TX_CONFIG.to_json(), tx, build)
-    return tables["targets"].select("split", "user_id", "brand_id", "brand_flag", "amount",
-                                    "amount_raw", "n_rows")
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Equal as multisets, by fingerprint: no join, no sort."""
+    from ..sources.store import content_fingerprint
+    cols = sorted(a.columns)
+    return content_fingerprint(a.select(cols)).first() == content_fingerprint(b.select(cols)).first()
+
+
+@register("cache_restored_features", _SEQ_SQL + """
+SELECT p.split, p.user_id, p.pos, v.value AS brand, (p.amount - mm."offset") / mm.scale AS amount,
+       ee.e + to_days(CAST(p.date AS INTEGER)) AS date
+FROM seq p JOIN vocab v ON v.id = p.brand, mm, ee""")
+def q_cache_restored_features(spark, sf):
+    """Features of cached sequences, recovered with encoders that a cache hit restores."""
+    from .restore import restore
+    state = restore(TX_CONFIG, _cached(spark, sf)[1])
+    return recover_rows(state.sequences, state.encoders).select(*_SEQ_COLS)
 
 
 @register("predictions", O.baseline_sql("tx", TX_CONFIG, "all") +
@@ -846,8 +871,9 @@ def q_trial_log(spark, sf):
 @register("stream_bucket", O.chain("ev", EV_CONFIG, interval=EV_BUCKET_INTERVAL) + _CELLS)
 def q_stream_bucket(spark, sf):
     """ev_bucket computed by Structured Streaming over the events file with
-    the batch origin fixed.  ``complete`` output mode emits the final state
-    of a bounded input; a live stream uses ``append`` with the watermark."""
+    the batch origin fixed.  ``complete`` output mode gives the final state
+    of a bounded input, written by the executors; a live stream uses
+    ``append`` with the watermark."""
     import os
     from ..sources.views import normalize
     from ..streaming.buckets import run_to_table, stream_bucket_aggregate

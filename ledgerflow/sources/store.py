@@ -8,13 +8,14 @@ here (a deliberate change from a hash of file bytes).  Fingerprints of parts add
 up, so appended rows update one without a second scan of the rest.
 
 Cached tables live under ``<spark.checkpoint.dir>/ledgerflow-cache/<key>/``;
-a manifest row is written last and carries the pipeline version, so a
-partial write or a changed pipeline is a miss.
+see :class:`ProcessedCache` for how an entry is published.
 """
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import uuid
 from decimal import Decimal
 from typing import Callable
 
@@ -118,7 +119,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class ProcessedCache:
-    """Parquet tables keyed by (config hash, data fingerprint)."""
+    """Parquet tables keyed by (config hash, data fingerprint).
+
+    A key's tables are written to a folder of their own, under a fresh name; then its manifest is
+    written beside it and renamed into place, which is one step on the file system.  A reader sees
+    the manifest of whole tables or none: a build that died, or one that still runs, is a miss.  Of
+    two writers of one key each has its folder, and the manifest names one of them.  Manifests carry
+    the pipeline version in their name, so another version's entry is a miss and stays whole."""
 
     def __init__(self, spark: SparkSession, base: str | None = None,
                  version: str = PIPELINE_VERSION):
@@ -133,26 +140,43 @@ class ProcessedCache:
     def path(self, key: str) -> str:
         return os.path.join(self.base, key)
 
+    def _manifest(self, key: str) -> str:
+        return os.path.join(self.path(key), f"manifest-{config_hash(self.version)}.json")
+
+    def _file_system(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def lookup(self, key: str) -> dict | None:
-        man = os.path.join(self.path(key), "_manifest")
-        if not _exists(self.spark, man):
-            return None
-        row = self.spark.read.parquet(man).first()
-        if row is None or row["version"] != self.version:
+        """The tables of a published entry, by name; None where there is none."""
+        name = self._manifest(key)
+        at, fs = self._file_system(name)
+        if not fs.exists(at):
             return None
-        return {t: self.spark.read.parquet(os.path.join(self.path(key), t)) for t in row["tables"]}
+        entry = json.loads("\n".join(r["value"] for r in self.spark.read.text(name).collect()))  # one line
+        root = os.path.join(self.path(key), entry["folder"])
+        return {t: self.spark.read.schema(T.StructType.fromJson(schema)).parquet(os.path.join(root, t))
+                for t, schema in entry["tables"].items()}
 
     def store(self, key: str, config_json: str, tables: dict) -> dict:
-        root = self.path(key)
+        """Writes the tables and publishes them; what counts is the entry that a reader then finds."""
+        folder = f"tables-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            w = df.write.mode("overwrite")
+            w = df.write
             if "split" in df.columns:
                 w = w.partitionBy("split")
-            w.parquet(os.path.join(root, name))
-        man = self.spark.createDataFrame(
-            [(self.version, config_json, sorted(tables))], "version string, config string, tables array<string>")
-        man.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_manifest"))
-        return {t: self.spark.read.parquet(os.path.join(root, t)) for t in tables}
+            w.parquet(os.path.join(self.path(key), folder, name))
+        entry = {"version": self.version, "config": config_json, "folder": folder,
+                 "tables": {name: df.schema.jsonValue() for name, df in tables.items()}}
+        draft, fs = self._file_system(os.path.join(self.path(key), f".manifest-{folder}"))
+        out = fs.create(draft, True)
+        out.write(json.dumps(entry).encode())
+        out.close()
+        place, _ = self._file_system(self._manifest(key))
+        if not fs.rename(draft, place):  # another writer of the same key was first
+            fs.delete(draft, False)
+        return self.lookup(key)
 
     def load_or_build(self, config_json: str, data: DataFrame,
                       build: Callable[[], dict]) -> tuple[dict, bool, str]:

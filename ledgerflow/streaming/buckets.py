@@ -55,15 +55,26 @@ def stream_bucket_aggregate(events: DataFrame, origin: dt.datetime, interval: st
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, output_mode: str = "append") -> DataFrame:
-    """Drive a stream over the input available now into an in-memory table
-    and return it as a batch DataFrame (tests and bounded backfills).
-    Production jobs write to a durable sink with a checkpoint instead."""
-    name = f"lf_stream_{uuid.uuid4().hex[:12]}"
-    q = (stream.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", scratch_path(spark, "ledgerflow-streams", name))
-         .trigger(availableNow=True).start())
+    """Drive a stream over the input available now and return its rows as a batch DataFrame.
+
+    Every micro-batch is written as Parquet to a folder named by its id, below the shared checkpoint
+    folder; a batch that is run again after a failure replaces its folder.  In ``complete`` mode a
+    batch holds the whole state, so the last one is the result; in ``append`` mode all are.  No row
+    passes through the driver."""
+    root = scratch_path(spark, "ledgerflow-streams", uuid.uuid4().hex)
+    done: list[int] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        done.append(batch_id)
+
+    q = (stream.writeStream.foreachBatch(keep).outputMode(output_mode)
+         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    wanted = [max(done)] if output_mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/rows/batch={i}" for i in wanted])
 
 
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str | None = None,
