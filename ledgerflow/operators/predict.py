@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import exact_sums
+from ..functions.fixedpoint import DIGITS, LEAST_SETTLED, exact_sums
 from ..registry import Registry
 
 PREDICTORS = Registry("predictor")
@@ -53,6 +53,88 @@ def average_and_actual(inputs: DataFrame, targets: DataFrame, brand_enc, n_inter
                     F.coalesce(F.col("_t"), F.lit(0.0)).alias("t"))
 
 
+# Rows that a batched scorer is given at once, at least; a user is never divided.
+SCORER_ROWS = 50_000
+
+
+def arrow_predictor(fn, rows_per_call: int = SCORER_ROWS):
+    """Wrap a scorer of many users as a predictor with the common signature, to be registered by name.
+
+    ``fn(table)`` receives a ``pyarrow.Table`` of whole users' input rows -- ``split, user_id,
+    brand_id, k, amount, n_intervals``, sorted by all but the last two -- and returns a table with
+    ``split, user_id, brand_id, predicted``.  Rows are sorted inside partitions by (split, user), so
+    users arrive one after the other; the last user of a batch waits for the next batch, and ``fn``
+    is called once for about ``rows_per_call`` rows.  A user has at most buckets x brands rows."""
+    def predictor(rows: DataFrame, brand_enc, n_intervals, denominator: str = "all") -> DataFrame:
+        import pyarrow as pa
+        enc = brand_enc.transform(rows, "brand", "brand_id").select(
+            "split", "user_id", F.col("brand_id").cast("int").alias("brand_id"), "k", "amount",
+            n_intervals.cast("bigint").alias("n_intervals"))
+        out = pa.schema([("split", pa.string()), ("user_id", pa.int64()), ("brand_id", pa.int32()), ("predicted", pa.float64())])
+
+        def whole_users(batches):
+            held, n = [], 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                n += batch.num_rows
+                if n < rows_per_call:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                split, user = (table.column(c).combine_chunks() for c in ("split", "user_id"))
+                cut = table.num_rows - 1  # where the last user begins
+                while cut > 0 and split[cut - 1] == split[-1] and user[cut - 1] == user[-1]:
+                    cut -= 1
+                if cut:
+                    yield table.slice(0, cut)
+                    table = table.slice(cut)
+                held, n = table.to_batches(), table.num_rows
+            if held:
+                yield pa.Table.from_batches(held)
+
+        def run(batches):
+            for table in whole_users(batches):
+                yield from fn(table, denominator).select(out.names).cast(out).to_batches()
+
+        keys = ["split", "user_id"]
+        return (enc.repartition(*keys).sortWithinPartitions(*keys, "brand_id", "k")
+                .mapInArrow(run, "split string, user_id long, brand_id int, predicted double"))
+    return predictor
+
+
+def _average_of(table, denominator: str):
+    """The average-spend baseline over many users: runs of equal (split, user, brand) are divided into
+    groups at once; a group's amounts are added exactly (fsum)."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+    table = table.combine_chunks()
+    n = table.num_rows
+    keys = [table.column(c).combine_chunks() for c in ("split", "user_id", "brand_id")]
+    codes = [np.asarray(k.dictionary_encode().indices if pa.types.is_string(k.type) else k) for k in keys]
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+    at = np.flatnonzero(new)
+    k = np.asarray(table.column("k"))
+    other_k = new.copy()
+    other_k[1:] |= k[1:] != k[:-1]
+    active = np.add.reduceat(other_k.astype(np.int64), at)
+    amount = table.column("amount").to_pylist()
+    ends = [*at[1:].tolist(), n]
+    total = np.array([math.fsum(x for x in amount[a:b] if x is not None) for a, b in zip(at.tolist(), ends)])
+    digits = np.where(np.abs(total) < LEAST_SETTLED, 1.0, np.abs(total))
+    unit = np.power(10.0, float(DIGITS - 1) - np.floor(np.log10(digits)))
+    total = np.where(np.abs(total) < LEAST_SETTLED, total, np.rint(total * unit) / unit)
+    intervals = np.asarray(table.column("n_intervals"))[at] if denominator == "all" else active
+    picked = [x.take(pa.array(at)) for x in keys]
+    return pa.table([*picked, pa.array(total / intervals)], names=["split", "user_id", "brand_id", "predicted"])
+
+
+PREDICTORS.register("baseline.avg.batched")(arrow_predictor(_average_of))
+
+
 def pandas_predictor(fn, schema: str = "split string, user_id long, brand_id int, predicted double"):
     """Wrap a user scorer written in pandas as a predictor with the common
     signature, to be registered by name.

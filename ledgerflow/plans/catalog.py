@@ -413,6 +413,14 @@ def q_baseline_avg_active(spark, sf):
     return _baseline(_prep(spark, sf), "active")
 
 
+@register("scored_batches", O.baseline_sql("tx", TX_CONFIG, "all") + "SELECT split, user_id, brand_id, predicted FROM pred")
+def q_scored_batches(spark, sf):
+    """The baseline by a registered scorer that is given many whole users at once."""
+    from ..operators.predict import PREDICTORS
+    prep = _prep(spark, sf)
+    return PREDICTORS.get("baseline.avg.batched")(prep.input_rows(), prep.encoders["brand"], prep.n_intervals(), "all")
+
+
 def _aligned(prep):
     from ..operators.predict import average_and_actual
     return average_and_actual(prep.input_rows(), prep.target_rows(), prep.encoders["brand"], prep.n_intervals())

@@ -134,3 +134,28 @@ def test_registered_pandas_predictor(spark, tx):
     cfg = DataConfig("7D", Cutoffs("2024-01-01", "2024-01-10", "2024-01-15", "2024-01-20"), predictor="test.sum")
     rows = prepare(df, cfg).configured_loss().collect()
     assert {r.split for r in rows} == {"train", "val", "test"} and all(r.loss > 0 for r in rows)
+
+
+def test_batched_scorer_equals_baseline(spark):
+    """Users that straddle Arrow batches and calls are scored whole, for both denominators."""
+    from pyspark.sql import functions as F
+    from ledgerflow.operators.encoders import BrandVocab
+    from ledgerflow.operators.predict import _average_of, arrow_predictor, average_spend
+    rows = (spark.range(6000).selectExpr("if(id % 5 = 0, 'val', 'train') AS split", "id % 37 AS user_id", "id % 11 AS k", "cast(id % 7 AS string) AS brand",
+                                         "if(id % 13 = 0, NULL, (id % 101) / 10D) AS amount"))
+    vocab = BrandVocab().fit(rows.drop("split"), "brand")
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(table, denominator):
+        calls.add(1)
+        return _average_of(table, denominator)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for how in ("all", "active"):
+            want = sorted(map(tuple, average_spend(rows, vocab, F.lit(11), how).na.fill(0.0).collect()))
+            got = sorted(map(tuple, arrow_predictor(fn, 500)(rows, vocab, F.lit(11), how).collect()))
+            assert got == want and len(got) > 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 8 < calls.value < 60  # many users a call, more than one call
