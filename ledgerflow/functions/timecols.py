@@ -5,6 +5,7 @@ session time zone, so bucket edges are the same on every cluster.
 """
 from __future__ import annotations
 
+import calendar as _calendar
 import datetime as dt
 import re
 
@@ -30,8 +31,8 @@ def parse_interval(text: str) -> tuple[int, bool]:
     """``'28D'`` -> (width in microseconds, week-anchored?).
 
     ``W`` is calendar anchored on Sundays like pandas' ``W-SUN``; the other
-    units are plain fixed widths.  Month/year aliases have no fixed width and
-    are rejected.
+    units are plain fixed widths.  Month, quarter and year aliases have no
+    fixed width; see :func:`calendar_interval`.
     """
     m = re.fullmatch(r"\s*(\d*)\s*(W|D|H|h|min|T|S|s)\s*", text)
     if not m:
@@ -44,6 +45,63 @@ def parse_interval(text: str) -> tuple[int, bool]:
     return n * _UNIT_US[unit], unit == "W"
 
 
+# Calendar intervals: months of a step, and whether edges are first or last days (pandas offset aliases).
+_MONTHS = {"M": 1, "ME": 1, "MS": 1, "Q": 3, "QE": 3, "QS": 3, "Y": 12, "YE": 12, "A": 12, "YS": 12, "AS": 12}
+_WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+
+
+def calendar_interval(text: str):
+    """``(n, unit)`` of a calendar interval such as ``'MS'``, ``'2M'``, ``'QS'``, ``'Y'`` or ``'W-MON'``;
+    None for any other text."""
+    m = re.fullmatch(r"\s*(\d*)\s*(" + "|".join(_MONTHS) + r"|W-(?:" + "|".join(_WEEKDAYS) + r"))\s*", text)
+    if not m:
+        return None
+    n = int(m.group(1) or 1)
+    if n <= 0:
+        raise ValueError(f"interval must be positive: {text!r}")
+    return n, m.group(2)
+
+
+def add_months(day: dt.datetime, n: int) -> dt.datetime:
+    """``day`` n months later, on the same day of the month or the last one there is."""
+    at = day.year * 12 + day.month - 1 + n
+    year, month = at // 12, at % 12 + 1
+    return day.replace(year=year, month=month, day=min(day.day, _calendar.monthrange(year, month)[1]))
+
+
+def advance(when: dt.datetime, text: str) -> dt.datetime:
+    """One interval later: a fixed width, or by the calendar."""
+    found = calendar_interval(text)
+    if found is None:
+        return when + dt.timedelta(microseconds=parse_interval(text)[0])
+    n, unit = found
+    return when + dt.timedelta(weeks=n) if unit.startswith("W-") else add_months(when, n * _MONTHS[unit])
+
+
+def calendar_edges(lo: dt.datetime, hi: dt.datetime, text: str) -> list:
+    """Edges from the first anchor day on or after ``lo`` (at its time of day) up to ``hi``."""
+    n, unit = calendar_interval(text)
+    edges = []
+    if unit.startswith("W-"):
+        at = lo + dt.timedelta(days=(_WEEKDAYS.index(unit[2:]) - lo.weekday()) % 7)
+        while at <= hi:
+            edges.append(at)
+            at += dt.timedelta(weeks=n)
+        return edges
+    months, first_days = _MONTHS[unit], unit.endswith("S")
+    at = lo.replace(day=1)
+    if first_days and lo.day > 1:
+        at = add_months(at, 1)
+    while (at.month - 1) % months if first_days else at.month % months:
+        at = add_months(at, 1)
+    while True:
+        edge = at if first_days else at.replace(day=_calendar.monthrange(at.year, at.month)[1])
+        if edge > hi:
+            return edges
+        edges.append(edge)
+        at = add_months(at, n * months)
+
+
 def ts_lit(value) -> Column:
     """A TIMESTAMP_NTZ literal from a string / datetime."""
     if isinstance(value, dt.datetime):

@@ -6,6 +6,9 @@ day) and ``m = (latest - origin) div W``.  Bucket k is right-closed,
 ``(e[k-1], e[k]]``, and bucket 1 also holds ``e[0]``.  Rows after the last
 edge (and, for weeks, before the first Sunday) fall outside every bucket.
 
+Calendar intervals (``'MS'``, ``'2M'``, ``'QS'``, ``'Y'``, ``'W-MON'`` ...) have their edges on first
+or last days or weekdays from the earliest date on, with the same rules (:class:`CalendarSpec`).
+
 Per (user, bucket, brand) the aggregate keeps the amount sum (exact; a
 null amount counts as 0) and the first (earliest) date.  Only
 non-empty cells are produced; the dense users x buckets x brands grid is
@@ -14,7 +17,9 @@ materialised.
 """
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import json
 from dataclasses import dataclass
 from typing import Optional, Tuple
 
@@ -22,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import exact_sums
-from ..functions.timecols import add_micros, micros_between, parse_interval, ts_lit, ts_text
+from ..functions.timecols import (add_micros, advance, calendar_edges, calendar_interval, micros_between,
+                                  parse_interval, ts_lit, ts_text)
 
 _ONE_US = dt.timedelta(microseconds=1)
 
@@ -36,6 +42,10 @@ class BucketSpec:
     n_buckets: int
     interval: str
 
+    def advance(self, when: dt.datetime) -> dt.datetime:
+        """One interval after ``when``."""
+        return advance(when, self.interval)
+
     def edge(self, k: int) -> dt.datetime:
         return self.origin + dt.timedelta(microseconds=self.width_us * k)
 
@@ -71,6 +81,37 @@ class BucketSpec:
         return add_micros(self.origin_col(), k.cast("bigint") * F.lit(self.width_us))
 
 
+@dataclass(frozen=True)
+class CalendarSpec(BucketSpec):
+    """Buckets between calendar days, of unequal width: edges are a literal array, and a row's bucket
+    is found in it by binary search."""
+    edges: tuple = ()
+
+    def edge(self, k: int) -> dt.datetime:
+        return self.edges[k]
+
+    def index_of(self, ts: dt.datetime) -> int:
+        return min(max(1, bisect.bisect_left(self.edges, ts)), self.n_buckets)
+
+    def _micros(self) -> Column:
+        first = self.edges[0]
+        return F.from_json(F.lit(json.dumps([(e - first) // _ONE_US for e in self.edges])), "array<bigint>")
+
+    def index_col(self, date: str = "date") -> Column:
+        """The number of edges before the date, 1 at least: steps of halving length over the array."""
+        n = len(self.edges)
+        steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+        after = F.struct(micros_between(ts_lit(self.origin), F.col(date)).alias("t"), self._micros().alias("e"))
+
+        def search(x):
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+                (at + step <= n) & (F.try_element_at(x["e"], at + step) < x["t"]), at + step).otherwise(at))
+        return F.greatest(F.lit(1), F.element_at(F.transform(F.array(after), search), 1)).cast("bigint")
+
+    def edge_col(self, k: Column) -> Column:
+        return add_micros(self.origin_col(), F.element_at(self._micros(), k.cast("int") + 1))
+
+
 def _as_dt(x) -> dt.datetime:
     if isinstance(x, dt.datetime):
         return x
@@ -85,7 +126,7 @@ def fit_buckets(df: DataFrame, interval: str, origin=None, end=None) -> BucketSp
     One global min/max aggregate (two scalars reach the driver) unless both
     ``origin`` and ``end`` are supplied, which skips the scan entirely.
     """
-    width, weekly = parse_interval(interval)
+    width, weekly = (0, False) if calendar_interval(interval) else parse_interval(interval)
     if origin is None or end is None:
         row = df.where(F.col("date").isNotNull()).agg(
             F.min("date").alias("lo"), F.max("date").alias("hi")).first()
@@ -95,6 +136,11 @@ def fit_buckets(df: DataFrame, interval: str, origin=None, end=None) -> BucketSp
         lo, hi = _as_dt(origin), _as_dt(end)
     if lo is None or hi is None:
         return BucketSpec(None, width, 0, interval)
+    if calendar_interval(interval):
+        edges = tuple(calendar_edges(lo, hi, interval))
+        if len(edges) < 2:
+            return BucketSpec(None, width, 0, interval)
+        return CalendarSpec(edges[0], width, len(edges) - 1, interval, edges)
     if weekly:
         # first Sunday on or after the earliest date (weekday(): Monday=0)
         lo = lo + dt.timedelta(days=(6 - lo.weekday()) % 7)

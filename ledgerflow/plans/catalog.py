@@ -96,6 +96,22 @@ def q_tx_bucket_weekly(spark, sf):
     return bucket_aggregate(tx, fit_buckets(tx, "1W"))
 
 
+_MONTHLY = replace(TX_CONFIG, interval="MS")
+
+
+@register("tx_bucket_monthly", O.chain("tx", _MONTHLY) + _CELLS)
+def q_tx_bucket_monthly(spark, sf):
+    """Buckets between first days of months."""
+    tx = tx_view(spark, sf)
+    return bucket_aggregate(tx, fit_buckets(tx, _MONTHLY.interval))
+
+
+@register("multi_hot_amount_monthly", O.targets_sql("tx", _MONTHLY) + "SELECT split, user_id, brand_id, amount, amount_raw FROM tcells")
+def q_multi_hot_amount_monthly(spark, sf):
+    """Targets of the month after each split's cutoff, from monthly buckets."""
+    return _prep(spark, sf, cfg=_MONTHLY).targets().select("split", "user_id", "brand_id", "amount", "amount_raw")
+
+
 def _label_sql():
     W = 28 * 86_400_000_000
     def txt(e):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from ..config import DataConfig
-from ..functions.timecols import parse_interval
+from ..functions.timecols import advance, parse_interval
 
 def ts(v) -> str:
     if not isinstance(v, dt.datetime):
@@ -57,16 +57,26 @@ def chain(view: str, cfg: DataConfig, interval: str | None = None, top_n="cfg",
           freq_threshold="cfg", strict: bool = False) -> str:
     """The shared WITH-chain.  CTEs: src raw bnd spec cells users roles members
     wcells fitrows bstats kept vocab mm ee inrows trows nall."""
-    W, weekly = parse_interval(interval or cfg.interval)
+    monthly = (interval or cfg.interval) == "MS"  # edges are first days, as date_trunc gives them
+    W, weekly = (0, False) if monthly else parse_interval(interval or cfg.interval)
+
+    def idx(t: str) -> str:
+        return (f"greatest(1, date_diff('month', spec.lo, date_trunc('month', {t})) + CASE WHEN {t} > date_trunc('month', {t}) THEN 1 ELSE 0 END)"
+                if monthly else bucket_idx(t, W))
+
     c = cfg.cutoffs
     sp = cfg.splits
     tstart = {s: dt.datetime.fromisoformat(c.target_start(s)) for s in ("train", "val", "test")}
-    tend = {s: v + dt.timedelta(microseconds=W) for s, v in tstart.items()}
+    tend = {s: advance(v, interval or cfg.interval) for s, v in tstart.items()}
     last_end = max(tend.values())
     in_start = dt.datetime.fromisoformat(c.in_start)
     top_n = cfg.brand.top_n if top_n == "cfg" else top_n
     freq_threshold = cfg.brand.freq_threshold if freq_threshold == "cfg" else freq_threshold
     lo_expr = ("lo0 + to_days(CAST((7 - dayofweek(lo0)) % 7 AS INTEGER))" if weekly else "lo0")
+    if monthly:
+        lo_expr = "CASE WHEN lo0 = date_trunc('month', lo0) THEN lo0 ELSE date_trunc('month', lo0) + INTERVAL 1 MONTH END"
+    n_buckets = "date_diff('month', lo, date_trunc('month', hi))" if monthly else f"(epoch_us(hi) - epoch_us(lo)) // {W}"
+    last_edge = "epoch_us(spec.lo + to_months(CAST(spec.m AS INTEGER)))" if monthly else f"epoch_us(spec.lo) + spec.m * {W}"
 
     def case(vals):
         return "CASE split " + " ".join(f"WHEN '{s}' THEN {ts(v)}" for s, v in vals.items()) + " END"
@@ -84,15 +94,15 @@ def chain(view: str, cfg: DataConfig, interval: str | None = None, top_n="cfg",
         st = ts(in_start)
         n_all.append(
             f"SELECT '{s}' AS split, CASE WHEN spec.m <= 0 OR {e} < spec.lo "
-            f"OR epoch_us({st}) > epoch_us(spec.lo) + spec.m * {W} OR {e} < {st} THEN 0 ELSE "
-            f"least({bucket_idx(e, W)}, spec.m) - least({bucket_idx(f'greatest({st}, spec.lo)', W)}, spec.m) + 1 "
+            f"OR epoch_us({st}) > {last_edge} OR {e} < {st} THEN 0 ELSE "
+            f"least({idx(e)}, spec.m) - least({idx(f'greatest({st}, spec.lo)')}, spec.m) + 1 "
             f"END AS n_all FROM spec")
     return f"""WITH src AS ({SOURCES[view]}),
 raw AS (SELECT * FROM src WHERE user_id IS NOT NULL AND brand IS NOT NULL AND date IS NOT NULL),
 bnd AS (SELECT min(date) AS lo0, max(date) AS hi FROM src),
 spec0 AS (SELECT {lo_expr} AS lo, hi FROM bnd),
-spec AS (SELECT lo, hi, CASE WHEN hi >= lo THEN (epoch_us(hi) - epoch_us(lo)) // {W} ELSE 0 END AS m FROM spec0),
-bk AS (SELECT r.user_id, {bucket_idx('r.date', W)} AS k, r.brand, r.amount, r.date, spec.m
+spec AS (SELECT lo, hi, CASE WHEN hi >= lo THEN {n_buckets} ELSE 0 END AS m FROM spec0),
+bk AS (SELECT r.user_id, {idx('r.date')} AS k, r.brand, r.amount, r.date, spec.m
        FROM raw r, spec WHERE r.date >= spec.lo),
 cells AS (SELECT user_id, k, brand, {money_sum('amount')} AS amount, min(date) AS date
           FROM bk WHERE k <= m GROUP BY user_id, k, brand),

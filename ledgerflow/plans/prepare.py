@@ -66,8 +66,7 @@ class Prepared:
         return {s: _dt(self.cfg.cutoffs.target_start(s)) for s in SPLITS}
 
     def target_end(self) -> dict:
-        w = dt.timedelta(microseconds=self.spec.width_us)
-        return {s: v + w for s, v in self.target_start().items()}
+        return {s: self.spec.advance(v) for s, v in self.target_start().items()}
 
     def role(self) -> Column:
         return F.col("role") if "role" in self.buckets.columns else role_expr(self.cuts)
@@ -204,7 +203,7 @@ def prepare(tx: DataFrame, cfg: DataConfig, persist: bool = True, spec: BucketSp
         spec = fit_buckets(tx, cfg.interval, origin=min(los), end=max(his)) if los \
             else fit_buckets(tx, cfg.interval)
     c = cfg.cutoffs
-    last_end = max(_dt(c.train), _dt(c.val), _dt(c.test)) + dt.timedelta(microseconds=spec.width_us)
+    last_end = max(spec.advance(_dt(t)) for t in (c.train, c.val, c.test))
     users = summary.where(F.col("user_id").isNotNull()).select("user_id")
     cuts = split_cuts(users, cfg.splits, hist=hist)  # the histogram also yields the user count
     n = cuts["quotas"]["n"]

@@ -95,3 +95,35 @@ def test_intervals():
     assert parse_interval("30min")[0] == 1_800_000_000
     with pytest.raises(ValueError):
         parse_interval("1M")
+
+
+@pytest.mark.parametrize("interval", ["MS", "M", "2M", "QS", "Q", "Y", "YS", "W-MON", "2W-THU"])
+def test_calendar_buckets_equal_pandas(spark, tx, interval):
+    """Edges and buckets of unequal width against pandas' date ranges; dates on edges included."""
+    import random
+    import pandas as pd
+    from ledgerflow.operators.buckets import bucket_label, bucketize
+    rng = random.Random(interval)
+    days = [D("2021-01-31 06:00")] + [D("2021-02-01") + dt.timedelta(hours=rng.randrange(24 * 1200)) for _ in range(300)]
+    name = {"M": "ME", "2M": "2ME", "Q": "QE", "Y": "YE"}.get(interval, interval)
+    edges = list(pd.date_range(min(days), max(days), freq=name))
+    days += [e.to_pydatetime() for e in edges]
+    df = tx([(i, d, "A", 1) for i, d in enumerate(days)])
+    spec = fit_buckets(df, interval)
+    assert list(spec.edges) == edges
+    got = {r.user_id: r.k for r in bucketize(df, spec).collect()}
+    at = pd.cut(pd.Series(days), edges, labels=False, include_lowest=True)
+    assert got == {i: int(k) + 1 for i, k in enumerate(at) if k == k}
+    assert all(spec.index_of(days[i]) == k for i, k in got.items())
+    label = bucket_label(spark.range(1, 2).withColumnRenamed("id", "k"), spec).first()["time_interval"]
+    assert label.startswith(f"[{edges[0]:%Y-%m-%d}") and f", {edges[1]:%Y-%m-%d}" in label
+
+
+def test_calendar_windows(tx):
+    """A window's rows are found by its buckets; a range without two edges has none."""
+    df = tx([(1, "2024-01-01", "A", 1), (1, "2024-02-01", "A", 2), (1, "2024-02-02", "A", 4), (1, "2024-03-01", "B", 8), (1, "2024-05-20", "B", 16)])
+    spec = fit_buckets(df, "MS")
+    assert spec.n_buckets == 4 and spec.advance(D("2024-01-31")) == D("2024-02-29")
+    got = sorted(tuple(r) for r in bucket_aggregate(df, spec, window=(D("2024-02-02"), D("2024-03-01"))).collect())
+    assert got == [(1, 2, "A", 4.0, D("2024-02-02"))]
+    assert bucket_aggregate(df, fit_buckets(tx([(1, "2024-01-05", "A", 1), (1, "2024-01-20", "A", 1)]), "MS")).count() == 0
