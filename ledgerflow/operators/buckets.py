@@ -242,13 +242,17 @@ def dense_grid_summary(df: DataFrame, spec: BucketSpec) -> DataFrame:
     date).  Nothing downstream needs an empty cell except the list of users,
     so the grid is only counted: users and brands are the distinct non-null
     raw keys, including those whose rows all fell outside the buckets."""
-    cells = bucket_aggregate(df, spec)
-    n_users = df.where(F.col("user_id").isNotNull()).select("user_id").distinct() \
-        .agg(F.count(F.lit(1))).scalar()
-    n_brands = df.where(F.col("brand").isNotNull()).select("brand").distinct() \
-        .agg(F.count(F.lit(1))).scalar()
-    out = exact_sums(cells, {"amount": F.col("amount")}, F.count(F.lit(1)).alias("n_nonempty"), zero=True
-                     ).select(n_users.alias("n_users"), n_brands.alias("n_brands"), "n_nonempty", "amount")
+    inside, k = F.lit(False), F.lit(None).cast("bigint")
+    if spec.origin is not None:
+        k = spec.index_col("date")
+        inside = (F.col("user_id").isNotNull() & F.col("brand").isNotNull() & (F.col("date") >= spec.origin_col())
+                  & (k <= F.lit(spec.n_buckets)))
+    # one pass: cells of the buckets, and beside them (bucket NULL) the keys of all other rows
+    rows = df.select("user_id", "brand", F.when(inside, k).alias("k"), F.when(inside, F.col("amount")).alias("amount"))
+    cells = exact_sums(rows.groupBy("user_id", "brand", "k"), {"amount": F.col("amount")}, zero=True)
+    out = exact_sums(cells, {"amount": F.col("amount")}, F.countDistinct("user_id").alias("n_users"),
+                     F.countDistinct("brand").alias("n_brands"), F.count("k").alias("n_nonempty"), zero=True
+                     ).select("n_users", "n_brands", "n_nonempty", "amount")
     n_cells = F.col("n_users") * F.col("n_brands") * F.lit(spec.n_buckets)
     return out.select(
         "n_users", F.lit(spec.n_buckets).cast("bigint").alias("n_buckets"), "n_brands",

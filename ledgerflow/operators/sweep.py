@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import LIMBS, limbs, settled, total_of
 from .encoders import UNK, BrandVocab
-from .joins import materialize_small, sized_broadcast
+from .joins import lookup, materialize_small
 from .ranking import global_row_number
 
 TWO_52 = float(2 ** 52)
@@ -137,14 +137,14 @@ def sweep_metrics(prep, trials: DataFrame, top_n="data_top_n", lookback="data_lo
     reads = [{"look": look, "den": d} for look, d in sorted({(look, d) for _, _, look, d in settings})]
     unknown = [{"cut": at[n], "look": look, "den": d} for n, look, d in sorted({s[1:] for s in settings})]
     first_cut = F.size(F.filter(F.array(*[F.lit(n) for n in cuts]), lambda n: n < F.col("brank")))
-    held = sized_broadcast(ranks.select("brand", first_cut.alias("_cut")), n_brands)
+    held = ranks.select(F.col("brand").alias("_brand"), first_cut.alias("_cut"))
     oldest = max(r["look"] for r in reads) if reads else 0
 
     cols = ["split", "user_id", "brand", "k", "amount"]
     rows = (prep.input_rows().select(*cols, F.lit(False).alias("_goal"))
             .unionByName(prep.target_rows().select(*cols, F.lit(True).alias("_goal"))))
     back = F.when(F.col("_goal"), F.lit(0)).otherwise(split_case(k_last) - F.col("k") + 1).cast("int")
-    rows = (rows.where(F.col("_goal") | (back <= F.lit(oldest))).join(held, "brand", "left")
+    rows = (lookup(rows.where(F.col("_goal") | (back <= F.lit(oldest))), held, "brand", "_brand")
             .withColumn("cut", F.coalesce("_cut", F.lit(len(cuts)))).drop("_cut")
             .repartition("split", "user_id").withColumn("back", back))
 

@@ -18,7 +18,7 @@ from ..functions.fixedpoint import exact_sums
 from ..operators.buckets import (bucket_aggregate, bucket_coverage, bucket_label, date_window,
                                  dense_grid_summary, fit_buckets)
 from ..operators.encoders import BrandVocab, MinMaxEncoder, NoOpEncoder
-from ..operators.split import distinct_users, split_membership, user_split
+from ..operators.split import distinct_users, role_expr, split_membership, splits_of, user_split
 from ..sources.views import ev_view, tx_view
 from . import oracle as O
 from .prepare import Prepared, prepare, split_case
@@ -182,11 +182,9 @@ def q_split_windows(spark, sf):
 @register("rows_by_split", _TX_CHAIN + "SELECT m.split, c.user_id, c.k, c.brand, c.amount, c.date "
           "FROM cells c JOIN members m ON c.user_id = m.user_id")
 def q_rows_by_split(spark, sf):
-    tx = tx_view(spark, sf)
-    spec = fit_buckets(tx, TX_CONFIG.interval)
-    roles = user_split(distinct_users(tx), TX_CONFIG.splits)
-    cells = bucket_aggregate(tx, spec)
-    return cells.join(split_membership(roles), "user_id").select(
+    prep = _prep(spark, sf, fit=False)  # bounds and cut keys from one summary per user
+    cells = bucket_aggregate(tx_view(spark, sf), prep.spec)
+    return cells.withColumn("split", F.explode(splits_of(role_expr(prep.cuts)))).select(
         "split", "user_id", "k", "brand", "amount", "date")
 
 
