@@ -7,7 +7,8 @@ piece; symbols outside the vocabulary fall back to bytes. No piece of such a voc
 after another character, so texts are cut before each run of U+2581 and every distinct chunk is
 encoded once per task: many short chunks in step (each round pops the head of every chunk's
 agenda), long ones with a heap in O(n log n). Each distinct chunk is also encoded by the library
-and decoded; a difference raises.
+and decoded; a difference raises. The decoded text of a row is the library's ``decode`` of all its
+ids, so a fault where chunks meet would show.
 
 Narrow: one pass, no shuffle; memory is a slice of texts, the tables of the vocabulary (a fixed
 file) and a cache of at most ``CACHE`` chunks that is emptied when full and after a task.
@@ -237,14 +238,14 @@ def _cache(path: str) -> dict[str, str]:
 
 
 def _encoded(path: str, column: pa.Array) -> Iterator[tuple[int, str, str]]:
-    """(number of ids, ids in decimal, decoded text) of each text. Every chunk's ids have been seen
-    to decode to the chunk, so a text's decode to its chunks, less the space put in front."""
-    known = _cache(path)
+    """(number of ids, ids in decimal, the library's decoding of all these ids) of each text."""
+    known, vocab = _cache(path), vocabulary(path)
     if len(known) > CACHE:
         known.clear()
-    for chunks in vocabulary(path).encode([t or "" for t in column.to_pylist()], known):
+    for chunks in vocab.encode([t or "" for t in column.to_pylist()], known):
         ids = ",".join([known[c] for c in chunks])
-        yield ids.count(",") + 1 if ids else 0, ids, "".join(chunks).replace(SPACE, " ")[1:]
+        numbers = list(map(int, ids.split(","))) if ids else []
+        yield len(numbers), ids, vocab.library.decode(numbers) if numbers else ""
 
 
 def encode_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
