@@ -16,14 +16,16 @@ names, of which the ``TAGS`` commonest are kept; the table is broadcast. Extract
 pass over whole pages without shuffle.
 
 Defined results: null, empty and markup-only pages give the empty string; text outside any tag
-counts as text; an unclosed comment, script or style runs to the end of the page; repeated pages
-each get their row; without labelled pages every tag scores ``UNKNOWN``; other columns pass through.
+counts as text; an unclosed comment, script, style or tag runs to the end of the page; a quote that
+no other one closes ends no tag; very long pages are read in linear time; repeated pages each get
+their row; without labelled pages every tag scores ``UNKNOWN``; other columns pass through.
 """
 from __future__ import annotations
 
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,15 +53,27 @@ hr html li main ol p pre section table tbody td tfoot th thead tr ul details sum
 #: Elements without content (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id attributes of notices, adverts, sidebars and reader comments.
-NOTICE = re.compile(r"""(?:class|id)\s*=\s*["']?[^"'>]*\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|comments?|cookie\w*|"""
+NOTICE = re.compile(r"""\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|comments?|cookie\w*|"""
                     r"""consent|notice|popup|modal|newsletter|share|social|related|breadcrumbs?|menu|nav\w*|footer|header)\b""", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# An attribute value is quoted only where a quote follows the equals sign; without its second half a
+# quote is a character like others. Possessive repeats never go back, so a tag is read once.
+_VALUE = r"""=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|)"""
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|"
+                  + re.sub(r"\((?=[^?])", "(?:", _VALUE) + r")*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=/>"']++)[ \t\n\f\r]*+""" + _VALUE)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def noticed(attributes: str) -> bool:
+    """Whether the class or id among a tag's attributes names a notice."""
+    if not NOTICE.search(attributes):
+        return False
+    return any(m[1].lower() in ("class", "id") and NOTICE.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes))
+
+
 def pieces(page: str) -> Iterator[tuple[str, str]]:
     """(tag, "") and ("", text) in page order; tags as ``name``, ``/name`` or ``name.notice``.
     The content of raw elements is left out, comments and declarations too."""
@@ -68,9 +82,11 @@ def pieces(page: str) -> Iterator[tuple[str, str]]:
         if m.start() > at:
             yield "", page[at:m.start()]
         at = m.end()
+        if m[2] and not m[4]:
+            return
         if m[2]:
             name = m[2].lower()
-            yield ("/" + name if m[1] else name + ".notice" if m[3] and NOTICE.search(m[3]) else name), ""
+            yield ("/" + name if m[1] else name + ".notice" if m[3] and noticed(m[3]) else name), ""
             if not m[1] and name in RAW and not m[3].rstrip().endswith("/"):
                 # no tags in here: a "<" of a script may swallow its end tag
                 end = _RAW_END[name].search(page, at)
@@ -104,6 +120,7 @@ def blocks(seq: list[tuple[str, str]]) -> str:
     out: list[str] = []
     now: list[str] = []
     closed: list[str] = []  # names of open elements inside a dropped one
+    held: Counter[str] = Counter()  # how often each name stands in there
 
     def end() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(now))).strip(" ")
@@ -115,11 +132,14 @@ def blocks(seq: list[tuple[str, str]]) -> str:
         if closed:
             name = tag.lstrip("/").removesuffix(".notice")
             if tag.startswith("/"):
-                if name in closed:
-                    while closed.pop() != name:
-                        pass
+                while held[name]:
+                    last = closed.pop()
+                    held[last] -= 1
+                    if last == name:
+                        break
             elif tag and name not in VOID and (name in DROPPED or name == closed[0]):
                 closed.append(name)
+                held[name] += 1
             continue
         if not tag:
             now.append(text)
@@ -131,6 +151,7 @@ def blocks(seq: list[tuple[str, str]]) -> str:
             now.append(" ")
         if not tag.startswith("/") and name not in VOID and (name in DROPPED or tag.endswith(".notice")):
             closed.append(name)
+            held[name] += 1
     end()
     return "\n\n".join(out)
 
