@@ -6,12 +6,12 @@ joined piece scores highest is merged first, the leftmost among equals, until no
 piece; symbols outside the vocabulary fall back to bytes. No piece of such a vocabulary has U+2581
 after another character, so texts are cut before each run of U+2581 and every distinct chunk is
 encoded once per task: many short chunks in step (each round pops the head of every chunk's
-agenda), long ones with a heap in O(n log n). Each distinct chunk is also encoded by the library
-and decoded; a difference raises. The decoded text of a row is the library's ``decode`` of all its
-ids, so a fault where chunks meet would show.
+agenda), long ones with a heap in O(n log n). Each distinct chunk is also encoded by the library.
+The decoded text of a row is the library's ``decode`` of all its ids, so a fault where chunks meet
+would show. A difference to the library's ids, or of the decoded text to the text, raises.
 
 Narrow: one pass, no shuffle; memory is a slice of texts, the tables of the vocabulary (a fixed
-file) and a cache of at most ``CACHE`` chunks that is emptied when full and after a task.
+file) and a cache of ``CACHE`` chunks and those of two slices, emptied after a task.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; a literal U+2581
 reads as a space; repeated rows each get their row; other columns pass through.
@@ -23,6 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from ledgerflow.llm.common import table, with_struct
 MODEL = "piece_bpe_32k.model"
 #: Chunks with more code points than this are encoded one by one with a heap.
 LONG = 48
-CACHE = 300_000
+CACHE = 240_000
 #: Text encoded at once; the pieces of a text take many times its size as Python objects.
 SLICE = 1 << 20
 SPACE = "▁"
@@ -63,6 +64,7 @@ class Vocabulary:
         self.id_byte = {i: b for b, i in self.byte_id.items()}
         number = {self.pieces[i]: i for i in normal}
         self.known = set(number.values())
+        self.shared = list(range(self.size))
         for i in normal:
             for c in self.pieces[i]:
                 number.setdefault(c, self.size + len(number))
@@ -207,10 +209,10 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         return self.raw(ids).removeprefix(" ")
 
-    def encode(self, texts: list[str], known: dict[str, str]) -> list[list[str]]:
-        """The chunks of each text; ``known`` gets the ids of each, in decimal."""
+    def encode(self, texts: list[str], known: "Known") -> list[list[str]]:
+        """The chunks of each text; ``known`` then holds the ids of each."""
         cut = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({c for one in cut for c in one}.difference(known))
+        new = known.lacking({c for one in cut for c in one})
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
             short = [c for c in part if len(c) <= LONG]
@@ -221,31 +223,56 @@ class Vocabulary:
                 # a lone U+2581 is the empty text to the library, which gives that no ids
                 if want != ids and chunk != SPACE:
                     raise ValueError(f"differs from the library: {chunk!r}: {ids} and {want}")
-                if self.raw(ids) != chunk.replace(SPACE, " "):
-                    raise ValueError(f"does not decode to itself: {chunk!r}: {ids}")
-                known[chunk] = ",".join(map(str, ids))
+                known.young[chunk] = tuple([self.shared[i] for i in ids]), ",".join(map(str, ids))
         return cut
 
 
+class Known:
+    """Chunks with their ids, as numbers and in decimal. When half of ``CACHE`` chunks are young they
+    become the old ones, of which those that are met again become young: frequent chunks stay."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def lacking(self, chunks: set[str]) -> list[str]:
+        """The chunks that have to be encoded; the others are young from now on."""
+        if len(self.young) > CACHE // 2:
+            self.old, self.young = self.young, {}
+        new = []
+        for chunk in chunks.difference(self.young):
+            ids = self.old.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                self.young[chunk] = ids
+        return new
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
 @lru_cache(2)
-def _cache(path: str) -> dict[str, str]:
-    return {}
+def _cache(path: str) -> Known:
+    return Known()
 
 
 def _encoded(path: str, column: pa.Array) -> Iterator[tuple[int, str, str]]:
     """(number of ids, ids in decimal, the library's decoding of all these ids) of each text."""
     known, vocab = _cache(path), vocabulary(path)
-    if len(known) > CACHE:
-        known.clear()
-    for chunks in vocab.encode([t or "" for t in column.to_pylist()], known):
-        ids = ",".join([known[c] for c in chunks])
-        numbers = list(map(int, ids.split(","))) if ids else []
-        yield len(numbers), ids, vocab.library.decode(numbers) if numbers else ""
+    texts = [t or "" for t in column.to_pylist()]
+    for text, chunks in zip(texts, vocab.encode(texts, known)):
+        found = [known.young[c] for c in chunks]
+        numbers = list(chain.from_iterable([n for n, _ in found]))
+        decoded = vocab.library.decode(numbers) if numbers else ""
+        if decoded != text.replace(SPACE, " "):
+            raise ValueError(f"ids do not decode to their text: {text[:200]!r}")
+        yield len(numbers), ",".join([i for _, i in found]), decoded
 
 
 def encode_struct(path: str, column: pa.Array) -> dict[str, pa.Array]:
