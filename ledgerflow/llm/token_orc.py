@@ -26,6 +26,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class Encoder:
 
     def parts(self, parts: list[str]) -> np.ndarray:
         """The numbers of distinct parts, whose ids are ``flat[at[number]:at[number + 1]]``."""
-        out = np.fromiter((self.known.get(w, -1) for w in parts), np.int64, len(parts))
+        out = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
         new = np.flatnonzero(out < 0)
         if self.known and len(self.known) + len(new) > KNOWN:
             self._forget()
@@ -107,7 +108,7 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         out[new] = len(self.at) - 1 + np.arange(len(new))
         self.known.update(zip(words, out[new].tolist()))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for part in ids for i in part), np.int32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         return out
 
