@@ -48,3 +48,19 @@ def test_join_is_dealt_out_by_the_files_size(spark, sales, monkeypatch):
         assert rows(tx) == before and len(before) > 500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_sweep_and_sequences_are_dealt_out_by_rows(spark, sales, monkeypatch):
+    from ledgerflow.operators.sweep import sweep_metrics, trial_table
+    from ledgerflow.plans.catalog import N_TRIALS, SWEEP_SEED, SWEEP_SPACE
+    trials = trial_table(spark, SWEEP_SPACE, N_TRIALS, SWEEP_SEED)
+    found = []
+    for share in (1 << 40, 20):
+        monkeypatch.setattr(prepare, "TASK_ROWS", share)
+        prep = prepare.prepare(views.tx_view(spark, sales), TX_CONFIG)
+        swept, seq = sweep_metrics(prep, trials), prep.sequences()
+        found.append((prep.partitions, rows(swept), rows(seq), swept._jdf.queryExecution().toString(), seq._jdf.queryExecution().toString()))
+        prep.unpersist()
+    (none, *small, _, _), (n, *spread, swept, seq) = found
+    assert none is None and n > 8 and small == spread
+    assert all(f", {n})" in plan for plan in (swept, seq))
