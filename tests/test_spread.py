@@ -64,3 +64,20 @@ def test_sweep_and_sequences_are_dealt_out_by_rows(spark, sales, monkeypatch):
     (none, *small, _, _), (n, *spread, swept, seq) = found
     assert none is None and n > 8 and small == spread
     assert all(f", {n})" in plan for plan in (swept, seq))
+
+
+def test_transactions_of_a_cache_are_computed_once(spark, sales, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(spark, sf):
+        def run(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+        tx = views.tx_view(spark, sf)
+        return tx.mapInArrow(run, tx.schema)
+
+    monkeypatch.setattr(catalog, "tx_view", counted)
+    n = views.tx_view(spark, sales).count()
+    assert catalog.q_cache_roundtrip(spark, sales).count() >= 0
+    assert read.value == n
